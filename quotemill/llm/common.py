@@ -111,3 +111,27 @@ def shingles(hashes: np.ndarray, size: int = 5) -> np.ndarray:
     if n < size:
         h += np.uint64(n)
     return np.unique(mix64(h))
+
+
+def parted(p: np.ndarray, kind: int, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows (p, kind, blob), one for each part: its slice of every column, behind each other."""
+    order = np.argsort(p, kind="stable")
+    uniq, start = np.unique(p[order], return_index=True)
+    end = np.append(start[1:], len(p))
+    columns = [c[order] for c in columns]
+    for at in range(0, len(uniq), 64):
+        blobs = [b"".join([c[a:b].tobytes() for c in columns]) for a, b in zip(start[at : at + 64], end[at : at + 64], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(uniq[at : at + 64].astype(np.int32)), pa.array(np.full(len(blobs), kind, np.int32)), pa.array(blobs, pa.binary())], ["p", "kind", "blob"])
+
+
+def maybe_in(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """df with a column ``likely``: false only where ids(column) does not hold the row's value.
+
+    A bitmap of 2^23 hash slots, at most 256 rows of 4 KB, is broadcast; it keeps most other rows out of a join's shuffle.
+    """
+    slot = F.pmod(F.xxhash64(column), F.lit(1 << 23))
+    bits = ids.select(slot.alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bitmap"))
+    out = df.withColumn("slot", slot).withColumn("bucket", F.expr("bitmap_bucket_number(slot)")).join(F.broadcast(bits), "bucket", "left")
+    byte = "cast(conv(hex(substring(bitmap, cast(bitmap_bit_position(slot) div 8 + 1 as int), 1)), 16, 10) as int)"
+    hit = F.expr(f"coalesce(({byte} & shiftleft(1, cast(bitmap_bit_position(slot) % 8 as int))) <> 0, false)")
+    return out.withColumn("likely", hit).drop("slot", "bucket", "bitmap")

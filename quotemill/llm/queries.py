@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import chat_format, quality_rules
+from quotemill.llm import chat_format, jaccard_join, quality_rules, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(spark, _table(spark, sf_dir, "documents"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(spark, _table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
@@ -53,5 +61,5 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from e group by conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op8_jaccard_join, op9_suffix_dedup, op10_chat_format)}
 ORACLE_SQL = {"op10_chat_format": OP10_SQL}
