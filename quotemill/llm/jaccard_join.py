@@ -12,6 +12,10 @@ Costs decide what is indexed (allocation 0, 1 or 2 for a segment):
  * a set with s <= H also indexes the subsets with one member left out (2): partners then differ by at most one
    member in some segment. Where even that falls short (very small sets), it indexes each member too.
 Any sample gives the same links; it only changes how many candidates are compared.
+
+Candidates pass a bitmap first: each set keeps the parities of its members' hash slots, two to four bits for each
+member. Members that differ flip a bit each at most, so more unequal bits than H rule a pair out. What is left is
+compared exactly, on the texts.
 """
 
 from __future__ import annotations
@@ -142,11 +146,31 @@ def subset_costs(docs: DataFrame, j: Join) -> tuple[np.ndarray, np.ndarray]:
     return name[order], n[order]
 
 
+def parity_bits(h: np.ndarray) -> bytes:
+    """Bit i: whether an odd number of members have the slot i."""
+    bits = 64
+    while bits < 2 * len(h):
+        bits *= 2
+    flips = np.bincount((mix64(h ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((flips & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def unequal_bits(a: bytes, b: bytes) -> int:
+    """Of two bitmaps; the longer is folded, which keeps parities."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 INDEX = "p int, kind int, blob binary"
 
 
 def _index(j: Join, parts: int, costs):
-    """Emits for each part p the entries that fall to it (kind 1: hash, set) and the documents (kind 0: id, size, set)."""
+    """Emits for each part p the entries that fall to it (kind 1: hash, set) and the documents (kind 0: id, size, set,
+    and where their bitmap begins and ends in the bytes that follow)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, docs, size, sets = WordHashes(), [], [], 0, set()
@@ -158,8 +182,13 @@ def _index(j: Join, parts: int, costs):
                 owners = np.repeat(np.array([s for _, s in held], np.int64), [len(x) for x, _ in held])
                 yield from parted(((names >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32), 1, [(names & np.uint64(0xFFFFFFFF)).astype(np.uint32), owners])
             if docs:
-                a = np.array(docs, np.int64)
-                yield from parted((mix64(a[:, 2].view(np.uint64)) % np.uint64(parts)).astype(np.int32), 0, [a[:, 0], a[:, 1], a[:, 2]])
+                a = np.array([x[:3] for x in docs], np.int64)
+                p = (mix64(a[:, 2].copy().view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(p, kind="stable")
+                for at in np.split(order, np.flatnonzero(np.diff(p[order])) + 1):
+                    bits = [docs[i][3] for i in at]
+                    columns = np.concatenate([[len(at)], *a[at].T, np.cumsum([len(b) for b in bits])]).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(p[at[:1]]), pa.array([0], pa.int32()), pa.array([columns.tobytes() + b"".join(bits)], pa.binary())], ["p", "kind", "blob"])
             held.clear()
             docs.clear()
 
@@ -167,7 +196,7 @@ def _index(j: Join, parts: int, costs):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 h = shingles(words.of((text or b"").lower().split()), j.size)
                 s = set_id(h)
-                docs.append((doc_id, len(h), s))
+                docs.append((doc_id, len(h), s, parity_bits(h) if len(h) and s not in sets else b""))
                 if len(h) and s not in sets:
                     sets.add(s)
                     for names in index_entries(h, j.percent, table):
@@ -182,21 +211,25 @@ def _index(j: Join, parts: int, costs):
     return run
 
 
-FOUND = "kind int, a bigint, b bigint, c bigint"
+FOUND = "kind int, a bigint, b bigint, c bigint, bits binary"
 
 
 def _meet(j: Join):
     """In one part: documents pass (kind 0: id, size, set), index groups give candidate pairs (1) and, if large, their members (2)."""
 
     def run(key, table):
-        names, owners, docs = [], [], [np.zeros((3, 0), np.int64)]
+        names, owners, docs, bits = [], [], [np.zeros((3, 0), np.int64)], []
         for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist(), strict=True):
             if kind:
                 n = len(blob) // 12
                 names.append(np.frombuffer(blob, np.uint32, n))
                 owners.append(np.frombuffer(blob, np.int64, n, 4 * n))
             else:
-                docs.append(np.frombuffer(blob, np.int64).reshape(3, -1))
+                n = int.from_bytes(blob[:8], "little")
+                *columns, ends = np.frombuffer(blob, np.int64, 4 * n, 8).reshape(4, n)
+                docs.append(np.stack(columns))
+                at = 8 + 32 * n
+                bits += [blob[at + a : at + b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
         out = [np.stack([np.zeros(docs.shape[1], np.int64), *docs]) for docs in [np.concatenate(docs, 1)]]
         if names:
             name, owner = np.concatenate(names), np.concatenate(owners)
@@ -228,7 +261,19 @@ def _meet(j: Join):
             many = np.repeat(size, size) > j.small_group
             out.append(np.stack([np.full(many.sum(), 2, np.int64), (np.int64(key[0].as_py()) << np.int64(32)) | name[many].astype(np.int64), owner[many], np.zeros(many.sum(), np.int64)]))
         x = np.concatenate(out, 1)
-        return pa.table([pa.array(x[0].astype(np.int32)), *map(pa.array, x[1:])], ["kind", "a", "b", "c"])
+        return pa.table([pa.array(x[0].astype(np.int32)), *map(pa.array, x[1:]), pa.array(bits + [None] * (x.shape[1] - len(bits)), pa.binary())], ["kind", "a", "b", "c", "bits"])
+
+    return run
+
+
+def _near(j: Join):
+    """Rows (a, b, na, nb, bits_a, bits_b) -> the pairs (a, b) that the bitmaps don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows(batches):
+            columns = (batch.column(c).to_pylist() for c in ("na", "nb", "bits_a", "bits_b"))
+            ok = pa.array([unequal_bits(x, y) <= most_apart(n, m, j.percent) for n, m, x, y in zip(*columns, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
 
     return run
 
@@ -272,23 +317,22 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, join: Join = Join()
     costs = spark.sparkContext.broadcast(subset_costs(docs, j))
     found = docs.mapInArrow(_index(j, parts, costs), INDEX).groupBy("p").applyInArrow(_meet(j), FOUND)
     found = keep(spark, found, "found")
-    sets = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("set_id"))
-    nodes = keep(spark, sets.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "nodes")
-    sized = nodes.select("set_id", "n")
-    pairs = found.where("kind = 1").select("a", "b").distinct()
-    pairs = pairs.join(sized.toDF("a", "na"), "a").join(sized.toDF("b", "nb"), "b").where(_sizes_fit(j)).select("a", "b")
-    pairs = keep(spark, pairs, "pairs")
-    texts = _texts(spark, j, docs, nodes, pairs, found)
+    sets = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("set_id"), "bits")
+    nodes = keep(spark, sets.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.max("bits").alias("bits")), "nodes")
+    sized = nodes.select("set_id", "n", "bits")
+    pairs = keep(spark, _likely(j, found.where("kind = 1").select("a", "b").distinct(), sized), "pairs")
 
+    texts = _texts(spark, j, docs, nodes, pairs)
     first = keep(spark, pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
     links = keep(spark, _linked(j, first, texts), "links")
     labels = connected_components(spark, links)
     # one pair for each set and component that it may join, then all that is left
     large = keep(spark, found.where("kind = 2").select(F.col("a").alias("name"), F.col("b").alias("set_id")), "large")
-    crossing = _large_pairs(spark, j, large, labels, sized)
+    crossing = keep(spark, _likely(j, _large_pairs(spark, j, large, labels, sized.drop("bits")), sized), "crossing")
     left = _apart(pairs.join(first, ["a", "b"], "left_anti").union(crossing).distinct(), labels)
     left = keep(spark, left, "left")
     if not left.isEmpty():
+        texts = texts if crossing.isEmpty() else _texts(spark, j, docs, nodes, pairs.union(crossing))
         second = keep(spark, left.groupBy("b", "ca").agg(F.min("a").alias("a")).select("a", "b"), "second")
         links = keep(spark, links.union(_linked(j, second, texts)), "links")
         labels = connected_components(spark, links)
@@ -301,20 +345,26 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, join: Join = Join()
     named = keep(spark, named, "named")
     least = keep(spark, named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     classes = keep(spark, named.join(least, "component").select("set_id", "component_id"), "classes")
-    out = sets.where("n > 0").join(classes, "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    out = sets.where("n > 0").select("doc_id", "n", "set_id").join(classes, "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.union(sets.where("n = 0").select("doc_id", F.lit(0).cast("long"), "doc_id"))
 
 
+def _likely(j: Join, pairs: DataFrame, sized: DataFrame) -> DataFrame:
+    """The pairs that their sizes and bitmaps allow."""
+    both = pairs.join(sized.toDF("a", "na", "bits_a"), "a").join(sized.toDF("b", "nb", "bits_b"), "b").where(_sizes_fit(j))
+    return both.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_near(j), "a bigint, b bigint")
+
+
 def _sizes_fit(j: Join) -> F.Column:
     return (100 * F.least("na", "nb")) >= (j.percent * F.greatest("na", "nb"))
 
 
-def _texts(spark: SparkSession, j: Join, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, found: DataFrame) -> DataFrame:
+def _texts(spark: SparkSession, j: Join, docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(set_id, text) of the sets that are in a pair: one document stands for each set.
 
     A bitmap keeps most other documents out of the shuffle; the join after it is exact.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).union(found.where("kind = 2").select("b")).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     wanted = keep(spark, nodes.join(wanted, "set_id").select("set_id", "doc_id"), "wanted")
     known = maybe_in(docs, wanted, "doc_id").where("likely")
     stands = known.select("doc_id", "text").join(wanted, "doc_id").select("set_id", "text").mapInArrow(_own(j), "set_id bigint, text binary")
