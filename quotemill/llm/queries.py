@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import chat_format, huffman_tokens, jaccard_join, packing, quality_rules, suffix_dedup
+from quotemill.llm import chat_format, huffman_tokens, jaccard_join, lm_scoring, packing, quality_rules, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, _table(spark, sf_dir, "documents"))[0]
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(spark, _table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(spark, _table(spark, sf_dir, "documents"))
 
@@ -69,5 +73,5 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from e group by conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_huffman_tokens, op6_packing, op8_jaccard_join, op9_suffix_dedup, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_huffman_tokens, op6_packing, op7_lm_scoring, op8_jaccard_join, op9_suffix_dedup, op10_chat_format)}
 ORACLE_SQL = {"op10_chat_format": OP10_SQL}

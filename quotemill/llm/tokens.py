@@ -44,16 +44,13 @@ class Encoder:
         self.encoded = 0
         self.used = 0
 
-    def _encode_new(self) -> None:
-        """Encodes the pieces that have a number but no ids yet.
+    def encode_pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pieces, behind each other, and the number of each.
 
         Pieces of white space and a word are joined into long strings, which encode faster; the number of bytes
         that each id stands for tells where a piece ends.
         """
-        new = list(islice(self.numbers, self.encoded, None))
-        if not new:
-            return
-        plain = [i for i, p in enumerate(new) if p[0] in SPACES and p[-1] not in SPACES]
+        plain = [i for i, p in enumerate(new) if p[0] in SPACES and p[-1] not in SPACES and not OTHER_SPACE.search(p)]
         sizes = np.zeros(len(new), np.int64)
         found: list[np.ndarray] = []
         for at in range(0, len(plain), 4000):
@@ -67,17 +64,29 @@ class Encoder:
         for i, x in zip(rest, self.tokenizer.encode_batch_fast([new[i] for i in rest], add_special_tokens=False) if rest else [], strict=True):
             sizes[i] = len(x.ids)
             found.append(np.array(x.ids, np.int32))
-        order = np.array(plain + rest)
+        order = np.array(plain + rest, np.int64)
         stops = np.cumsum(sizes)
         flat, source = np.zeros(int(stops[-1]), np.int32), np.concatenate(found)
         width = sizes[order]
         flat[np.arange(len(source)) + np.repeat((stops - sizes)[order] - (np.cumsum(width) - width), width)] = source
+        return flat, sizes
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of words that each have a space before them."""
+        return self.encode_pieces([" " + w for w in words])
+
+    def _encode_new(self) -> None:
+        """Encodes the pieces that have a number but no ids yet."""
+        new = list(islice(self.numbers, self.encoded, None))
+        if not new:
+            return
+        flat, sizes = self.encode_pieces(new)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.encoded + len(new) > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         self.ids[self.used : self.used + len(flat)] = flat
-        self.ends[self.encoded : self.encoded + len(new)] = self.used + stops
+        self.ends[self.encoded : self.encoded + len(new)] = self.used + np.cumsum(sizes)
         self.used += len(flat)
         self.encoded += len(new)
 
