@@ -34,61 +34,74 @@ class Encoder:
         self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # in a byte-level vocabulary each character stands for a byte
             self.widths[i] = len(token)
+        self.stops = {c: vocabulary[c] for c in ".,"}
         self.limit = limit
         self.clear()
 
     def clear(self) -> None:
         self.numbers = defaultdict(count().__next__)
         self.ids = np.zeros(1 << 16, np.int32)
-        self.ends = np.zeros(1 << 16, np.int64)
+        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.encoded = 0
         self.used = 0
 
-    def encode_pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of distinct pieces, behind each other, and the number of each.
-
-        Pieces of white space and a word are joined into long strings, which encode faster; the number of bytes
-        that each id stands for tells where a piece ends.
-        """
-        plain = [i for i, p in enumerate(new) if p[0] in SPACES and p[-1] not in SPACES and not OTHER_SPACE.search(p)]
-        sizes = np.zeros(len(new), np.int64)
-        found: list[np.ndarray] = []
-        for at in range(0, len(plain), 4000):
-            part = plain[at : at + 4000]
-            ids = np.array(self.tokenizer.encode("".join([new[i] for i in part]), add_special_tokens=False).ids, np.int32)
-            ends = np.cumsum([len(new[i].encode()) for i in part])
-            last = np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1
-            sizes[part] = np.diff(last, prepend=0)
-            found.append(ids)
-        rest = sorted(set(range(len(new))).difference(plain))
-        for i, x in zip(rest, self.tokenizer.encode_batch_fast([new[i] for i in rest], add_special_tokens=False) if rest else [], strict=True):
-            sizes[i] = len(x.ids)
-            found.append(np.array(x.ids, np.int32))
-        order = np.array(plain + rest, np.int64)
-        stops = np.cumsum(sizes)
-        flat, source = np.zeros(int(stops[-1]), np.int32), np.concatenate(found)
-        width = sizes[order]
-        flat[np.arange(len(source)) + np.repeat((stops - sizes)[order] - (np.cumsum(width) - width), width)] = source
-        return flat, sizes
-
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Of words that each have a space before them."""
-        return self.encode_pieces([" " + w for w in words])
+    def _store(self, numbers: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.starts[numbers] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[numbers] = sizes
+        self.used += len(flat)
 
     def _encode_new(self) -> None:
-        """Encodes the pieces that have a number but no ids yet."""
+        """Encodes the pieces that have a number but no ids yet.
+
+        A full stop or comma after a letter is a token of its own, so such a piece is its word's ids and one more. Other
+        pieces of white space and a word are joined into strings of many, which encode faster; the number of bytes that
+        each id stands for tells where a piece ends.
+        """
         new = list(islice(self.numbers, self.encoded, None))
         if not new:
             return
-        flat, sizes = self.encode_pieces(new)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.encoded + len(new) > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.ends[self.encoded : self.encoded + len(new)] = self.used + np.cumsum(sizes)
-        self.used += len(flat)
-        self.encoded += len(new)
+        ended = [i for i, p in enumerate(new) if p[-1] in self.stops and len(p) > 2 and p[-2].isalpha()]
+        words = np.fromiter((self.numbers[new[i][:-1]] for i in ended), np.int64, len(ended))
+        new += islice(self.numbers, self.encoded + len(new), None)
+        while len(self.numbers) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        skip = set(ended)
+        plain, rest = [], []
+        for i, p in enumerate(new):
+            if i not in skip:
+                (plain if p[0] in SPACES and p[-1] not in SPACES and not OTHER_SPACE.search(p) else rest).append(i)
+        joined = [plain[at : at + 100] for at in range(0, len(plain), 100)]
+        found = self.tokenizer.encode_batch_fast(["".join([new[i] for i in part]) for part in joined] + [new[i] for i in rest], add_special_tokens=False)
+        ids = [np.array(x.ids, np.int32) for x in found]
+        if ids:
+            flat = np.concatenate(ids)
+            ends = np.cumsum(np.fromiter((len(new[i].encode()) for i in plain), np.int64, len(plain)))
+            n_joined = sum(map(len, ids[: len(joined)]))
+            last = np.searchsorted(np.cumsum(self.widths[flat[:n_joined]]), ends) + 1
+            sizes = np.concatenate([np.diff(last, prepend=0), np.array([len(x) for x in ids[len(joined) :]], np.int64)])
+            self._store(self.encoded + np.array(plain + rest, np.int64), flat, sizes)
+        if ended:
+            flat, sizes = self._gather(words)
+            stop = np.fromiter((self.stops[new[i][-1]] for i in ended), np.int32, len(ended))
+            self._store(self.encoded + np.array(ended, np.int64), np.insert(flat, np.cumsum(sizes), stop), sizes + 1)
+        self.encoded = len(self.numbers)
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbered pieces, behind each other, and the number of each."""
+        size = self.sizes[numbers].astype(np.int64)
+        stop = np.cumsum(size)
+        return self.ids[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(self.starts[numbers] - (stop - size), size)], size
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words that each have a space before them, behind each other, and the number of each."""
+        if len(self.numbers) > self.limit:
+            self.clear()
+        numbers = np.fromiter((self.numbers[" " + w] for w in words), np.int64, len(words))
+        self._encode_new()
+        return self._gather(numbers)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """An array of int32 ids for each text."""
@@ -97,16 +110,9 @@ class Encoder:
         whole = {i for i, t in enumerate(texts) if OTHER_SPACE.search(t)}
         pieces = [np.fromiter(map(self.numbers.__getitem__, p), np.int64, len(p)) for p in (PIECE.findall(t) if i not in whole else [] for i, t in enumerate(texts))]
         self._encode_new()
-        ends = self.ends
         flat = np.concatenate(pieces) if pieces else np.zeros(0, np.int64)
-        start = np.where(flat > 0, ends[np.maximum(flat - 1, 0)], 0)
-        size = ends[flat] - start
-        stop = np.cumsum(size)
-        total = int(stop[-1]) if len(stop) else 0
-        at = np.arange(total) + np.repeat(start - (stop - size), size)
-        ids = self.ids[at]
-        cuts = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
-        bounds = np.concatenate([[0], stop])[cuts]
+        ids, size = self._gather(flat)
+        bounds = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)]
         out = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         for i in whole:
             out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.int32)
