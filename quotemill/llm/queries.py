@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import chat_format, huffman_tokens, jaccard_join, language_id, lm_scoring, packing, quality_classifier, quality_rules, suffix_dedup
+from quotemill.llm import chat_format, decontaminate, huffman_tokens, jaccard_join, language_id, lm_scoring, packing, quality_classifier, quality_rules, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_rules(spark, _table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl")
@@ -81,5 +85,5 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from e group by conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_quality_classifier, op4_huffman_tokens, op5_language_id, op6_packing, op7_lm_scoring, op8_jaccard_join, op9_suffix_dedup, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op3_quality_classifier, op4_huffman_tokens, op5_language_id, op6_packing, op7_lm_scoring, op8_jaccard_join, op9_suffix_dedup, op10_chat_format)}
 ORACLE_SQL = {"op10_chat_format": OP10_SQL}

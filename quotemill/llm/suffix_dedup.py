@@ -394,12 +394,38 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, dedup: Dedup = Dedup()) -
     loses all of its windows in both. An empty table gives an empty result; more columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    return _with_spans(spark, docs, dedup).select("doc_id", "text", "firsts", "lasts").mapInArrow(_cut, CUT)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, dedup: Dedup = Dedup()) -> DataFrame:
+    """The rows of docs with all their columns; text without the repeated bytes, and without pieces of characters
+    that a cut left. Null text becomes empty."""
+    marked = _with_spans(spark, docs.withColumn("text", F.coalesce(F.col("text").cast("binary"), F.lit(b""))), dedup)
+    out = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    return marked.select(*docs.columns, "firsts", "lasts").mapInArrow(_cut_text, out.schema).select(*docs.columns)
+
+
+def _with_spans(spark: SparkSession, docs: DataFrame, dedup: Dedup) -> DataFrame:
+    """docs with arrays of the first and last bytes (exclusive) of what is repeated."""
+    own = docs.columns
     docs = docs.withColumn("rid", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text"))
-    long_docs = docs.where(F.octet_length("text") >= dedup.length).select("rid", "text")
-    spans = repeated_spans(spark, long_docs, dedup)
+    spans = repeated_spans(spark, docs.where(F.octet_length("text") >= dedup.length).select("rid", "text"), dedup)
     spans = keep(spark, spans.groupBy("rid").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts")), "spans")
     marked = maybe_in(docs, spans, "rid")
     none = F.array().cast("array<bigint>")
-    alone = marked.where(~F.col("likely")).select("doc_id", "text", none.alias("firsts"), none.alias("lasts"))
-    hit = marked.where("likely").select("rid", "doc_id", "text").join(spans, "rid", "left").select("doc_id", "text", "firsts", "lasts")
-    return alone.union(hit).mapInArrow(_cut, CUT)
+    alone = marked.where(~F.col("likely")).select(*own, none.alias("firsts"), none.alias("lasts"))
+    hit = marked.where("likely").select("rid", *own).join(spans, "rid", "left").select(*own, "firsts", "lasts")
+    return alone.union(hit)
+
+
+def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in rows(batches):
+        texts = []
+        for text, first, last in zip(*(batch.column(c).to_pylist() for c in ("text", "firsts", "lasts")), strict=True):
+            left, at = [], 0
+            for a, b in joined_spans(first or [], last or []):
+                left.append(text[at:a])
+                at = b
+            texts.append(b"".join([*left, text[at:]]).decode("utf-8", "ignore"))
+        names = [n for n in batch.schema.names if n not in ("firsts", "lasts")]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names)
