@@ -1,2 +1,258 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Queries over products: attribute consensus, analogue matching, tax-aware price comparison, analytics."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quotemill.functions import prices
+from quotemill.operators import checks, history, matching
+from quotemill.plans.history import QUOTE_ORDER
+from quotemill.session import table
+from quotemill.sources.views import attr, quote, rule
+
+
+def sensors(spark: SparkSession, d: str) -> DataFrame:
+    """Products with typed characteristics; some are unknown on purpose."""
+    p = table(spark, d, "part")
+    return p.select(
+        F.col("p_partkey").alias("id"),
+        F.col("p_brand").alias("brand"),
+        F.lit("inductive").alias("family"),
+        F.when(F.col("p_partkey") % 7 != 0, F.col("p_type")).alias("body_type"),
+        F.when(F.col("p_partkey") % 5 != 0, F.col("p_size")).alias("diameter"),
+        F.split("p_name", " ")[1].alias("output"),
+        (F.col("p_partkey") % 4).alias("sn"),
+        (-25 - F.col("p_partkey") % 3 * 10).alias("tmin"),
+        (60 + F.col("p_partkey") % 2 * 10).alias("tmax"),
+        F.split("p_name", " ")[0].alias("material"),
+        (100 + F.col("p_partkey") % 3 * 100).alias("load"),
+    )
+
+
+SENSORS_SQL = """s as (select p_partkey id, p_brand brand, case when p_partkey % 7 <> 0 then p_type end body_type, case when p_partkey % 5 <> 0 then p_size end diameter,
+  split_part(p_name, ' ', 2) as output, p_partkey % 4 sn, -25 - p_partkey % 3 * 10 tmin, 60 + p_partkey % 2 * 10 tmax, split_part(p_name, ' ', 1) material, 100 + p_partkey % 3 * 100 as load from part)"""
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    s = sensors(spark, d)
+    anchors = s.where("id % 100 = 1")
+    return matching.wildcard_blocks(anchors, s, ["body_type", "diameter"]).where("l.brand <> r.brand")
+
+
+def jo11_wildcard_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of every hundredth product: equal body and diameter, unknown matching everything; by anchor."""
+    return _pairs(spark, d).groupBy(F.col("l.id").alias("anchor")).agg(F.count("*").alias("candidates"), F.sum("r.id").alias("id_sum"))
+
+
+def co1_analogues(spark: SparkSession, d: str) -> DataFrame:
+    """Status of every candidate of the anchors and its number of differences."""
+    e = matching.evaluate(_pairs(spark, d))
+    return e.select(F.col("l.id").alias("anchor"), F.col("r.id").alias("candidate"), "status", F.size(F.filter("fields", lambda f: f["outcome"] == "difference")).cast("long").alias("differences"))
+
+
+def co18_match_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each field of the direct and close matches, by outcome."""
+    e = matching.evaluate(_pairs(spark, d)).where(F.col("status").isin("direct", "close")).select(F.explode("fields").alias("f"))
+    return e.groupBy(F.col("f.field").alias("field"), F.col("f.group").alias("kind"), F.col("f.outcome").alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    e = matching.evaluate(_pairs(spark, d)).where(F.col("status").isin("direct", "close", "review"))
+    risk = F.col("risk")
+    return e.select(F.col("l.id").alias("anchor"), F.col("r.id").alias("candidate"), F.col("r.brand").alias("brand"), "status", risk[0].alias("r0"), risk[1].alias("r1"), risk[2].alias("r2"), risk[3].alias("r3"), risk[4].alias("r4"))
+
+
+def wi7_first_layer(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates that no other of their anchor, brand and status beats in every measure."""
+    return matching.first_layer(_scored(spark, d), ["anchor", "brand", "status"], ["r0", "r1", "r2", "r3", "r4"]).select("anchor", "candidate", "status")
+
+
+def co2_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates by brand: status, Pareto layer, then measures; the best of each brand."""
+    ranked = matching.layers(_scored(spark, d), ["anchor", "brand", "status"], ["r0", "r1", "r2", "r3", "r4"])
+    order = F.when(F.col("status") == "direct", 0).when(F.col("status") == "close", 1).otherwise(2)
+    w = Window.partitionBy("anchor", "brand").orderBy(order, "layer", "r0", "r1", "r2", "r3", "r4", "candidate")
+    return ranked.withColumn("place", F.row_number().over(w)).where("place = 1").select("anchor", "brand", "candidate", "status", F.col("layer").cast("long").alias("layer"))
+
+
+def ag6_consensus(spark: SparkSession, d: str) -> DataFrame:
+    """Attribute values that all sources agree on, and conflicts."""
+    return checks.consensus(attr(spark, d), ["rule_id", "name"], "value")
+
+
+def ag8_completeness(spark: SparkSession, d: str) -> DataFrame:
+    """By brand: products, agreed values, conflicts and the share agreed."""
+    c = checks.consensus(attr(spark, d), ["rule_id", "name"], "value")
+    out = rule(spark, d).select("rule_id", "manufacturer").join(c, "rule_id").groupBy("manufacturer").agg(F.count_distinct("rule_id").alias("products"), F.count("value").alias("agreed"), F.count_if("conflict").alias("conflicts"), F.count("*").alias("fields"))
+    return out.withColumn("share", F.round(F.try_divide("agreed", "fields") * 100, 4))
+
+
+def ag9_coverage_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Brand by field: products and those with a known, agreed value."""
+    c = checks.consensus(attr(spark, d), ["rule_id", "name"], "value")
+    grid = rule(spark, d).select("rule_id", "manufacturer", F.explode(F.array(*[F.lit(x) for x in ("Size, mm", "Type", "Color", "VAT")])).alias("name"))
+    out = grid.join(c, ["rule_id", "name"], "left").groupBy("manufacturer", "name")
+    return out.agg(F.count("*").alias("total"), F.count("sightings").alias("raw"), F.count("value").alias("known"), F.count_if(F.coalesce("conflict", F.lit(False))).alias("conflicts"))
+
+
+def ag10_attribute_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return attr(spark, d).join(rule(spark, d).select("rule_id", "manufacturer"), "rule_id").groupBy("manufacturer", "name").agg(F.count("*").alias("n"))
+
+
+def li6_samples(spark: SparkSession, d: str) -> DataFrame:
+    """At most three example values of each attribute name, the least first."""
+    v = attr(spark, d).select("name", "value").distinct()
+    return v.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("value")).cast("long")).where("k <= 3")
+
+
+def sk2_wide_export(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each product, a column for each attribute, distinct values joined."""
+    a = attr(spark, d).distinct().groupBy("rule_id").pivot("name", ["Size, mm", "Type", "Color", "VAT"]).agg(F.array_join(F.array_sort(F.collect_list("value")), "; "))
+    return a.select("rule_id", F.col("`Size, mm`").alias("size"), F.col("Type").alias("type"), F.col("Color").alias("color"), F.col("VAT").alias("vat"))
+
+
+def fn25_price_views(spark: SparkSession, d: str) -> DataFrame:
+    q = quote(spark, d).where("status = 'priced'")
+    p, b, r = F.col("price"), F.col("basis"), F.col("rate")
+    return q.select("rule_id", "run_id", "line_no", p.cast("double").alias("internet"), prices.gross_price(p, b, r).alias("gross"), prices.net_price(p, b, r).alias("net"))
+
+
+def _quotes(spark: SparkSession, d: str, basis: str) -> DataFrame:
+    q = history.latest(quote(spark, d).where((F.col("status") == "priced") & (F.col("basis") == basis)), ["rule_id"], QUOTE_ORDER, ["price", "rate"])
+    return q.select("rule_id", F.struct("price", F.when(F.col("rule_id") % 9 == 0, "USD").otherwise("RUB").alias("currency"), F.when(F.col("rule_id") % 4 != 0, "piece").alias("unit"), F.lit(basis).alias("basis"), "rate").alias(basis))
+
+
+def fn27_delta(spark: SparkSession, d: str) -> DataFrame:
+    """The last net quote of a product as the own price against its last gross one."""
+    both = _quotes(spark, d, "net").join(_quotes(spark, d, "gross"), "rule_id", "full")
+    return both.select("rule_id", prices.delta("net", "gross").alias("x")).select("rule_id", "x.delta", "x.gap", "x.note")
+
+
+def _statistics(spark: SparkSession, d: str) -> DataFrame:
+    q = quote(spark, d).where("status = 'priced'")
+    stats = history.first_last(q, ["rule_id", "basis"], QUOTE_ORDER, "price", F.lit(True))
+    return stats.join(rule(spark, d).select("rule_id", "manufacturer", "category"), "rule_id")
+
+
+def co4_model_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return _statistics(spark, d).select("rule_id", "basis", "points", F.col("first_value").cast("double").alias("first_value"), F.col("last_value").cast("double").alias("last_value"), F.round("change", 4).alias("change"))
+
+
+def ag5_price_analytics(spark: SparkSession, d: str) -> DataFrame:
+    """Brand and basis, and below that category: models, models with a change, mean, least and greatest change."""
+    s = _statistics(spark, d)
+    out = s.groupingSets([["manufacturer", "basis"], ["manufacturer", "basis", "category"]], "manufacturer", "basis", "category").agg(F.count("*").alias("models"), F.count("change").alias("with_dynamics"), F.round(F.avg(F.col("last_value").cast("double")), 4).alias("mean_price"), F.round(F.avg("change"), 4).alias("mean_change"), F.round(F.min("change"), 4).alias("least_change"), F.round(F.max("change"), 4).alias("most_change"))
+    return out
+
+
+def fi3_search(spark: SparkSession, d: str) -> DataFrame:
+    """Products that hold all words of a query, in any case."""
+    text = F.lower(F.concat_ws(" ", "manufacturer", "title", "category"))
+    return rule(spark, d).where(text.contains("brand#1") & text.contains("ring")).select("rule_id", "title")
+
+
+def li3_search_order(spark: SparkSession, d: str) -> DataFrame:
+    """A search page: exact brand first, then titles that begin with the word, then by title and id; ten rows."""
+    r = rule(spark, d).where(F.lower(F.concat_ws(" ", "manufacturer", "title")).contains("a"))
+    order = [F.when(F.col("manufacturer") == "Brand#11", 0).otherwise(1), F.when(F.col("title").startswith("a"), 0).otherwise(1), F.col("title"), F.col("rule_id")]
+    return r.orderBy(*order).limit(10).select("rule_id", "title")
+
+
+def li1_page_with_total(spark: SparkSession, d: str) -> DataFrame:
+    """The third page of ten products by price, with the number of all."""
+    r = rule(spark, d).where("size between 10 and 20")
+    total = r.agg(F.count("*").alias("total")).withColumn("k", F.lit(1))
+    return r.orderBy(F.desc("list_price"), "rule_id").offset(20).limit(10).select("rule_id", F.lit(1).alias("k")).join(total, "k").select("rule_id", "total")
+
+
+def li2_keyset_page(spark: SparkSession, d: str) -> DataFrame:
+    return rule(spark, d).where("rule_id > 50").orderBy("rule_id").limit(25).select("rule_id", "title")
+
+
+def jo12_resolve(spark: SparkSession, d: str) -> DataFrame:
+    """Titles and categories looked up in the catalogue: missing, exact or ambiguous."""
+    r = rule(spark, d)
+    wanted = r.where("rule_id % 10 = 0").select(F.col("title").alias("name")).union(r.where("rule_id % 50 = 1").select("category")).union(r.where("rule_id % 100 = 2").select(F.concat("title", F.lit(" x")))).distinct()
+    names = r.select(F.col("title").alias("name"), "rule_id").union(r.select("category", "rule_id"))
+    return checks.resolve(wanted, names, "name", "rule_id")
+
+
+def co16_facets(spark: SparkSession, d: str) -> DataFrame:
+    """Options of each facet under the criteria of the others."""
+    r = rule(spark, d)
+    brand, size = F.col("manufacturer") == "Brand#11", F.col("size") < 20
+    a = r.where(size).groupBy(F.lit("manufacturer").alias("facet"), F.col("manufacturer").alias("option")).agg(F.count("*").alias("n"))
+    return a.union(r.where(brand).groupBy(F.lit("size"), F.col("size").cast("string")).agg(F.count("*")))
+
+
+def wi6_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Second and later products of a brand, category and size."""
+    w = Window.partitionBy("manufacturer", "category", "size").orderBy("rule_id")
+    return rule(spark, d).withColumn("k", F.row_number().over(w).cast("long")).where("k > 1").select("rule_id", "k")
+
+
+def ag22_brands(spark: SparkSession, d: str) -> DataFrame:
+    return rule(spark, d).groupBy("manufacturer").agg(F.count("*").alias("n"))
+
+
+def fn24_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Tax terms read back from text."""
+    q = quote(spark, d).select(F.concat(F.col("price").cast("string"), F.when(F.col("basis") == "net", " excl. VAT ").otherwise(" incl. VAT "), F.col("rate").cast("string"), F.when(F.col("line_no") % 2 == 0, " % per pack").otherwise(" % per piece")).alias("text"))
+    return q.select(prices.parse_terms(F.col("text")).alias("t")).groupBy(F.col("t.basis").alias("basis"), F.col("t.rate").alias("rate"), F.col("t.unit").alias("unit")).agg(F.count("*").alias("n"))
+
+
+def fn15_money(spark: SparkSession, d: str) -> DataFrame:
+    """Amounts written with thousands spaces and a currency, read back; pairs of numbers are refused."""
+    r = rule(spark, d)
+    text = F.when(F.col("rule_id") % 3 == 0, F.concat(F.col("list_price").cast("string"), F.lit(" RUB"))).when(F.col("rule_id") % 3 == 1, F.regexp_replace(F.format_number(F.col("list_price"), 2), ",", " ")).otherwise(F.concat(F.col("list_price").cast("string"), F.lit(" / 20 %")))
+    return r.select("rule_id", prices.parse_money(text).cast("double").alias("amount"))
+
+
+def fn19_with_tax(spark: SparkSession, d: str) -> DataFrame:
+    q = quote(spark, d).where("basis = 'net'")
+    return q.groupBy("rate").agg(F.sum(prices.with_tax(F.col("price"), F.col("rate"))).cast("double").alias("gross"))
+
+
+def _sql_status() -> str:
+    return f"""with {SENSORS_SQL}, p as (select l.id a, r.id c, r.brand brand,
+  (l.body_type is null or r.body_type is null or l.diameter is null or r.diameter is null) mandatory_missing, l.output <> r.output incompatible,
+  (l.sn <> r.sn)::int + (l.tmin < r.tmin)::int + (l.tmax > r.tmax)::int + (l.material <> r.material)::int + (l.load > r.load)::int differences,
+  greatest(0, r.tmin - l.tmin)::double r0, greatest(0, l.tmax - r.tmax)::double r1, abs(l.sn - r.sn)::double r2, (l.material <> r.material)::int::double r3, greatest(0, l.load - r.load)::double r4
+  from s l join s r on l.id % 100 = 1 and l.brand <> r.brand and (l.body_type = r.body_type or l.body_type is null or r.body_type is null) and (l.diameter = r.diameter or l.diameter is null or r.diameter is null)),
+ e as (select *, case when incompatible then 'incompatible' when mandatory_missing then 'review' when differences > 0 then 'close' else 'direct' end status from p)"""
+
+
+def _last(basis: str) -> str:
+    return f"(select rule_id, max((checked_at, run_id, line_no, source_id, price, basis, rate)) m from quote where status = 'priced' and basis = '{basis}' group by 1)"
+
+
+QUERIES = {f.__name__: f for f in (jo11_wildcard_blocks, co1_analogues, co18_match_evidence, wi7_first_layer, co2_ranking, ag6_consensus, ag8_completeness, ag9_coverage_matrix, ag10_attribute_frequency, li6_samples, sk2_wide_export, fn25_price_views, fn27_delta, co4_model_statistics, ag5_price_analytics, fi3_search, li3_search_order, li1_page_with_total, li2_keyset_page, jo12_resolve, co16_facets, wi6_duplicates, ag22_brands, fn24_terms, fn15_money, fn19_with_tax)}
+STATS = "select rule_id, basis, count(*) points, arg_min(price, (checked_at, run_id, line_no, source_id, price, rate))::double a, arg_max(price, (checked_at, run_id, line_no, source_id, price, rate))::double b from quote where status = 'priced' group by 1, 2"
+SQL = {
+    "jo11_wildcard_blocks": f"with {SENSORS_SQL} select l.id anchor, count(*) candidates, sum(r.id)::bigint id_sum from s l join s r on l.id % 100 = 1 and l.brand <> r.brand and (l.body_type = r.body_type or l.body_type is null or r.body_type is null) and (l.diameter = r.diameter or l.diameter is null or r.diameter is null) group by 1",
+    "co1_analogues": _sql_status() + " select a anchor, c candidate, status, differences::bigint differences from e",
+    "wi7_first_layer": _sql_status() + ", k as (select * from e where status in ('direct', 'close', 'review')) select a anchor, c candidate, status from k x where not exists (select 1 from k y where y.a = x.a and y.brand = x.brand and y.status = x.status and y.r0 <= x.r0 and y.r1 <= x.r1 and y.r2 <= x.r2 and y.r3 <= x.r3 and y.r4 <= x.r4 and (y.r0 < x.r0 or y.r1 < x.r1 or y.r2 < x.r2 or y.r3 < x.r3 or y.r4 < x.r4))",
+    "ag6_consensus": "select rule_id, name, case when count(distinct value) = 1 then min(value) end as value, count(distinct value) > 1 conflict, count(value) sightings from attr group by 1, 2",
+    "ag8_completeness": "with c as (select rule_id, name, count(distinct value) n from attr group by 1, 2) select manufacturer, count(distinct rule_id) products, count_if(n = 1) agreed, count_if(n > 1) conflicts, count(*) fields, round(count_if(n = 1) / count(*) * 100, 4) as share from rule join c using (rule_id) group by 1",
+    "ag9_coverage_matrix": "with c as (select rule_id, name, count(distinct value) n from attr group by 1, 2), g as (select rule_id, manufacturer, f.name from rule, (values ('Size, mm'), ('Type'), ('Color'), ('VAT')) f(name)) select manufacturer, name, count(*) total, count(n) raw, count_if(coalesce(n, 0) = 1) known, count_if(coalesce(n, 0) > 1) conflicts from g left join c using (rule_id, name) group by 1, 2",
+    "ag10_attribute_frequency": "select manufacturer, name, count(*) n from attr join rule using (rule_id) group by 1, 2",
+    "li6_samples": "select name, value, k from (select name, value, row_number() over (partition by name order by value) k from (select distinct name, value from attr)) where k <= 3",
+    "sk2_wide_export": "with v as (select distinct rule_id, name, value from attr) select rule_id, string_agg(value, '; ' order by value) filter (name = 'Size, mm') size, string_agg(value, '; ' order by value) filter (name = 'Type') as type, string_agg(value, '; ' order by value) filter (name = 'Color') color, string_agg(value, '; ' order by value) filter (name = 'VAT') vat from v group by 1",
+    "fn25_price_views": "select rule_id, run_id, line_no, price::double internet, case when basis = 'gross' then price::double else price::double * (1 + rate / 100.0) end gross, case when basis = 'net' then price::double else price::double / (1 + rate / 100.0) end net from quote where status = 'priced'",
+    "fn27_delta": f"""with n as {_last("net")}, g as {_last("gross")}, j as (select rule_id, n.m[5]::double a, n.m[7] ra, g.m[5]::double b from n full join g using (rule_id)), k as (select rule_id, a * (1 + ra / 100.0) a2, b, a is null or b is null missing from j)
+  select rule_id, case when not missing then round(b - a2, 2) end delta, case when not missing then round((b - a2) / a2 * 100, 4) end gap, case when missing then 'no price' when rule_id % 4 = 0 then 'unit unknown' else '' end note from k""",
+    "co4_model_statistics": f"select rule_id, basis, points, a first_value, b last_value, round(case when points > 1 and a <> 0 then (b - a) / a * 100 end, 4) change from ({STATS})",
+    "ag5_price_analytics": f"with m as (select *, case when points > 1 and a <> 0 then (b - a) / a * 100 end change from ({STATS}) join rule using (rule_id)) select manufacturer, basis, category, count(*) models, count(change) with_dynamics, round(avg(b), 4) mean_price, round(avg(change), 4) mean_change, round(min(change), 4) least_change, round(max(change), 4) most_change from m group by grouping sets ((manufacturer, basis), (manufacturer, basis, category))",
+    "fi3_search": "select rule_id, title from rule where lower(manufacturer || ' ' || title || ' ' || category) like '%brand#1%' and lower(manufacturer || ' ' || title || ' ' || category) like '%ring%'",
+    "li3_search_order": "select rule_id, title from rule where lower(manufacturer || ' ' || title) like '%a%' order by manufacturer <> 'Brand#11', not starts_with(title, 'a'), title, rule_id limit 10",
+    "li1_page_with_total": "select rule_id, (select count(*) from rule where size between 10 and 20) total from rule where size between 10 and 20 order by list_price desc, rule_id limit 10 offset 20",
+    "li2_keyset_page": "select rule_id, title from rule where rule_id > 50 order by rule_id limit 25",
+    "jo12_resolve": "with w as (select title as name from rule where rule_id % 10 = 0 union select category from rule where rule_id % 50 = 1 union select title || ' x' from rule where rule_id % 100 = 2), k as (select name, count(distinct rule_id) n, min(rule_id) t from (select title as name, rule_id from rule union all select category, rule_id from rule) group by 1) select name, case when n is null then 'missing' when n = 1 then 'exact' else 'ambiguous' end state, case when n = 1 then t end rule_id from w left join k using (name)",
+    "co16_facets": "select 'manufacturer' facet, manufacturer as option, count(*) n from rule where size < 20 group by 2 union all select 'size', size::varchar, count(*) from rule where manufacturer = 'Brand#11' group by 2",
+    "wi6_duplicates": "select rule_id, k from (select rule_id, row_number() over (partition by manufacturer, category, size order by rule_id) k from rule) where k > 1",
+    "ag22_brands": "select manufacturer, count(*) n from rule group by 1",
+    "fn24_terms": "select basis, rate, case when line_no % 2 = 0 then 'pack' else 'piece' end unit, count(*) n from quote group by all",
+    "fn15_money": "select rule_id, case when rule_id % 3 <> 2 then list_price::double end amount from rule",
+    "fn19_with_tax": "select rate, sum(round(price * (100 + rate) / 100, 2)::decimal(18,2))::double gross from quote where basis = 'net' group by 1",
+}
