@@ -6,8 +6,9 @@ segment in which two sets differ holds at least one of the H members, so a set w
 each partner in s - H of them. What a segment holds is indexed by the hash of the whole subset.
 
 Costs decide what is indexed (allocation 0, 1 or 2 for a segment):
- * s - H - 1 subsets may be left out (0), the costliest first. Costs are counts in a bounded sample of documents;
-   all sets leave out by the same order, so the cheapest subset that two partners share stays in both.
+ * s - H - 1 subsets may be left out (0), the costliest first. Costs are counts in a share of the documents, then
+   small subsets before large ones; all sets leave out by the same order, so the cheapest subset that two partners
+   share stays in both. The table of counts has a bound, which is what is broadcast.
  * the other subsets are indexed whole (1);
  * a set with s <= H also indexes the subsets with one member left out (2): partners then differ by at most one
    member in some segment. Where even that falls short (very small sets), it indexes each member too.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotemill.llm.common import WordHashes, keep, maybe_in, mix64, parted, rows, shingles, shuffle_partitions, signed
-from quotemill.llm.graph import connected_components
+from quotemill.llm.graph import add_links, connected_components
 
 
 @dataclass(frozen=True)
@@ -37,10 +38,11 @@ class Join:
     size: int = 5
     #: Two documents link when 100 * shared >= percent * union.
     percent: int = 75
-    #: Documents whose subsets are counted for the costs, subsets kept, and the least count that makes one costly.
-    cost_documents: int = 4000
-    cost_entries: int = 200_000
-    cost_least: int = 3
+    #: One document in so many has its subsets counted for the costs; subsets kept at most (the most frequent), and the
+    #: least count that makes one costly.
+    cost_share: int = 12
+    cost_entries: int = 1_000_000
+    cost_least: int = 2
     #: Index entries that a task gathers before it hands them on.
     flush: int = 3_000_000
     #: Index groups of at most this many sets give all their pairs at once.
@@ -94,7 +96,7 @@ def index_entries(h: np.ndarray, percent: int, costs: tuple[np.ndarray, np.ndarr
         if spare > 0:
             at = np.minimum(np.searchsorted(costs[0], names), max(len(costs[0]) - 1, 0))
             cost = np.where(costs[0][at] == names, costs[1][at], 0) if len(costs[0]) else np.zeros(len(names), np.int64)
-            names = names[np.lexsort((names, cost))[: len(names) - spare]]
+            names = names[np.lexsort((names, -size, cost))[: len(names) - spare]]
         elif spare < 0:
             out.append(_without_one(h, size, start, level))
             if int(np.minimum(size, 2).sum()) <= apart:
@@ -129,18 +131,26 @@ def _sample_costs(j: Join):
             for text in batch.column("text").to_pylist():
                 h = shingles(words.of((text or b"").lower().split()), j.size)
                 found += [level_subsets(h, level)[0] for level in ((band(len(h)), band(len(h)) - 1) if len(h) > 2 else ())]
-            name, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            if not found:
+                continue
+            name, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(signed(name)), pa.array(n.astype(np.int64))], ["name", "n"])
 
     return run
 
 
-def subset_costs(docs: DataFrame, j: Join) -> tuple[np.ndarray, np.ndarray]:
-    """Subsets that are frequent in a bounded sample of documents, and their counts."""
-    mod = max(1, docs.count() // j.cost_documents)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(mod)) == 0).select("text")
-    counts = sample.mapInArrow(_sample_costs(j), "name bigint, n bigint").groupBy("name").agg(F.sum("n").alias("n"))
-    got = counts.where(F.col("n") >= j.cost_least).orderBy(F.col("n").desc(), "name").limit(j.cost_entries).toArrow()
+def subset_costs(spark: SparkSession, docs: DataFrame, j: Join) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent subsets of a share of the documents, of a bounded number, and their counts."""
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(j.cost_share)) == 0).select("text")
+    counts = sample.mapInArrow(_sample_costs(j), "name bigint, n bigint").groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= j.cost_least)
+    counts = keep(spark, counts, "costs")
+    kept, least = 0, 1 << 62
+    for row in counts.groupBy("n").agg(F.count("*").alias("names")).orderBy(F.desc("n")).collect():  # a row for each count
+        kept += row["names"]
+        if kept > j.cost_entries:
+            break
+        least = row["n"]
+    got = counts.where(F.col("n") >= least).toArrow()
     name, n = got.column("name").to_numpy().astype(np.int64).view(np.uint64), got.column("n").to_numpy()
     order = np.argsort(name)
     return name[order], n[order]
@@ -314,7 +324,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, join: Join = Join()
     j = join
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     parts = 4 * shuffle_partitions(spark)
-    costs = spark.sparkContext.broadcast(subset_costs(docs, j))
+    costs = spark.sparkContext.broadcast(subset_costs(spark, docs, j))
     found = docs.mapInArrow(_index(j, parts, costs), INDEX).groupBy("p").applyInArrow(_meet(j), FOUND)
     found = keep(spark, found, "found")
     sets = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("set_id"), "bits")
@@ -334,12 +344,10 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, join: Join = Join()
     if not left.isEmpty():
         texts = texts if crossing.isEmpty() else _texts(spark, j, docs, nodes, pairs.union(crossing))
         second = keep(spark, left.groupBy("b", "ca").agg(F.min("a").alias("a")).select("a", "b"), "second")
-        links = keep(spark, links.union(_linked(j, second, texts)), "links")
-        labels = connected_components(spark, links)
+        labels = add_links(spark, labels, keep(spark, _linked(j, second, texts), "links"))
         left = keep(spark, _apart(left.select("a", "b").join(second, ["a", "b"], "left_anti"), labels), "left")
         if not left.isEmpty():
-            links = keep(spark, links.union(_linked(j, left.select("a", "b"), texts)), "links")
-            labels = connected_components(spark, links)
+            labels = add_links(spark, labels, keep(spark, _linked(j, left.select("a", "b"), texts), "links"))
 
     named = nodes.join(labels, nodes.set_id == labels.node, "left").select("set_id", "doc_id", F.coalesce("component", "set_id").alias("component"))
     named = keep(spark, named, "named")
