@@ -1,2 +1,148 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Queries over source checks, runs and jobs: coverage, progress, states, differences between snapshots."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quotemill.operators import checks
+from quotemill.session import table
+from quotemill.sources.views import chk, obs, quote, rule
+from quotemill.streaming import lifecycle
+
+
+def jo16_completeness_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Every nation and kind of source with its last check, or what stands for none."""
+    n = table(spark, d, "nation").select(F.col("n_name").alias("competitor"))
+    config = n.select("competitor", F.explode(F.array(*map(F.lit, ("news", "products", "telegram", "promotions")))).alias("kind"))
+    return checks.completeness_grid(config, chk(spark, d), ["competitor", "kind"], ["check_id"], ["status", "url"], {"status": "partial", "url": "not yet checked"})
+
+
+def ag25_coverage_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """By competitor the last status of each kind in columns, and whether anything is incomplete."""
+    last = chk(spark, d).groupBy("competitor", "kind").agg(F.max_by("status", "check_id").alias("status"))
+    wide = last.groupBy("competitor").pivot("kind", ["news", "products", "telegram"]).agg(F.first("status"))
+    partial = F.exists(F.array("news", "products", "telegram"), lambda s: F.coalesce(s, F.lit("partial")) != "success")
+    return wide.withColumn("incomplete", partial)
+
+
+def ag12_coverage_shares(spark: SparkSession, d: str) -> DataFrame:
+    return checks.shares(chk(spark, d), "status", ["success", "partial", "error"])
+
+
+def fi9_monitored(spark: SparkSession, d: str) -> DataFrame:
+    """Checks in and out of the monitored nations, nulls counted as out."""
+    inside = F.coalesce(F.col("competitor") < "M", F.lit(False))
+    return chk(spark, d).groupBy(inside.alias("monitored")).agg(F.count("*").alias("n"))
+
+
+def ag2_run_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Runs with their jobs and finished jobs; runs without jobs stay."""
+    jobs = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.count("*").alias("jobs"), F.count_if(F.col("l_linestatus") == "F").alias("finished"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id")).join(jobs, "run_id", "left").select("run_id", F.coalesce("jobs", F.lit(0)).alias("jobs"), F.coalesce("finished", F.lit(0)).alias("finished"))
+
+
+def ag4_run_state(spark: SparkSession, d: str) -> DataFrame:
+    """cancelled before completed_with_errors before completed; open while a job is."""
+    q = quote(spark, d).groupBy("run_id").agg(F.bool_or(F.col("status") == "no_price").alias("errors"), F.bool_or(F.col("basis") == "net").alias("unfinished"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), (F.col("o_orderpriority") == "1-URGENT").alias("cancelled"))
+    state = F.when(F.col("unfinished"), "open").when(F.col("cancelled"), "cancelled").when(F.col("errors"), "completed_with_errors").otherwise("completed")
+    return o.join(q, "run_id").select("run_id", state.alias("state"))
+
+
+def ag3_progress(spark: SparkSession, d: str) -> DataFrame:
+    """By currency of the check: counters of every status, products, freshness."""
+    o = obs(spark, d)
+    kinds = [F.count_if(F.col("status") == s).alias(s) for s in ("priced", "on_request", "no_price", "not_found", "network_error")]
+    return o.groupBy("currency").agg(*kinds, F.count_distinct("rule_id").alias("products"), F.date_format(F.max("checked_at"), "yyyy-MM-dd HH:mm:ss").alias("freshest"))
+
+
+def ag1_library_kpis(spark: SparkSession, d: str) -> DataFrame:
+    """One row: products, priced products, products with two prices, last check."""
+    c = obs(spark, d).groupBy("rule_id").agg(F.count_if(F.col("status") == "priced").alias("prices"), F.max("checked_at").alias("t"))
+    j = rule(spark, d).join(c, "rule_id", "left")
+    return j.agg(F.count("*").alias("products"), F.count_if(F.col("prices") > 0).alias("priced"), F.count_if(F.col("prices") > 1).alias("compared"), F.date_format(F.max("t"), "yyyy-MM-dd HH:mm:ss").alias("last_check"))
+
+
+def ag24_operations(spark: SparkSession, d: str) -> DataFrame:
+    """Checks by HTTP status and state, with the age of the last in hours before the end of the history."""
+    o = obs(spark, d)
+    end = o.agg(F.max("checked_at").alias("end")).withColumn("k", F.lit(1))
+    last = o.groupBy("http_status", "status").agg(F.count("*").alias("n"), F.max("checked_at").alias("t")).withColumn("k", F.lit(1))
+    return last.join(F.broadcast(end), "k").select("http_status", "status", "n", F.timestamp_diff("HOUR", F.col("t"), F.col("end")).alias("age_hours"))
+
+
+def jo9_pending(spark: SparkSession, d: str) -> DataFrame:
+    """Open jobs whose source is not handled elsewhere."""
+    outside = table(spark, d, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("source_id"))
+    return quote(spark, d).where("status = 'no_price'").join(outside, "source_id", "left_anti").groupBy("source_id").agg(F.count("*").alias("jobs"))
+
+
+def jo17_snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Products that came or changed between two states of the catalogue."""
+    r = rule(spark, d)
+    old = r.where("rule_id % 11 <> 0").withColumn("list_price", F.when(F.col("rule_id") % 5 == 0, F.col("list_price") + 1).otherwise(F.col("list_price")))
+    return checks.snapshot_diff(old, r.where("rule_id % 13 <> 0"), ["rule_id"], F.sha2(F.concat_ws("|", "title", F.col("list_price").cast("string")), 256))
+
+
+def se3_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Two selections merged in order, kept to products that exist."""
+    a = table(spark, d, "lineitem").where("l_orderkey < 2000").groupBy(F.col("l_partkey").alias("rule_id")).agg(F.min("l_orderkey").alias("at"))
+    b = table(spark, d, "lineitem").where("l_orderkey between 1500 and 3000").groupBy(F.col("l_partkey").alias("rule_id")).agg(F.min("l_orderkey").alias("at"))
+    return checks.ordered_union([a, b], "rule_id", "at").join(rule(spark, d).where("size < 40").select("rule_id"), "rule_id", "left_semi").select("rule_id", F.col("part").cast("long").alias("part"), "at")
+
+
+def se6_absent_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of a brand's category that another brand's has and it lacks."""
+    r = rule(spark, d).select("manufacturer", "category", "size")
+    every = r.select("category", "size").distinct()
+    brands = r.select("manufacturer", "category").distinct()
+    return brands.join(every, "category").join(r, ["manufacturer", "category", "size"], "left_anti").groupBy("manufacturer").agg(F.count("*").alias("absent"))
+
+
+def se8_absent_brands(spark: SparkSession, d: str) -> DataFrame:
+    wanted = spark.range(1, 40).select(F.concat(F.lit("Brand#"), F.col("id").cast("string")).alias("manufacturer"))
+    return wanted.join(rule(spark, d).select("manufacturer"), "manufacturer", "left_anti")
+
+
+def ag14_activity(spark: SparkSession, d: str) -> DataFrame:
+    """By nation: checks of each kind and all."""
+    return chk(spark, d).groupBy("competitor").agg(F.count_if(F.col("kind") == "news").alias("news"), F.count_if(F.col("kind") == "products").alias("products"), F.count("*").alias("total"))
+
+
+def li4_top_competitors(spark: SparkSession, d: str) -> DataFrame:
+    return chk(spark, d).groupBy("competitor").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "competitor").limit(5)
+
+
+def jo29_activity_join(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of a quarter with customer and nation."""
+    o = table(spark, d, "orders").where(F.col("o_orderdate").between("1995-01-01", "1995-03-31"))
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    return o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).select("o_orderkey", "c_name", "n_name")
+
+
+def st2_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """State of each product after its checks: two absences at least a day apart archive it."""
+    return lifecycle.fold(obs(spark, d).select("rule_id", "checked_at", "obs_id", "status")).select("rule_id", "state", "missing", "events")
+
+
+QUERIES = {f.__name__: f for f in (jo16_completeness_grid, ag25_coverage_matrix, ag12_coverage_shares, fi9_monitored, ag2_run_totals, ag4_run_state, ag3_progress, ag1_library_kpis, ag24_operations, jo9_pending, jo17_snapshot_diff, se3_selection, se6_absent_variants, se8_absent_brands, ag14_activity, li4_top_competitors, jo29_activity_join, st2_lifecycle)}
+SQL = {
+    "jo16_completeness_grid": "with l as (select competitor, kind, arg_max(status, check_id) s, arg_max(url, check_id) u from chk group by 1, 2), g as (select n_name competitor, k.kind from nation, (values ('news'), ('products'), ('telegram'), ('promotions')) k(kind)) select competitor, kind, coalesce(s, 'partial') status, coalesce(u, 'not yet checked') url from g left join l using (competitor, kind)",
+    "ag25_coverage_matrix": "with l as (select competitor, kind, arg_max(status, check_id) s from chk group by 1, 2), w as (select competitor, max(s) filter (kind = 'news') news, max(s) filter (kind = 'products') products, max(s) filter (kind = 'telegram') telegram from l group by 1) select *, not (coalesce(news, '') = 'success' and coalesce(products, '') = 'success' and coalesce(telegram, '') = 'success') incomplete from w",
+    "ag12_coverage_shares": "with b as (select * from (values ('success'), ('partial'), ('error'), ('other')) b(status)), c as (select case when status in ('success', 'partial', 'error') then status else 'other' end status, count(*) n from chk group by 1) select status, coalesce(n, 0) n, round(coalesce(n, 0) / (select count(*) from chk), 6) as share from b left join c using (status)",
+    "fi9_monitored": "select coalesce(competitor < 'M', false) monitored, count(*) n from chk group by 1",
+    "ag2_run_totals": "select o_orderkey run_id, count(l_orderkey) jobs, coalesce(count_if(l_linestatus = 'F'), 0) finished from orders left join lineitem on o_orderkey = l_orderkey group by 1",
+    "ag4_run_state": "select run_id, case when bool_or(basis = 'net') then 'open' when any_value(o_orderpriority) = '1-URGENT' then 'cancelled' when bool_or(status = 'no_price') then 'completed_with_errors' else 'completed' end state from quote join orders on run_id = o_orderkey group by 1",
+    "ag3_progress": "select currency, count_if(status = 'priced') priced, count_if(status = 'on_request') on_request, count_if(status = 'no_price') no_price, count_if(status = 'not_found') not_found, count_if(status = 'network_error') network_error, count(distinct rule_id) products, strftime(max(checked_at), '%Y-%m-%d %H:%M:%S') freshest from obs group by 1",
+    "ag1_library_kpis": "with c as (select rule_id, count_if(status = 'priced') p, max(checked_at) t from obs group by 1) select count(*) products, count_if(p > 0) priced, count_if(p > 1) compared, strftime(max(t), '%Y-%m-%d %H:%M:%S') last_check from rule left join c using (rule_id)",
+    "ag24_operations": "select http_status, status, count(*) n, floor(epoch((select max(checked_at) from obs) - max(checked_at)) / 3600)::bigint age_hours from obs group by 1, 2",
+    "jo9_pending": "select source_id, count(*) jobs from quote where status = 'no_price' and source_id not in (select s_suppkey from supplier where s_acctbal < 0) group by 1",
+    "jo17_snapshot_diff": "select rule_id, case when rule_id % 11 = 0 then 'added' else 'changed' end change from rule where rule_id % 13 <> 0 and (rule_id % 11 = 0 or rule_id % 5 = 0)",
+    "se3_selection": "with u as (select l_partkey rule_id, 0 p, min(l_orderkey) k from lineitem where l_orderkey < 2000 group by 1 union all select l_partkey, 1, min(l_orderkey) from lineitem where l_orderkey between 1500 and 3000 group by 1) select rule_id, min(p)::bigint part, arg_min(k, (p, k)) as \"at\" from u where rule_id in (select rule_id from rule where size < 40) group by 1",
+    "se6_absent_variants": "with e as (select distinct category, size from rule), b as (select distinct manufacturer, category from rule) select manufacturer, count(*) absent from b join e using (category) where not exists (select 1 from rule r where r.manufacturer = b.manufacturer and r.category = b.category and r.size = e.size) group by 1",
+    "se8_absent_brands": "select 'Brand#' || i manufacturer from range(1, 40) t(i) where 'Brand#' || i not in (select manufacturer from rule)",
+    "ag14_activity": "select competitor, count_if(kind = 'news') news, count_if(kind = 'products') products, count(*) total from chk group by 1",
+    "li4_top_competitors": "select competitor, count(*) n from chk group by 1 order by n desc, competitor limit 5",
+    "jo29_activity_join": "select o_orderkey, c_name, n_name from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where o_orderdate between date '1995-01-01' and date '1995-03-31'",
+}

@@ -1,2 +1,136 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Queries over imports and exports: validation with row errors, gates, safe cells, research bundles."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quotemill.functions.text import safe_cell
+from quotemill.session import table
+from quotemill.sources.files import export_csv, read_delimited
+from quotemill.sources.views import quote, rule
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder under the shared one, or under the warehouse where none is named."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/quotemill-{uuid.uuid4().hex}"
+
+
+def sk1_safe_export(spark: SparkSession, d: str) -> DataFrame:
+    """Posts with what a spreadsheet would run made plain text."""
+    p = table(spark, d, "conversations")
+    text = F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" =1+"), "text")).otherwise(F.col("text"))
+    return p.select("conv_id", "turn", safe_cell(text).alias("cell"))
+
+
+def sc3_task_file(spark: SparkSession, d: str) -> DataFrame:
+    """The catalogue written as delimited text and read back through the import scan."""
+    path = _folder(spark)
+    r = rule(spark, d)
+    export_csv(r.select(F.col("rule_id").cast("string").alias("Article"), F.col("manufacturer").alias("BRAND"), F.col("title").alias("name")), path)
+    back = read_delimited(spark, path, ["article", "manufacturer", "title"], {"brand": "manufacturer", "name": "title"})
+    return back.where("error is null").select(F.col("article").cast("long").alias("article"), "manufacturer", "title")
+
+
+def co14_validated_import(spark: SparkSession, d: str) -> DataFrame:
+    """Price rows with their error codes: no product, no price, or a key that is there before."""
+    q = quote(spark, d).select((F.col("rule_id") + F.when(F.col("line_no") == 7, 1_000_000).otherwise(0)).alias("rule_id"), "run_id", "line_no", F.when(F.col("status") != "no_price", F.col("price")).alias("price"), "source_id")
+    known = rule(spark, d).select("rule_id", F.lit(True).alias("known"))
+    w = Window.partitionBy("run_id", "line_no").orderBy("rule_id", "source_id", "price")
+    j = q.join(known, "rule_id", "left").withColumn("k", F.row_number().over(w))
+    errors = F.array_compact(F.array(F.when(F.col("known").isNull(), "unknown_product"), F.when(F.col("price").isNull(), "no_price"), F.when(F.col("k") > 1, "duplicate")))
+    return j.select("run_id", "line_no", F.array_join(errors, ",").alias("errors")).groupBy("errors").agg(F.count("*").alias("n"))
+
+
+def ag18_import_report(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, matched and unmatched, and their sums by tax basis."""
+    q = quote(spark, d).join(rule(spark, d).where("size < 25").select("rule_id", F.lit(True).alias("hit")), "rule_id", "left")
+    return q.groupBy("basis").agg(F.count("*").alias("rows"), F.count("hit").alias("matched"), F.count_if(F.col("hit").isNull()).alias("unmatched"), F.sum("price").cast("double").alias("total"))
+
+
+def sk11_batch_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Batches (runs) that are visible: as many rows as declared, and not imported before."""
+    q = quote(spark, d)
+    declared = table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.when(F.col("o_orderkey") % 10 == 0, 99).otherwise(0).alias("extra"))
+    there = q.groupBy("run_id").agg(F.count("*").alias("n"))
+    done = q.where("run_id % 7 = 0").select("run_id").distinct()
+    return there.join(declared, "run_id").where("extra = 0").join(done, "run_id", "left_anti").select("run_id", "n")
+
+
+def jo13_priority_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """A quote's product by id, else by its source as model number if the sizes agree."""
+    r = rule(spark, d)
+    q = quote(spark, d).select("run_id", "line_no", "rule_id", "source_id").distinct()
+    first = q.join(r.where("size % 3 <> 0").select("rule_id", F.col("title").alias("a")), "rule_id", "left")
+    out = first.join(r.where("size < 30").select(F.col("rule_id").alias("source_id"), F.col("title").alias("b")), "source_id", "left")
+    return out.select("run_id", "line_no", "rule_id", "source_id", F.coalesce("a", "b").alias("title"))
+
+
+def sk7_fenced(spark: SparkSession, d: str) -> DataFrame:
+    """Enrichments are written where the card is as it was and they change something."""
+    r = rule(spark, d)
+    stored = r.where("rule_id % 2 = 0").select("rule_id", F.col("rule_id").cast("int").alias("revision"), F.upper("title").alias("payload"))
+    new = r.select("rule_id", "manufacturer", F.when(F.col("rule_id") % 4 == 0, F.col("rule_id") - 1).otherwise(F.col("rule_id") + 1).cast("int").alias("revision"), F.when(F.col("rule_id") % 6 == 0, F.upper("title")).otherwise(F.col("title")).alias("payload"))
+    card = r.where("size <> 13").select("rule_id", F.col("manufacturer").alias("now"))
+    j = new.join(card, "rule_id").join(stored.toDF("rule_id", "old_revision", "old_payload"), "rule_id", "left")
+    return j.where((F.col("manufacturer") == F.col("now")) & (F.col("old_revision").isNull() | (F.col("old_revision") <= F.col("revision"))) & ~F.col("payload").eqNullSafe(F.col("old_payload"))).select("rule_id", "revision", "payload")
+
+
+def st4_stale(spark: SparkSession, d: str) -> DataFrame:
+    """Cards whose enrichment is missing or of another content."""
+    r = rule(spark, d).select("rule_id", F.sha2(F.concat_ws("|", "title", "category"), 256).alias("hash"))
+    done = rule(spark, d).where("rule_id % 3 <> 0").select("rule_id", F.sha2(F.concat_ws("|", F.when(F.col("rule_id") % 5 == 0, "old").otherwise(F.col("title")), "category"), 256).alias("done"))
+    return r.join(done, "rule_id", "left").where(~F.col("hash").eqNullSafe(F.col("done"))).select("rule_id")
+
+
+def jo21_supersession(spark: SparkSession, d: str) -> DataFrame:
+    """A verified row supersedes the only candidate that agrees with it; several candidates stay."""
+    r = rule(spark, d)
+    candidate, verified = r.where("rule_id % 2 = 0"), r.where("rule_id % 2 = 1")
+    j = verified.select(F.col("rule_id").alias("verified"), "manufacturer", "category", "size", "title").join(candidate, ["manufacturer", "category", "size", "title"])
+    w = Window.partitionBy("verified")
+    return j.withColumn("n", F.count("*").over(w)).where("n = 1").select("verified", F.col("rule_id").alias("superseded"))
+
+
+def co12_bundle_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Research items with error codes: date and precision, source, repeated keys."""
+    o = table(spark, d, "orders")
+    item = o.select("o_orderkey", F.when(F.col("o_orderkey") % 9 == 0, F.date_format("o_orderdate", "yyyy-MM")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("published"), F.when(F.col("o_orderkey") % 5 == 0, "month").otherwise("day").alias("precision"), F.when(F.col("o_orderkey") % 11 != 0, "https://example.org").alias("url"))
+    shape = F.when(F.col("precision") == "day", F.col("published").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")).otherwise(F.col("published").rlike("^[0-9]{4}-[0-9]{2}$"))
+    errors = F.array_compact(F.array(F.when(~shape, "precision"), F.when(F.col("url").isNull(), "source")))
+    return item.select(F.when(F.size(errors) == 0, "valid").otherwise(F.array_join(errors, "+")).alias("state")).groupBy("state").agg(F.count("*").alias("n"))
+
+
+def sk15_snapshot_meta(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and greatest id of a catalogue snapshot, read back from the JSON export."""
+    path = _folder(spark)
+    rule(spark, d).write.json(path, compression="gzip")
+    back = spark.read.schema("rule_id long, manufacturer string, title string").json(path)
+    return back.agg(F.count("*").alias("rows"), F.max("rule_id").alias("max_id"), F.count_distinct("manufacturer").alias("brands"))
+
+
+def wi10_forward_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Sheet rows under headings: the last heading of a brand's sheet applies."""
+    r = rule(spark, d).withColumn("heading", F.when(F.col("rule_id") % 7 == 0, F.col("category")))
+    w = Window.partitionBy("manufacturer").orderBy("rule_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return r.select("rule_id", F.last("heading", ignorenulls=True).over(w).alias("heading"))
+
+
+QUERIES = {f.__name__: f for f in (sk1_safe_export, sc3_task_file, co14_validated_import, ag18_import_report, sk11_batch_gate, jo13_priority_fallback, sk7_fenced, st4_stale, jo21_supersession, co12_bundle_errors, sk15_snapshot_meta, wi10_forward_fill)}
+SQL = {
+    "sk1_safe_export": r"select conv_id, turn, case when regexp_matches(ltrim(t), '^[=+\-@]') then '''' || t else t end cell from (select conv_id, turn, case when turn % 2 = 0 then ' =1+' || text else text end t from conversations)",
+    "sc3_task_file": "select rule_id article, manufacturer, title from rule",
+    "co14_validated_import": "with q as (select rule_id + case when line_no = 7 then 1000000 else 0 end rule_id, run_id, line_no, case when status <> 'no_price' then price end price, source_id from quote), j as (select *, rule_id in (select rule_id from rule) known, row_number() over (partition by run_id, line_no order by rule_id, source_id, price nulls first) k from q) select concat_ws(',', case when not known then 'unknown_product' end, case when price is null then 'no_price' end, case when k > 1 then 'duplicate' end) errors, count(*) n from j group by 1",
+    "ag18_import_report": "select basis, count(*) as rows, count_if(rule_id in (select rule_id from rule where size < 25)) matched, count_if(rule_id not in (select rule_id from rule where size < 25)) unmatched, sum(price)::double total from quote group by 1",
+    "sk11_batch_gate": "select run_id, count(*) n from quote where run_id % 10 <> 0 and run_id % 7 <> 0 and run_id in (select o_orderkey from orders) group by 1",
+    "jo13_priority_fallback": "with q as (select distinct run_id, line_no, rule_id, source_id from quote) select run_id, line_no, q.rule_id, source_id, coalesce(a.title, b.title) title from q left join rule a on q.rule_id = a.rule_id and a.size % 3 <> 0 left join rule b on q.source_id = b.rule_id and b.size < 30",
+    "sk7_fenced": "select rule_id, (case when rule_id % 4 = 0 then rule_id - 1 else rule_id + 1 end)::int revision, case when rule_id % 6 = 0 then upper(title) else title end payload from rule where size <> 13 and (rule_id % 2 = 1 or (rule_id % 4 <> 0 and case when rule_id % 6 = 0 then upper(title) else title end <> upper(title)))",
+    "st4_stale": "select rule_id from rule where rule_id % 3 = 0 or (rule_id % 5 = 0 and title <> 'old')",
+    "jo21_supersession": "with j as (select v.rule_id verified, c.rule_id superseded, count(*) over (partition by v.rule_id) n from rule v join rule c using (manufacturer, category, size, title) where v.rule_id % 2 = 1 and c.rule_id % 2 = 0) select verified, superseded from j where n = 1",
+    "co12_bundle_errors": "with i as (select o_orderkey % 9 = 0 short, o_orderkey % 5 = 0 monthly, o_orderkey % 11 = 0 bare from orders) select case when short = monthly and not bare then 'valid' else concat_ws('+', case when short <> monthly then 'precision' end, case when bare then 'source' end) end state, count(*) n from i group by 1",
+    "sk15_snapshot_meta": "select count(*) as rows, max(rule_id) max_id, count(distinct manufacturer) brands from rule",
+    "wi10_forward_fill": "select rule_id, last_value(case when rule_id % 7 = 0 then category end ignore nulls) over (partition by manufacturer order by rule_id rows unbounded preceding) heading from rule",
+}
