@@ -137,7 +137,7 @@ def _predict(s: Settings, model):
             if len(numbers) > s.words:
                 numbers, sums, sizes = defaultdict(count().__next__), np.zeros((0, len(m.languages))), np.zeros(0)
             texts = batch.column("text").to_pylist()
-            x = [np.fromiter(map(numbers.__getitem__, w), np.int64, len(w)) for w in map(words_of, texts)]
+            x = [np.fromiter(map(numbers.__getitem__, w), np.int64, len(w)) for w in map(words_of, texts if m.languages else [None] * len(texts))]
             if len(numbers) > len(sums):
                 new = list(islice(numbers, len(sums), None))
                 b, owner = subwords(new, s.bucket_bits)
