@@ -120,19 +120,26 @@ def decode_ids(blocks: list[tuple[bytes, np.ndarray, int]], table: tuple[np.ndar
     return [flat[a:b][keep_[a:b]] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-TOKENS = "part int, doc_id bigint, start bigint, ids binary"
+#: A row for each document; after those of a part one row with its counts of ids, which alone has that column.
+TOKENS = "part int, doc_id bigint, start bigint, ids binary, counts binary"
 
 
 def _tokenize(f: Format):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, start = tokens.encoder(f.tokenizer or tokens.default_path()), TaskContext.get().partitionId(), 0
+        total = np.zeros(encoder.tokenizer.get_vocab_size() + 1, np.int64)
         for batch in rows(batches, 256):
             ids = [np.append(x, np.int32(f.end_id)) for x in encoder.encode([t or "" for t in batch.column("text").to_pylist()])]
             ends = start + np.cumsum([len(x) for x in ids])
+            seen = np.bincount(np.concatenate(ids), minlength=len(total))
+            total = seen + np.pad(total, (0, len(seen) - len(total)))
             kind = np.uint16 if max(int(x.max()) for x in ids) < 65_536 else np.int32
             blobs = [bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), batch.column("doc_id"), pa.array(ends - [len(x) for x in ids]), pa.array(blobs, pa.binary())], ["part", "doc_id", "start", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), batch.column("doc_id"), pa.array(ends - [len(x) for x in ids]), pa.array(blobs, pa.binary()), pa.nulls(len(ids), pa.binary())], ["part", "doc_id", "start", "ids", "counts"])
             start = int(ends[-1])
+        used = np.flatnonzero(total)
+        last = [pa.array([part], pa.int32()), pa.array([None], pa.int64()), pa.array([start], pa.int64()), pa.array([None], pa.binary()), pa.array([np.concatenate([used, total[used]]).tobytes()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(last, ["part", "doc_id", "start", "ids", "counts"])
 
     return run
 
@@ -142,17 +149,10 @@ def stored_ids(blob: bytes) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in rows(batches):
-        if batch.num_rows:
-            n = np.bincount(np.concatenate([stored_ids(b) for b in batch.column("ids").to_pylist()]))
-            if len(n) > len(total):
-                n[: len(total)] += total
-                total = n
-            else:
-                total[: len(n)] += n
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
+    for batch in batches:
+        for blob in batch.column("counts").to_pylist():
+            used, n = np.frombuffer(blob, np.int64).reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(n)], ["id", "n"])
 
 
 BLOCKS = "part int, block int, start bigint, documents binary, sizes binary, n_ids bigint, payload binary, checkpoints binary"
@@ -197,18 +197,17 @@ def write_tokens(spark: SparkSession, docs: DataFrame, path: str, fmt: Format =
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranged = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     ids = keep(spark, ranged.mapInArrow(_tokenize(fmt), TOKENS), "ids")
-    counts = ids.select("ids").mapInArrow(_counts, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # a row for each id of the vocabulary
+    counts = ids.select("counts").where("counts is not null").mapInArrow(_counts, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # a row for each id of the vocabulary
     total = np.zeros(int(max(counts.column("id").to_numpy(), default=0)) + 1, np.int64)
     total[counts.column("id").to_numpy()] = counts.column("n").to_numpy()
     lengths = code_lengths(total)
     used = np.flatnonzero(lengths)
     spark.createDataFrame(list(zip(used.tolist(), lengths[used].tolist(), strict=True)), "id int, length int").coalesce(1).write.parquet(f"{path}/codes")
-    last = ids.groupBy("part").agg(F.max(F.struct("start", F.octet_length("ids").alias("bytes"), F.hex(F.substring("ids", 1, 1)).alias("width"))).alias("x"))
     offsets, at = {}, 0
-    for row in sorted(last.collect()):  # a row for each part
+    for row in sorted(ids.where("counts is not null").select("part", "start").collect()):  # a row for each part
         offsets[row["part"]] = at
-        at += row["x"]["start"] + (row["x"]["bytes"] - 1) // int(row["x"]["width"], 16)
-    ids.mapInArrow(_encode(fmt, spark.sparkContext.broadcast(lengths), offsets), BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+        at += row["start"]
+    ids.where("counts is null").select("part", "doc_id", "start", "ids").mapInArrow(_encode(fmt, spark.sparkContext.broadcast(lengths), offsets), BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 READ = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
