@@ -333,21 +333,12 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, join: Join = Join()
     pairs = keep(spark, _likely(j, found.where("kind = 1").select("a", "b").distinct(), sized), "pairs")
 
     texts = _texts(spark, j, docs, nodes, pairs)
-    first = keep(spark, pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
-    links = keep(spark, _linked(j, first, texts), "links")
-    labels = connected_components(spark, links)
-    # one pair for each set and component that it may join, then all that is left
-    large = keep(spark, found.where("kind = 2").select(F.col("a").alias("name"), F.col("b").alias("set_id")), "large")
-    crossing = keep(spark, _likely(j, _large_pairs(spark, j, large, labels, sized.drop("bits")), sized), "crossing")
-    left = _apart(pairs.join(first, ["a", "b"], "left_anti").union(crossing).distinct(), labels)
-    left = keep(spark, left, "left")
-    if not left.isEmpty():
-        texts = texts if crossing.isEmpty() else _texts(spark, j, docs, nodes, pairs.union(crossing))
-        second = keep(spark, left.groupBy("b", "ca").agg(F.min("a").alias("a")).select("a", "b"), "second")
-        labels = add_links(spark, labels, keep(spark, _linked(j, second, texts), "links"))
-        left = keep(spark, _apart(left.select("a", "b").join(second, ["a", "b"], "left_anti"), labels), "left")
-        if not left.isEmpty():
-            labels = add_links(spark, labels, keep(spark, _linked(j, left.select("a", "b"), texts), "links"))
+    labels = connected_components(spark, keep(spark, _linked(j, pairs, texts), "links"))
+    # large index groups gave the pairs with their least member only: what lies across components is compared now
+    large = found.where("kind = 2").select(F.col("a").alias("name"), F.col("b").alias("set_id"))
+    across = keep(spark, _across(spark, j, large, labels, sized).distinct().join(pairs, ["a", "b"], "left_anti"), "across")
+    if not across.isEmpty():
+        labels = add_links(spark, labels, keep(spark, _linked(j, across, _texts(spark, j, docs, nodes, across)), "links"))
 
     named = nodes.join(labels, nodes.set_id == labels.node, "left").select("set_id", "doc_id", F.coalesce("component", "set_id").alias("component"))
     named = keep(spark, named, "named")
@@ -396,20 +387,48 @@ def _linked(j: Join, pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(j), "a bigint, b bigint")
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose two sets are not known to be in one component; ca: a's component."""
-    out = pairs.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
-    out = out.select("a", "b", F.coalesce("la", "a").alias("ca"), F.coalesce("lb", "b").alias("cb"))
-    return out.where("ca <> cb").select("a", "b", "ca")
+#: Members of an index group that one task compares with as many others.
+BLOCK = 4000
 
 
-def _large_pairs(spark: SparkSession, j: Join, large: DataFrame, labels: DataFrame, sized: DataFrame) -> DataFrame:
-    """Pairs of different components within the large index groups."""
-    member = large.join(labels.toDF("set_id", "label"), "set_id", "left").join(sized, "set_id")
-    member = keep(spark, member.select("name", "set_id", "n", F.coalesce("label", "set_id").alias("label")), "member")
-    mixed = keep(spark, member.groupBy("name").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("name"), "mixed")
-    member = keep(spark, member.join(mixed, "name"), "member")
-    right = member.toDF("name", "b", "nb", "lb")
-    pairs = member.toDF("name", "a", "na", "la").join(right, "name").where("a < b and la <> lb").where(_sizes_fit(j))
-    return pairs.select("a", "b").distinct()
+def _across(spark: SparkSession, j: Join, large: DataFrame, labels: DataFrame, sized: DataFrame) -> DataFrame:
+    """Pairs in different components of a large index group that sizes and bitmaps allow.
 
+    Only groups with several components are looked at. A group of more than BLOCK members is dealt out by pairs of
+    blocks; inside, bitmaps are compared in arrays, and only the pairs that they allow become rows.
+    """
+    member = keep(spark, large.join(labels.toDF("set_id", "label"), "set_id", "left").select("name", "set_id", F.coalesce("label", "set_id").alias("label")), "member")
+    groups = member.groupBy("name").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y")
+    groups = keep(spark, groups.select("name", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "groups")
+    dealt = member.join(groups, "name").join(sized, "set_id").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("name", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "set_id", "label", "n", "bits")
+    return dealt.groupBy("name", "x", "y").applyInArrow(_compare(j), "a bigint, b bigint")
+
+
+def _compare(j: Join):
+    def run(key, table):
+        one_block = key[1].as_py() == key[2].as_py()
+        own, name, label, n = (table.column(c).to_numpy() for c in ("own", "set_id", "label", "n"))
+        bits = table.column("bits").to_pylist()
+        length = np.array([len(b) for b in bits])
+        by_length = {}
+        for k in np.unique(length):  # each length also as the longer bitmaps folded to it
+            folded = np.zeros((len(bits), k // 8), np.uint64)
+            for i in np.flatnonzero(length >= k):
+                x = np.frombuffer(bits[i], np.uint64)
+                folded[i] = np.bitwise_xor.reduce(x.reshape(-1, k // 8), 0)
+            by_length[int(k)] = folded
+        out = []
+        for i in range(len(bits)):
+            other = np.flatnonzero((name > name[i]) & (label != label[i]) & (one_block | (own != own[i])) & (100 * np.minimum(n, n[i]) >= j.percent * np.maximum(n, n[i])))
+            for k in np.unique(np.minimum(length[other], length[i])):
+                at = other[np.minimum(length[other], length[i]) == k]
+                gap = np.bitwise_count(by_length[int(k)][at] ^ by_length[int(k)][i]).sum(1)
+                total = n[at] + n[i]
+                at = at[gap <= total - 2 * (-(-total * j.percent // (100 + j.percent)))]
+                out.append(np.stack([np.full(len(at), name[i]), name[at]]))
+        x = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
+        return pa.table([pa.array(x[0].astype(np.int64)), pa.array(x[1].astype(np.int64))], ["a", "b"])
+
+    return run
