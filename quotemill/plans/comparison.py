@@ -52,8 +52,8 @@ def co1_analogues(spark: SparkSession, d: str) -> DataFrame:
 
 
 def co18_match_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each field of the direct and close matches, by outcome."""
-    e = matching.evaluate(_pairs(spark, d)).where(F.col("status").isin("direct", "close")).select(F.explode("fields").alias("f"))
+    """Fields of the matches that are not ruled out, by outcome."""
+    e = matching.evaluate(_pairs(spark, d)).where(F.col("status") != "incompatible").select(F.explode("fields").alias("f"))
     return e.groupBy(F.col("f.field").alias("field"), F.col("f.group").alias("kind"), F.col("f.outcome").alias("outcome")).agg(F.count("*").alias("n"))
 
 
