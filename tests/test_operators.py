@@ -1,6 +1,7 @@
 """Operators on small tables whose results are written out."""
 
-import pandas as pd
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from quotemill.functions import prices, text, urls
@@ -101,7 +102,7 @@ CHECKS = [(1, 0, 1, "priced"), (1, 1, 2, "not_found"), (1, 1.5, 3, "not_found"),
 
 
 def test_lifecycle_fold(spark):
-    df = spark.createDataFrame([(r, pd.Timestamp("2024-01-01") + pd.Timedelta(days=t), i, s) for r, t, i, s in CHECKS], "rule_id long, checked_at timestamp, obs_id long, status string")
+    df = spark.createDataFrame([(r, datetime(2024, 1, 1) + timedelta(days=t), i, s) for r, t, i, s in CHECKS], "rule_id long, checked_at timestamp, obs_id long, status string")
     assert sorted(values(lifecycle.fold(df))) == [(1, "active", 0, 4), (2, "review", 1, 1)]
     assert lifecycle.fold(df.limit(0)).count() == 0
 
