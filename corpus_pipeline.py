@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import keep
+from quotemill.llm.common import keep, row_key
 from quotemill.llm.decontaminate import decontaminate
-from quotemill.llm.jaccard_join import jaccard_components
+from quotemill.llm.jaccard_join import first_rows
 from quotemill.llm.packing import pack_documents
 from quotemill.llm.quality_rules import quality_rules
 from quotemill.llm.suffix_dedup import cut_repeats
@@ -20,7 +20,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(*COLUMNS).withColumn("key", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit(""))))
+    return docs.select(*COLUMNS).withColumn("key", row_key())
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,14 +32,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents with similar shingle sets, the one of the smallest doc_id stays."""
-    docs = docs.select(*COLUMNS)
-    classes = keep(spark, jaccard_components(spark, docs), "classes")
-    stays = keep(spark, classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "stays")
-    out = docs.join(stays.select("doc_id"), "doc_id", "left_semi")
-    if stays.where("n > 1").isEmpty():
-        return out
-    return out.dropDuplicates(["doc_id", "text"])  # rows that are there twice
+    """Of each component of documents with similar shingle sets, the row of the smallest doc_id (null last) and key stays."""
+    keyed = _keyed(docs)
+    stays = keep(spark, first_rows(spark, keyed), "stays")
+    out = keyed.join(stays.select("key"), "key", "left_semi")
+    if not stays.where("n > 1").isEmpty():
+        out = out.dropDuplicates(["key"])  # rows that are there twice
+    return out.select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

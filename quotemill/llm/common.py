@@ -47,6 +47,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def row_key() -> F.Column:
+    """A hash of doc_id and text, by which a row is known: rows that share a doc_id have their own, and so have rows
+    without one. Null texts are empty."""
+    doc_id = F.col("doc_id").cast("long")
+    return F.xxhash64(doc_id.isNull(), F.coalesce(doc_id, F.lit(0).cast("long")), F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
+
+
 def crc_mod(column: str, n: int) -> F.Column:
     """crc32(column as text) mod n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import WordHashes, keep, maybe_in, mix64, parted, rows, shingles, shuffle_partitions, signed
+from quotemill.llm.common import WordHashes, keep, maybe_in, mix64, parted, row_key, rows, shingles, shuffle_partitions, signed
 from quotemill.llm.graph import add_links, connected_components
 
 
@@ -141,7 +141,7 @@ def _sample_costs(j: Join):
 
 def subset_costs(spark: SparkSession, docs: DataFrame, j: Join) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent subsets of a share of the documents, of a bounded number, and their counts."""
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(j.cost_share)) == 0).select("text")
+    sample = docs.where(F.pmod(F.xxhash64("key"), F.lit(j.cost_share)) == 0).select("text")
     counts = sample.mapInArrow(_sample_costs(j), "name bigint, n bigint").groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= j.cost_least)
     counts = keep(spark, counts, "costs")
     kept, least = 0, 1 << 62
@@ -180,7 +180,7 @@ INDEX = "p int, kind int, blob binary"
 
 def _index(j: Join, parts: int, costs):
     """Emits for each part p the entries that fall to it (kind 1: hash, set) and the documents (kind 0: id, size, set,
-    and where their bitmap begins and ends in the bytes that follow)."""
+    row key, whether the id is null, and where their bitmap ends in the bytes that follow)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, docs, size, sets = WordHashes(), [], [], 0, set()
@@ -192,21 +192,21 @@ def _index(j: Join, parts: int, costs):
                 owners = np.repeat(np.array([s for _, s in held], np.int64), [len(x) for x, _ in held])
                 yield from parted(((names >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32), 1, [(names & np.uint64(0xFFFFFFFF)).astype(np.uint32), owners])
             if docs:
-                a = np.array([x[:3] for x in docs], np.int64)
+                a = np.array([x[:5] for x in docs], np.int64)
                 p = (mix64(a[:, 2].copy().view(np.uint64)) % np.uint64(parts)).astype(np.int32)
                 order = np.argsort(p, kind="stable")
                 for at in np.split(order, np.flatnonzero(np.diff(p[order])) + 1):
-                    bits = [docs[i][3] for i in at]
+                    bits = [docs[i][5] for i in at]
                     columns = np.concatenate([[len(at)], *a[at].T, np.cumsum([len(b) for b in bits])]).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(p[at[:1]]), pa.array([0], pa.int32()), pa.array([columns.tobytes() + b"".join(bits)], pa.binary())], ["p", "kind", "blob"])
             held.clear()
             docs.clear()
 
         for batch in rows(batches):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc_id, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "text")), strict=True):
                 h = shingles(words.of((text or b"").lower().split()), j.size)
                 s = set_id(h)
-                docs.append((doc_id, len(h), s, parity_bits(h) if len(h) and s not in sets else b""))
+                docs.append((doc_id or 0, len(h), s, key, doc_id is None, parity_bits(h) if len(h) and s not in sets else b""))
                 if len(h) and s not in sets:
                     sets.add(s)
                     for names in index_entries(h, j.percent, table):
@@ -221,14 +221,14 @@ def _index(j: Join, parts: int, costs):
     return run
 
 
-FOUND = "kind int, a bigint, b bigint, c bigint, bits binary"
+FOUND = "kind int, a bigint, b bigint, c bigint, key bigint, bits binary"
 
 
 def _meet(j: Join):
-    """In one part: documents pass (kind 0: id, size, set), index groups give candidate pairs (1) and, if large, their members (2)."""
+    """In one part: documents pass (kind 0: id, size, set, row key), index groups give candidate pairs (1) and, if large, their members (2)."""
 
     def run(key, table):
-        names, owners, docs, bits = [], [], [np.zeros((3, 0), np.int64)], []
+        names, owners, docs, bits = [], [], [np.zeros((5, 0), np.int64)], []
         for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist(), strict=True):
             if kind:
                 n = len(blob) // 12
@@ -236,9 +236,9 @@ def _meet(j: Join):
                 owners.append(np.frombuffer(blob, np.int64, n, 4 * n))
             else:
                 n = int.from_bytes(blob[:8], "little")
-                *columns, ends = np.frombuffer(blob, np.int64, 4 * n, 8).reshape(4, n)
+                *columns, ends = np.frombuffer(blob, np.int64, 6 * n, 8).reshape(6, n)
                 docs.append(np.stack(columns))
-                at = 8 + 32 * n
+                at = 8 + 48 * n
                 bits += [blob[at + a : at + b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
         out = [np.stack([np.zeros(docs.shape[1], np.int64), *docs]) for docs in [np.concatenate(docs, 1)]]
         if names:
@@ -267,11 +267,11 @@ def _meet(j: Join):
             order = np.lexsort((b, a))
             ab = np.stack([a, b])[:, order]
             ab = ab[:, np.concatenate([[True], (ab[:, 1:] != ab[:, :-1]).any(0)])[: ab.shape[1]]]
-            out.append(np.stack([np.ones(ab.shape[1], np.int64), *ab, np.zeros(ab.shape[1], np.int64)]))
+            out.append(np.stack([np.ones(ab.shape[1], np.int64), *ab, *np.zeros((3, ab.shape[1]), np.int64)]))
             many = np.repeat(size, size) > j.small_group
-            out.append(np.stack([np.full(many.sum(), 2, np.int64), (np.int64(key[0].as_py()) << np.int64(32)) | name[many].astype(np.int64), owner[many], np.zeros(many.sum(), np.int64)]))
+            out.append(np.stack([np.full(many.sum(), 2, np.int64), (np.int64(key[0].as_py()) << np.int64(32)) | name[many].astype(np.int64), owner[many], *np.zeros((3, many.sum()), np.int64)]))
         x = np.concatenate(out, 1)
-        return pa.table([pa.array(x[0].astype(np.int32)), *map(pa.array, x[1:]), pa.array(bits + [None] * (x.shape[1] - len(bits)), pa.binary())], ["kind", "a", "b", "c", "bits"])
+        return pa.table([pa.array(x[0].astype(np.int32)), pa.array(x[1], mask=x[5] == 1), *map(pa.array, x[2:5]), pa.array(bits + [None] * (x.shape[1] - len(bits)), pa.binary())], ["kind", "a", "b", "c", "key", "bits"])
 
     return run
 
@@ -319,16 +319,30 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, join: Join = Join()
     Texts are lower-cased in A-Z and split at ASCII white space; fewer words than a shingle: the whole sequence
     as one. Without words, or null: an empty set, linked with nothing, so component_id is doc_id. Equal sets are
     one node; of near-equal sets, pairs inside a component that is already known are not compared. Repeated rows
-    of a doc_id each get a row. An empty table gives an empty result; more columns are ignored.
+    of a doc_id each get a row. Rows without a doc_id link like others; component_id is the least doc_id that there
+    is, and null where no row of the component has one. An empty table gives an empty result; more columns are ignored.
     """
-    j = join
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    sets, classes = _classes(spark, docs, join)
+    out = sets.where("n > 0").select("doc_id", "n", "set_id").join(classes, "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return out.union(sets.where("n = 0").select("doc_id", F.lit(0).cast("long"), "doc_id"))
+
+
+def first_rows(spark: SparkSession, docs: DataFrame, join: Join = Join()) -> DataFrame:
+    """key, n: the row_key of one row of each component, the first by doc_id (null last) and key, and how often that row is there."""
+    sets, classes = _classes(spark, docs, join)
+    first = sets.where("n > 0").select("key", "set_id").join(classes, "set_id").where("key = first_key").select("key")
+    return first.union(sets.where("n = 0").select("key")).groupBy("key").agg(F.count("*").alias("n"))
+
+
+def _classes(spark: SparkSession, docs: DataFrame, j: Join) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, n, set_id, bits) of all rows and (set_id, component_id, first_key) of all sets that are not empty."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), row_key().alias("key"))
     parts = 4 * shuffle_partitions(spark)
     costs = spark.sparkContext.broadcast(subset_costs(spark, docs, j))
     found = docs.mapInArrow(_index(j, parts, costs), INDEX).groupBy("p").applyInArrow(_meet(j), FOUND)
     found = keep(spark, found, "found")
-    sets = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("set_id"), "bits")
-    nodes = keep(spark, sets.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.max("bits").alias("bits")), "nodes")
+    sets = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("set_id"), "key", "bits")
+    nodes = keep(spark, sets.where("n > 0").groupBy("set_id").agg(F.min(F.struct(F.isnull("doc_id").alias("without"), "doc_id", "key")).alias("first"), F.first("n").alias("n"), F.max("bits").alias("bits")), "nodes")
     sized = nodes.select("set_id", "n", "bits")
     pairs = keep(spark, _likely(j, found.where("kind = 1").select("a", "b").distinct(), sized), "pairs")
 
@@ -340,12 +354,11 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, join: Join = Join()
     if not across.isEmpty():
         labels = add_links(spark, labels, keep(spark, _linked(j, across, _texts(spark, j, docs, nodes, across)), "links"))
 
-    named = nodes.join(labels, nodes.set_id == labels.node, "left").select("set_id", "doc_id", F.coalesce("component", "set_id").alias("component"))
+    named = nodes.join(labels, nodes.set_id == labels.node, "left").select("set_id", "first", F.coalesce("component", "set_id").alias("component"))
     named = keep(spark, named, "named")
-    least = keep(spark, named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
-    classes = keep(spark, named.join(least, "component").select("set_id", "component_id"), "classes")
-    out = sets.where("n > 0").select("doc_id", "n", "set_id").join(classes, "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.union(sets.where("n = 0").select("doc_id", F.lit(0).cast("long"), "doc_id"))
+    least = keep(spark, named.groupBy("component").agg(F.min("first").alias("first")), "least")
+    classes = named.drop("first").join(least, "component").select("set_id", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("first_key"))
+    return sets, keep(spark, classes, "classes")
 
 
 def _likely(j: Join, pairs: DataFrame, sized: DataFrame) -> DataFrame:
@@ -359,19 +372,19 @@ def _sizes_fit(j: Join) -> F.Column:
 
 
 def _texts(spark: SparkSession, j: Join, docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(set_id, text) of the sets that are in a pair: one document stands for each set.
+    """(set_id, text) of the sets that are in a pair: one row stands for each set.
 
     A bitmap keeps most other documents out of the shuffle; the join after it is exact.
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    wanted = keep(spark, nodes.join(wanted, "set_id").select("set_id", "doc_id"), "wanted")
-    known = maybe_in(docs, wanted, "doc_id").where("likely")
-    stands = known.select("doc_id", "text").join(wanted, "doc_id").select("set_id", "text").mapInArrow(_own(j), "set_id bigint, text binary")
+    wanted = keep(spark, nodes.join(wanted, "set_id").select("set_id", F.col("first.key").alias("key")), "wanted")
+    known = maybe_in(docs, wanted, "key").where("likely")
+    stands = known.select("key", "text").join(wanted, "key").select("set_id", "text").mapInArrow(_own(j), "set_id bigint, text binary")
     return keep(spark, stands.dropDuplicates(["set_id"]), "texts")
 
 
 def _own(j: Join):
-    """Keeps the rows whose text has the set; others only share a doc_id with it."""
+    """Keeps the rows whose text has the set; others only share a key with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
