@@ -24,6 +24,8 @@ from quotemill.llm import tokens
 from quotemill.llm.common import keep, rows, shared_dir, shuffle_partitions
 
 STEP, LIMIT = 256, 16
+#: Stands for a null doc_id in a block's documents.
+NO_ID = -(2**63)
 
 
 @dataclass(frozen=True)
@@ -35,14 +37,14 @@ class Format:
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
-    """Lengths of the best prefix code of at most limit bits (package-merge); 0 where the count is 0."""
+    """Lengths of the best prefix code of at most limit bits (package-merge); 0 where the count is 0. The limit is
+    raised to a bit more than the number of ids needs."""
     out = np.zeros(len(counts), np.int64)
     used = np.flatnonzero(counts)
     if len(used) < 2:
         out[used] = 1
         return out
-    if len(used) > 1 << limit:
-        raise ValueError("more ids than codes of that length")
+    limit = max(limit, (len(used) - 1).bit_length() + 1)  # more ids than codes of that length: longer codes
     used = used[np.argsort(counts[used], kind="stable")]
     weight = counts[used].astype(np.int64)
     leaf_first, current = [], weight
@@ -62,20 +64,28 @@ def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     return out
 
 
+def longest(lengths: np.ndarray) -> int:
+    """Bits that the decoding table looks at."""
+    return max(LIMIT, int(lengths.max(initial=0)))
+
+
 def canonical_codes(lengths: np.ndarray) -> np.ndarray:
+    limit = longest(lengths)
     codes, order = np.zeros(len(lengths), np.int64), np.lexsort((np.arange(len(lengths)), lengths))
     order = order[lengths[order] > 0]
-    step = np.int64(1) << (LIMIT - lengths[order])
-    codes[order] = (np.cumsum(step) - step) >> (LIMIT - lengths[order])
+    step = np.int64(1) << (limit - lengths[order])
+    codes[order] = (np.cumsum(step) - step) >> (limit - lengths[order])
     return codes
 
 
 def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every LIMIT next bits: the id whose code they begin with, and the code's length."""
+    """For all values of the next bits, as many as the longest code has: the id whose code they begin with, and the
+    code's length."""
+    limit = longest(lengths)
     order = np.lexsort((np.arange(len(lengths)), lengths))
     order = order[lengths[order] > 0]
-    span = np.int64(1) << (LIMIT - lengths[order])
-    pad = (1 << LIMIT) - int(span.sum())
+    span = np.int64(1) << (limit - lengths[order])
+    pad = (1 << limit) - int(span.sum())
     return np.concatenate([np.repeat(order, span), np.zeros(pad, np.int64)]).astype(np.int32), np.concatenate([np.repeat(lengths[order], span), np.ones(pad, np.int64)])
 
 
@@ -98,6 +108,7 @@ def encode_ids(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple
 def decode_ids(blocks: list[tuple[bytes, np.ndarray, int]], table: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
     """blocks: (payload, checkpoints, number of ids). All stretches between checkpoints are decoded side by side."""
     symbol, size = table
+    limit = len(symbol).bit_length() - 1
     base, words, lanes, left = 0, [], [], []
     for payload, checkpoints, n in blocks:
         w = np.frombuffer(payload + b"\0" * (-len(payload) % 4 + 4), ">u4").astype(np.uint64)
@@ -112,7 +123,7 @@ def decode_ids(blocks: list[tuple[bytes, np.ndarray, int]], table: tuple[np.ndar
     at, left = np.concatenate(lanes), np.concatenate(left)
     out = np.zeros((STEP, len(at)), np.int32)
     for i in range(int(left.max())):
-        bits = (pair[at >> 5] >> (64 - LIMIT - (at & 31)).astype(np.uint64)).astype(np.int64) & ((1 << LIMIT) - 1)
+        bits = (pair[at >> 5] >> (64 - limit - (at & 31)).astype(np.uint64)).astype(np.int64) & ((1 << limit) - 1)
         out[i] = symbol[bits]
         at = np.minimum(at + size[bits], base - 33)
     flat = out.T
@@ -128,7 +139,7 @@ def _tokenize(f: Format):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, start = tokens.encoder(f.tokenizer or tokens.default_path()), TaskContext.get().partitionId(), 0
         total = np.zeros(encoder.tokenizer.get_vocab_size() + 1, np.int64)
-        for batch in rows(batches, 256):
+        for batch in rows(batches, 1024):
             ids = [np.append(x, np.int32(f.end_id)) for x in encoder.encode([t or "" for t in batch.column("text").to_pylist()])]
             ends = start + np.cumsum([len(x) for x in ids])
             seen = np.bincount(np.concatenate(ids), minlength=len(total))
@@ -191,10 +202,11 @@ def _encode(f: Format, code, offsets: dict[int, int]):
 def write_tokens(spark: SparkSession, docs: DataFrame, path: str, fmt: Format = Format()) -> None:
     """docs(doc_id, text, ...) -> files at path, in ascending order of doc_id (ties by text; null ids first).
 
-    Null text: empty, so the end id alone. Repeated rows are all written. More columns are ignored.
+    Null text: empty, so the end id alone; a null doc_id comes back as null. Repeated rows are all written. More columns
+    are ignored.
     """
     parts = shuffle_partitions(spark)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranged = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     ids = keep(spark, ranged.mapInArrow(_tokenize(fmt), TOKENS), "ids")
     counts = ids.select("counts").where("counts is not null").mapInArrow(_counts, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # a row for each id of the vocabulary
@@ -224,7 +236,7 @@ def _decode(lengths):
                 sizes = np.frombuffer(sizes, np.int64)
                 ends, data = np.cumsum(sizes), memoryview(x.astype("<u4").tobytes())
                 for doc_id, n, end in zip(np.frombuffer(documents, np.int64).tolist(), sizes.tolist(), ends.tolist(), strict=True):
-                    out.append((doc_id, start + end - n, n, zlib.crc32(data[4 * (end - n) : 4 * end]), bytes(data[4 * (end - n) : 4 * end])))
+                    out.append((None if doc_id == NO_ID else doc_id, start + end - n, n, zlib.crc32(data[4 * (end - n) : 4 * end]), bytes(data[4 * (end - n) : 4 * end])))
             kinds = [pa.int64()] * 4 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 

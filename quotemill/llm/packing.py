@@ -147,7 +147,7 @@ def cuts(n: int, p: Packing) -> list[tuple[int, int]]:
 def _pieces(p: Packing):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seen = tokens.encoder(p.tokenizer or tokens.default_path()), TaskContext.get().partitionId(), np.zeros(p.capacity + 1, np.int64)
-        for batch in rows(batches, 256):
+        for batch in rows(batches, 1024):
             out = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
                 data, n = np.append(ids, np.int32(p.end_id)).astype("<u4").tobytes(), len(ids) + 1

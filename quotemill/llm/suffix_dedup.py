@@ -67,7 +67,8 @@ def string_hashes(data: np.ndarray, powers: Powers) -> np.ndarray:
     return mix64((total[K:] - total[:-K]) * down[: n - K + 1])
 
 
-PLACE_BITS = 28
+#: No column holds a longer text.
+PLACE_BITS = 31
 
 
 def named(hashes: np.ndarray, frequent: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -223,18 +223,18 @@ def test_huffman_tokens(spark, docs, empty):
     rows = sorted(corpus(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     for r in rows:
         ids = np.append(encoder.tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 2).astype("<u4")
-        want.append((-(2**63) if r[0] is None else r[0], at, len(ids), zlib.crc32(ids.tobytes())))
+        want.append((r[0], at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     got = huffman_tokens.token_digests(spark, docs, huffman_tokens.Format(block_ids=500)).drop("ids").collect()
-    assert sorted(map(tuple, got)) == sorted(want)
+    assert Counter(map(tuple, got)) == Counter(want)
     assert huffman_tokens.token_digests(spark, empty).count() == 0
 
 
 def test_huffman_code():
     r = np.random.default_rng(2)
-    for counts in (np.array([0, 5]), np.array([1, 1]), np.array([2**i for i in range(30)]), r.integers(0, 50, 3000)):
+    for counts in (np.array([0, 5]), np.array([1, 1]), np.array([2**i for i in range(30)]), r.integers(0, 50, 3000), r.integers(1, 9, 70_000)):
         lengths = huffman_tokens.code_lengths(counts)
-        assert (lengths > 0).tolist() == (counts > 0).tolist() and lengths.max() <= 16
+        assert (lengths > 0).tolist() == (counts > 0).tolist() and lengths.max() <= (16 if len(counts) < 65_536 else 18)
         assert sum(2.0 ** -lengths[lengths > 0]) <= 1
         ids = r.choice(np.flatnonzero(counts), 1000)
         payload, checkpoints = huffman_tokens.encode_ids(ids, huffman_tokens.canonical_codes(lengths), lengths)
