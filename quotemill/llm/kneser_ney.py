@@ -1,128 +1,198 @@
-"""Modified Kneser-Ney model over the characters of words, in sorted hash arrays.
+"""Modified Kneser-Ney model of order 4 over the running characters of texts, counted and solved by Spark.
 
-A word is a sequence of its own, from a start to an end mark, so a word's probability doesn't depend on its
-neighbours: counts are gathered from distinct words and scores are kept by distinct word. N-grams are named by
-hashes of SLOT_BITS bits that take in the language, so the tables are bounded by 2^SLOT_BITS rows for each order,
-whatever the corpus; n-grams that share a hash share a count.
+A text is its words with a space after each, behind two start marks and a space; the model predicts every character of
+the words and every space after a word. The first two predictions of a word look back into the word before it, so word
+order enters. What is gathered and remembered is bounded by distinct things:
+ * the inside of a word: the n-grams that begin at its space or later, once for each distinct word;
+ * an edge: the two n-grams that reach into the word before, once for each pair of (last two characters, first two).
+
+Every n-gram of the corpus is a row (context: three characters of 21 bits, d: the last one), n its count in learned
+texts (0 where only others hold it). Lower orders count different characters before, by groupBy. All probabilities are
+solved by joins, so that scoring is one look-up of each n-gram.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count, islice
 
 import numpy as np
-from xxhash import xxh3_64_intdigest
-
-from quotemill.llm.common import POLY, mix64
-
-ORDER, SLOT_BITS = 4, 21
-START, END = 0x110000, 0x110001
-
-
-def _marked(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Characters of all words with their marks; the place of each in its word (start: 0); its word's number."""
-    cps = np.frombuffer((b"\n".join(words) + b"\n").decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int64)
-    sep = cps == 10
-    number = np.cumsum(sep) - sep
-    at = np.arange(len(cps)) + number + 1
-    chars, word = np.full(len(cps) + len(words), START, np.int64), np.zeros(len(cps) + len(words), np.int64)
-    chars[at] = np.where(sep, END, cps)
-    word[at] = number
-    first = np.flatnonzero(chars == START)
-    word[first] = np.arange(len(words))
-    return chars, np.arange(len(chars)) - first[word], word
-
-
-def _hashes(chars: np.ndarray, n: int, lang: int) -> np.ndarray:
-    """Of the n-gram that ends at each place; meaningless where its word is shorter."""
-    c, h = chars.astype(np.uint64) + np.uint64(1), np.zeros(len(chars), np.uint64)
-    for i in range(n - 1, -1, -1):
-        h *= np.uint64(POLY)
-        h[i:] += c[: len(c) - i]
-    return (mix64(h + np.uint64((lang * 31 + n * POLY) & (2**64 - 1))) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-
-def lang_salt(lang: str | None) -> int:
-    return xxh3_64_intdigest((lang or "").encode())
-
-
-def ngram_counts(words: list[bytes], counts: np.ndarray, lang: str | None) -> list[tuple[int, np.ndarray]]:
-    """For each order, rows (hash, hash of all but its last character, of all but its first, is first in a word, count)."""
-    chars, place, word = _marked(words)
-    salt, out = lang_salt(lang), []
-    by_order = {n: _hashes(chars, n, salt) for n in range(1, ORDER + 1)}
-    for n in range(1, ORDER + 1):
-        p = np.flatnonzero(place >= max(1, n - 1))
-        h = by_order[n][p]
-        context = by_order[n - 1][p - 1] if n > 1 else np.zeros(len(p), np.int64)
-        suffix = by_order[n - 1][p] if n > 1 else np.zeros(len(p), np.int64)
-        uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        total = np.bincount(inverse, weights=counts[word[p]]).astype(np.int64)
-        out.append((n, np.stack([uniq, context[first], suffix[first], (place[p] == n - 1)[first], total])))
-    return out
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quotemill.llm.common import POLY, keep, mix64
+
+ORDER, CHAR_BITS = 4, 21
+SPACE, START = 32, 0x110000
+#: Words whose n-grams are spread out at once.
+PIECE = 30_000
+
+
+class Words:
+    """Numbers words; keeps, by number, the classes of their last two and first two characters."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers = defaultdict(count().__next__)
+        self.suffix, self.prefix = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.suffixes, self.prefixes = _Classes(), _Classes()
+        self.suffixes.of(np.array([START << CHAR_BITS | START]))  # class 0: before the first word
+
+    @property
+    def full(self) -> bool:
+        return len(self.numbers) > self.limit
+
+    def of(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """The numbers of the words of each text."""
+        return [np.fromiter(map(self.numbers.__getitem__, w), np.int64, len(w)) for w in texts]
+
+    def new(self) -> list[bytes]:
+        """Words that have come since this was last called; learns their classes."""
+        words = list(islice(self.numbers, len(self.suffix), None))
+        for at in range(0, len(words), PIECE):
+            chars, start, end = spelled(words[at : at + PIECE])
+            self.suffix = np.concatenate([self.suffix, self.suffixes.of(chars[end - 2] << CHAR_BITS | chars[end - 1])])
+            self.prefix = np.concatenate([self.prefix, self.prefixes.of(chars[start + 1] << CHAR_BITS | chars[start + 2])])
+        return words
+
+    def edges(self, numbers: list[np.ndarray]) -> np.ndarray:
+        """For all words of the texts, the pair (class of the word before, its own class)."""
+        flat = np.concatenate(numbers)
+        before = np.zeros(len(flat), np.int64)
+        before[1:] = self.suffix[flat[:-1]]
+        ends = np.cumsum([len(x) for x in numbers])
+        first = (ends - [len(x) for x in numbers])[[len(x) > 0 for x in numbers]]
+        before[first] = 0
+        return before << 31 | self.prefix[flat]
+
+    def edge_grams(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(context, d) of the two n-grams of each edge: those of all first ones, then those of all second ones."""
+        s, p = self.suffixes.names()[edges >> 31], self.prefixes.names()[edges & ((1 << 31) - 1)]
+        low = (1 << CHAR_BITS) - 1
+        first, second = s << CHAR_BITS | SPACE, ((s & low) << 2 * CHAR_BITS) | (SPACE << CHAR_BITS) | (p >> CHAR_BITS)
+        return np.concatenate([first, second]), np.concatenate([p >> CHAR_BITS, p & low])
+
+
+class _Classes:
+    def __init__(self):
+        self.numbers = defaultdict(count().__next__)
+
+    def of(self, names: np.ndarray) -> np.ndarray:
+        uniq, inverse = np.unique(names, return_inverse=True)
+        return np.fromiter(map(self.numbers.__getitem__, uniq.tolist()), np.int64, len(uniq))[inverse]
+
+    def names(self) -> np.ndarray:
+        return np.fromiter(self.numbers, np.int64, len(self.numbers))
+
+
+def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The characters of all words, each between two spaces, and the places of these two."""
+    chars = np.frombuffer((b" " + b"  ".join(words) + b" ").decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int64)
+    spaces = np.flatnonzero(chars == SPACE)
+    return chars, spaces[::2], spaces[1::2]
+
+
+def inner_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(context, d, place of the word) of the n-grams inside words; then how many characters each word has, with its space."""
+    chars, start, end = spelled(words)
+    word = np.repeat(np.arange(len(words)), end - start + 1)
+    p = np.flatnonzero(np.arange(len(chars)) - start[word] >= ORDER - 1)
+    return chars[p - 3] << 2 * CHAR_BITS | chars[p - 2] << CHAR_BITS | chars[p - 1], chars[p], word[p], end - start
+
+
+def summed(context: np.ndarray, d: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows (context, d, n) with each n-gram once."""
+    low = (1 << CHAR_BITS) - 1
+    columns = [context >> 2 * CHAR_BITS, context >> CHAR_BITS & low, context & low, d]
+    alphabet = np.unique(np.concatenate(columns))
+    if len(alphabet) > 1 << 16:  # four numbers of 16 bits are a name; with more characters, half the rows at a time
+        half = len(d) // 2
+        yield from summed(context[:half], d[:half], n[:half])
+        yield from summed(context[half:], d[half:], n[half:])
+        return
+    name = np.zeros(len(d), np.uint64)
+    for c in columns:
+        name = name << np.uint64(16) | np.searchsorted(alphabet, c).astype(np.uint64)
+    _, first, inverse = np.unique(name, return_index=True, return_inverse=True)
+    yield context[first], d[first], np.bincount(inverse, weights=n).astype(np.int64)
+
+
+def gram_hash(context: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return mix64(context.astype(np.uint64) * np.uint64(POLY) + mix64(d.astype(np.uint64) + np.uint64(1)))
 
 
 @dataclass
 class Model:
-    """For each order: sorted hashes with log10 probabilities, and sorted context hashes with log10 back-off weights."""
-
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    backoff: list[tuple[np.ndarray, np.ndarray]]
-    floor: float
-
-    def word_scores(self, words: list[bytes], lang: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Log10 probability, and characters with the end, of each word."""
-        chars, place, word = _marked(words)
-        salt = lang_salt(lang)
-        score, open_ = np.zeros(len(chars)), place >= 1
-        score[open_] = 0.0
-        for n in range(ORDER, 0, -1):
-            p = np.flatnonzero(open_ & (place >= n - 1))
-            if len(p):
-                found, value = _look(self.grams[n - 1], _hashes(chars, n, salt)[p])
-                score[p[found]] += value[found]
-                open_[p[found]] = False
-                rest = p[~found]
-                if n > 1 and len(rest):
-                    known, weight = _look(self.backoff[n - 1], _hashes(chars, n - 1, salt)[rest - 1])
-                    score[rest[known]] += weight[known]
-        score[open_] += self.floor
-        return np.bincount(word, weights=score, minlength=len(words)), np.bincount(word, minlength=len(words)) - 1
-
-
-def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    names, values = table
-    if not len(names):
-        return np.zeros(len(keys), bool), np.zeros(len(keys))
-    at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
-    return names[at] == keys, values[at]
-
-
-def build(rows: dict[int, np.ndarray]) -> Model:
-    """rows[order]: the five rows of ngram_counts() over the whole corpus, sorted by hash, each hash once."""
-    grams, backoff, below = [], [], None
-    uniform = 1 / 2**SLOT_BITS
-    for n in range(1, ORDER + 1):
-        h, context, suffix, starts, count = rows.get(n, np.zeros((5, 0), np.int64))
-        c = count.astype(float)
-        if n < ORDER and len(h):  # how many different characters stand before it, unless it begins a word
-            longer = rows[n + 1][2] if n + 1 in rows else np.zeros(0, np.int64)
-            at = np.minimum(np.searchsorted(h, longer), len(h) - 1)
-            before = np.bincount(at[h[at] == longer], minlength=len(h))
-            c = np.where((starts > 0) | (before == 0), c, before)
-        n1, n2, n3, n4 = (max(1, int((c == k).sum())) for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2)
-        discount = np.array([0.0] + [min(max(k - (k + 1) * y * b / a, 0.1), k - 0.1) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))])
-        kind = np.minimum(c, 3).astype(int)
-        names, place = np.unique(context, return_inverse=True)
-        total = np.bincount(place, weights=c, minlength=len(names))
-        left = np.bincount(place, weights=discount[kind], minlength=len(names)) / np.maximum(total, 1)
-        lower = np.full(len(h), uniform)
-        if n > 1:
-            found, value = _look(below, suffix)
-            lower = np.where(found, 10**value, uniform)
-        p = np.maximum(c - discount[kind], 0) / np.maximum(total[place], 1) + left[place] * lower
-        below = (h, np.log10(np.maximum(p, 1e-12)))
-        grams.append(below)
-        backoff.append((names, np.log10(np.maximum(left, 1e-12))))
-    return Model(grams, backoff, float(np.log10(uniform)) + (float(backoff[0][1][0]) if len(backoff[0][1]) else 0.0))
+    """The sorted hashes of all n-grams of the corpus and their log10 probabilities."""
+
+    hashes: np.ndarray
+    logs: np.ndarray
+
+    def look(self, context: np.ndarray, d: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(d))
+        h = gram_hash(context, d)
+        return self.logs[np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)].astype(np.float64)
+
+    def inner(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Log10 probability of the inside of each word, and its characters with the space."""
+        scores, sizes = [np.zeros(0)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), PIECE):
+            context, d, word, size = inner_grams(words[at : at + PIECE])
+            scores.append(np.bincount(word, weights=self.look(context, d), minlength=len(size)))
+            sizes.append(size)
+        return np.concatenate(scores), np.concatenate(sizes)
+
+
+def sorted_arrays(rows) -> Model:
+    """rows: an Arrow table (context, d, log_p)."""
+    h = gram_hash(rows.column("context").to_numpy(), rows.column("d").to_numpy())
+    order = np.argsort(h)
+    return Model(h[order], rows.column("log_p").to_numpy()[order].astype(np.float32))
+
+
+def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
+    """What is taken from counts of 1, 2, and 3 or more, given how many n-grams have the counts 1 to 4."""
+    n1, n2, n3, n4 = (max(1, n or 0) for n in (n1, n2, n3, n4))
+    y = n1 / (n1 + 2 * n2)
+    return [min(max(k - (k + 1) * y * b / a, 0.1), k - 0.1) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+
+
+def log_probabilities(spark: SparkSession, counts: DataFrame) -> DataFrame:
+    """counts(context, d, n) -> context, d, log_p (log10) for every row, also those whose n is 0.
+
+    Of the lower orders, a count is how many different characters stand before the n-gram. Unknown characters share
+    the mass of the lowest order evenly with the known ones. All is joins and groupings of tables of n-grams.
+    """
+
+    def shorter(order: int) -> Column:
+        return F.col("context").bitwiseAND(F.lit((1 << CHAR_BITS * (order - 1)) - 1)).alias("context")
+
+    grams, wanted = {ORDER: counts.where("n > 0")}, {ORDER: counts.select("context", "d")}
+    for order in range(ORDER - 1, 0, -1):
+        grams[order] = keep(spark, grams[order + 1].groupBy(shorter(order), "d").agg(F.count("*").alias("n")), f"grams{order}")
+        wanted[order] = wanted[order + 1].select(shorter(order), "d").distinct()
+    sums = None
+    for order, table in grams.items():
+        row = table.agg(F.lit(order).alias("order"), *[F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)], F.count_if(F.col("n") > 2).alias("more"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("kinds"))
+        sums = row if sums is None else sums.union(row)
+    sums = {r["order"]: r for r in sums.collect()}  # a row for each order
+    cut = {order: discounts(*r[1:5]) for order, r in sums.items()}
+
+    def taken(order: int) -> Column:
+        return F.when(F.col("n") == 1, cut[order][0]).when(F.col("n") == 2, cut[order][1]).otherwise(cut[order][2])
+
+    one = sums[1]
+    rest = sum(a * b for a, b in zip(cut[1], (one["n1"], one["n2"], one["more"]), strict=True)) / max(1, one["total"]) if one["total"] else 1.0
+    p = wanted[1].join(grams[1], ["context", "d"], "left").select("context", "d", (F.coalesce((F.col("n") - taken(1)) / max(1, one["total"]), F.lit(0.0)) + rest / (one["kinds"] + 1)).alias("p"))
+    for order in range(2, ORDER + 1):
+        left = grams[order].groupBy("context").agg(F.sum("n").alias("total"), (F.sum(taken(order)) / F.sum("n")).alias("left"))
+        own = wanted[order].join(grams[order], ["context", "d"], "left").join(left, "context", "left")
+        own = own.withColumn("below", shorter(order - 1)).join(p.select(F.col("context").alias("below"), "d", F.col("p").alias("lower")), ["below", "d"])
+        p = own.select("context", "d", (F.coalesce((F.col("n") - taken(order)) / F.col("total"), F.lit(0.0)) + F.coalesce("left", F.lit(1.0)) * F.col("lower")).alias("p"))
+    return p.select("context", "d", F.log10("p").alias("log_p"))

@@ -1,7 +1,7 @@
 """Language ID: averaged hashed subword embeddings with a linear softmax, trained in numpy, with calibrated rejection.
 
 Subwords are the words and their 2- to 4-character pieces, with marks at the ends, in hash buckets. The model is
-fitted on a bounded sample of documents (FIT_DOCUMENTS, by hash of doc_id) and on short stretches of them, so that
+fitted on a bounded number of documents of each language (fit_documents, by hash of doc_id) and on short stretches of them, so that
 short texts are met in training too. A part of the sample calibrates the temperature and the rejection threshold.
 For scoring, embedding and softmax weights fold into one table of bucket scores, and each distinct word keeps its sum.
 """
@@ -15,11 +15,11 @@ from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quotemill.llm.common import POLY, crc_mod, mix64, rows
-from quotemill.llm.kneser_ney import _marked
+from quotemill.llm.kneser_ney import spelled
 
 UNKNOWN = "und"
 
@@ -28,8 +28,8 @@ UNKNOWN = "und"
 class Settings:
     fold: int = 3
     held_out: int = 1
-    #: Documents that the model is fitted on, at most, and words of the short stretch of each.
-    fit_documents: int = 3000
+    #: Documents of each language that the model is fitted on, at most, and words of the short stretch of each.
+    fit_documents: int = 700
     stretch: int = 12
     bucket_bits: int = 15
     dim: int = 16
@@ -43,7 +43,9 @@ class Settings:
 
 def subwords(words: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the subwords of all words, and which word each belongs to."""
-    chars, place, word = _marked(words)
+    chars, start, stop = spelled(words)
+    word = np.repeat(np.arange(len(words)), stop - start + 1)
+    place = np.arange(len(chars)) - start[word]
     c = chars.astype(np.uint64) + np.uint64(1)
     buckets, owners = [], []
     for n in (2, 3, 4):
@@ -160,11 +162,14 @@ def _predict(s: Settings, model):
 
 
 def train(docs: DataFrame, s: Settings) -> Model:
-    """From text and lang of documents that are not held out, a bounded sample of them."""
-    known = docs.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    mod = max(1, docs.count() // s.fit_documents)
-    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(mod)) == 0).limit(2 * s.fit_documents)
-    got = sample.select("doc_id", "text", "lang").mapInArrow(_features(s), "doc_id bigint, kind int, lang string, buckets binary, shares binary").orderBy("doc_id", "kind").collect()
+    """From text and lang of documents that are not held out: of each language a bounded number, the first by hash of
+    doc_id. A hash leaves about twice as many of a language in before they are ranked."""
+    known = docs.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("draw", F.xxhash64("doc_id", F.lit(11)))
+    sizes = known.groupBy("lang").agg(F.greatest(F.lit(1), F.expr(f"count(*) div {2 * s.fit_documents}")).alias("one_in"))
+    drawn = known.join(sizes, "lang").where(F.pmod("draw", "one_in") == 0)
+    ranked = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text")))
+    sample = ranked.where(F.col("k") <= s.fit_documents)
+    got = sample.select("doc_id", "text", "lang").mapInArrow(_features(s), "doc_id bigint, kind int, lang string, buckets binary, shares binary").orderBy("doc_id", "lang", "kind", "buckets").collect()
     return fit([(np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["shares"], np.float32), r["lang"], (r["doc_id"] or 0) % s.calibrate == 0) for r in got], s)
 
 
