@@ -47,6 +47,8 @@ class Join:
     flush: int = 3_000_000
     #: Index groups of at most this many sets give all their pairs at once.
     small_group: int = 6
+    #: Turns in which the members of larger groups meet one member, before those in different components are compared.
+    star_turns: int = 1
 
 
 def bounds(n: int, percent: int) -> tuple[int, int]:
@@ -349,8 +351,16 @@ def _classes(spark: SparkSession, docs: DataFrame, j: Join) -> tuple[DataFrame,
     texts = _texts(spark, j, docs, nodes, pairs)
     labels = connected_components(spark, keep(spark, _linked(j, pairs, texts), "links"))
     # large index groups gave the pairs with their least member only: what lies across components is compared now
-    large = found.where("kind = 2").select(F.col("a").alias("name"), F.col("b").alias("set_id"))
-    across = keep(spark, _across(spark, j, large, labels, sized).distinct().join(pairs, ["a", "b"], "left_anti"), "across")
+    large = keep(spark, found.where("kind = 2").select(F.col("a").alias("name"), F.col("b").alias("set_id")), "large")
+    tried = pairs
+    for turn in range(j.star_turns):
+        member = _unsettled(spark, large, labels)
+        stars = keep(spark, _likely(j, _stars(member, turn).join(tried, ["a", "b"], "left_anti"), sized), "stars")
+        if stars.isEmpty():
+            break
+        labels = add_links(spark, labels, keep(spark, _linked(j, stars, _texts(spark, j, docs, nodes, stars)), "links"))
+        tried = tried.union(stars)
+    across = keep(spark, _across(j, _unsettled(spark, large, labels), sized).join(tried, ["a", "b"], "left_anti"), "across")
     if not across.isEmpty():
         labels = add_links(spark, labels, keep(spark, _linked(j, across, _texts(spark, j, docs, nodes, across)), "links"))
 
@@ -400,28 +410,46 @@ def _linked(j: Join, pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(j), "a bigint, b bigint")
 
 
+def _unsettled(spark: SparkSession, large: DataFrame, labels: DataFrame) -> DataFrame:
+    """(name, set_id, label) of the large index groups whose members are in several components."""
+    member = keep(spark, large.join(labels.toDF("set_id", "label"), "set_id", "left").select("name", "set_id", F.coalesce("label", "set_id").alias("label")), "member")
+    groups = member.groupBy("name").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("name")
+    return keep(spark, member.join(groups, "name"), "unsettled")
+
+
+def _stars(member: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each member with one member of its group, another in each turn, where these are in different components.
+
+    Most members of a group of near copies join its component by one of these, so a row for each member in each turn
+    takes the place of most of its pairs.
+    """
+    middle = member.groupBy("name").agg(F.min_by(F.struct("set_id", "label"), F.xxhash64("set_id", F.lit(turn))).alias("m"))
+    pairs = member.join(middle, "name").where("label <> m.label")
+    return pairs.select(F.least("set_id", "m.set_id").alias("a"), F.greatest("set_id", "m.set_id").alias("b")).distinct()
+
+
 #: Members of an index group that one task compares with as many others.
 BLOCK = 4000
 
 
-def _across(spark: SparkSession, j: Join, large: DataFrame, labels: DataFrame, sized: DataFrame) -> DataFrame:
+def _across(j: Join, member: DataFrame, sized: DataFrame) -> DataFrame:
     """Pairs in different components of a large index group that sizes and bitmaps allow.
 
-    Only groups with several components are looked at. A group of more than BLOCK members is dealt out by pairs of
-    blocks; inside, bitmaps are compared in arrays, and only the pairs that they allow become rows.
+    A group of more than BLOCK members is dealt out by pairs of blocks; inside, bitmaps are compared in arrays. Only
+    the pairs that they allow become rows, each in the first of the groups that both are in.
     """
-    member = keep(spark, large.join(labels.toDF("set_id", "label"), "set_id", "left").select("name", "set_id", F.coalesce("label", "set_id").alias("label")), "member")
-    groups = member.groupBy("name").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y")
-    groups = keep(spark, groups.select("name", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "groups")
-    dealt = member.join(groups, "name").join(sized, "set_id").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    groups = member.groupBy("name").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    names = member.groupBy("set_id").agg(F.sort_array(F.collect_set("name")).alias("names"))  # a set has few segments
+    dealt = member.join(groups, "name").join(sized, "set_id").join(names, "set_id").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("name", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "set_id", "label", "n", "bits")
+    dealt = dealt.select("name", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "set_id", "label", "n", "bits", "names")
     return dealt.groupBy("name", "x", "y").applyInArrow(_compare(j), "a bigint, b bigint")
 
 
 def _compare(j: Join):
     def run(key, table):
-        one_block = key[1].as_py() == key[2].as_py()
+        group, one_block = key[0].as_py(), key[1].as_py() == key[2].as_py()
+        names = [set(x) for x in table.column("names").to_pylist()]
         own, name, label, n = (table.column(c).to_numpy() for c in ("own", "set_id", "label", "n"))
         bits = table.column("bits").to_pylist()
         length = np.array([len(b) for b in bits])
@@ -440,6 +468,7 @@ def _compare(j: Join):
                 gap = np.bitwise_count(by_length[int(k)][at] ^ by_length[int(k)][i]).sum(1)
                 total = n[at] + n[i]
                 at = at[gap <= total - 2 * (-(-total * j.percent // (100 + j.percent)))]
+                at = at[[min(names[i] & names[o]) == group for o in at]] if len(at) else at
                 out.append(np.stack([np.full(len(at), name[i]), name[at]]))
         x = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
         return pa.table([pa.array(x[0].astype(np.int64)), pa.array(x[1].astype(np.int64))], ["a", "b"])
