@@ -449,7 +449,16 @@ def _across(j: Join, member: DataFrame, sized: DataFrame) -> DataFrame:
 def _compare(j: Join):
     def run(key, table):
         group, one_block = key[0].as_py(), key[1].as_py() == key[2].as_py()
-        names = [set(x) for x in table.column("names").to_pylist()]
+        names = table.column("names").combine_chunks()
+        ends, flat, earlier = names.offsets.to_numpy(), names.values.to_numpy(), {}
+
+        def before(i: int) -> list[int]:
+            """Names of a member's groups that come before this one."""
+            if i not in earlier:
+                own = flat[ends[i] : ends[i + 1]]
+                earlier[i] = own[: np.searchsorted(own, group)].tolist()
+            return earlier[i]
+
         own, name, label, n = (table.column(c).to_numpy() for c in ("own", "set_id", "label", "n"))
         bits = table.column("bits").to_pylist()
         length = np.array([len(b) for b in bits])
@@ -468,7 +477,9 @@ def _compare(j: Join):
                 gap = np.bitwise_count(by_length[int(k)][at] ^ by_length[int(k)][i]).sum(1)
                 total = n[at] + n[i]
                 at = at[gap <= total - 2 * (-(-total * j.percent // (100 + j.percent)))]
-                at = at[[min(names[i] & names[o]) == group for o in at]] if len(at) else at
+                if len(at):
+                    mine = set(before(i))
+                    at = at[[mine.isdisjoint(before(o)) for o in at.tolist()]]
                 out.append(np.stack([np.full(len(at), name[i]), name[at]]))
         x = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
         return pa.table([pa.array(x[0].astype(np.int64)), pa.array(x[1].astype(np.int64))], ["a", "b"])
