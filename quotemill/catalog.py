@@ -18,6 +18,8 @@ def _with_views(sql: str) -> str:
     used = [f"{name} as ({text})" for name, text in views.SQL.items() if re.search(rf"\b(from|join)\s+{name}\b", sql)]
     if not used:
         return sql
+    if sql.lstrip().lower().startswith("with recursive "):
+        return "with recursive " + ", ".join(used) + ", " + sql.lstrip()[15:]
     if sql.lstrip().lower().startswith("with "):
         return "with " + ", ".join(used) + ", " + sql.lstrip()[5:]
     return "with " + ", ".join(used) + " " + sql

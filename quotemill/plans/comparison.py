@@ -14,30 +14,34 @@ from quotemill.sources.views import attr, quote, rule
 
 def sensors(spark: SparkSession, d: str) -> DataFrame:
     """Products with typed characteristics; some are unknown on purpose."""
-    p = table(spark, d, "part")
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    body = F.length("p_type") % 3
     return p.select(
-        F.col("p_partkey").alias("id"),
+        k.alias("id"),
         F.col("p_brand").alias("brand"),
         F.lit("inductive").alias("family"),
-        F.when(F.col("p_partkey") % 7 != 0, F.col("p_type")).alias("body_type"),
-        F.when(F.col("p_partkey") % 5 != 0, F.col("p_size")).alias("diameter"),
+        F.when(k % 7 != 0, F.when(body == 0, "threaded").when(body == 1, "smooth").otherwise("rect")).alias("body_type"),
+        F.when(F.expr("p_partkey div 100 % 5 <> 3"), F.col("p_size")).alias("diameter"),
         F.split("p_name", " ")[1].alias("output"),
-        (F.col("p_partkey") % 4).alias("sn"),
-        (-25 - F.col("p_partkey") % 3 * 10).alias("tmin"),
-        (60 + F.col("p_partkey") % 2 * 10).alias("tmax"),
-        F.split("p_name", " ")[0].alias("material"),
-        (100 + F.col("p_partkey") % 3 * 100).alias("load"),
+        F.when(k % 13 != 0, k % 4).alias("sn"),
+        (-25 - k % 3 * 10).alias("tmin"),
+        (60 + k % 2 * 10).alias("tmax"),
+        F.when(k % 17 != 0, F.split("p_name", " ")[0]).alias("material"),
+        (100 + k % 3 * 100).alias("load"),
+        (F.col("p_size") + k % 3).alias("length"),
+        F.when(k % 11 == 0, 4).otherwise(3).alias("wire_count"),
     )
 
 
-SENSORS_SQL = """s as (select p_partkey id, p_brand brand, case when p_partkey % 7 <> 0 then p_type end body_type, case when p_partkey % 5 <> 0 then p_size end diameter,
-  split_part(p_name, ' ', 2) as output, p_partkey % 4 sn, -25 - p_partkey % 3 * 10 tmin, 60 + p_partkey % 2 * 10 tmax, split_part(p_name, ' ', 1) material, 100 + p_partkey % 3 * 100 as load from part)"""
+SENSORS_SQL = """s as (select p_partkey id, p_brand brand, case when p_partkey % 7 <> 0 then case length(p_type) % 3 when 0 then 'threaded' when 1 then 'smooth' else 'rect' end end body_type,
+  case when p_partkey // 100 % 5 <> 3 then p_size end diameter, split_part(p_name, ' ', 2) as output, case when p_partkey % 13 <> 0 then p_partkey % 4 end sn, -25 - p_partkey % 3 * 10 tmin, 60 + p_partkey % 2 * 10 tmax,
+  case when p_partkey % 17 <> 0 then split_part(p_name, ' ', 1) end material, 100 + p_partkey % 3 * 100 as load, p_size + p_partkey % 3 as length, case when p_partkey % 11 = 0 then 4 else 3 end wire_count from part)"""
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The products with an id divisible by 100 against all others' brands."""
     s = sensors(spark, d)
-    anchors = s.where("id % 100 = 1")
-    return matching.wildcard_blocks(anchors, s, ["body_type", "diameter"]).where("l.brand <> r.brand")
+    return matching.wildcard_blocks(s.where("id % 100 = 0"), s, ["body_type", "diameter"]).where("l.brand <> r.brand")
 
 
 def jo11_wildcard_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -46,34 +50,51 @@ def jo11_wildcard_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def co1_analogues(spark: SparkSession, d: str) -> DataFrame:
-    """Status of every candidate of the anchors and its number of differences."""
+    """Status of every candidate of the anchors, its differences, reserves and missing mandatory fields."""
     e = matching.evaluate(_pairs(spark, d))
-    return e.select(F.col("l.id").alias("anchor"), F.col("r.id").alias("candidate"), "status", F.size(F.filter("fields", lambda f: f["outcome"] == "difference")).cast("long").alias("differences"))
+    differences = sum((F.when(F.col(c) == "difference", 1).otherwise(0) for c in e.columns if c.startswith("o_")), F.lit(0))
+    return e.select(F.col("l.id").alias("anchor"), F.col("r.id").alias("candidate"), "status", differences.cast("long").alias("differences"), "reserves", "missing_mandatory")
 
 
 def co18_match_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Fields of the matches that are not ruled out, by outcome."""
-    e = matching.evaluate(_pairs(spark, d)).where(F.col("status") != "incompatible").select(F.explode("fields").alias("f"))
-    return e.groupBy(F.col("f.field").alias("field"), F.col("f.group").alias("kind"), F.col("f.outcome").alias("outcome")).agg(F.count("*").alias("n"))
+    """A row for each field of the direct and close matches: both values and the outcome."""
+    e = matching.evaluate(_pairs(spark, d)).where(F.col("status").isin("direct", "close"))
+    return e.select(F.col("l.id").alias("anchor"), F.col("r.id").alias("chosen"), F.explode("fields").alias("f")).select("anchor", "chosen", "f.field", F.col("f.group").alias("kind"), "f.reference", "f.candidate", "f.outcome")
+
+
+RISK = ["r0", "r1", "r2", "r3", "r4"]
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    e = matching.evaluate(_pairs(spark, d)).where(F.col("status").isin("direct", "close", "review"))
-    risk = F.col("risk")
-    return e.select(F.col("l.id").alias("anchor"), F.col("r.id").alias("candidate"), F.col("r.brand").alias("brand"), "status", risk[0].alias("r0"), risk[1].alias("r1"), risk[2].alias("r2"), risk[3].alias("r3"), risk[4].alias("r4"))
+    """Candidates in which what the anchor knows of diameter and output is known too."""
+    e = matching.evaluate(_pairs(spark, d)).where(F.col("status").isin("direct", "close", "review") & (F.col("l.diameter").isNull() | F.col("r.diameter").isNotNull()) & (F.col("l.output").isNull() | F.col("r.output").isNotNull()))
+    return e.select(F.col("l.id").alias("anchor"), F.col("r.id").alias("candidate"), F.col("r.brand").alias("brand"), "status", *[F.col("risk")[i].alias(r) for i, r in enumerate(RISK)], "length_gap", "reserves", "missing_mandatory")
 
 
 def wi7_first_layer(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates that no other of their anchor, brand and status beats in every measure."""
-    return matching.first_layer(_scored(spark, d), ["anchor", "brand", "status"], ["r0", "r1", "r2", "r3", "r4"]).select("anchor", "candidate", "status")
+    """Candidates that no other of their anchor, brand and status beats: no risk larger and one smaller, or equal risks
+    and a smaller length gap, or then fewer reserves."""
+    return matching.first_layer(_scored(spark, d), ["anchor", "brand", "status"], RISK, last=["length_gap", "reserves"]).select("anchor", "candidate", "status")
+
+
+STATUS_RANK = {"direct": 0, "close": 1, "review": 2}
+
+
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
+    ranked = matching.layers(_scored(spark, d), ["anchor", "brand", "status"], RISK, last=["length_gap", "reserves"])
+    return ranked.withColumn("rank", F.when(F.col("status") == "direct", 0).when(F.col("status") == "close", 1).otherwise(2))
 
 
 def co2_ranking(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates by brand: status, Pareto layer, then measures; the best of each brand."""
-    ranked = matching.layers(_scored(spark, d), ["anchor", "brand", "status"], ["r0", "r1", "r2", "r3", "r4"])
-    order = F.when(F.col("status") == "direct", 0).when(F.col("status") == "close", 1).otherwise(2)
-    w = Window.partitionBy("anchor", "brand").orderBy(order, "layer", "r0", "r1", "r2", "r3", "r4", "candidate")
-    return ranked.withColumn("place", F.row_number().over(w)).where("place = 1").select("anchor", "brand", "candidate", "status", F.col("layer").cast("long").alias("layer"))
+    """The best candidate of each brand: status, missing mandatory fields, layer, then id."""
+    best = F.min(F.struct("rank", "missing_mandatory", "layer", "candidate", "status"))
+    return _ranked(spark, d).groupBy("anchor", "brand").agg(best.alias("b")).select("anchor", "brand", "b.candidate", "b.status", F.col("b.layer").cast("long").alias("layer"))
+
+
+def wi8_brand_order(spark: SparkSession, d: str) -> DataFrame:
+    """The first three candidates of each brand in that order."""
+    w = Window.partitionBy("anchor", "brand").orderBy("rank", "missing_mandatory", "layer", "candidate")
+    return _ranked(spark, d).withColumn("place", F.row_number().over(w).cast("long")).where("place <= 3").select("anchor", "brand", "candidate", "place")
 
 
 def ag6_consensus(spark: SparkSession, d: str) -> DataFrame:
@@ -214,25 +235,49 @@ def fn19_with_tax(spark: SparkSession, d: str) -> DataFrame:
     return q.groupBy("rate").agg(F.sum(prices.with_tax(F.col("price"), F.col("rate"))).cast("double").alias("gross"))
 
 
+_OUTCOMES = {
+    "body_type": ("mandatory", "'incompatible'"), "diameter": ("mandatory", "'incompatible'"), "output": ("mandatory", "'incompatible'"),
+    "sn": ("important", "'difference'"), "tmin": ("important", "case when r.tmin < l.tmin then 'reserve' else 'difference' end"), "tmax": ("important", "case when r.tmax > l.tmax then 'reserve' else 'difference' end"),
+    "material": ("important", "'difference'"), "load": ("important", "case when r.load > l.load then 'reserve' else 'difference' end"), "length": ("secondary", "'secondary'"), "wire_count": ("secondary", "'secondary'"),
+}
+
+
 def _sql_status() -> str:
-    return f"""with {SENSORS_SQL}, p as (select l.id a, r.id c, r.brand brand,
-  (l.body_type is null or r.body_type is null or l.diameter is null or r.diameter is null) mandatory_missing, l.output <> r.output incompatible,
-  (l.sn <> r.sn)::int + (l.tmin < r.tmin)::int + (l.tmax > r.tmax)::int + (l.material <> r.material)::int + (l.load > r.load)::int differences,
-  greatest(0, r.tmin - l.tmin)::double r0, greatest(0, l.tmax - r.tmax)::double r1, abs(l.sn - r.sn)::double r2, (l.material <> r.material)::int::double r3, greatest(0, l.load - r.load)::double r4
-  from s l join s r on l.id % 100 = 1 and l.brand <> r.brand and (l.body_type = r.body_type or l.body_type is null or r.body_type is null) and (l.diameter = r.diameter or l.diameter is null or r.diameter is null)),
- e as (select *, case when incompatible then 'incompatible' when mandatory_missing then 'review' when differences > 0 then 'close' else 'direct' end status from p)"""
+    """Evaluation of all pairs as SQL."""
+    outcomes = ", ".join(f"case when l.{n} is null or r.{n} is null then 'missing' when l.{n} = r.{n} then 'exact' else {x} end o_{n}, l.{n}::varchar l_{n}, r.{n}::varchar r_{n}" for n, (_, x) in _OUTCOMES.items())
+
+    def total(value: str, *groups: str) -> str:
+        return " + ".join(f"(o_{n} = '{value}')::bigint" for n, (g, _) in _OUTCOMES.items() if g in groups)
+
+    inf = "'infinity'::double"
+    return f"""with recursive {SENSORS_SQL}, p as (select l.id a, r.id c, r.brand brand, l.body_type body, l.diameter ld, r.diameter rd, {outcomes},
+  greatest(0, r.tmin - l.tmin)::double r0, greatest(0, l.tmax - r.tmax)::double r1, coalesce(abs(l.sn - r.sn)::double, {inf}) r2, case when l.material is null or r.material is null then {inf} else (l.material <> r.material)::int::double end r3, greatest(0, l.load - r.load)::double r4, abs(l.length - r.length)::double length_gap
+  from s l join s r on l.id % 100 = 0 and l.brand <> r.brand and (l.body_type = r.body_type or l.body_type is null or r.body_type is null) and (l.diameter = r.diameter or l.diameter is null or r.diameter is null)),
+ e as (select *, {total("difference", "important")} differences, {total("reserve", "important")} reserves, {total("missing", "mandatory")} missing_mandatory,
+  case when o_output = 'incompatible' then 'incompatible' when coalesce(body, 'smooth') = 'rect' or o_wire_count = 'secondary' or {total("missing", "mandatory", "important")} > 0 then 'review' when {total("difference", "important")} > 0 then 'close' else 'direct' end status from p),
+ k as (select * from e where status in ('direct', 'close', 'review') and (ld is null or rd is not null))"""
+
+
+_BEATS = "(y.r0 <= x.r0 and y.r1 <= x.r1 and y.r2 <= x.r2 and y.r3 <= x.r3 and y.r4 <= x.r4 and (y.r0 < x.r0 or y.r1 < x.r1 or y.r2 < x.r2 or y.r3 < x.r3 or y.r4 < x.r4 or y.length_gap < x.length_gap or (y.length_gap = x.length_gap and y.reserves < x.reserves)) and ((y.r0, y.r1, y.r2, y.r3, y.r4) <> (x.r0, x.r1, x.r2, x.r3, x.r4) or y.length_gap < x.length_gap or (y.length_gap = x.length_gap and y.reserves < x.reserves)))"
+#: Longest chain of points that beat a point, and itself: its layer.
+_LAYERS = f""", q as (select distinct a, brand, status, r0, r1, r2, r3, r4, length_gap, reserves from k), lay as (select q.*, 1 as layer from q union select x.*, y.layer + 1 from lay y join q x on y.a = x.a and y.brand = x.brand and y.status = x.status and {_BEATS}),
+ deep as (select a, brand, status, r0, r1, r2, r3, r4, length_gap, reserves, max(layer) as layer from lay group by all),
+ z as (select k.*, layer, case status when 'direct' then 0 when 'close' then 1 else 2 end rank from k join deep using (a, brand, status, r0, r1, r2, r3, r4, length_gap, reserves))"""
 
 
 def _last(basis: str) -> str:
     return f"(select rule_id, max((checked_at, run_id, line_no, source_id, price, basis, rate)) m from quote where status = 'priced' and basis = '{basis}' group by 1)"
 
 
-QUERIES = {f.__name__: f for f in (jo11_wildcard_blocks, co1_analogues, co18_match_evidence, wi7_first_layer, co2_ranking, ag6_consensus, ag8_completeness, ag9_coverage_matrix, ag10_attribute_frequency, li6_samples, sk2_wide_export, fn25_price_views, fn27_delta, co4_model_statistics, ag5_price_analytics, fi3_search, li3_search_order, li1_page_with_total, li2_keyset_page, jo12_resolve, co16_facets, wi6_duplicates, ag22_brands, fn24_terms, fn15_money, fn19_with_tax)}
+QUERIES = {f.__name__: f for f in (jo11_wildcard_blocks, co1_analogues, co18_match_evidence, wi7_first_layer, co2_ranking, wi8_brand_order, ag6_consensus, ag8_completeness, ag9_coverage_matrix, ag10_attribute_frequency, li6_samples, sk2_wide_export, fn25_price_views, fn27_delta, co4_model_statistics, ag5_price_analytics, fi3_search, li3_search_order, li1_page_with_total, li2_keyset_page, jo12_resolve, co16_facets, wi6_duplicates, ag22_brands, fn24_terms, fn15_money, fn19_with_tax)}
 STATS = "select rule_id, basis, count(*) points, arg_min(price, (checked_at, run_id, line_no, source_id, price, rate))::double a, arg_max(price, (checked_at, run_id, line_no, source_id, price, rate))::double b from quote where status = 'priced' group by 1, 2"
 SQL = {
-    "jo11_wildcard_blocks": f"with {SENSORS_SQL} select l.id anchor, count(*) candidates, sum(r.id)::bigint id_sum from s l join s r on l.id % 100 = 1 and l.brand <> r.brand and (l.body_type = r.body_type or l.body_type is null or r.body_type is null) and (l.diameter = r.diameter or l.diameter is null or r.diameter is null) group by 1",
-    "co1_analogues": _sql_status() + " select a anchor, c candidate, status, differences::bigint differences from e",
-    "wi7_first_layer": _sql_status() + ", k as (select * from e where status in ('direct', 'close', 'review')) select a anchor, c candidate, status from k x where not exists (select 1 from k y where y.a = x.a and y.brand = x.brand and y.status = x.status and y.r0 <= x.r0 and y.r1 <= x.r1 and y.r2 <= x.r2 and y.r3 <= x.r3 and y.r4 <= x.r4 and (y.r0 < x.r0 or y.r1 < x.r1 or y.r2 < x.r2 or y.r3 < x.r3 or y.r4 < x.r4))",
+    "jo11_wildcard_blocks": f"with {SENSORS_SQL} select l.id anchor, count(*) candidates, sum(r.id)::bigint id_sum from s l join s r on l.id % 100 = 0 and l.brand <> r.brand and (l.body_type = r.body_type or l.body_type is null or r.body_type is null) and (l.diameter = r.diameter or l.diameter is null or r.diameter is null) group by 1",
+    "co1_analogues": _sql_status() + " select a anchor, c candidate, status, differences, reserves, missing_mandatory from e",
+    "co18_match_evidence": _sql_status() + ", m as (select * from e where status in ('direct', 'close')) " + " union all ".join(f"select a anchor, c chosen, '{n}' as field, '{g}' kind, l_{n} reference, r_{n} candidate, o_{n} outcome from m" for n, (g, _) in _OUTCOMES.items()),
+    "wi7_first_layer": _sql_status() + f" select a anchor, c candidate, status from k x where not exists (select 1 from k y where y.a = x.a and y.brand = x.brand and y.status = x.status and {_BEATS})",
+    "co2_ranking": _sql_status() + _LAYERS + " select a anchor, brand, arg_min(c, (rank, missing_mandatory, layer, c)) candidate, arg_min(status, (rank, missing_mandatory, layer, c)) status, arg_min(layer, (rank, missing_mandatory, layer, c))::bigint as layer from z group by 1, 2",
+    "wi8_brand_order": _sql_status() + _LAYERS + ", o as (select a anchor, brand, c candidate, row_number() over (partition by a, brand order by rank, missing_mandatory, layer, c) place from z) select * from o where place <= 3",
     "ag6_consensus": "select rule_id, name, case when count(distinct value) = 1 then min(value) end as value, count(distinct value) > 1 conflict, count(value) sightings from attr group by 1, 2",
     "ag8_completeness": "with c as (select rule_id, name, count(distinct value) n from attr group by 1, 2) select manufacturer, count(distinct rule_id) products, count_if(n = 1) agreed, count_if(n > 1) conflicts, count(*) fields, round(count_if(n = 1) / count(*) * 100, 4) as share from rule join c using (rule_id) group by 1",
     "ag9_coverage_matrix": "with c as (select rule_id, name, count(distinct value) n from attr group by 1, 2), g as (select rule_id, manufacturer, f.name from rule, (values ('Size, mm'), ('Type'), ('Color'), ('VAT')) f(name)) select manufacturer, name, count(*) total, count(n) raw, count_if(coalesce(n, 0) = 1) known, count_if(coalesce(n, 0) > 1) conflicts from g left join c using (rule_id, name) group by 1, 2",

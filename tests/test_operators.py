@@ -40,14 +40,14 @@ def test_wildcard_blocks_equal_the_or_condition(spark):
     assert got == want
 
 
-def pair(spark, candidate, reference=(1, "own", "inductive", "M18 threaded", 18.0, 5.0, -45.0, 85.0, 60.0)):
+def pair(spark, candidate, reference=(1, "own", "inductive", "threaded", 18.0, 5.0, -45.0, 85.0, 60.0)):
     s = spark.createDataFrame([reference, candidate], SENSOR)
     row = F.struct(*s.columns)
     return s.where("id = 1").select(row.alias("l")).join(s.where("id = 2").select(row.alias("r")), F.lit(True))
 
 
 def status(spark, profile="general", **change):
-    base = dict(zip([c.split()[0] for c in SENSOR.split(", ")], (2, "x", "inductive", "M18 threaded", 18.0, 5.0, -45.0, 85.0, 60.0)))
+    base = dict(zip([c.split()[0] for c in SENSOR.split(", ")], (2, "x", "inductive", "threaded", 18.0, 5.0, -45.0, 85.0, 60.0)))
     return matching.evaluate(pair(spark, tuple((base | change).values())), profile).first()["status"]
 
 
@@ -60,12 +60,20 @@ def test_evaluation_statuses(spark):
     assert status(spark, diameter=None) == "review"
     assert status(spark, family=None) == "unsupported"
     assert status(spark, length=10.0) == "direct"
+    odd = (1, "own", "inductive", "M18 threaded", 18.0, 5.0, -45.0, 85.0, 60.0)  # bodies are codes: another one is reviewed
+    assert matching.evaluate(pair(spark, (2, "x", *odd[2:]), odd)).first()["status"] == "review"
+    unknown = matching.evaluate(pair(spark, (2, "x", "inductive", "threaded", 18.0, None, -45.0, 85.0, 60.0))).first()
+    assert unknown["status"] == "review" and float("inf") in unknown["risk"]
 
 
 def test_pareto_layers(spark):
     df = spark.createDataFrame([("g", 1.0, 3.0), ("g", 2.0, 2.0), ("g", 2.0, 3.0), ("g", 3.0, 3.0), ("h", 9.0, 9.0)], "g string, a double, b double")
     assert sorted(values(matching.layers(df, ["g"], ["a", "b"]).select("g", "a", "b", "layer"))) == [("g", 1.0, 3.0, 1), ("g", 2.0, 2.0, 1), ("g", 2.0, 3.0, 2), ("g", 3.0, 3.0, 3), ("h", 9.0, 9.0, 1)]
     assert matching.first_layer(df, ["g"], ["a", "b"]).count() == 3
+    lost = spark.createDataFrame([("g", 0.0, 9.0, 9.0, 5.0, 1), ("g", 1.0, 1.0, 1.0, 0.0, 0), ("g", 0.0, 9.0, 9.0, 5.0, 0), ("g", 0.0, 9.0, 9.0, 6.0, 0)], "g string, t double, a double, b double, gap double, spare long")
+    got = matching.layers(lost, ["g"], ["a", "b"], "t", ["gap", "spare"]).select("t", "gap", "spare", "layer")
+    assert sorted(values(got)) == [(0.0, 5.0, 0, 1), (0.0, 5.0, 1, 2), (0.0, 6.0, 0, 3), (1.0, 0.0, 0, 4)]  # temperature, risk, length, reserves
+    assert values(matching.first_layer(lost, ["g"], ["a", "b"], "t", ["gap", "spare"]).select("t", "gap", "spare")) == [(0.0, 5.0, 0)]
 
 
 def test_consensus_and_shares(spark):
