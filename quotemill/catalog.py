@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quotemill.plans import collection, comparison, history, imports, pages, publications
+from quotemill.plans import attributes, collection, comparison, dates, history, imports, pages, publications
 from quotemill.sources import views
 
 FLAGSHIP = "jo2_latest_check"
@@ -27,6 +27,6 @@ def _with_views(sql: str) -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for module in (history, collection, comparison, imports, pages, publications):
+for module in (history, collection, comparison, attributes, dates, imports, pages, publications):
     QUERIES |= module.QUERIES
     SQL |= {name: _with_views(sql) for name, sql in module.SQL.items()}
