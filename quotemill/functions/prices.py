@@ -15,13 +15,17 @@ def parse_money(text: Column) -> Column:
 
 
 def parse_terms(text: Column) -> Column:
-    """struct(basis, rate, unit): basis and rate unknown where the text is silent or contradicts itself; pack beats piece."""
-    low = F.lower(text)
-    net, gross = low.rlike(r"без ндс|excl\.? vat|net of vat"), low.rlike(r"с ндс|вкл\w* ндс|incl\.? vat|gross")
-    rates = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(low, F.lit(r"([0-9]{1,3}) ?%"), F.lit(1)), lambda x: x.cast("int")), lambda x: x <= 100))
+    """struct(basis, rate, unit): basis and rate unknown where the text is silent or contradicts itself; pack beats piece.
+    A percentage is a rate only beside the name of the tax."""
+    low = F.lower(F.regexp_replace(text, r"(?U)\s+", " "))
+    excluded = r"(?U)без (?:уч[её]та )?ндс|не включая ндс|ндс не включ[её]н|excl\w*\.? vat|net of vat"
+    net, rest = low.rlike(excluded), F.regexp_replace(low, excluded, "")
+    gross = rest.rlike(r"(?U)\bс (?:уч[её]том )?ндс|включая ндс|ндс (?:\d+(?:[.,]\d+)? ?% ?)?включ[её]н|в т\.? ?ч\.? ?ндс|incl\w*\.? vat|vat included|gross")
+    named = [F.regexp_extract_all(low, F.lit(p), F.lit(1)) for p in (r"(?:ндс|vat) ?[:(]? ?([0-9]+(?:[.,][0-9]+)?) ?%", r"([0-9]+(?:[.,][0-9]+)?) ?% ?(?:ндс|vat)")]
+    rates = F.array_distinct(F.transform(F.concat(*named), lambda x: F.replace(x, F.lit(","), F.lit(".")).cast("double")))
     return F.struct(
         F.when(net & ~gross, "net").when(gross & ~net, "gross").otherwise("unknown").alias("basis"),
-        F.when(F.size(rates) == 1, rates[0]).alias("rate"),
+        F.when((F.size(rates) == 1) & (F.try_element_at(rates, F.lit(1)) <= 100), rates[0]).alias("rate"),
         F.when(low.rlike(r"упак|pack"), "pack").when(low.rlike(r"шт|piece"), "piece").alias("unit"),
     )
 

@@ -56,7 +56,7 @@ def keyword_class(text: Column, keywords: Mapping[str, Sequence[str]], fallback:
     counted = F.array(*[F.struct(sum((F.when(low.contains(w), 1).otherwise(0) for w in words), F.lit(0)).alias("hits"), F.lit(-i).alias("rank"), F.lit(name).alias("category")) for i, (name, words) in enumerate(keywords.items())])
     best = F.array_max(counted)
     hit = best["hits"] > 0
-    return F.struct(F.when(hit, best["category"]).otherwise(fallback).alias("category"), best["hits"].alias("hits"), F.when(hit, F.least(F.lit(0.95), F.round(0.45 + 0.12 * best["hits"], 2))).otherwise(0.0).alias("confidence"))
+    return F.struct(F.when(hit, best["category"]).otherwise(fallback).alias("category"), best["hits"].alias("hits"), F.when(hit, F.least(F.lit(0.95), F.round(0.45 + 0.12 * best["hits"], 2))).otherwise(0.2).alias("confidence"))
 
 
 def protected_tokens(text: Column) -> Column:

@@ -6,18 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Query parameters that only track visitors (fixed values).
-TRACKING = r"^(utm_[a-z]+|gclid|yclid|fbclid|ref)="
+TRACKING = r"(?i)^(utm_[^=]*|gclid|fbclid)="
 #: Path endings of files that are no pages (fixed values).
 ASSETS = r"\.(?:css|js|png|jpe?g|gif|svg|ico|woff2?|mp4|zip|pdf)$"
 
 
 def canonical(url: Column) -> Column:
-    """Scheme and host in lower case, no fragment, no tracking parameters, the others sorted, no slash at the end."""
+    """Scheme and host in lower case, no fragment, no tracking parameters, the others sorted, no slash at the end but
+    that of the root."""
     bare = F.split_part(url, F.lit("#"), F.lit(1))
     path = F.split_part(bare, F.lit("?"), F.lit(1))
-    place = F.concat(F.lower(F.regexp_extract(path, r"^([A-Za-z]+://[^/]*)", 1)), F.regexp_replace(path, r"^[A-Za-z]+://[^/]*", ""))
+    inside = F.regexp_replace(F.regexp_replace(path, r"^[A-Za-z]+://[^/]*", ""), "/+$", "")
+    place = F.concat(F.lower(F.regexp_extract(path, r"^([A-Za-z]+://[^/]*)", 1)), F.when(inside == "", "/").otherwise(inside))
     kept = F.array_sort(F.filter(F.split(F.regexp_extract(bare, r"\?(.*)$", 1), "&"), lambda p: (p != "") & ~p.rlike(TRACKING)))
-    return F.concat(F.regexp_replace(place, "/+$", ""), F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
+    return F.concat(place, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
 
 
 def dedupe_key(url: Column) -> Column:

@@ -33,11 +33,15 @@ def consensus(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return out.select(*keys, F.when(F.col("_least") == F.col("_most"), F.col("_least")).alias(value), F.coalesce(F.col("_least") != F.col("_most"), F.lit(False)).alias("conflict"), "sightings")
 
 
-def resolve(wanted: DataFrame, catalogue: DataFrame, key: str, target: str) -> DataFrame:
-    """exact with the only match, ambiguous, or missing; a key asked for again is a duplicate."""
+def resolve(wanted: DataFrame, catalogue: DataFrame, key: str, target: str, line: str | None = None) -> DataFrame:
+    """exact with the only match, ambiguous, or missing; where lines are given, a key on a later line again is a duplicate."""
     known = catalogue.groupBy(key).agg(F.count_distinct(target).alias("_n"), F.min(target).alias("_t"))
-    state = F.when(F.col("_n").isNull(), "missing").when(F.col("_n") == 1, "exact").otherwise("ambiguous")
-    return wanted.join(known, key, "left").select(*wanted.columns, state.alias("state"), F.when(F.col("_n") == 1, F.col("_t")).alias(target))
+    repeated = F.lit(False)
+    if line:
+        first = wanted.groupBy(key).agg(F.min(line).alias("_first"))
+        wanted, repeated = wanted.join(first, key), F.col(line) > F.col("_first")
+    state = F.when(repeated, "duplicate").when(F.col("_n").isNull(), "missing").when(F.col("_n") == 1, "exact").otherwise("ambiguous")
+    return wanted.join(known, key, "left").select(*[c for c in wanted.columns if c != "_first"], state.alias("state"), F.when((F.col("_n") == 1) & ~repeated, F.col("_t")).alias(target))
 
 
 def shares(df: DataFrame, bucket: str, buckets: Sequence[str]) -> DataFrame:

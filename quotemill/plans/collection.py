@@ -86,9 +86,9 @@ def jo17_snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
 
 
 def se3_selection(spark: SparkSession, d: str) -> DataFrame:
-    """Two selections merged in order, kept to products that exist."""
-    a = table(spark, d, "lineitem").where("l_orderkey < 2000").groupBy(F.col("l_partkey").alias("rule_id")).agg(F.min("l_orderkey").alias("at"))
-    b = table(spark, d, "lineitem").where("l_orderkey between 1500 and 3000").groupBy(F.col("l_partkey").alias("rule_id")).agg(F.min("l_orderkey").alias("at"))
+    """Two selections (returned lines, large lines) merged in order, kept to products that exist."""
+    a = table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("rule_id")).agg(F.min("l_orderkey").alias("at"))
+    b = table(spark, d, "lineitem").where("l_quantity >= 45").groupBy(F.col("l_partkey").alias("rule_id")).agg(F.min("l_orderkey").alias("at"))
     return checks.ordered_union([a, b], "rule_id", "at").join(rule(spark, d).where("size < 40").select("rule_id"), "rule_id", "left_semi").select("rule_id", F.col("part").cast("long").alias("part"), "at")
 
 
@@ -139,10 +139,16 @@ SQL = {
     "ag24_operations": "select http_status, status, count(*) n, floor(epoch((select max(checked_at) from obs) - max(checked_at)) / 3600)::bigint age_hours from obs group by 1, 2",
     "jo9_pending": "select source_id, count(*) jobs from quote where status = 'no_price' and source_id not in (select s_suppkey from supplier where s_acctbal < 0) group by 1",
     "jo17_snapshot_diff": "select rule_id, case when rule_id % 11 = 0 then 'added' else 'changed' end change from rule where rule_id % 13 <> 0 and (rule_id % 11 = 0 or rule_id % 5 = 0)",
-    "se3_selection": "with u as (select l_partkey rule_id, 0 p, min(l_orderkey) k from lineitem where l_orderkey < 2000 group by 1 union all select l_partkey, 1, min(l_orderkey) from lineitem where l_orderkey between 1500 and 3000 group by 1) select rule_id, min(p)::bigint part, arg_min(k, (p, k)) as \"at\" from u where rule_id in (select rule_id from rule where size < 40) group by 1",
+    "se3_selection": "with u as (select l_partkey rule_id, 0 p, min(l_orderkey) k from lineitem where l_returnflag = 'R' group by 1 union all select l_partkey, 1, min(l_orderkey) from lineitem where l_quantity >= 45 group by 1) select rule_id, min(p)::bigint part, arg_min(k, (p, k)) as \"at\" from u where rule_id in (select rule_id from rule where size < 40) group by 1",
     "se6_absent_variants": "with e as (select distinct category, size from rule), b as (select distinct manufacturer, category from rule) select manufacturer, count(*) absent from b join e using (category) where not exists (select 1 from rule r where r.manufacturer = b.manufacturer and r.category = b.category and r.size = e.size) group by 1",
     "se8_absent_brands": "select 'Brand#' || i manufacturer from range(1, 40) t(i) where 'Brand#' || i not in (select manufacturer from rule)",
     "ag14_activity": "select competitor, count_if(kind = 'news') news, count_if(kind = 'products') products, count(*) total from chk group by 1",
     "li4_top_competitors": "select competitor, count(*) n from chk group by 1 order by n desc, competitor limit 5",
     "jo29_activity_join": "select o_orderkey, c_name, n_name from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where o_orderdate between date '1995-01-01' and date '1995-03-31'",
+    "st2_lifecycle": """with recursive k as (select rule_id, status, epoch(checked_at) ts, row_number() over (partition by rule_id order by checked_at, obs_id) n from obs where status in ('priced', 'on_request', 'no_price', 'not_found')),
+  f as (select distinct rule_id, 0::bigint n, 'new' state, 0 missing, -1e18::double last, 0 events from k
+  union all select f.rule_id, k.n, case when k.status <> 'not_found' then 'active' when k.ts - f.last < 86400 then f.state when f.missing >= 1 then 'archived' else 'review' end,
+    case when k.status <> 'not_found' then 0 when k.ts - f.last < 86400 then f.missing else f.missing + 1 end, case when k.status <> 'not_found' then -1e18 when k.ts - f.last < 86400 then f.last else k.ts end,
+    f.events + case when k.status <> 'not_found' then (f.state <> 'active')::int when k.ts - f.last < 86400 then 0 when f.missing >= 1 then (f.state <> 'archived')::int else (f.state <> 'review')::int end from f join k on k.rule_id = f.rule_id and k.n = f.n + 1)
+  select rule_id, arg_max(state, n) state, arg_max(missing, n) missing, arg_max(events, n) events from f group by 1""",
 }

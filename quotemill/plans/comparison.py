@@ -133,6 +133,12 @@ def sk2_wide_export(spark: SparkSession, d: str) -> DataFrame:
     return a.select("rule_id", F.col("`Size, mm`").alias("size"), F.col("Type").alias("type"), F.col("Color").alias("color"), F.col("VAT").alias("vat"))
 
 
+def sk2_long_export(spark: SparkSession, d: str) -> DataFrame:
+    """The long table beside it: every different property of a product, numbered."""
+    w = Window.partitionBy("rule_id").orderBy("name", "value")
+    return attr(spark, d).distinct().select("rule_id", F.row_number().over(w).cast("long").alias("line"), "name", "value")
+
+
 def fn25_price_views(spark: SparkSession, d: str) -> DataFrame:
     q = quote(spark, d).where("status = 'priced'")
     p, b, r = F.col("price"), F.col("basis"), F.col("rate")
@@ -192,11 +198,12 @@ def li2_keyset_page(spark: SparkSession, d: str) -> DataFrame:
 
 
 def jo12_resolve(spark: SparkSession, d: str) -> DataFrame:
-    """Titles and categories looked up in the catalogue: missing, exact or ambiguous."""
+    """Every product's title with its size, a third of them misspelt, looked up in the catalogue: missing, exact, ambiguous,
+    or asked for on an earlier line."""
     r = rule(spark, d)
-    wanted = r.where("rule_id % 10 = 0").select(F.col("title").alias("name")).union(r.where("rule_id % 50 = 1").select("category")).union(r.where("rule_id % 100 = 2").select(F.concat("title", F.lit(" x")))).distinct()
-    names = r.select(F.col("title").alias("name"), "rule_id").union(r.select("category", "rule_id"))
-    return checks.resolve(wanted, names, "name", "rule_id")
+    name = F.concat_ws(" ", "manufacturer", "title", F.col("size").cast("string"))
+    wanted = r.select(F.col("rule_id").alias("line"), F.when(F.col("rule_id") % 3 == 0, F.concat(name, F.lit(" x"))).otherwise(name).alias("name"))
+    return checks.resolve(wanted, r.select(name.alias("name"), "rule_id"), "name", "rule_id", "line")
 
 
 def co16_facets(spark: SparkSession, d: str) -> DataFrame:
@@ -269,7 +276,7 @@ def _last(basis: str) -> str:
     return f"(select rule_id, max((checked_at, run_id, line_no, source_id, price, basis, rate)) m from quote where status = 'priced' and basis = '{basis}' group by 1)"
 
 
-QUERIES = {f.__name__: f for f in (jo11_wildcard_blocks, co1_analogues, co18_match_evidence, wi7_first_layer, co2_ranking, wi8_brand_order, ag6_consensus, ag8_completeness, ag9_coverage_matrix, ag10_attribute_frequency, li6_samples, sk2_wide_export, fn25_price_views, fn27_delta, co4_model_statistics, ag5_price_analytics, fi3_search, li3_search_order, li1_page_with_total, li2_keyset_page, jo12_resolve, co16_facets, wi6_duplicates, ag22_brands, fn24_terms, fn15_money, fn19_with_tax)}
+QUERIES = {f.__name__: f for f in (jo11_wildcard_blocks, co1_analogues, co18_match_evidence, wi7_first_layer, co2_ranking, wi8_brand_order, ag6_consensus, ag8_completeness, ag9_coverage_matrix, ag10_attribute_frequency, li6_samples, sk2_wide_export, sk2_long_export, fn25_price_views, fn27_delta, co4_model_statistics, ag5_price_analytics, fi3_search, li3_search_order, li1_page_with_total, li2_keyset_page, jo12_resolve, co16_facets, wi6_duplicates, ag22_brands, fn24_terms, fn15_money, fn19_with_tax)}
 STATS = "select rule_id, basis, count(*) points, arg_min(price, (checked_at, run_id, line_no, source_id, price, rate))::double a, arg_max(price, (checked_at, run_id, line_no, source_id, price, rate))::double b from quote where status = 'priced' group by 1, 2"
 SQL = {
     "jo11_wildcard_blocks": f"with {SENSORS_SQL} select l.id anchor, count(*) candidates, sum(r.id)::bigint id_sum from s l join s r on l.id % 100 = 0 and l.brand <> r.brand and (l.body_type = r.body_type or l.body_type is null or r.body_type is null) and (l.diameter = r.diameter or l.diameter is null or r.diameter is null) group by 1",
@@ -284,6 +291,7 @@ SQL = {
     "ag10_attribute_frequency": "select manufacturer, name, count(*) n from attr join rule using (rule_id) group by 1, 2",
     "li6_samples": "select name, value, k from (select name, value, row_number() over (partition by name order by value) k from (select distinct name, value from attr)) where k <= 3",
     "sk2_wide_export": "with v as (select distinct rule_id, name, value from attr) select rule_id, string_agg(value, '; ' order by value) filter (name = 'Size, mm') size, string_agg(value, '; ' order by value) filter (name = 'Type') as type, string_agg(value, '; ' order by value) filter (name = 'Color') color, string_agg(value, '; ' order by value) filter (name = 'VAT') vat from v group by 1",
+    "sk2_long_export": "select rule_id, row_number() over (partition by rule_id order by name, value) line, name, value from (select distinct rule_id, name, value from attr)",
     "fn25_price_views": "select rule_id, run_id, line_no, price::double internet, case when basis = 'gross' then price::double else price::double * (1 + rate / 100.0) end gross, case when basis = 'net' then price::double else price::double / (1 + rate / 100.0) end net from quote where status = 'priced'",
     "fn27_delta": f"""with n as {_last("net")}, g as {_last("gross")}, j as (select rule_id, n.m[5]::double a, n.m[7] ra, g.m[5]::double b from n full join g using (rule_id)), k as (select rule_id, a * (1 + ra / 100.0) a2, b, a is null or b is null missing from j)
   select rule_id, case when not missing then round(b - a2, 2) end delta, case when not missing then round((b - a2) / a2 * 100, 4) end gap, case when missing then 'no price' when rule_id % 4 = 0 then 'unit unknown' else '' end note from k""",
@@ -293,7 +301,7 @@ SQL = {
     "li3_search_order": "select rule_id, title from rule where lower(manufacturer || ' ' || title) like '%a%' order by manufacturer <> 'Brand#11', not starts_with(title, 'a'), title, rule_id limit 10",
     "li1_page_with_total": "select rule_id, (select count(*) from rule where size between 10 and 20) total from rule where size between 10 and 20 order by list_price desc, rule_id limit 10 offset 20",
     "li2_keyset_page": "select rule_id, title from rule where rule_id > 50 order by rule_id limit 25",
-    "jo12_resolve": "with w as (select title as name from rule where rule_id % 10 = 0 union select category from rule where rule_id % 50 = 1 union select title || ' x' from rule where rule_id % 100 = 2), k as (select name, count(distinct rule_id) n, min(rule_id) t from (select title as name, rule_id from rule union all select category, rule_id from rule) group by 1) select name, case when n is null then 'missing' when n = 1 then 'exact' else 'ambiguous' end state, case when n = 1 then t end rule_id from w left join k using (name)",
+    "jo12_resolve": "with c as (select rule_id, manufacturer || ' ' || title || ' ' || size n from rule), w as (select rule_id line, case when rule_id % 3 = 0 then n || ' x' else n end as name from c), k as (select n as name, count(distinct rule_id) c, min(rule_id) t from c group by 1), f as (select name, min(line) first from w group by 1) select line, name, case when line > first then 'duplicate' when c is null then 'missing' when c = 1 then 'exact' else 'ambiguous' end state, case when c = 1 and line = first then t end rule_id from w join f using (name) left join k using (name)",
     "co16_facets": "select 'manufacturer' facet, manufacturer as option, count(*) n from rule where size < 20 group by 2 union all select 'size', size::varchar, count(*) from rule where manufacturer = 'Brand#11' group by 2",
     "wi6_duplicates": "select rule_id, k from (select rule_id, row_number() over (partition by manufacturer, category, size order by rule_id) k from rule) where k > 1",
     "ag22_brands": "select manufacturer, count(*) n from rule group by 1",

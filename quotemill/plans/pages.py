@@ -153,8 +153,8 @@ PATH = r"regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1)"
 QUERY = r"regexp_extract(url, '\?([^#]*)', 1)"
 LINKS = r"""select page_id, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*href="([^"]*)"', 1)) href from page"""
 QUERIES = {f.__name__: f for f in (fn31_canonical_url, fn35_dedupe_key, fn36_identity, fn32_paged_url, fn33_memory_key, sc8_links, fi10_url_class, fi11_article_url, fi12_robots, fi16_page_quality, fn50_headings, fn50_visible_text, fn54_attachments, ag17_manifest, li5_next_work, jo20_official_first)}
-CANON = r"""(select page_id, regexp_replace(lower(regexp_extract(split_part(split_part(url, '#', 1), '?', 1), '^([A-Za-z]+://[^/]*)', 1)) || regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '^[A-Za-z]+://[^/]*', ''), '/+$', '')
-  || case when len(k) > 0 then '?' || array_to_string(k, '&') else '' end as canonical from (select page_id, url, list_sort(list_filter(string_split(regexp_extract(split_part(url, '#', 1), '\?(.*)$', 1), '&'), lambda p: p <> '' and not regexp_matches(p, '^(utm_[a-z]+|gclid|yclid|fbclid|ref)='))) k from page))"""
+CANON = r"""(select page_id, lower(regexp_extract(split_part(split_part(url, '#', 1), '?', 1), '^([A-Za-z]+://[^/]*)', 1)) || coalesce(nullif(regexp_replace(regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '^[A-Za-z]+://[^/]*', ''), '/+$', ''), ''), '/')
+  || case when len(k) > 0 then '?' || array_to_string(k, '&') else '' end as canonical from (select page_id, url, list_sort(list_filter(string_split(regexp_extract(split_part(url, '#', 1), '\?(.*)$', 1), '&'), lambda p: p <> '' and not regexp_matches(p, '^(utm_[^=]*|gclid|fbclid)='))) k from page))"""
 SQL = {
     "fn31_canonical_url": f"select page_id, canonical from {CANON}",
     "fn35_dedupe_key": "select lower(regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '/+$', '')) url_key, count(*) pages, min(page_id) first_page from page group by 1",

@@ -41,8 +41,8 @@ def fn57_classify(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fn8_brief(spark: SparkSession, d: str) -> DataFrame:
-    """The first two sentences of posts, at most 200 characters."""
-    return post(spark, d).select("channel", "post_id", t.shortened(t.squeezed(F.col("text")), 200).alias("brief"))
+    """The first two sentences of posts, at most 420 characters."""
+    return post(spark, d).select("channel", "post_id", t.first_sentences(F.col("text"), 2, 420).alias("brief"))
 
 
 def ag13_quality_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -127,8 +127,8 @@ SQL = {
     "wi4_first_of_key": f"select sha256(lower({SQUEEZE})) as key, min(doc_id) doc_id, count(*) copies from doc group by 1",
     "wi5_best_row": "select source, arg_max(doc_id, (coalesce(quality, -1), n_chars, doc_id)) doc_id from doc group by 1",
     "wi9_diverse_top": "select doc_id, source from (select *, row_number() over (partition by source order by n_chars desc, doc_id) k from doc) order by (k > 1)::int, n_chars desc, doc_id limit 30",
-    "fn57_classify": "with h as (select doc_id, " + ", ".join(f"{e} h{i}" for i, e in enumerate(HITS.values())) + " from doc), m as (select *, greatest(" + ", ".join(f"h{i}" for i in range(len(HITS))) + ") m from h) select doc_id, case when m = 0 then 'other' " + " ".join(f"when h{i} = m then '{k}'" for i, k in enumerate(HITS)) + " end category, m::bigint hits, case when m = 0 then 0.0::double else least(0.95, round(0.45 + 0.12 * m, 2))::double end confidence from m",
-    "fn8_brief": f"select channel, post_id, case when length(s) > 200 then rtrim(left(s, 199)) || '…' else s end brief from (select channel, post_id, {SQUEEZE} s from post)",
+    "fn57_classify": "with h as (select doc_id, " + ", ".join(f"{e} h{i}" for i, e in enumerate(HITS.values())) + " from doc), m as (select *, greatest(" + ", ".join(f"h{i}" for i in range(len(HITS))) + ") m from h) select doc_id, case when m = 0 then 'other' " + " ".join(f"when h{i} = m then '{k}'" for i, k in enumerate(HITS)) + " end category, m::bigint hits, case when m = 0 then 0.2::double else least(0.95, round(0.45 + 0.12 * m, 2))::double end confidence from m",
+    "fn8_brief": f"select channel, post_id, case when length(s) > 420 then rtrim(left(s, 419)) || '…' else s end brief from (select channel, post_id, array_to_string(list_filter(string_split(regexp_replace({SQUEEZE}, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), lambda p: p <> '')[1:2], ' ') s from post)",
     "ag13_quality_summary": "select lang, count_if(quality = 1) verified, count_if(quality is null) unconfirmed, count_if(quality = 0) rejected from doc group by 1",
     "ag19_summary": "select source, count(*) n from doc where quality = 1 group by 1 order by n desc, source limit 3",
     "ag15_by_source": "select source, count_if(lang = 'en') n from doc group by 1",

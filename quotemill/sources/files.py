@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,13 +12,13 @@ from quotemill.functions.text import safe_cell
 
 
 def read_delimited(spark: SparkSession, path: str, columns: Sequence[str], aliases: Mapping[str, str] | None = None, separators: str = ";,\t") -> DataFrame:
-    """Bounded delimited files, one row for each line with its file, line number and error code.
+    """Bounded delimited files (see export_csv), one row for each line with its file, line number and error code.
 
-    The separator is the one that the header holds most often. Headers are matched without case, aliases apply; an
+    Files are UTF-8, or else Windows-1251; a quoted cell may hold separators and doubled quotes. The separator is the one that the header holds most often. Headers are matched without case, aliases apply; an
     unknown or a repeated header rejects the file. A line with more values than headers is rejected; blank lines go.
     """
     names = {c.lower(): c for c in columns} | {k.lower(): v for k, v in (aliases or {}).items()}
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^﻿", "").alias("value"))
+    lines = _decoded(spark, path).select("file", F.regexp_replace("value", "^\ufeff", "").alias("value"))
     lines = lines.select("file", F.transform(F.split("value", "\r?\n"), lambda x: F.trim(x)).alias("lines"))
     header = F.element_at("lines", 1)
     chosen = F.array_max(F.array(*[F.struct((F.length(header) - F.length(F.replace(header, F.lit(s), F.lit("")))).alias("n"), F.lit(-i).alias("i"), F.lit(s).alias("s")) for i, s in enumerate(separators)]))["s"]
@@ -26,7 +27,7 @@ def read_delimited(spark: SparkSession, path: str, columns: Sequence[str], alias
     lines = lines.withColumn("header", F.transform(F.split(F.element_at("lines", 1), F.concat(F.lit("\\Q"), F.col("sep"), F.lit("\\E")), -1), lambda h: F.try_element_at(known, F.lower(F.trim(h)))))
     bad_header = F.when(F.exists("header", lambda h: h.isNull()), "unknown_header").when(F.size(F.array_distinct("header")) < F.size("header"), "duplicate_header")
     rows = lines.select("file", "sep", "header", bad_header.alias("bad"), F.posexplode("lines").alias("line", "text")).where((F.col("line") > 0) & (F.col("text") != ""))
-    rows = rows.withColumn("values", F.split("text", F.concat(F.lit("\\Q"), F.col("sep"), F.lit("\\E")), -1))
+    rows = rows.withColumn("values", cells(F.col("text"), F.col("sep")))
     error = F.coalesce("bad", F.when(F.size("values") > F.size("header"), "value_without_header"))
 
     def value(name: str) -> Column:
@@ -36,7 +37,32 @@ def read_delimited(spark: SparkSession, path: str, columns: Sequence[str], alias
     return rows.select("file", (F.col("line") + 1).alias("line"), error.alias("error"), *[value(c).alias(c) for c in columns])
 
 
+def _decoded(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value): whole files as text; only those that are no UTF-8 go through a decoder in Python."""
+
+    @F.pandas_udf("string")
+    def cyrillic(content: pd.Series) -> pd.Series:
+        return content.map(lambda b: bytes(b).decode("cp1251", "replace"))
+
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    utf8 = F.is_valid_utf8(F.col("content").cast("string"))
+    return files.where(utf8).select("file", F.col("content").cast("string").alias("value")).union(files.where(~utf8).select("file", cyrillic("content")))
+
+
+def cells(line: Column, sep: Column) -> Column:
+    """The cells of a line; quotes around a cell go, doubled ones inside it are one."""
+    quoted = F.concat(F.lit("\\Q"), sep, F.lit("\\E"))
+    pattern = F.concat(quoted, F.lit('(?:"(?:[^"]|"")*"|(?:(?!'), quoted, F.lit(").)*)"))
+    found = F.regexp_extract_all(F.concat(sep, line), pattern, F.lit(0))
+    bare = F.transform(found, lambda x: F.trim(F.substr(x, F.lit(2))))
+    return F.transform(bare, lambda x: F.when(x.rlike('^".*"$'), F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+
+
+#: Lines of a file that export_csv() writes, at most: a reader takes a file at once.
+FILE_LINES = 10_000
+
+
 def export_csv(df: DataFrame, path: str) -> None:
-    """Semicolon-separated files in which no text cell is a formula."""
+    """Semicolon-separated files of at most FILE_LINES lines in which no text cell is a formula."""
     text = {f.name for f in df.schema if f.dataType.simpleString() == "string"}
-    df.select(*[safe_cell(F.col(c)).alias(c) if c in text else F.col(c) for c in df.columns]).write.csv(path, sep=";", header=True)
+    df.select(*[safe_cell(F.col(c)).alias(c) if c in text else F.col(c) for c in df.columns]).write.option("maxRecordsPerFile", FILE_LINES).csv(path, sep=";", header=True, escape='"')
