@@ -58,8 +58,10 @@ def co1_analogues(spark: SparkSession, d: str) -> DataFrame:
 
 def co18_match_evidence(spark: SparkSession, d: str) -> DataFrame:
     """A row for each field of the direct and close matches: both values and the outcome."""
-    e = matching.evaluate(_pairs(spark, d)).where(F.col("status").isin("direct", "close"))
-    return e.select(F.col("l.id").alias("anchor"), F.col("r.id").alias("chosen"), F.explode("fields").alias("f")).select("anchor", "chosen", "f.field", F.col("f.group").alias("kind"), "f.reference", "f.candidate", "f.outcome")
+    chosen = matching.evaluate(_pairs(spark, d)).where(F.col("status").isin("direct", "close")).select(F.col("l.id").alias("anchor"), F.col("r.id").alias("chosen"))
+    s = sensors(spark, d)
+    both = chosen.join(s.select(F.col("id").alias("anchor"), F.struct(*s.columns).alias("l")), "anchor").join(s.select(F.col("id").alias("chosen"), F.struct(*s.columns).alias("r")), "chosen")
+    return both.select("anchor", "chosen", F.explode(matching.evidence(both)).alias("f")).select("anchor", "chosen", "f.field", F.col("f.group").alias("kind"), "f.reference", "f.candidate", "f.outcome")
 
 
 RISK = ["r0", "r1", "r2", "r3", "r4"]
