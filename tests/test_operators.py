@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from quotemill.functions import prices, text, urls
+from quotemill.functions import dates, prices, text, urls
 from quotemill.operators import checks, history, matching
 from quotemill.sources.files import read_delimited
 from quotemill.streaming import lifecycle
@@ -86,8 +86,8 @@ def test_price_functions(spark):
     df = spark.createDataFrame([("1 234,5 RUB",), ("100.05",), ("100 / 20 %",), ("0",), (None,)], "x string")
     assert [r[0] and float(r[0]) for r in df.select(prices.parse_money(F.col("x"))).collect()] == [1234.5, 100.05, None, None, None]
     assert float(spark.range(1).select(prices.with_tax(F.lit("100.05"), F.lit(22))).first()[0]) == 122.06
-    terms = spark.createDataFrame([("120 с НДС 20 %",), ("120 без НДС, с НДС 20%",), ("10 excl. VAT 20 % or 10 % per pack",)], "x string").select(prices.parse_terms(F.col("x")).alias("t")).collect()
-    assert [tuple(r["t"]) for r in terms] == [("gross", 20, None), ("unknown", 20, None), ("net", None, "pack")]
+    terms = spark.createDataFrame([("120 с НДС 20 %",), ("120 без НДС, с НДС 20%",), ("10 excl. VAT 20 % or 10 % off per pack",), ("включая НДС 20%",), ("НДС 20 % или 10% НДС",)], "x string").select(prices.parse_terms(F.col("x")).alias("t")).collect()
+    assert [tuple(r["t"]) for r in terms] == [("gross", 20, None), ("unknown", 20, None), ("net", 20, "pack"), ("gross", 20, None), ("unknown", None, None)]  # a rate stands beside the tax
     quote = "struct<price:decimal(18,2),currency:string,unit:string,basis:string,rate:int>"
     pairs = spark.sql(f"select from_json('{{\"price\":100,\"currency\":\"RUB\",\"unit\":\"piece\",\"basis\":\"net\",\"rate\":22}}', '{quote}') a, from_json('{{\"price\":183,\"currency\":\"RUB\",\"unit\":\"piece\",\"basis\":\"gross\",\"rate\":22}}', '{quote}') b")
     assert tuple(pairs.select(prices.delta("a", "b").alias("d")).first()["d"]) == (61.0, 50.0, "")
@@ -99,6 +99,21 @@ def test_text_and_urls(spark):
     assert tuple(got) == ("http://ex.org/A?a=1&b=2", "'=1+1", "еж x", "x/a%20b")
 
 
+def test_delimited_files_with_quotes_and_old_encoding(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('\ufeffarticle;brand\n1;"a;b"\n2;"say ""x"""\n;y\n', "utf-8")
+    (tmp_path / "b.csv").write_bytes("article\tbrand\n3\tДатчик\n".encode("cp1251"))
+    rows = read_delimited(spark, str(tmp_path), ["article", "brand"]).select("article", "brand", "error").collect()
+    assert sorted(map(tuple, rows), key=str) == sorted([("1", "a;b", None), ("2", 'say "x"', None), (None, "y", None), ("3", "Датчик", None)], key=str)
+
+
+def test_dates_that_publishers_write(spark):
+    texts = ["2026-01-05T10:00", "Опубликовано 5.1.2026", "5 января 2026", "January 5, 2026", "5 Jan 2026", "2026.13.01", "31.02.2026", "модель 18x1", None, "5 мая 2026"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string").select(dates.parse_date(F.col("x")).cast("string").alias("d"), dates.announced_month(F.col("x")).cast("string").alias("m"))
+    rows = df.collect()
+    assert [r["d"] for r in rows] == ["2026-01-05"] * 5 + [None] * 4 + ["2026-05-05"]
+    assert [r["m"] for r in rows] == [None, None, "2026-01-01", None, None, None, None, None, None, "2026-05-01"]
+
+
 def test_delimited_files_reject(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Brand,Article\nx,1\n\ny,2,3\n")
     (tmp_path / "b.csv").write_text("Brand;Colour\nx;1\n")
