@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quotemill.operators import checks
@@ -51,10 +51,15 @@ def ag4_run_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ag3_progress(spark: SparkSession, d: str) -> DataFrame:
-    """By currency of the check: counters of every status, products, freshness."""
-    o = obs(spark, d)
-    kinds = [F.count_if(F.col("status") == s).alias(s) for s in ("priced", "on_request", "no_price", "not_found", "network_error")]
-    return o.groupBy("currency").agg(*kinds, F.count_distinct("rule_id").alias("products"), F.date_format(F.max("checked_at"), "yyyy-MM-dd HH:mm:ss").alias("freshest"))
+    """By brand: ten counters of its checks (here: checks in RUB are of product cards, on_request is cached, no_price skipped,
+    not_found failed, network_error pending), the last one, and the positions that quotes saved; both sides are added up
+    by product before they meet."""
+    done, card = F.col("status") != "network_error", F.col("currency") == "RUB"
+    counters = {"pages": F.lit(True), "visited": done, "cards": card, "cards_visited": card & done, "monthly_skipped": card & (F.col("status") == "on_request"), "failures": F.col("status") == "not_found", "navigation_left": ~card & ~done, "products_left": card & ~done, "skipped": F.col("status") == "no_price"}
+    checks_ = obs(spark, d).groupBy("rule_id").agg(*[F.count_if(c).alias(k) for k, c in counters.items()], F.max("checked_at").alias("t"))
+    saved = quote(spark, d).where("status <> 'no_price'").groupBy("rule_id").agg(F.count("*").alias("positions"))
+    j = rule(spark, d).select("rule_id", "manufacturer").join(checks_, "rule_id", "left").join(saved, "rule_id", "left").groupBy("manufacturer")
+    return j.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in (*counters, "positions")], F.date_format(F.max("t"), "yyyy-MM-dd HH:mm:ss").alias("last_checked"))
 
 
 def ag1_library_kpis(spark: SparkSession, d: str) -> DataFrame:
@@ -65,11 +70,15 @@ def ag1_library_kpis(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ag24_operations(spark: SparkSession, d: str) -> DataFrame:
-    """Checks by HTTP status and state, with the age of the last in hours before the end of the history."""
+    """Checks by brand and state with the last one; for the brand, the age of its last sign of life in seconds before the
+    end of the history and the positions that it saved."""
     o = obs(spark, d)
     end = o.agg(F.max("checked_at").alias("end")).withColumn("k", F.lit(1))
-    last = o.groupBy("http_status", "status").agg(F.count("*").alias("n"), F.max("checked_at").alias("t")).withColumn("k", F.lit(1))
-    return last.join(F.broadcast(end), "k").select("http_status", "status", "n", F.timestamp_diff("HOUR", F.col("t"), F.col("end")).alias("age_hours"))
+    by = o.groupBy("rule_id", "status").agg(F.count("*").alias("n"), F.max("checked_at").alias("t"))
+    by = by.join(rule(spark, d).select("rule_id", "manufacturer"), "rule_id").groupBy("manufacturer", "status").agg(F.sum("n").alias("n"), F.max("t").alias("t"))
+    w = Window.partitionBy("manufacturer")  # a row for each state
+    by = by.select("manufacturer", "status", "n", "t", F.max("t").over(w).alias("alive"), F.sum(F.when(F.col("status") == "priced", F.col("n")).otherwise(0)).over(w).alias("saved"), F.lit(1).alias("k"))
+    return by.join(F.broadcast(end), "k").select("manufacturer", "status", "n", F.date_format("t", "yyyy-MM-dd HH:mm:ss").alias("last_checked"), F.timestamp_diff("SECOND", F.col("alive"), F.col("end")).alias("age_seconds"), "saved")
 
 
 def jo9_pending(spark: SparkSession, d: str) -> DataFrame:
@@ -134,9 +143,9 @@ SQL = {
     "fi9_monitored": "select coalesce(competitor < 'M', false) monitored, count(*) n from chk group by 1",
     "ag2_run_totals": "select o_orderkey run_id, count(l_orderkey) jobs, coalesce(count_if(l_linestatus = 'F'), 0) finished from orders left join lineitem on o_orderkey = l_orderkey group by 1",
     "ag4_run_state": "select run_id, case when bool_or(basis = 'net') then 'open' when any_value(o_orderpriority) = '1-URGENT' then 'cancelled' when bool_or(status = 'no_price') then 'completed_with_errors' else 'completed' end state from quote join orders on run_id = o_orderkey group by 1",
-    "ag3_progress": "select currency, count_if(status = 'priced') priced, count_if(status = 'on_request') on_request, count_if(status = 'no_price') no_price, count_if(status = 'not_found') not_found, count_if(status = 'network_error') network_error, count(distinct rule_id) products, strftime(max(checked_at), '%Y-%m-%d %H:%M:%S') freshest from obs group by 1",
+    "ag3_progress": "with p as (select rule_id, count(*) pages, count_if(status <> 'network_error') visited, count_if(currency = 'RUB') cards, count_if(currency = 'RUB' and status <> 'network_error') cards_visited, count_if(currency = 'RUB' and status = 'on_request') monthly_skipped, count_if(status = 'not_found') failures, count_if(currency <> 'RUB' and status = 'network_error') navigation_left, count_if(currency = 'RUB' and status = 'network_error') products_left, count_if(status = 'no_price') skipped, max(checked_at) t from obs group by 1), q as (select rule_id, count(*) positions from quote where status <> 'no_price' group by 1) select manufacturer, coalesce(sum(pages), 0) pages, coalesce(sum(visited), 0) visited, coalesce(sum(cards), 0) cards, coalesce(sum(cards_visited), 0) cards_visited, coalesce(sum(monthly_skipped), 0) monthly_skipped, coalesce(sum(failures), 0) failures, coalesce(sum(navigation_left), 0) navigation_left, coalesce(sum(products_left), 0) products_left, coalesce(sum(skipped), 0) skipped, coalesce(sum(positions), 0) positions, strftime(max(t), '%Y-%m-%d %H:%M:%S') last_checked from rule left join p using (rule_id) left join q using (rule_id) group by 1",
     "ag1_library_kpis": "with c as (select rule_id, count_if(status = 'priced') p, max(checked_at) t from obs group by 1) select count(*) products, count_if(p > 0) priced, count_if(p > 1) compared, strftime(max(t), '%Y-%m-%d %H:%M:%S') last_check from rule left join c using (rule_id)",
-    "ag24_operations": "select http_status, status, count(*) n, floor(epoch((select max(checked_at) from obs) - max(checked_at)) / 3600)::bigint age_hours from obs group by 1, 2",
+    "ag24_operations": "with c as (select manufacturer, status, checked_at from obs join rule using (rule_id)), b as (select manufacturer, max(checked_at) alive, count_if(status = 'priced') saved from c group by 1) select manufacturer, status, count(*) n, strftime(max(checked_at), '%Y-%m-%d %H:%M:%S') last_checked, floor(epoch((select max(checked_at) from obs) - any_value(alive)))::bigint age_seconds, any_value(saved) saved from c join b using (manufacturer) group by 1, 2",
     "jo9_pending": "select source_id, count(*) jobs from quote where status = 'no_price' and source_id not in (select s_suppkey from supplier where s_acctbal < 0) group by 1",
     "jo17_snapshot_diff": "select rule_id, case when rule_id % 11 = 0 then 'added' else 'changed' end change from rule where rule_id % 13 <> 0 and (rule_id % 11 = 0 or rule_id % 5 = 0)",
     "se3_selection": "with u as (select l_partkey rule_id, 0 p, min(l_orderkey) k from lineitem where l_returnflag = 'R' group by 1 union all select l_partkey, 1, min(l_orderkey) from lineitem where l_quantity >= 45 group by 1) select rule_id, min(p)::bigint part, arg_min(k, (p, k)) as \"at\" from u where rule_id in (select rule_id from rule where size < 40) group by 1",

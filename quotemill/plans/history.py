@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quotemill.operators import history as h
 from quotemill.session import table
-from quotemill.sources.views import obs, quote, rule
+from quotemill.sources.views import attr, obs, quote, rule
 
 QUOTE_ORDER = ["checked_at", "run_id", "line_no", "source_id", "price", "basis", "rate"]
 def success():
@@ -30,8 +30,16 @@ def jo2_latest_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 def jo1_product_card(spark: SparkSession, d: str) -> DataFrame:
-    """Product, last check and last price, with defaults."""
-    return rule(spark, d).join(jo2_latest_check(spark, d), "rule_id", "left").select("rule_id", "manufacturer", "title", F.coalesce("latest_status", F.lit("unknown")).alias("latest_status"), "priced_id", F.coalesce("priced_price", F.lit(0.0)).alias("priced_price"))
+    """Product with its number of attributes, last check, last price, own price (here: the last priced quote) and lifecycle
+    state (review after a last check that found nothing), each with its default."""
+    place, priced, counted = F.struct("checked_at", "obs_id"), F.col("status") == "priced", success() | (F.col("status") == "not_found")
+    row = F.struct("obs_id", "status", "price")
+    last = obs(spark, d).groupBy("rule_id").agg(F.max_by(row, place).alias("a"), F.max_by(F.when(priced, row), F.when(priced, place)).alias("p"), F.max_by(F.when(counted, F.col("status")), F.when(counted, place)).alias("life"))
+    index = attr(spark, d).groupBy("rule_id").agg(F.count_distinct("name").alias("attributes"))
+    own = quote(spark, d).where("status = 'priced'").groupBy("rule_id").agg(F.max_by("price", F.struct(*QUOTE_ORDER)).alias("own_price"))
+    j = rule(spark, d).join(index, "rule_id", "left").join(last, "rule_id", "left").join(own, "rule_id", "left")
+    state = F.when(F.col("life") == "not_found", "review").otherwise("active")
+    return j.select("rule_id", "manufacturer", "title", F.coalesce("attributes", F.lit(0)).alias("attributes"), F.coalesce("a.status", F.lit("pending")).alias("status"), F.col("a.obs_id").alias("latest_id"), F.col("p.obs_id").alias("priced_id"), F.col("p.price").cast("double").alias("last_price"), F.col("own_price").cast("double").alias("own_price"), F.col("own_price").isNotNull().alias("selected"), state.alias("state"))
 
 
 def wi1_dual_rank(spark: SparkSession, d: str) -> DataFrame:
@@ -139,12 +147,16 @@ def st1_monthly_memory(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("rule_id", "month").agg(F.min_by("obs_id", F.struct("checked_at", "obs_id")).alias("obs_id"), (F.count("*") - 1).alias("reused"))
 
 
-def st3_stalls(spark: SparkSession, d: str) -> DataFrame:
-    """Gaps of a day or more between the checks of a product."""
+def st3_stalls(spark: SparkSession, d: str, silent: int = 86400, inactive: int = 2 * 86400, same: int = 3 * 86400) -> DataFrame:
+    """Checks of a product at which its collection stalls, with the first reason of three, each with a limit in seconds:
+    no signal after it, no success for so long (from the first check where there was none), or one status for so long."""
     w = Window.partitionBy("rule_id").orderBy("checked_at", "obs_id")
-    o = obs(spark, d).withColumn("next", F.lead("checked_at").over(w))
-    gap = F.timestamp_diff("SECOND", F.col("checked_at"), F.col("next"))
-    return o.where(gap >= 86400).select("rule_id", "obs_id", gap.alias("gap_seconds"))
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    o = obs(spark, d).withColumn("next", F.lead("checked_at").over(w)).withColumn("changed", F.when(~F.col("status").eqNullSafe(F.lag("status").over(w)), F.col("checked_at")))
+    o = o.withColumn("ok", F.coalesce(F.last(F.when(success(), F.col("checked_at")), ignorenulls=True).over(upto), F.first("checked_at").over(upto))).withColumn("since", F.last("changed", ignorenulls=True).over(upto))
+    seconds = lambda a, b: F.timestamp_diff("SECOND", F.col(a), F.col(b))
+    reason = F.when(seconds("checked_at", "next") >= silent, "silent").when(seconds("ok", "checked_at") >= inactive, "inactive").when(seconds("since", "checked_at") >= same, "same_status")
+    return o.select("rule_id", "obs_id", reason.alias("reason")).where("reason is not null")
 
 
 def st8_carry_forward(spark: SparkSession, d: str) -> DataFrame:
@@ -191,11 +203,14 @@ def jo30_reverify(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fi19_recheck(spark: SparkSession, d: str) -> DataFrame:
-    """Products whose last attempt is at least a day before the end of the history."""
+    """Products whose last priced quote has an unknown tax rate (here: a rate of 0) and whose last attempt, if there was
+    one, is at least a day before the end of the history."""
     o = obs(spark, d)
     last = o.groupBy("rule_id").agg(F.max("checked_at").alias("t"))
     end = o.agg((F.max("checked_at") - F.expr("interval 1 day")).alias("limit")).withColumn("k", F.lit(1))
-    return last.withColumn("k", F.lit(1)).join(F.broadcast(end), "k").where("t <= limit").select("rule_id", F.date_format("t", "yyyy-MM-dd HH:mm:ss").alias("last_attempt"))
+    open_terms = quote(spark, d).where("status = 'priced'").groupBy("rule_id").agg(F.max_by("rate", F.struct(*QUOTE_ORDER)).alias("rate")).where("rate = 0")
+    out = open_terms.join(last, "rule_id", "left").withColumn("k", F.lit(1)).join(F.broadcast(end), "k").where(F.coalesce(F.col("t") <= F.col("limit"), F.lit(True)))
+    return out.select("rule_id", F.date_format("t", "yyyy-MM-dd HH:mm:ss").alias("last_attempt"))
 
 
 S = "('priced', 'on_request', 'no_price')"
@@ -204,7 +219,7 @@ LATEST = "select rule_id, arg_max(obs_id, (checked_at, obs_id)) latest_id, arg_m
 SQL = {
     "sc1_history_scan": "select * from obs where checked_at >= '2024-01-02' and checked_at < '2024-01-20' and rule_id in (select rule_id from rule where size < 10)",
     "jo2_latest_check": f"select rule_id, latest_id, latest_status, priced_id, pp::double priced_price from ({LATEST})",
-    "jo1_product_card": f"with l as ({LATEST}) select rule_id, manufacturer, title, coalesce(latest_status, 'unknown') latest_status, priced_id, coalesce(pp::double, 0) priced_price from rule left join l using (rule_id)",
+    "jo1_product_card": f"with l as ({LATEST}), i as (select rule_id, count(distinct name) n from attr group by 1), w as (select rule_id, arg_max(price, (checked_at, run_id, line_no, source_id, price, basis, rate)) own from quote where status = 'priced' group by 1), f as (select rule_id, arg_max(status, (checked_at, obs_id)) life from obs where status in {S} or status = 'not_found' group by 1) select rule_id, manufacturer, title, coalesce(n, 0) attributes, coalesce(latest_status, 'pending') status, latest_id, priced_id, pp::double last_price, own::double own_price, own is not null selected, case when life = 'not_found' then 'review' else 'active' end state from rule left join i using (rule_id) left join l using (rule_id) left join w using (rule_id) left join f using (rule_id)",
     "wi1_dual_rank": "select obs_id, rule_id, row_number() over (partition by rule_id order by checked_at desc, obs_id desc) place, row_number() over (partition by rule_id order by (status = 'priced') desc, checked_at desc, obs_id desc) priced_place from obs",
     "wi2_segments": "with m as (select *, sum(case when status <> 'priced' or currency <> 'RUB' then 1 else 0 end) over (partition by rule_id order by checked_at, obs_id rows unbounded preceding) segment from obs) select rule_id, obs_id, price::double price, segment::bigint segment from m where status = 'priced' and currency = 'RUB'",
     "wi3_first_last": "with m as (select rule_id, arg_min(price, (checked_at, obs_id))::double a, arg_max(price, (checked_at, obs_id))::double b, count(*) points from obs where status = 'priced' and currency = 'RUB' group by 1) select rule_id, a first_value, b last_value, points, round(case when points > 1 and a <> 0 then (b - a) / a * 100 end, 4) change from m",
@@ -221,7 +236,7 @@ SQL = {
     "sk10_supersede": f"with k as (select rule_id, status, max((checked_at, obs_id)) t from obs where status in {S} group by 1, 2) select rule_id, status, case when t = max(t) over (partition by rule_id) then 'confirmed' else 'superseded' end state, t[2] obs_id from k",
     "sk12_revisions": "with o as (select rule_id, obs_id, date_trunc('hour', checked_at) base, count(*) over w n, min(obs_id) over w m from obs window w as (partition by rule_id, date_trunc('hour', checked_at))) select rule_id, obs_id, row_number() over (partition by rule_id order by base) revision, n > 1 conflict from o where obs_id = m",
     "st1_monthly_memory": f"select rule_id, strftime(checked_at, '%Y-%m') as month, arg_min(obs_id, (checked_at, obs_id)) obs_id, count(*) - 1 reused from obs where status in {S} group by 1, 2",
-    "st3_stalls": "with m as (select *, lead(checked_at) over (partition by rule_id order by checked_at, obs_id) nxt from obs) select rule_id, obs_id, floor(epoch(nxt - checked_at))::bigint gap_seconds from m where epoch(nxt - checked_at) >= 86400",
+    "st3_stalls": f"with m as (select *, lead(checked_at) over w nxt, first_value(checked_at) over w f, case when status is distinct from lag(status) over w then checked_at end s from obs window w as (partition by rule_id order by checked_at, obs_id)), r as (select *, last_value(case when status in {S} then checked_at end ignore nulls) over v ok, last_value(s ignore nulls) over v since from m window v as (partition by rule_id order by checked_at, obs_id rows unbounded preceding)), c as (select rule_id, obs_id, case when epoch(nxt - checked_at) >= 86400 then 'silent' when epoch(checked_at - coalesce(ok, f)) >= 172800 then 'inactive' when epoch(checked_at - since) >= 259200 then 'same_status' end reason from r) select * from c where reason is not null",
     "st8_carry_forward": f"select rule_id, obs_id, last_value(case when status in {S} then obs_id end ignore nulls) over (partition by rule_id order by checked_at, obs_id rows unbounded preceding) last_success from obs",
     "st9_circuit_breaker": "with m as (select *, (status in ('not_found', 'network_error'))::int f from obs), i as (select *, sum(1 - f) over (partition by rule_id order by checked_at, obs_id rows unbounded preceding) g from m), r as (select *, sum(f) over (partition by rule_id, g order by checked_at, obs_id rows unbounded preceding) n from i) select rule_id, obs_id from r where n = 3 and f = 1",
     "ag16_lifecycle_bootstrap": f"select rule_id, strftime(min(checked_at), '%Y-%m-%d %H:%M:%S') first_seen, strftime(max(checked_at), '%Y-%m-%d %H:%M:%S') last_seen, count(*) checks from obs where status in {S} group by 1",
@@ -229,5 +244,5 @@ SQL = {
     "fi8_month_window": f"select status, count(*) n from obs where status in {S} and checked_at >= timestamp '2024-01-01' and checked_at < timestamp '2024-02-01' group by 1",
     "se2_periods": "select strftime(checked_at, '%Y-%m') as period from obs union select strftime(checked_at, '%Y-%m') from quote union select strftime(o_orderdate, '%Y-%m') from orders",
     "jo30_reverify": "with l as (select rule_id, max((checked_at, obs_id)) m, arg_max(status, (checked_at, obs_id)) s, arg_max(coalesce(price, -1), (checked_at, obs_id)) p, arg_max(currency, (checked_at, obs_id)) c from obs group by 1), b as (select o.rule_id, arg_max(price, (checked_at, obs_id)) bp, arg_max(currency, (checked_at, obs_id)) bc from obs o join l on l.rule_id = o.rule_id and (o.checked_at, o.obs_id) < l.m where status = 'priced' group by 1) select rule_id, case when s <> 'priced' then 'unavailable' when p <> bp or c <> bc then 'price_changed' when rule_id % 5 = 0 then 'not_found' else 'confirmed' end state from b join l using (rule_id)",
-    "fi19_recheck": "with l as (select rule_id, max(checked_at) t from obs group by 1) select rule_id, strftime(t, '%Y-%m-%d %H:%M:%S') last_attempt from l where t <= (select max(checked_at) - interval 1 day from obs)",
+    "fi19_recheck": "with l as (select rule_id, max(checked_at) t from obs group by 1), q as (select rule_id, arg_max(rate, (checked_at, run_id, line_no, source_id, price, basis, rate)) r from quote where status = 'priced' group by 1) select rule_id, strftime(t, '%Y-%m-%d %H:%M:%S') last_attempt from q left join l using (rule_id) where r = 0 and coalesce(t <= (select max(checked_at) - interval 1 day from obs), true)",
 }

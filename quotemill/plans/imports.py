@@ -74,13 +74,17 @@ def jo13_priority_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sk7_fenced(spark: SparkSession, d: str) -> DataFrame:
-    """Enrichments are written where the card is as it was and they change something."""
+    """Enrichments are written where all six columns of the card are as they were, the stored revision is not newer and
+    they change something. Here some cards have another title, category, size, price or brand by now."""
     r = rule(spark, d)
+    card = lambda x: x.select("rule_id", F.struct("manufacturer", "title", "category", "size", "list_price", F.sha2(F.concat_ws("|", "title", "category"), 256).alias("hash")).alias("card"))
+    every = lambda n: F.col("rule_id") % n == 0
+    now = r.select("rule_id", F.when(~every(19), F.col("manufacturer")).alias("manufacturer"), F.when(F.col("size") == 13, F.upper("title")).otherwise(F.col("title")).alias("title"), F.when(every(7), "moved").otherwise(F.col("category")).alias("category"), F.when(every(17), F.col("size") + 1).otherwise(F.col("size")).alias("size"), F.when(every(11), F.col("list_price") + 1).otherwise(F.col("list_price")).cast("decimal(18,2)").alias("list_price"))
     stored = r.where("rule_id % 2 = 0").select("rule_id", F.col("rule_id").cast("int").alias("revision"), F.upper("title").alias("payload"))
-    new = r.select("rule_id", "manufacturer", F.when(F.col("rule_id") % 4 == 0, F.col("rule_id") - 1).otherwise(F.col("rule_id") + 1).cast("int").alias("revision"), F.when(F.col("rule_id") % 6 == 0, F.upper("title")).otherwise(F.col("title")).alias("payload"))
-    card = r.where("size <> 13").select("rule_id", F.col("manufacturer").alias("now"))
-    j = new.join(card, "rule_id").join(stored.toDF("rule_id", "old_revision", "old_payload"), "rule_id", "left")
-    return j.where((F.col("manufacturer") == F.col("now")) & (F.col("old_revision").isNull() | (F.col("old_revision") <= F.col("revision"))) & ~F.col("payload").eqNullSafe(F.col("old_payload"))).select("rule_id", "revision", "payload")
+    new = r.select("rule_id", F.when(every(4), F.col("rule_id") - 1).otherwise(F.col("rule_id") + 1).cast("int").alias("revision"), F.when(every(6), F.upper("title")).otherwise(F.col("title")).alias("payload"))
+    j = new.join(card(r), "rule_id").join(card(now).toDF("rule_id", "now"), "rule_id").where(F.col("card").eqNullSafe(F.col("now")))
+    j = j.join(stored.toDF("rule_id", "old_revision", "old_payload"), "rule_id", "left")
+    return j.where((F.col("old_revision").isNull() | (F.col("old_revision") <= F.col("revision"))) & ~F.col("payload").eqNullSafe(F.col("old_payload"))).select("rule_id", "revision", "payload")
 
 
 def st4_stale(spark: SparkSession, d: str) -> DataFrame:
@@ -131,7 +135,7 @@ SQL = {
     "ag18_import_report": "select basis, count(*) as rows, count_if(rule_id in (select rule_id from rule where size < 25)) matched, count_if(rule_id not in (select rule_id from rule where size < 25)) unmatched, sum(price)::double total from quote group by 1",
     "sk11_batch_gate": "select run_id, count(*) n from quote where run_id % 10 <> 0 and run_id % 7 <> 0 and run_id in (select o_orderkey from orders) group by 1",
     "jo13_priority_fallback": "with q as (select distinct run_id, line_no, rule_id, source_id from quote) select run_id, line_no, q.rule_id, source_id, coalesce(a.title, case when c.rule_id is null or abs(c.size - b.size) <= 10 then b.title end) title from q left join rule a on q.rule_id = a.rule_id and a.size % 3 <> 0 left join rule b on q.source_id = b.rule_id and b.size < 30 left join rule c on c.rule_id = q.rule_id",
-    "sk7_fenced": "select rule_id, (case when rule_id % 4 = 0 then rule_id - 1 else rule_id + 1 end)::int revision, case when rule_id % 6 = 0 then upper(title) else title end payload from rule where size <> 13 and (rule_id % 2 = 1 or (rule_id % 4 <> 0 and case when rule_id % 6 = 0 then upper(title) else title end <> upper(title)))",
+    "sk7_fenced": "select rule_id, (case when rule_id % 4 = 0 then rule_id - 1 else rule_id + 1 end)::int revision, case when rule_id % 6 = 0 then upper(title) else title end payload from rule where size <> 13 and rule_id % 7 <> 0 and rule_id % 11 <> 0 and rule_id % 17 <> 0 and rule_id % 19 <> 0 and (rule_id % 2 = 1 or (rule_id % 4 <> 0 and case when rule_id % 6 = 0 then upper(title) else title end <> upper(title)))",
     "st4_stale": "select rule_id from rule where rule_id % 3 = 0 or (rule_id % 5 = 0 and title <> 'old')",
     "jo21_supersession": "with j as (select v.rule_id verified, c.rule_id superseded, count(*) over (partition by v.rule_id) n from rule v join rule c using (manufacturer, category, size, title) where v.rule_id % 2 = 1 and c.rule_id % 2 = 0) select verified, superseded from j where n = 1",
     "co12_bundle_errors": "with i as (select o_orderkey % 9 = 0 short, o_orderkey % 5 = 0 monthly, o_orderkey % 11 = 0 bare from orders) select case when short = monthly and not bare then 'valid' else concat_ws('+', case when short <> monthly then 'precision' end, case when bare then 'source' end) end state, count(*) n from i group by 1",

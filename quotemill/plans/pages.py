@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -69,11 +71,24 @@ def fi12_robots(spark: SparkSession, d: str) -> DataFrame:
     return asked.select("page_id", F.coalesce(best["allow"], F.lit(True)).alias("allowed"))
 
 
+#: What pages say that are not there, not to be read, or did not load.
+MISSING_TITLES = ("not found", "page not found", "404", "404 not found", "страница не найдена")
+MISSING_TEXTS = ("resource you are looking for does not exist", "resource you are looking for doesn't exist", "ресурс, который вы ищете, не существует")
+BLOCK_TITLES = ("just a moment", "один момент", "403 forbidden", "access denied")
+ERROR_TEXTS = ("sorry, something went wrong when loading the data", "generated by cloudfront", "выполнение проверки безопасности")
+
+
 def fi16_page_quality(spark: SparkSession, d: str) -> DataFrame:
-    title = F.lower(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1))
-    body = F.length(F.regexp_replace("html", r"(?is)<[^>]*>", ""))
-    state = F.when(title == "", "not_loaded").when(title.contains("not found"), "not_found").when(title.rlike("access denied|captcha"), "blocked").when(body < 400, "thin").otherwise("ok")
-    return page(spark, d).select("page_id", state.alias("state"))
+    """Why a page is of no use, the first reason that holds: its body has under 40 characters and a script, its title or a
+    heading (or a sentence) says that it is missing, its title that access is blocked, its text that loading failed."""
+    plain = lambda c: F.trim(F.lower(F.regexp_replace(F.regexp_replace(c, "(?s)<[^>]*>", " "), r"\s+", " ")))
+    html = F.coalesce("html", F.lit(""))
+    says = lambda c, words: reduce(or_, [c.contains(w) for w in words])
+    x = page(spark, d).select("page_id", html.alias("html"), plain(html).alias("text"), plain(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), plain(F.regexp_extract(html, "(?is)<body[^>]*>(.*)</body>", 1)).alias("body"), F.transform(F.regexp_extract_all(html, F.lit("(?is)<h1[^>]*>(.*?)</h1>"), 1), plain).alias("headings"))
+    empty = F.col("html").rlike("(?i)<body") & (F.length("body") < 40) & F.col("html").rlike("(?i)<script[^>]* src=|<app-root|<webx-root")
+    missing = F.array(*map(F.lit, MISSING_TITLES))
+    state = F.when(empty, "not_loaded").when(F.array_contains(missing, F.col("title")) | F.arrays_overlap(missing, F.col("headings")) | says(F.col("text"), MISSING_TEXTS), "not_found")
+    return x.select("page_id", state.when(says(F.col("title"), BLOCK_TITLES), "blocked").when(says(F.col("text"), ERROR_TEXTS), "load_error").otherwise("ok").alias("state"))
 
 
 def fn50_headings(spark: SparkSession, d: str) -> DataFrame:
@@ -155,6 +170,16 @@ LINKS = r"""select page_id, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*href=
 QUERIES = {f.__name__: f for f in (fn31_canonical_url, fn35_dedupe_key, fn36_identity, fn32_paged_url, fn33_memory_key, sc8_links, fi10_url_class, fi11_article_url, fi12_robots, fi16_page_quality, fn50_headings, fn50_visible_text, fn54_attachments, ag17_manifest, li5_next_work, jo20_official_first)}
 CANON = r"""(select page_id, lower(regexp_extract(split_part(split_part(url, '#', 1), '?', 1), '^([A-Za-z]+://[^/]*)', 1)) || coalesce(nullif(regexp_replace(regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '^[A-Za-z]+://[^/]*', ''), '/+$', ''), ''), '/')
   || case when len(k) > 0 then '?' || array_to_string(k, '&') else '' end as canonical from (select page_id, url, list_sort(list_filter(string_split(regexp_extract(split_part(url, '#', 1), '\?(.*)$', 1), '&'), lambda p: p <> '' and not regexp_matches(p, '^(utm_[^=]*|gclid|fbclid)='))) k from page))"""
+
+
+def _plain(x: str) -> str:
+    return rf"trim(lower(regexp_replace(regexp_replace({x}, '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')))"
+
+
+def _says(x: str, words: tuple[str, ...]) -> str:
+    return "(" + " or ".join(f"contains({x}, '{w.replace(chr(39), 2 * chr(39))}')" for w in words) + ")"
+
+
 SQL = {
     "fn31_canonical_url": f"select page_id, canonical from {CANON}",
     "fn35_dedupe_key": "select lower(regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '/+$', '')) url_key, count(*) pages, min(page_id) first_page from page group by 1",
@@ -165,7 +190,8 @@ SQL = {
     "fi10_url_class": rf"select lower({HOST}) host, case when regexp_matches({PATH}, 'sitemap.*\.xml$') then 'sitemap' when contains({QUERY}, 'page=') then 'listing' when regexp_matches({PATH}, '^/[a-z]{{2}}/[0-9]+$') then 'product' else 'none' end kind, count(*) n from page group by 1, 2",
     "fi11_article_url": f"select page_id from page where not list_has_any(string_split({PATH}, '/'), ['fr', 'login', 'search']) and not contains(url, 'page=')",
     "fi12_robots": rf"with t as (select page_id, {PATH} || case when {QUERY} <> '' then '?' || {QUERY} else '' end g from page), r(a, p, s) as (values (false, '^/en/', 4), (true, '^/en/1', 5), (false, '^/.*\?page=', 8), (false, '^/de/2.*5$', 8), (true, '^/fr/', 4)) select page_id, coalesce(arg_max(a, (s, a)), true) allowed from t left join r on regexp_matches(g, p) group by 1",
-    "fi16_page_quality": r"with t as (select page_id, lower(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) t, length(regexp_replace(html, '(?is)<[^>]*>', '', 'g')) n from page) select page_id, case when t = '' then 'not_loaded' when contains(t, 'not found') then 'not_found' when regexp_matches(t, 'access denied|captcha') then 'blocked' when n < 400 then 'thin' else 'ok' end state from t",
+    "fi16_page_quality": f"""with h as (select page_id, coalesce(html, '') html from page), t as (select page_id, html, {_plain("html")} x, {_plain("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} title, {_plain("regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1)")} body, list_transform(regexp_extract_all(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), lambda v: {_plain("v")}) headings from h)
+  select page_id, case when regexp_matches(html, '(?i)<body') and length(body) < 40 and regexp_matches(html, '(?i)<script[^>]* src=|<app-root|<webx-root') then 'not_loaded' when title in {MISSING_TITLES} or list_has_any(headings, {list(MISSING_TITLES)}) or {_says("x", MISSING_TEXTS)} then 'not_found' when {_says("title", BLOCK_TITLES)} then 'blocked' when {_says("x", ERROR_TEXTS)} then 'load_error' else 'ok' end state from t""",
     "fn50_headings": "select page_id, regexp_extract(html, '(?is)<h1[^>]*>([^<]*)</h1>', 1) heading, regexp_extract(html, '(?is)<title>([^<]*)</title>', 1) title from page",
     "fn54_attachments": rf"select case when k = '' then 'page' else k end kind, count(*) n from (select lower(regexp_extract(href, '(\.[A-Za-z0-9]{{2,4}})$', 1)) k from ({LINKS})) group by 1",
     "ag17_manifest": f"select lower({HOST}) host, count_if(contains({QUERY}, 'page=')) navigation, count_if(not contains({QUERY}, 'page=')) products, count_if(length(html) < 1500) incomplete, count_if(contains({QUERY}, 'page=')) > 0 and count_if(not contains({QUERY}, 'page=')) > 0 and count_if(length(html) < 1500) = 0 complete from page group by 1",

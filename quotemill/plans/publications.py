@@ -29,10 +29,21 @@ def wi5_best_row(spark: SparkSession, d: str) -> DataFrame:
     return doc(spark, d).groupBy("source").agg(F.max_by("doc_id", F.struct(F.coalesce("quality", F.lit(-1)), "n_chars", "doc_id")).alias("doc_id"))
 
 
-def wi9_diverse_top(spark: SparkSession, d: str) -> DataFrame:
-    """Thirty documents: one of each source first, then by length."""
-    x = doc(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")))
-    return x.orderBy((F.col("k") > 1).cast("int"), F.desc("n_chars"), "doc_id").limit(30).select("doc_id", "source")
+def wi9_diverse_top(spark: SparkSession, d: str, most: int = 30, posts: int = 3) -> DataFrame:
+    """The longest documents, at most so many: of posts (here: German ones) three at most; the other places go to one
+    document of each source first, then to the longest of the rest."""
+    post_ = F.coalesce(F.col("lang") == "de", F.lit(False))
+    x = doc(spark, d).select("doc_id", "source", "n_chars", post_.alias("post"))
+    order = [F.desc("n_chars"), F.asc("doc_id")]
+    chosen = x.where("post").orderBy(*order).limit(posts)
+    site = x.where("not post").drop("post")
+    first = site.groupBy("source").agg(F.min_by(F.struct("doc_id", "n_chars"), F.struct(-F.col("n_chars"), "doc_id")).alias("f")).select("f.doc_id", "source", "f.n_chars")
+    rest = site.join(first.select("doc_id"), "doc_id", "left_anti").select("doc_id", "source", "n_chars")
+    both = first.orderBy(*order).limit(most).withColumn("late", F.lit(0)).union(rest.orderBy(*order).limit(most).withColumn("late", F.lit(1)))
+    both = both.withColumn("place", F.row_number().over(Window.orderBy("late", *order))).withColumn("k", F.lit(1))  # 60 rows at most
+    taken = chosen.agg(F.count("*").alias("taken")).withColumn("k", F.lit(1))
+    site = both.join(F.broadcast(taken), "k").where(F.col("place") <= most - F.col("taken"))
+    return site.select("doc_id", "source", F.lit("site").alias("kind")).union(chosen.select("doc_id", "source", F.lit("post")))
 
 
 def fn57_classify(spark: SparkSession, d: str) -> DataFrame:
@@ -51,8 +62,18 @@ def ag13_quality_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ag19_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Top three sources by verified documents."""
-    return doc(spark, d).where("quality = 1").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(3)
+    """One row: verified documents, the source that has most and how many, the three most frequent languages, and how many
+    documents are unconfirmed or excluded."""
+    n = doc(spark, d).groupBy("source", "lang", "quality").agg(F.count("*").alias("n"))
+    verified = n.where("quality = 1")
+    source = verified.groupBy("source").agg(F.sum("n").alias("n")).agg(F.min_by(F.struct("source", "n"), F.struct(-F.col("n"), "source")).alias("s"))
+    top = verified.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(3).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "lang"))).alias("t"))
+    names = F.array_join(F.transform("t", lambda x: F.concat(x["lang"], F.lit(" "), (-x["less"]).cast("string"))), ", ")
+    total = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0))
+    out = n.agg(total(F.col("quality") == 1).alias("verified"), total(F.col("quality").isNull()).alias("unconfirmed"), total(F.col("quality") == 0).alias("excluded"))
+    one = F.lit(1).alias("k")
+    out = out.select("*", one).join(F.broadcast(source.select("s", one)), "k").join(F.broadcast(top.select(names.alias("categories"), one)), "k")
+    return out.select("verified", "unconfirmed", "excluded", F.col("s.source").alias("most_active"), F.col("s.n").alias("most_active_n"), "categories")
 
 
 def ag15_by_source(spark: SparkSession, d: str) -> DataFrame:
@@ -126,11 +147,11 @@ SQL = {
     "fi5_publications": "select doc_id, source from doc where quality = 1 and source in ('src1', 'src2') and contains(lower(text), 'with')",
     "wi4_first_of_key": f"select sha256(lower({SQUEEZE})) as key, min(doc_id) doc_id, count(*) copies from doc group by 1",
     "wi5_best_row": "select source, arg_max(doc_id, (coalesce(quality, -1), n_chars, doc_id)) doc_id from doc group by 1",
-    "wi9_diverse_top": "select doc_id, source from (select *, row_number() over (partition by source order by n_chars desc, doc_id) k from doc) order by (k > 1)::int, n_chars desc, doc_id limit 30",
+    "wi9_diverse_top": "with x as (select doc_id, source, n_chars, coalesce(lang = 'de', false) post from doc), p as (select * from x where post order by n_chars desc, doc_id limit 3), s as (select *, row_number() over (partition by source order by n_chars desc, doc_id) k from x where not post), t as (select *, row_number() over (order by (k > 1)::int, n_chars desc, doc_id) r from s) select doc_id, source, 'site' kind from t where r <= 30 - (select count(*) from p) union all select doc_id, source, 'post' from p",
     "fn57_classify": "with h as (select doc_id, " + ", ".join(f"{e} h{i}" for i, e in enumerate(HITS.values())) + " from doc), m as (select *, greatest(" + ", ".join(f"h{i}" for i in range(len(HITS))) + ") m from h) select doc_id, case when m = 0 then 'other' " + " ".join(f"when h{i} = m then '{k}'" for i, k in enumerate(HITS)) + " end category, m::bigint hits, case when m = 0 then 0.2::double else least(0.95, round(0.45 + 0.12 * m, 2))::double end confidence from m",
     "fn8_brief": f"select channel, post_id, case when length(s) > 420 then rtrim(left(s, 419)) || '…' else s end brief from (select channel, post_id, array_to_string(list_filter(string_split(regexp_replace({SQUEEZE}, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), lambda p: p <> '')[1:2], ' ') s from post)",
     "ag13_quality_summary": "select lang, count_if(quality = 1) verified, count_if(quality is null) unconfirmed, count_if(quality = 0) rejected from doc group by 1",
-    "ag19_summary": "select source, count(*) n from doc where quality = 1 group by 1 order by n desc, source limit 3",
+    "ag19_summary": "with v as (select * from doc where quality = 1), s as (select source, count(*) n from v group by 1 order by n desc, source limit 1), l as (select lang, count(*) n from v group by 1 order by n desc, lang limit 3) select (select count(*) from v) verified, (select count(*) from doc where quality is null) unconfirmed, (select count(*) from doc where quality = 0) excluded, (select source from s) most_active, (select n from s) most_active_n, (select string_agg(lang || ' ' || n, ', ' order by n desc, lang) from l) categories",
     "ag15_by_source": "select source, count_if(lang = 'en') n from doc group by 1",
     "jo18_drift": "with f as (select doc_id, quality, sha256(text) v from doc), d as (select doc_id + case when doc_id % 60 = 0 then 10000000 else 0 end doc_id, sha256(case when doc_id % 9 = 0 then text || 'x' else text end) s from documents where doc_id % 3 = 0) select doc_id, case when v is null then 'missing' when coalesce(quality <> 1, true) then 'unconfirmed' when v <> s then 'changed' end issue from d left join f using (doc_id) where v is null or coalesce(quality <> 1, true) or v <> s",
     "jo19_refresh": "select doc_id, 'draft' origin from doc where doc_id % 4 = 0 union all select doc_id, 'added' from doc where quality = 1 and doc_id % 4 <> 0",
