@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -164,15 +166,41 @@ def _statistics(spark: SparkSession, d: str) -> DataFrame:
     return stats.join(rule(spark, d).select("rule_id", "manufacturer", "category"), "rule_id")
 
 
+def _models(spark: SparkSession, d: str) -> DataFrame:
+    """For each product its last price of other sources with currency, unit, basis and rate, the change since the first
+    one where these four agree, and delta and gap to the own price where the analogue is direct, the price current and
+    the terms comparable.
+
+    Here own quotes are those of sources divisible by 10; source and size stand for currency, unit and directness.
+    """
+    priced, row, own = F.col("status") == "priced", F.struct(*QUOTE_ORDER), F.col("source_id") % 10 == 0
+    q = quote(spark, d).groupBy("rule_id").agg(F.min(F.when(priced & ~own, row)).alias("a"), F.max(F.when(priced & ~own, row)).alias("b"), F.max(F.when(~own, row)).alias("seen"), F.max(F.when(priced & own, row)).alias("o"), F.count_if(priced & ~own).alias("points"))
+
+    def terms(x: str) -> F.Column:
+        s = F.col(f"{x}.source_id")
+        return F.struct(F.col(f"{x}.price").cast("double").alias("price"), F.when(s.isNotNull(), F.when(s % 9 == 0, "USD").otherwise("RUB")).alias("currency"), F.when(s % 4 != 0, "piece").alias("unit"), F.coalesce(f"{x}.basis", F.lit("unknown")).alias("basis"), F.col(f"{x}.rate").alias("rate")).alias(x)
+
+    m = rule(spark, d).join(q, "rule_id", "left").withColumn("current", F.col("b").eqNullSafe(F.col("seen"))).select("rule_id", "manufacturer", "category", "size", "current", "points", terms("a"), terms("b"), terms("o"))
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in ("currency", "unit", "basis", "rate")])
+    change = F.when(same & (F.col("a.price") != 0) & (F.col("b.price") != 0) & (F.col("points") > 1), (F.col("b.price") / F.col("a.price") - 1) * 100)
+    ok = (F.col("size") % 2 == 0) & F.col("current") & (F.col("o.price") != 0) & (F.col("o.currency") == F.col("b.currency")) & prices.comparable("b", "o")
+    m = m.withColumn("change", change).withColumn("delta", F.when(ok, F.col("b.price") - F.col("o.price"))).withColumn("gap", F.col("delta") / F.col("o.price") * 100)
+    return m.select("rule_id", "manufacturer", "category", F.when(F.col("size") < 25, "small").otherwise("large").alias("execution"), "b.currency", "b.unit", "b.basis", "b.rate", "b.price", "change", "delta", "gap")
+
+
 def co4_model_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return _statistics(spark, d).select("rule_id", "basis", "points", F.col("first_value").cast("double").alias("first_value"), F.col("last_value").cast("double").alias("last_value"), F.round("change", 4).alias("change"))
+    m = _models(spark, d)
+    return m.select("rule_id", "currency", "unit", "basis", "rate", "price", *[F.round(c, 4).alias(c) for c in ("change", "delta", "gap")])
 
 
 def ag5_price_analytics(spark: SparkSession, d: str) -> DataFrame:
-    """Brand and basis, and below that category: models, models with a change, mean, least and greatest change."""
-    s = _statistics(spark, d)
-    out = s.groupingSets([["manufacturer", "basis"], ["manufacturer", "basis", "category"]], "manufacturer", "basis", "category").agg(F.count("*").alias("models"), F.count("change").alias("with_dynamics"), F.round(F.avg(F.col("last_value").cast("double")), 4).alias("mean_price"), F.round(F.avg("change"), 4).alias("mean_change"), F.round(F.min("change"), 4).alias("least_change"), F.round(F.max("change"), 4).alias("most_change"))
-    return out
+    """By brand, currency, unit, basis and rate, and below that by category and execution: models, those with a price, a
+    change or a gap; the mean price only where unit and basis are known."""
+    keys, finer = ["manufacturer", "currency", "unit", "basis", "rate"], ["category", "execution"]
+    known = F.col("unit").isNotNull() & (F.col("basis") != "unknown")
+    mean = lambda c, name: F.round(F.avg(c), 4).alias(name)
+    g = _models(spark, d).groupingSets([keys, keys + finer], *keys, *finer)
+    return g.agg(F.count("*").alias("models"), F.count("price").alias("priced"), F.count("change").alias("with_dynamics"), mean(F.when(known, F.col("price")), "mean_price"), mean("change", "mean_change"), F.round(F.min("change"), 4).alias("least_change"), F.round(F.max("change"), 4).alias("most_change"), F.count("gap").alias("pairs"), mean("delta", "mean_delta"), mean("gap", "mean_gap"), F.grouping("category").cast("int").alias("whole"))
 
 
 def fi3_search(spark: SparkSession, d: str) -> DataFrame:
@@ -280,6 +308,13 @@ def _last(basis: str) -> str:
 
 QUERIES = {f.__name__: f for f in (jo11_wildcard_blocks, co1_analogues, co18_match_evidence, wi7_first_layer, co2_ranking, wi8_brand_order, ag6_consensus, ag8_completeness, ag9_coverage_matrix, ag10_attribute_frequency, li6_samples, sk2_wide_export, sk2_long_export, fn25_price_views, fn27_delta, co4_model_statistics, ag5_price_analytics, fi3_search, li3_search_order, li1_page_with_total, li2_keyset_page, jo12_resolve, co16_facets, wi6_duplicates, ag22_brands, fn24_terms, fn15_money, fn19_with_tax)}
 STATS = "select rule_id, basis, count(*) points, arg_min(price, (checked_at, run_id, line_no, source_id, price, rate))::double a, arg_max(price, (checked_at, run_id, line_no, source_id, price, rate))::double b from quote where status = 'priced' group by 1, 2"
+_ROW = "(checked_at, run_id, line_no, source_id, price, basis, rate)"
+MODELS = f"""e as (select rule_id, min({_ROW}) filter (status = 'priced') a, max({_ROW}) filter (status = 'priced') b, max({_ROW}) seen, count_if(status = 'priced') points from quote where source_id % 10 <> 0 group by 1),
+  w as (select rule_id, max({_ROW}) o from quote where status = 'priced' and source_id % 10 = 0 group by 1),
+  t as (select rule_id, manufacturer, category, size, points, b is not distinct from seen is_current, case when b is not null then case when b[4] % 9 = 0 then 'USD' else 'RUB' end end currency, case when b[4] % 4 <> 0 then 'piece' end unit, coalesce(b[6], 'unknown') basis, b[7] rate, b[5]::double price,
+    a[5]::double first_price, (a[4] % 9 = 0) = (b[4] % 9 = 0) and (a[4] % 4 = 0) = (b[4] % 4 = 0) and a[6] = b[6] and a[7] = b[7] same, o[5]::double own, (o[4] % 9 = 0) = (b[4] % 9 = 0) and o[4] % 4 <> 0 and b[4] % 4 <> 0 and o[6] = b[6] and o[7] = b[7] fits from rule left join e using (rule_id) left join w using (rule_id)),
+  d as (select *, case when same and points > 1 and price <> 0 and first_price <> 0 then (price / first_price - 1) * 100 end change, case when size % 2 = 0 and is_current and fits and own <> 0 then price - own end delta from t),
+  m as (select *, delta / own * 100 gap, case when size < 25 then 'small' else 'large' end execution from d)"""
 SQL = {
     "jo11_wildcard_blocks": f"with {SENSORS_SQL} select l.id anchor, count(*) candidates, sum(r.id)::bigint id_sum from s l join s r on l.id % 100 = 0 and l.brand <> r.brand and (l.body_type = r.body_type or l.body_type is null or r.body_type is null) and (l.diameter = r.diameter or l.diameter is null or r.diameter is null) group by 1",
     "co1_analogues": _sql_status() + " select a anchor, c candidate, status, differences, reserves, missing_mandatory from e",
@@ -297,8 +332,8 @@ SQL = {
     "fn25_price_views": "select rule_id, run_id, line_no, price::double internet, case when basis = 'gross' then price::double else price::double * (1 + rate / 100.0) end gross, case when basis = 'net' then price::double else price::double / (1 + rate / 100.0) end net from quote where status = 'priced'",
     "fn27_delta": f"""with n as {_last("net")}, g as {_last("gross")}, j as (select rule_id, n.m[5]::double a, n.m[7] ra, g.m[5]::double b from n full join g using (rule_id)), k as (select rule_id, a * (1 + ra / 100.0) a2, b, a is null or b is null missing from j)
   select rule_id, case when not missing then round(b - a2, 2) end delta, case when not missing then round((b - a2) / a2 * 100, 4) end gap, case when missing then 'no price' when rule_id % 4 = 0 then 'unit unknown' else '' end note from k""",
-    "co4_model_statistics": f"select rule_id, basis, points, a first_value, b last_value, round(case when points > 1 and a <> 0 then (b - a) / a * 100 end, 4) change from ({STATS})",
-    "ag5_price_analytics": f"with m as (select *, case when points > 1 and a <> 0 then (b - a) / a * 100 end change from ({STATS}) join rule using (rule_id)) select manufacturer, basis, category, count(*) models, count(change) with_dynamics, round(avg(b), 4) mean_price, round(avg(change), 4) mean_change, round(min(change), 4) least_change, round(max(change), 4) most_change from m group by grouping sets ((manufacturer, basis), (manufacturer, basis, category))",
+    "co4_model_statistics": f"with {MODELS} select rule_id, currency, unit, basis, rate, price, round(change, 4) change, round(delta, 4) delta, round(gap, 4) gap from m",
+    "ag5_price_analytics": f"with {MODELS} select manufacturer, currency, unit, basis, rate, category, execution, count(*) models, count(price) priced, count(change) with_dynamics, round(avg(case when unit is not null and basis <> 'unknown' then price end), 4) mean_price, round(avg(change), 4) mean_change, round(min(change), 4) least_change, round(max(change), 4) most_change, count(gap) pairs, round(avg(delta), 4) mean_delta, round(avg(gap), 4) mean_gap, grouping(category)::int as whole from m group by grouping sets ((manufacturer, currency, unit, basis, rate), (manufacturer, currency, unit, basis, rate, category, execution))",
     "fi3_search": "select rule_id, title from rule where lower(manufacturer || ' ' || title || ' ' || category) like '%brand#1%' and lower(manufacturer || ' ' || title || ' ' || category) like '%ring%'",
     "li3_search_order": "select rule_id, title from rule where lower(manufacturer || ' ' || title) like '%a%' order by manufacturer <> 'Brand#11', not starts_with(title, 'a'), title, rule_id limit 10",
     "li1_page_with_total": "select rule_id, (select count(*) from rule where size between 10 and 20) total from rule where size between 10 and 20 order by list_price desc, rule_id limit 10 offset 20",

@@ -45,17 +45,33 @@ def sc8_links(spark: SparkSession, d: str) -> DataFrame:
     return links.groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
 
+#: By the end of a host: where its catalogue lies, what the rest of a product's path is like, and its page parameter.
+STRATEGIES = (("example.com", "/en/", "^[0-9]+/?$", "page"), ("example.net", "/de/", "^[1-9][0-9]*$", "page"), ("example.org", "/", "^[a-z]{2}/[0-9]+/?$", "ref"))
+
+
 def fi10_url_class(spark: SparkSession, d: str) -> DataFrame:
-    """sitemap, listing, product or none, by host and path rules."""
-    x = urls.identity(F.col("url"))
-    kind = F.when(x["path"].rlike(r"sitemap.*\.xml$"), "sitemap").when(x["query"].contains("page="), "listing").when(x["path"].rlike(r"^/[a-z]{2}/[0-9]+$"), "product").otherwise("none")
-    return page(spark, d).select(x["host"].alias("host"), kind.alias("kind")).groupBy("host", "kind").agg(F.count("*").alias("n"))
+    """sitemap, listing, product or none, by the rules of the host; a host without rules has none."""
+    rules = spark.createDataFrame(STRATEGIES, "site string, prefix string, product string, parameter string")
+    x = page(spark, d).select(urls.identity(F.col("url")).alias("x")).select("x.host", "x.path", "x.query", F.regexp_extract("x.host", r"([^.]+\.[^.]+)$", 1).alias("site"))
+    j = x.join(F.broadcast(rules), "site", "left")
+    inside = F.startswith("path", "prefix")
+    kind = F.when(F.col("prefix").isNull(), "none").when(F.col("path").rlike(r"sitemap.*\.xml$"), "sitemap").when(inside & F.concat(F.lit("&"), F.col("query")).contains(F.concat(F.lit("&"), F.col("parameter"), F.lit("="))), "listing")
+    kind = kind.when(inside & F.regexp_like(F.expr("substring(path, length(prefix) + 1)"), F.col("product")), "product").otherwise("none")
+    return j.groupBy("host", kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+#: Paths of listings, and parts of a path that no article has.
+LISTING_PATHS = ("news", "articles", "new-products", "text-news")
+UTILITY_PARTS = ("cart", "basket", "checkout", "account", "login", "search", "contact", "contacts", "privacy", "policy", "terms", "catalog", "product", "products", "collection", "productcomparison", "product-returns", "returns")
 
 
-def fi11_article_url(spark: SparkSession, d: str) -> DataFrame:
-    """Pages whose path has no utility part and whose query has no page number."""
-    parts = F.split(urls.identity(F.col("url"))["path"], "/")
-    return page(spark, d).where(~F.arrays_overlap(parts, F.array(F.lit("fr"), F.lit("login"), F.lit("search"))) & ~F.col("url").contains("page=")).select("page_id")
+def fi11_article_url(spark: SparkSession, d: str, section: str = "fr", excluded: tuple[str, ...] = ("page=", "utm_source=feed")) -> DataFrame:
+    """Pages whose path is neither empty, a listing, the section itself nor has a utility part, and whose address holds no
+    excluded text."""
+    path = F.btrim(F.lower(urls.identity(F.col("url"))["path"]), F.lit("/"))
+    x = page(spark, d).select("page_id", "url", path.alias("path"))
+    out = x.where((F.col("path") != "") & ~F.col("path").isin(*LISTING_PATHS, section) & ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, UTILITY_PARTS))))
+    return out.where(~reduce(or_, [F.contains(F.lower("url"), F.lit(e)) for e in excluded])).select("page_id")
 
 
 def fi12_robots(spark: SparkSession, d: str) -> DataFrame:
@@ -78,19 +94,24 @@ BLOCK_TITLES = ("just a moment", "один момент", "403 forbidden", "acce
 ERROR_TEXTS = ("sorry, something went wrong when loading the data", "generated by cloudfront", "выполнение проверки безопасности")
 
 
-def fi16_page_quality(spark: SparkSession, d: str) -> DataFrame:
-    """Why a page is of no use, the first reason that holds: its body has under 40 characters and a script, its title or a
-    heading (or a sentence) says that it is missing, its title that access is blocked, its text that loading failed."""
+def page_states(pages: DataFrame) -> DataFrame:
+    """pages(page_id, html) -> page_id, state: why a page is of no use, the first reason that holds: its body has under 40
+    characters and a script, its title or a heading (or a sentence) says that it is missing, its title that access is
+    blocked, its text that loading failed; else, and without HTML, ok."""
     plain = lambda c: F.trim(F.lower(F.regexp_replace(F.regexp_replace(c, "(?s)<[^>]*>", " "), r"\s+", " ")))
     html = F.coalesce("html", F.lit(""))
     says = lambda c, words: reduce(or_, [c.contains(w) for w in words])
-    x = page(spark, d).select("page_id", html.alias("html"), plain(html).alias("text"), plain(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), plain(F.regexp_extract(html, "(?is)<body[^>]*>(.*)</body>", 1)).alias("body"), F.transform(F.regexp_extract_all(html, F.lit("(?is)<h1[^>]*>(.*?)</h1>"), 1), plain).alias("headings"))
+    x = pages.select("page_id", html.alias("html"), plain(html).alias("text"), plain(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), plain(F.regexp_extract(html, "(?is)<body[^>]*>(.*)</body>", 1)).alias("body"), F.transform(F.regexp_extract_all(html, F.lit("(?is)<h1[^>]*>(.*?)</h1>"), 1), plain).alias("headings"))
     empty = F.col("html").rlike("(?i)<body") & (F.length("body") < 40) & F.col("html").rlike("(?i)<script[^>]* src=|<app-root|<webx-root")
     missing = F.array(*map(F.lit, MISSING_TITLES))
     state = F.when(empty, "not_loaded").when(F.array_contains(missing, F.col("title")) | F.arrays_overlap(missing, F.col("headings")) | says(F.col("text"), MISSING_TEXTS), "not_found")
     return x.select("page_id", state.when(says(F.col("title"), BLOCK_TITLES), "blocked").when(says(F.col("text"), ERROR_TEXTS), "load_error").otherwise("ok").alias("state"))
 
 
+def fi16_page_quality(spark: SparkSession, d: str) -> DataFrame:
+    return page_states(page(spark, d))
+
+
 def fn50_headings(spark: SparkSession, d: str) -> DataFrame:
     """First heading and title of each page, entities and tags as they stand."""
     return page(spark, d).select("page_id", F.regexp_extract("html", r"(?is)<h1[^>]*>([^<]*)</h1>", 1).alias("heading"), F.regexp_extract("html", r"(?is)<title>([^<]*)</title>", 1).alias("title"))
@@ -187,8 +208,8 @@ SQL = {
     "fn32_paged_url": r"select page_id, case when regexp_extract(url, '[?&]page=([^&#]*)', 1) = '' then b when regexp_matches(regexp_extract(url, '[?&]page=([^&#]*)', 1), '^[1-9][0-9]*$') then b || '?page=' || regexp_extract(url, '[?&]page=([^&#]*)', 1) end catalogue_url from (select *, 'https://' || regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '^[A-Za-z]+://', '') b from page)",
     "fn33_memory_key": f"select page_id, canonical memory_key, case when row_number() over (partition by canonical order by page_id) = 1 then 'pending' else 'cached' end state from {CANON}",
     "sc8_links": f"select page_id, href, count(*) n from ({LINKS}) group by 1, 2",
-    "fi10_url_class": rf"select lower({HOST}) host, case when regexp_matches({PATH}, 'sitemap.*\.xml$') then 'sitemap' when contains({QUERY}, 'page=') then 'listing' when regexp_matches({PATH}, '^/[a-z]{{2}}/[0-9]+$') then 'product' else 'none' end kind, count(*) n from page group by 1, 2",
-    "fi11_article_url": f"select page_id from page where not list_has_any(string_split({PATH}, '/'), ['fr', 'login', 'search']) and not contains(url, 'page=')",
+    "fi10_url_class": rf"""with x as (select lower({HOST}) host, {PATH} p, {QUERY} q from page), r(site, prefix, product, parameter) as (values {", ".join(map(str, STRATEGIES))}) select host, case when prefix is null then 'none' when regexp_matches(p, 'sitemap.*\.xml$') then 'sitemap' when starts_with(p, prefix) and contains('&' || q, '&' || parameter || '=') then 'listing' when starts_with(p, prefix) and regexp_matches(substr(p, length(prefix) + 1), product) then 'product' else 'none' end kind, count(*) n from x left join r on regexp_extract(host, '([^.]+\.[^.]+)$', 1) = site group by 1, 2""",
+    "fi11_article_url": f"with x as (select page_id, url, trim(lower({PATH}), '/') p from page) select page_id from x where p <> '' and p not in {(*LISTING_PATHS, 'fr')} and not list_has_any(string_split(p, '/'), {list(UTILITY_PARTS)}) and not contains(lower(url), 'page=') and not contains(lower(url), 'utm_source=feed')",
     "fi12_robots": rf"with t as (select page_id, {PATH} || case when {QUERY} <> '' then '?' || {QUERY} else '' end g from page), r(a, p, s) as (values (false, '^/en/', 4), (true, '^/en/1', 5), (false, '^/.*\?page=', 8), (false, '^/de/2.*5$', 8), (true, '^/fr/', 4)) select page_id, coalesce(arg_max(a, (s, a)), true) allowed from t left join r on regexp_matches(g, p) group by 1",
     "fi16_page_quality": f"""with h as (select page_id, coalesce(html, '') html from page), t as (select page_id, html, {_plain("html")} x, {_plain("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} title, {_plain("regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1)")} body, list_transform(regexp_extract_all(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), lambda v: {_plain("v")}) headings from h)
   select page_id, case when regexp_matches(html, '(?i)<body') and length(body) < 40 and regexp_matches(html, '(?i)<script[^>]* src=|<app-root|<webx-root') then 'not_loaded' when title in {MISSING_TITLES} or list_has_any(headings, {list(MISSING_TITLES)}) or {_says("x", MISSING_TEXTS)} then 'not_found' when {_says("title", BLOCK_TITLES)} then 'blocked' when {_says("x", ERROR_TEXTS)} then 'load_error' else 'ok' end state from t""",

@@ -140,3 +140,22 @@ def test_lifecycle_stream(spark, tmp_path):
         query.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).select("obs_id", "event").collect()
     assert sorted(map(tuple, got)) == [(1, "discovered"), (2, "review"), (4, "archived"), (5, "restored"), (6, "review")]
+
+
+def test_page_states(spark):
+    from quotemill.plans.pages import page_states
+
+    body = "<body><p>" + "word " * 20 + "</p></body>"
+    pages = {
+        1: "<html><title>A sensor</title>" + body,
+        2: "<title>A sensor</title><body><script src='x.js'></script></body>",
+        3: "<title> Page  NOT found </title>" + body,
+        4: "<title>A</title><h1 class='x'>404 <b>Not Found</b></h1>" + body,
+        5: "<title>A</title><body>" + "word " * 20 + "The resource you are looking for doesn't exist.</body>",
+        6: "<title>Just a moment...</title>" + body,
+        7: "<title>A</title><body>" + "word " * 20 + "Generated by CloudFront (x)</body>",
+        8: "<title>Not found in our shop: sensors</title>" + body,
+        9: None,
+    }
+    found = dict(page_states(spark.createDataFrame(list(pages.items()), "page_id long, html string")).collect())
+    assert found == {1: "ok", 2: "not_loaded", 3: "not_found", 4: "not_found", 5: "not_found", 6: "blocked", 7: "load_error", 8: "ok", 9: "ok"}
