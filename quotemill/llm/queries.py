@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import chat_format, decontaminate, huffman_tokens, jaccard_join, language_id, lm_scoring, packing, quality_classifier, quality_rules, suffix_dedup
+from quotemill.llm import bpe_replay, chat_format, decontaminate, hard_negatives, huffman_tokens, jaccard_join, language_id, lm_scoring, packing, periodic_runs, quality_classifier, quality_rules, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,19 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(spark, _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(*periodic_runs.periodic_runs(spark, _table(spark, sf_dir, "documents"), periodic_runs.planted))
+
+
+def op13_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_replay.token_digests(bpe_replay.decode_documents(bpe_replay.encode_documents(spark, _table(spark, sf_dir, "documents"))))
+
+
 OP10_SQL = r"""
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -85,5 +98,18 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from e group by conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op3_quality_classifier, op4_huffman_tokens, op5_language_id, op6_packing, op7_lm_scoring, op8_jaccard_join, op9_suffix_dedup, op10_chat_format)}
-ORACLE_SQL = {"op10_chat_format": OP10_SQL}
+OP11_SQL = r"""
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, r.vec_id as row_id, a.label = r.label as same, list_dot_product(a.v, r.v)::bigint as score
+  from e a join e r on a.vec_id % 100 = 0 and a.vec_id <> r.vec_id),
+p as (select anchor_id, row_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, row_id) <= 5)
+select anchor_id, positive_id, (row_number() over (partition by anchor_id, positive_id order by score desc, row_id))::integer as rank, row_id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify rank <= 10
+"""
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op3_quality_classifier, op4_huffman_tokens, op5_language_id, op6_packing, op7_lm_scoring, op8_jaccard_join, op9_suffix_dedup, op10_chat_format, op11_hard_negatives, op12_periodic_runs, op13_bpe_replay)}
+ORACLE_SQL = {"op10_chat_format": OP10_SQL, "op11_hard_negatives": OP11_SQL}
