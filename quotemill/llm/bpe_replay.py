@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from quotemill.llm.common import keep, rows
 
 #: Characters of text in a chunk; a longer document is a chunk of its own.
-CHUNK_CHARS = 3_000_000
+CHUNK_CHARS = 24_000_000
 #: Bytes of distinct pieces whose merges are replayed together.
 BLOCK_BYTES = 8_000_000
 #: Token ids are below this, so that a pair of them is one integer.
