@@ -31,12 +31,14 @@ from pyspark.sql import functions as F
 from quotemill.llm.common import keep, rows
 
 #: Characters of text in a chunk; a longer document is a chunk of its own.
-CHUNK_CHARS = 24_000_000
+CHUNK_CHARS = 12_000_000
 #: Bytes of distinct pieces whose merges are replayed together.
 BLOCK_BYTES = 8_000_000
 #: Token ids are below this, so that a pair of them is one integer.
 ID_SPACE = 1 << 20
 
+ENCODED = "doc_id long, n_tokens long, ids binary"
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -183,14 +185,13 @@ def _chunk_ids(codes: pa.Table, pieces: pa.Table) -> pa.Table:
         number = np.frombuffer(code, "<u4" if wide else "<u2").astype(np.int64)
         n = size[number]
         stop = np.cumsum(n)
-        out.append(flat[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(start[number] - (stop - n), n)])
-    ends = np.cumsum([0, *map(len, out)])
-    ids = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate([*out, np.zeros(0, "<i4")]))).cast(pa.list_(pa.int32()))
-    return pa.table([codes["doc_id"], ids], ["doc_id", "ids"])
+        out.append(flat[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(start[number] - (stop - n), n)].tobytes())
+    return pa.table([codes["doc_id"], pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, path: str | None = None, pattern: str | None = None, chunk_chars: int = CHUNK_CHARS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, ids array<int>) of every row of docs(doc_id, text), by the ranks in a file that every executor has.
+    """(doc_id, n_tokens, ids) of every row of docs(doc_id, text), by the ranks in a file that every executor has. ids are
+    little-endian 32-bit integers behind each other; id_lists() has them as arrays.
 
     Shuffled are the pieces' numbers (two bytes each in most chunks), the chunks' dictionaries and the distinct pieces,
     not the texts. A frequent piece is in one row of each chunk, so a skewed join splits it.
@@ -202,35 +203,51 @@ def encode_documents(spark: SparkSession, docs: DataFrame, path: str | None = No
     encoded = keep(spark, dictionary.select("piece").distinct().mapInArrow(_replayed(path, block_bytes), "piece string, ids binary"), "encoded")
     numbered = dictionary.join(encoded, "piece").select("chunk", "number", "ids")
     coded = split.where("pieces is null").select(F.col("chunk").alias("of"), "doc_id", "codes", "wide")
-    return coded.groupBy("of").cogroup(numbered.groupBy("chunk")).applyInArrow(_chunk_ids, "doc_id long, ids array<int>")
+    return coded.groupBy("of").cogroup(numbered.groupBy("chunk")).applyInArrow(_chunk_ids, ENCODED)
+
+
+def id_lists(encoded: DataFrame) -> DataFrame:
+    """(doc_id, ids array<int>) of encode_documents' rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows(batches):
+            lists = pa.array([np.frombuffer(x or b"", "<i4") for x in batch["ids"].to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], lists], ["doc_id", "ids"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 @cache
-def _token_bytes(path: str) -> dict[int, bytes]:
-    return {rank: token for token, rank in read_ranks(path).items()}
+def _spellings(path: str) -> tuple[dict[int, bytes], dict[int, bytes]]:
+    """The bytes of each id, and its decimal digits."""
+    ranks = read_ranks(path)
+    return {rank: token for token, rank in ranks.items()}, {rank: b"%d" % rank for rank in ranks.values()}
 
 
-def decode_documents(encoded: DataFrame, path: str | None = None, name: str = "decoded") -> DataFrame:
-    """encoded(doc_id, ids) with the bytes that the ids stand for; an id without a token raises a KeyError. Null ids are empty."""
+def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, decoded binary) of encoded(doc_id, ids); an id without a token raises a KeyError. Null ids are empty."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = _token_bytes(path).__getitem__
+        of = _spellings(path)[0].__getitem__
         for batch in rows(batches):
-            decoded = [b"".join(map(of, ids or ())) for ids in batch["ids"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["ids"], pa.array(decoded, pa.binary())], ["doc_id", "ids", name])
+            decoded = [b"".join(map(of, np.frombuffer(x or b"", "<i4").tolist())) for x in batch["ids"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(decoded, pa.binary())], ["doc_id", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id long, ids array<int>, `{name}` binary")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
-def token_digests(decoded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of decode_documents' rows."""
+def token_digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded(doc_id, ids): of the ids written out, and of what they decode to."""
+    path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, digits = (x.__getitem__ for x in _spellings(path))
         for batch in rows(batches):
-            ids = [x or [] for x in batch["ids"].to_pylist()]
-            said = [hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids]
-            back = [hashlib.sha256(x or b"").hexdigest() for x in batch["decoded"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(x) for x in ids], pa.int64()), pa.array(said), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            out = []
+            for doc_id, blob in zip(batch["doc_id"].to_pylist(), batch["ids"].to_pylist(), strict=True):
+                ids = np.frombuffer(blob or b"", "<i4").tolist()
+                out.append((doc_id, len(ids), hashlib.sha256(b" ".join(map(digits, ids))).hexdigest(), hashlib.sha256(b"".join(map(of, ids))).hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64() if k < 2 else pa.string()) for k in range(4)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return decoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
