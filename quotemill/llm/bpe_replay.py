@@ -1,10 +1,13 @@
 """Byte-level BPE by replaying the merges over the corpus' distinct pieces, and decoding.
 
-1. Each task splits its texts by the pattern and writes them as numbers of pieces, in chunks of bounded text with a
-   dictionary of their own.
-2. The dictionaries' distinct pieces are dealt by hash. Over each block of them an inverted index from token pair to
-   positions applies the merges in rank order; a merge changes the entries of its two neighbours only.
-3. Each chunk's dictionary is joined with the encoded pieces, and its documents become ids.
+1. Each task splits its texts by the pattern and writes them as numbers of pieces, in chunks of bounded text. A chunk asks
+   for the ids of its distinct pieces: one row for each part of the hash space, with all its pieces there.
+2. A part has all chunks' requests for its pieces. Over its distinct pieces an inverted index from token pair to positions
+   applies the merges in rank order; a merge changes the entries of its two neighbours only. It answers each chunk.
+3. Each chunk's documents are written out as ids from its answers.
+
+Shuffled are a chunk's distinct pieces, their ids and the documents as numbers, not the texts. The number of parts grows
+with the corpus, and a frequent piece is in a request once a chunk.
 
 A token pair is known by the rank of its joined bytes, so pairs that join to the same token share an entry, as in the
 tiktoken library. Like there, a piece that is a token is that token.
@@ -22,16 +25,19 @@ from collections.abc import Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
 from itertools import count
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import keep, rows
+from quotemill.llm.common import keep, rows, shuffle_partitions
 
 #: Characters of text in a chunk; a longer document is a chunk of its own.
 CHUNK_CHARS = 12_000_000
+#: Characters of the corpus for each part of the hash space.
+PART_CHARS = 64_000_000
 #: Bytes of distinct pieces whose merges are replayed together.
 BLOCK_BYTES = 8_000_000
 #: Token ids are below this, so that a pair of them is one integer.
@@ -118,9 +124,31 @@ def replay(pieces: list[bytes], path: str) -> list[list[int]]:
     return [ids or [] for ids in out]
 
 
-def _split(pattern: str, chunk_chars: int):
-    """Texts to chunks: rows (chunk, doc_id, codes, wide, null) of documents and one row with each chunk's pieces."""
-    names = ["chunk", "doc_id", "codes", "wide", "pieces"]
+def to_varints(x: np.ndarray) -> bytes:
+    """Numbers below 2^28 in one to four bytes each, seven bits a byte, the lowest first."""
+    size = 1 + (x >= 1 << 7) + (x >= 1 << 14) + (x >= 1 << 21)
+    start = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint8)
+    for k in range(4):
+        here = size > k
+        out[start[here] + k] = ((x[here] >> 7 * k) & 127) | np.where(size[here] > k + 1, 128, 0)
+    return out.tobytes()
+
+
+def from_varints(blob: bytes) -> np.ndarray:
+    b = np.frombuffer(blob, np.uint8).astype(np.int64)
+    last = np.flatnonzero(b < 128)
+    start = np.concatenate([[0], last[:-1] + 1])[: len(last)]
+    out = np.zeros(len(last), np.int64)
+    for k in range(4):
+        here = last - start >= k
+        out[here] |= (b[start[here] + k] & 127) << 7 * k
+    return out
+
+
+def _split(pattern: str, chunk_chars: int, parts: int):
+    """Texts to chunks: a row (chunk, doc_id, codes) for each document, one (chunk, part, codes = sizes of pieces, data)
+    for each part that the chunk asks, and one (chunk, part = -1, codes = the part of each piece)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -129,81 +157,101 @@ def _split(pattern: str, chunk_chars: int):
         find = regex.compile(pattern).findall
         chunk, size, numbers = TaskContext.get().partitionId() << 32, 0, defaultdict(count().__next__)
 
-        def close() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([None], pa.bool_()), pa.array([list(numbers)], pa.list_(pa.string()))], names)
+        def batch_of(chunks: list, part: list, doc_id: list, codes: list, data: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((chunks, part, doc_id, codes, data), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["chunk", "part", "doc_id", "codes", "data"])
+
+        def requests() -> Iterator[pa.RecordBatch]:
+            pieces = [x.encode() for x in numbers]
+            part = np.fromiter(map(crc32, pieces), np.int64, len(pieces)) % parts
+            order = np.argsort(part, kind="stable")
+            asked, first = np.unique(part[order], return_index=True)
+            asked = asked.tolist()
+            groups = [[pieces[i] for i in x.tolist()] for x in np.split(order, first[1:])]
+            yield batch_of([chunk], [-1], [None], [part.astype("<i4").tobytes()], [None])
+            for at in range(0, len(asked), 64):
+                some = groups[at : at + 64]
+                yield batch_of([chunk] * len(some), asked[at : at + 64], [None] * len(some), [np.array([len(x) for x in g], "<u4").tobytes() for g in some], [b"".join(g) for g in some])
 
         for batch in rows(batches):
-            ids, codes, wide, chunks = [], [], [], []
+            ids, codes, chunks = [], [], []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                found = find(text or "")
                 if size and size + len(text or "") > chunk_chars:
-                    yield close()
+                    if numbers:
+                        yield from requests()
                     chunk, size, numbers = chunk + 1, 0, defaultdict(count().__next__)
+                found = find(text or "")
                 size += len(text or "")
-                code = np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))
-                large = len(numbers) > 1 << 16
                 ids.append(doc_id)
-                codes.append(code.astype("<u4" if large else "<u2").tobytes())
-                wide.append(large)
+                codes.append(to_varints(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))))
                 chunks.append(chunk)
-            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(ids, pa.int64()), pa.array(codes, pa.binary()), pa.array(wide, pa.bool_()), pa.nulls(len(ids), pa.list_(pa.string()))], names)
+            yield batch_of(chunks, [None] * len(ids), ids, codes, [None] * len(ids))
         if numbers:
-            yield close()
+            yield from requests()
 
     return run
 
 
-def _replayed(path: str, block_bytes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(block: list[str], raw: list[bytes]) -> Iterator[pa.RecordBatch]:
-            ids = [np.array(x, "<i4").tobytes() for x in replay(raw, path)]
-            for at in range(0, len(block), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(block[at : at + 20_000], pa.string()), pa.array(ids[at : at + 20_000], pa.binary())], ["piece", "ids"])
-
-        block, raw, size = [], [], 0
-        for batch in batches:
-            for piece in batch["piece"].to_pylist():
-                block.append(piece)
-                raw.append(piece.encode())
-                size += len(raw[-1])
-                if size >= block_bytes:
-                    yield from done(block, raw)
-                    block, raw, size = [], [], 0
-        if block:
-            yield from done(block, raw)
+ANSWER = "chunk long, part int, codes binary, data binary"
+
+
+def _answered(path: str, block_bytes: int):
+    """All requests of a part to their answers: (chunk, part, codes = number of ids of each piece, data = ids)."""
+
+    def run(requests: pa.Table) -> pa.Table:
+        number = defaultdict(count().__next__)
+        asked = []
+        for sizes, data in zip(requests["codes"].to_pylist(), requests["data"].to_pylist(), strict=True):
+            end = np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64)).tolist()
+            asked.append(np.fromiter((number[data[a:b]] for a, b in zip([0, *end], end)), np.int64, len(end)))  # noqa: B905
+        pieces = list(number)
+        ends = np.cumsum([0, *map(len, pieces)])
+        cuts = [0, *np.searchsorted(ends, np.arange(block_bytes, int(ends[-1]), block_bytes)).tolist(), len(pieces)]
+        found = [ids for a, b in zip(cuts, cuts[1:]) for ids in replay(pieces[a:b], path)]  # noqa: B905
+        flat, size = np.array([i for ids in found for i in ids], "<i4"), np.array([len(ids) for ids in found], np.int64)
+        start = np.cumsum(size) - size
+        codes = [size[x].astype("<u4").tobytes() for x in asked]
+        data = [_gathered(flat, start[x], size[x]).tobytes() for x in asked]
+        return pa.table([requests["chunk"], requests["part"], pa.array(codes, pa.binary()), pa.array(data, pa.binary())], ["chunk", "part", "codes", "data"])
 
     return run
 
 
-def _chunk_ids(codes: pa.Table, pieces: pa.Table) -> pa.Table:
-    """(doc_id, ids) of a chunk's documents, from their pieces' numbers and the chunk's dictionary of (number, ids)."""
-    blobs = pieces.sort_by("number")["ids"].to_pylist()
-    size = np.array([len(x) // 4 for x in blobs], np.int64)
-    flat, start = np.frombuffer(b"".join(blobs), "<i4"), np.cumsum(size) - size
+def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """flat[start : start + size] of all, behind each other."""
+    stop = np.cumsum(size)
+    return flat[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(start - (stop - size), size)]
+
+
+def _written_out(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    """The ids of a chunk's documents, from its answers and the part of each of its pieces."""
+    by_part = sorted(zip(*(answers[c].to_pylist() for c in ("part", "codes", "data")), strict=True))
+    size, flat = np.zeros(0, np.int64), np.zeros(0, "<i4")
+    if by_part:  # else no document of the chunk has a character
+        order = np.argsort(np.frombuffer(by_part[0][1], "<i4"), kind="stable")
+        answered = np.concatenate([np.frombuffer(x[1], "<u4") for x in by_part[1:]]).astype(np.int64)
+        flat = np.concatenate([np.frombuffer(x[2], "<i4") for x in by_part[1:]])
+        size, start = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        size[order], start[order] = answered, np.cumsum(answered) - answered
     out = []
-    for code, wide in zip(codes["codes"].to_pylist(), codes["wide"].to_pylist(), strict=True):
-        number = np.frombuffer(code, "<u4" if wide else "<u2").astype(np.int64)
-        n = size[number]
-        stop = np.cumsum(n)
-        out.append(flat[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(start[number] - (stop - n), n)].tobytes())
-    return pa.table([codes["doc_id"], pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
+    for blob in docs["codes"].to_pylist():
+        number = from_varints(blob)
+        out.append(_gathered(flat, start[number], size[number]).tobytes() if len(number) else b"")
+    return pa.table([docs["doc_id"], pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
 
-def encode_documents(spark: SparkSession, docs: DataFrame, path: str | None = None, pattern: str | None = None, chunk_chars: int = CHUNK_CHARS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode_documents(spark: SparkSession, docs: DataFrame, path: str | None = None, pattern: str | None = None, chunk_chars: int = CHUNK_CHARS, part_chars: int = PART_CHARS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_tokens, ids) of every row of docs(doc_id, text), by the ranks in a file that every executor has. ids are
     little-endian 32-bit integers behind each other; id_lists() has them as arrays.
-
-    Shuffled are the pieces' numbers (two bytes each in most chunks), the chunks' dictionaries and the distinct pieces,
-    not the texts. A frequent piece is in one row of each chunk, so a skewed join splits it.
     """
     path, pattern = path or default_path(), pattern or default_pattern()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    split = keep(spark, texts.mapInArrow(_split(pattern, chunk_chars), "chunk long, doc_id long, codes binary, wide boolean, pieces array<string>"), "pieces")
-    dictionary = split.where("pieces is not null").select("chunk", F.posexplode("pieces").alias("number", "piece"))
-    encoded = keep(spark, dictionary.select("piece").distinct().mapInArrow(_replayed(path, block_bytes), "piece string, ids binary"), "encoded")
-    numbered = dictionary.join(encoded, "piece").select("chunk", "number", "ids")
-    coded = split.where("pieces is null").select(F.col("chunk").alias("of"), "doc_id", "codes", "wide")
-    return coded.groupBy("of").cogroup(numbered.groupBy("chunk")).applyInArrow(_chunk_ids, ENCODED)
+    parts = max(shuffle_partitions(spark), -(-(texts.agg(F.sum(F.length("text"))).first()[0] or 0) // part_chars))
+    split = keep(spark, texts.mapInArrow(_split(pattern, chunk_chars, parts), "chunk long, part int, doc_id long, codes binary, data binary"), "pieces")
+    requests = split.where("part >= 0").select("chunk", "part", "codes", "data")
+    answers = requests.groupBy("part").applyInArrow(_answered(path, block_bytes), ANSWER)
+    answers = answers.unionByName(split.where("part = -1").select("chunk", "part", "codes", "data"))
+    coded = split.where("part is null").select(F.col("chunk").alias("of"), "doc_id", "codes")
+    return coded.groupBy("of").cogroup(answers.groupBy("chunk")).applyInArrow(_written_out, ENCODED)
 
 
 def id_lists(encoded: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def tiktoken_rows(rows):
     return [(r.doc_id, own.encode_ordinary(r.text or "")) for r in rows]
 
 
-@pytest.mark.parametrize("sizes", [{}, {"chunk_chars": 300, "block_bytes": 100}])
+@pytest.mark.parametrize("sizes", [{}, {"chunk_chars": 300, "part_chars": 2000, "block_bytes": 100}])
 def test_bpe_equals_tiktoken(spark, docs, sizes):
     encoded = bpe_replay.encode_documents(spark, docs, **sizes)
     rows = docs.collect()
@@ -118,6 +118,12 @@ def test_bpe_of_nothing_and_of_unknown_ids(spark, docs):
         bpe_replay.decode_documents(spark.createDataFrame([(1, bytearray((50256).to_bytes(4, "little")))], "doc_id long, ids binary")).collect()
 
 
+def test_varints():
+    x = np.array([0, 1, 127, 128, 16383, 16384, 2097151, 2097152, (1 << 28) - 1, 5], np.int64)
+    assert bpe_replay.from_varints(bpe_replay.to_varints(x)).tolist() == x.tolist()
+    assert bpe_replay.from_varints(bpe_replay.to_varints(x[:0])).tolist() == []
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="abcdeхтн 'é1\n", min_size=1, max_size=30), min_size=1, max_size=20, unique=True))
 def test_replay_of_any_pieces(pieces):
