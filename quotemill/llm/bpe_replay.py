@@ -146,9 +146,29 @@ def from_varints(blob: bytes) -> np.ndarray:
     return out
 
 
+def squeezed(blob: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(blob)
+
+
+def unsqueezed(blob: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
+def _id_kind(path: str) -> str:
+    return "<u2" if max(read_ranks(path).values()) < 1 << 16 else "<i4"
+
+
+SPLIT = "chunk long, part int, doc_ids array<long>, codes binary, data binary"
+
+
 def _split(pattern: str, chunk_chars: int, parts: int):
-    """Texts to chunks: a row (chunk, doc_id, codes) for each document, one (chunk, part, codes = sizes of pieces, data)
-    for each part that the chunk asks, and one (chunk, part = -1, codes = the part of each piece)."""
+    """Texts to chunks: rows (chunk, doc_ids, codes = number of pieces of each document, then these) for some documents each,
+    one (chunk, part, codes = sizes of pieces, data) for each part that the chunk asks, and one (chunk, part = -1, codes =
+    the part of each piece)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -157,34 +177,37 @@ def _split(pattern: str, chunk_chars: int, parts: int):
         find = regex.compile(pattern).findall
         chunk, size, numbers = TaskContext.get().partitionId() << 32, 0, defaultdict(count().__next__)
 
-        def batch_of(chunks: list, part: list, doc_id: list, codes: list, data: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((chunks, part, doc_id, codes, data), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["chunk", "part", "doc_id", "codes", "data"])
+        def batch_of(part: list, doc_ids: list, codes: list, data: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(([chunk] * len(part), part, doc_ids, codes, data), (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()), strict=True)], ["chunk", "part", "doc_ids", "codes", "data"])
 
         def requests() -> Iterator[pa.RecordBatch]:
             pieces = [x.encode() for x in numbers]
             part = np.fromiter(map(crc32, pieces), np.int64, len(pieces)) % parts
             order = np.argsort(part, kind="stable")
             asked, first = np.unique(part[order], return_index=True)
-            asked = asked.tolist()
             groups = [[pieces[i] for i in x.tolist()] for x in np.split(order, first[1:])]
-            yield batch_of([chunk], [-1], [None], [part.astype("<i4").tobytes()], [None])
-            for at in range(0, len(asked), 64):
-                some = groups[at : at + 64]
-                yield batch_of([chunk] * len(some), asked[at : at + 64], [None] * len(some), [np.array([len(x) for x in g], "<u4").tobytes() for g in some], [b"".join(g) for g in some])
+            yield batch_of([-1], [None], [squeezed(to_varints(part))], [None])
+            for at, group in zip(asked.tolist(), groups, strict=True):
+                yield batch_of([at], [None], [to_varints(np.array([len(x) for x in group]))], [squeezed(b"".join(group))])
+
+        def documents(ids: list, codes: list) -> pa.RecordBatch:
+            return batch_of([None], [ids], [squeezed(to_varints(np.concatenate([np.array([len(x) for x in codes], np.int64), *codes])))], [None])
 
         for batch in rows(batches):
-            ids, codes, chunks = [], [], []
+            ids, codes = [], []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 if size and size + len(text or "") > chunk_chars:
+                    if ids:
+                        yield documents(ids, codes)
                     if numbers:
                         yield from requests()
-                    chunk, size, numbers = chunk + 1, 0, defaultdict(count().__next__)
+                    ids, codes, chunk, size, numbers = [], [], chunk + 1, 0, defaultdict(count().__next__)
                 found = find(text or "")
                 size += len(text or "")
                 ids.append(doc_id)
-                codes.append(to_varints(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))))
-                chunks.append(chunk)
-            yield batch_of(chunks, [None] * len(ids), ids, codes, [None] * len(ids))
+                codes.append(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)))
+            if ids:
+                yield documents(ids, codes)
         if numbers:
             yield from requests()
 
@@ -201,16 +224,16 @@ def _answered(path: str, block_bytes: int):
         number = defaultdict(count().__next__)
         asked = []
         for sizes, data in zip(requests["codes"].to_pylist(), requests["data"].to_pylist(), strict=True):
-            end = np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64)).tolist()
+            end, data = np.cumsum(from_varints(sizes)).tolist(), unsqueezed(data)
             asked.append(np.fromiter((number[data[a:b]] for a, b in zip([0, *end], end)), np.int64, len(end)))  # noqa: B905
         pieces = list(number)
         ends = np.cumsum([0, *map(len, pieces)])
         cuts = [0, *np.searchsorted(ends, np.arange(block_bytes, int(ends[-1]), block_bytes)).tolist(), len(pieces)]
         found = [ids for a, b in zip(cuts, cuts[1:]) for ids in replay(pieces[a:b], path)]  # noqa: B905
-        flat, size = np.array([i for ids in found for i in ids], "<i4"), np.array([len(ids) for ids in found], np.int64)
+        flat, size = np.array([i for ids in found for i in ids], _id_kind(path)), np.array([len(ids) for ids in found], np.int64)
         start = np.cumsum(size) - size
-        codes = [size[x].astype("<u4").tobytes() for x in asked]
-        data = [_gathered(flat, start[x], size[x]).tobytes() for x in asked]
+        codes = [to_varints(size[x]) for x in asked]
+        data = [squeezed(_gathered(flat, start[x], size[x]).tobytes()) for x in asked]
         return pa.table([requests["chunk"], requests["part"], pa.array(codes, pa.binary()), pa.array(data, pa.binary())], ["chunk", "part", "codes", "data"])
 
     return run
@@ -222,21 +245,28 @@ def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
     return flat[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(start - (stop - size), size)]
 
 
-def _written_out(docs: pa.Table, answers: pa.Table) -> pa.Table:
+def _written_out(path: str):
     """The ids of a chunk's documents, from its answers and the part of each of its pieces."""
-    by_part = sorted(zip(*(answers[c].to_pylist() for c in ("part", "codes", "data")), strict=True))
-    size, flat = np.zeros(0, np.int64), np.zeros(0, "<i4")
-    if by_part:  # else no document of the chunk has a character
-        order = np.argsort(np.frombuffer(by_part[0][1], "<i4"), kind="stable")
-        answered = np.concatenate([np.frombuffer(x[1], "<u4") for x in by_part[1:]]).astype(np.int64)
-        flat = np.concatenate([np.frombuffer(x[2], "<i4") for x in by_part[1:]])
-        size, start = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-        size[order], start[order] = answered, np.cumsum(answered) - answered
-    out = []
-    for blob in docs["codes"].to_pylist():
-        number = from_varints(blob)
-        out.append(_gathered(flat, start[number], size[number]).tobytes() if len(number) else b"")
-    return pa.table([docs["doc_id"], pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
+    kind = _id_kind(path)
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        by_part = sorted(zip(*(answers[c].to_pylist() for c in ("part", "codes", "data")), strict=True))
+        size = start = flat = np.zeros(0, np.int64)
+        if by_part:  # else no document of the chunk has a character
+            order = np.argsort(from_varints(unsqueezed(by_part[0][1])), kind="stable")
+            answered = np.concatenate([from_varints(x[1]) for x in by_part[1:]])
+            flat = np.concatenate([np.frombuffer(unsqueezed(x[2]), kind) for x in by_part[1:]])
+            size, start = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+            size[order], start[order] = answered, np.cumsum(answered) - answered
+        doc_ids, out = [], []
+        for ids, blob in zip(docs["doc_ids"].to_pylist(), docs["codes"].to_pylist(), strict=True):
+            numbers = from_varints(unsqueezed(blob))
+            doc_ids += ids
+            for number in np.split(numbers[len(ids) :], np.cumsum(numbers[: len(ids)])[:-1]):
+                out.append(_gathered(flat, start[number], size[number]).astype("<i4").tobytes())
+        return pa.table([pa.array(doc_ids, pa.int64()), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
+
+    return run
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, path: str | None = None, pattern: str | None = None, chunk_chars: int = CHUNK_CHARS, part_chars: int = PART_CHARS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -246,12 +276,12 @@ def encode_documents(spark: SparkSession, docs: DataFrame, path: str | None = No
     path, pattern = path or default_path(), pattern or default_pattern()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = max(shuffle_partitions(spark), -(-(texts.agg(F.sum(F.length("text"))).first()[0] or 0) // part_chars))
-    split = keep(spark, texts.mapInArrow(_split(pattern, chunk_chars, parts), "chunk long, part int, doc_id long, codes binary, data binary"), "pieces")
+    split = keep(spark, texts.mapInArrow(_split(pattern, chunk_chars, parts), SPLIT), "pieces")
     requests = split.where("part >= 0").select("chunk", "part", "codes", "data")
     answers = requests.groupBy("part").applyInArrow(_answered(path, block_bytes), ANSWER)
     answers = answers.unionByName(split.where("part = -1").select("chunk", "part", "codes", "data"))
-    coded = split.where("part is null").select(F.col("chunk").alias("of"), "doc_id", "codes")
-    return coded.groupBy("of").cogroup(answers.groupBy("chunk")).applyInArrow(_written_out, ENCODED)
+    coded = split.where("part is null").select(F.col("chunk").alias("of"), "doc_ids", "codes")
+    return coded.groupBy("of").cogroup(answers.groupBy("chunk")).applyInArrow(_written_out(path), ENCODED)
 
 
 def id_lists(encoded: DataFrame) -> DataFrame:
