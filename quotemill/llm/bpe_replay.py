@@ -21,8 +21,8 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
+from functools import cache, partial
 from heapq import heapify, heappop, heappush
 from itertools import count
 from zlib import crc32
@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 from quotemill.llm.common import keep, rows, shuffle_partitions
 
 #: Characters of text in a chunk; a longer document is a chunk of its own.
-CHUNK_CHARS = 12_000_000
+CHUNK_CHARS = 8_000_000
 #: Characters of the corpus for each part of the hash space.
 PART_CHARS = 64_000_000
 #: Bytes of distinct pieces whose merges are replayed together.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 2_000_000
 #: Token ids are below this, so that a pair of them is one integer.
 ID_SPACE = 1 << 20
 
@@ -245,8 +245,8 @@ def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
     return flat[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(start - (stop - size), size)]
 
 
-def _written_out(path: str):
-    """The ids of a chunk's documents, from its answers and the part of each of its pieces."""
+def _written_out(path: str, each: Callable[[pa.Table], pa.Table] | None):
+    """The ids of a chunk's documents, from its answers and the part of each of its pieces; each is applied to their table."""
     kind = _id_kind(path)
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -264,14 +264,16 @@ def _written_out(path: str):
             doc_ids += ids
             for number in np.split(numbers[len(ids) :], np.cumsum(numbers[: len(ids)])[:-1]):
                 out.append(_gathered(flat, start[number], size[number]).astype("<i4").tobytes())
-        return pa.table([pa.array(doc_ids, pa.int64()), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        table = pa.table([pa.array(doc_ids, pa.int64()), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        return each(table) if each else table
 
     return run
 
 
-def encode_documents(spark: SparkSession, docs: DataFrame, path: str | None = None, pattern: str | None = None, chunk_chars: int = CHUNK_CHARS, part_chars: int = PART_CHARS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode_documents(spark: SparkSession, docs: DataFrame, path: str | None = None, pattern: str | None = None, chunk_chars: int = CHUNK_CHARS, part_chars: int = PART_CHARS, block_bytes: int = BLOCK_BYTES, each: Callable[[pa.Table], pa.Table] | None = None, schema: str = ENCODED) -> DataFrame:
     """(doc_id, n_tokens, ids) of every row of docs(doc_id, text), by the ranks in a file that every executor has. ids are
-    little-endian 32-bit integers behind each other; id_lists() has them as arrays.
+    little-endian 32-bit integers behind each other; id_lists() has them as arrays. ``each`` turns tables of these rows into ones of
+    another schema in the same task.
     """
     path, pattern = path or default_path(), pattern or default_pattern()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -281,7 +283,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, path: str | None = No
     answers = requests.groupBy("part").applyInArrow(_answered(path, block_bytes), ANSWER)
     answers = answers.unionByName(split.where("part = -1").select("chunk", "part", "codes", "data"))
     coded = split.where("part is null").select(F.col("chunk").alias("of"), "doc_ids", "codes")
-    return coded.groupBy("of").cogroup(answers.groupBy("chunk")).applyInArrow(_written_out(path), ENCODED)
+    return coded.groupBy("of").cogroup(answers.groupBy("chunk")).applyInArrow(_written_out(path, each), schema)
 
 
 def id_lists(encoded: DataFrame) -> DataFrame:
@@ -315,17 +317,28 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def digest_table(encoded: pa.Table, path: str) -> pa.Table:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, ids): of the ids written out, and of what they decode to."""
+    of, digits = (x.__getitem__ for x in _spellings(path))
+    n, said, back = [], [], []
+    for blob in encoded["ids"].to_pylist():
+        ids = np.frombuffer(blob or b"", "<i4").tolist()
+        n.append(len(ids))
+        said.append(hashlib.sha256(b" ".join(map(digits, ids))).hexdigest())
+        back.append(hashlib.sha256(b"".join(map(of, ids))).hexdigest())
+    return pa.table([encoded["doc_id"], pa.array(n, pa.int64()), pa.array(said, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
 def token_digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded(doc_id, ids): of the ids written out, and of what they decode to."""
+    """digest_table of a table of encoded documents."""
     path = path or default_path()
+    return encoded.select("doc_id", "ids").mapInArrow(lambda batches: (b for batch in batches for b in digest_table(pa.Table.from_batches([batch]), path).to_batches()), DIGESTS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, digits = (x.__getitem__ for x in _spellings(path))
-        for batch in rows(batches):
-            out = []
-            for doc_id, blob in zip(batch["doc_id"].to_pylist(), batch["ids"].to_pylist(), strict=True):
-                ids = np.frombuffer(blob or b"", "<i4").tolist()
-                out.append((doc_id, len(ids), hashlib.sha256(b" ".join(map(digits, ids))).hexdigest(), hashlib.sha256(b"".join(map(of, ids))).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64() if k < 2 else pa.string()) for k in range(4)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def encoded_digests(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:
+    """token_digests of encode_documents, where the ids are made."""
+    path = path or default_path()
+    return encode_documents(spark, docs, path, each=partial(digest_table, path=path), schema=DIGESTS)

@@ -76,7 +76,7 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_replay.token_digests(bpe_replay.encode_documents(spark, _table(spark, sf_dir, "documents")))
+    return bpe_replay.encoded_digests(spark, _table(spark, sf_dir, "documents"))
 
 
 OP10_SQL = r"""

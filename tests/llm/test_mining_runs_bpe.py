@@ -107,6 +107,7 @@ def test_bpe_equals_tiktoken(spark, docs, sizes):
     back = bpe_replay.decode_documents(encoded)
     assert Counter((r.doc_id, bytes(r.decoded)) for r in back.collect()) == Counter((r.doc_id, (r.text or "").encode()) for r in rows)
     digests = bpe_replay.token_digests(encoded).collect()
+    assert Counter(map(tuple, bpe_replay.encoded_digests(spark, docs).collect())) == Counter(map(tuple, digests))
     assert Counter(tuple(r) for r in digests) == Counter((i, len(x), hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest(), hashlib.sha256((t.text or "").encode()).hexdigest()) for (i, x), t in zip(tiktoken_rows(rows), rows, strict=True))
 
 
