@@ -180,36 +180,42 @@ def _split(pattern: str, chunk_chars: int, parts: int):
         def batch_of(part: list, doc_ids: list, codes: list, data: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(([chunk] * len(part), part, doc_ids, codes, data), (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()), strict=True)], ["chunk", "part", "doc_ids", "codes", "data"])
 
-        def requests() -> Iterator[pa.RecordBatch]:
+        def closed() -> Iterator[pa.RecordBatch]:
             pieces = [x.encode() for x in numbers]
-            part = np.fromiter(map(crc32, pieces), np.int64, len(pieces)) % parts
-            order = np.argsort(part, kind="stable")
-            asked, first = np.unique(part[order], return_index=True)
-            groups = [[pieces[i] for i in x.tolist()] for x in np.split(order, first[1:])]
-            yield batch_of([-1], [None], [squeezed(to_varints(part))], [None])
-            for at, group in zip(asked.tolist(), groups, strict=True):
-                yield batch_of([at], [None], [to_varints(np.array([len(x) for x in group]))], [squeezed(b"".join(group))])
-
-        def documents(ids: list, codes: list) -> pa.RecordBatch:
-            return batch_of([None], [ids], [squeezed(to_varints(np.concatenate([np.array([len(x) for x in codes], np.int64), *codes])))], [None])
-
+            sizes = [len(x) for x in codes]
+            flat = np.concatenate([*codes, np.zeros(0, np.int32)])
+            # frequent pieces get small numbers, those about as frequent follow the alphabet: both make the blobs small
+            by_name = np.array(sorted(range(len(pieces)), key=pieces.__getitem__), np.int64)
+            often = np.log2(np.bincount(flat, minlength=len(pieces))).astype(np.int64)
+            by_name = by_name[np.argsort(-often[by_name], kind="stable")]
+            renamed = np.empty(len(pieces), np.int64)
+            renamed[by_name] = np.arange(len(pieces))
+            flat = renamed[flat]
+            ends = np.cumsum([0, *sizes])
+            for at in range(0, len(ids), 512):
+                n = sizes[at : at + 512]
+                yield batch_of([None], [ids[at : at + 512]], [squeezed(to_varints(np.concatenate([np.array(n, np.int64), flat[ends[at] : ends[at + len(n)]]])))], [None])
+            if pieces:
+                part = np.array([crc32(pieces[i]) % parts for i in by_name.tolist()], np.int64)
+                order = np.argsort(part, kind="stable")
+                asked, first = np.unique(part[order], return_index=True)
+                yield batch_of([-1], [None], [squeezed(to_varints(part))], [None])
+                for at, group in zip(asked.tolist(), np.split(by_name[order], first[1:]), strict=True):
+                    named = [pieces[i] for i in group.tolist()]
+                    yield batch_of([at], [None], [squeezed(to_varints(np.array([len(x) for x in named])))], [squeezed(b"".join(named))])
+
+        ids, codes = [], []
         for batch in rows(batches):
-            ids, codes = [], []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 if size and size + len(text or "") > chunk_chars:
-                    if ids:
-                        yield documents(ids, codes)
-                    if numbers:
-                        yield from requests()
+                    yield from closed()
                     ids, codes, chunk, size, numbers = [], [], chunk + 1, 0, defaultdict(count().__next__)
                 found = find(text or "")
                 size += len(text or "")
                 ids.append(doc_id)
-                codes.append(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)))
-            if ids:
-                yield documents(ids, codes)
-        if numbers:
-            yield from requests()
+                codes.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
+        if ids:
+            yield from closed()
 
     return run
 
@@ -224,7 +230,7 @@ def _answered(path: str, block_bytes: int):
         number = defaultdict(count().__next__)
         asked = []
         for sizes, data in zip(requests["codes"].to_pylist(), requests["data"].to_pylist(), strict=True):
-            end, data = np.cumsum(from_varints(sizes)).tolist(), unsqueezed(data)
+            end, data = np.cumsum(from_varints(unsqueezed(sizes))).tolist(), unsqueezed(data)
             asked.append(np.fromiter((number[data[a:b]] for a, b in zip([0, *end], end)), np.int64, len(end)))  # noqa: B905
         pieces = list(number)
         ends = np.cumsum([0, *map(len, pieces)])
@@ -232,7 +238,7 @@ def _answered(path: str, block_bytes: int):
         found = [ids for a, b in zip(cuts, cuts[1:]) for ids in replay(pieces[a:b], path)]  # noqa: B905
         flat, size = np.array([i for ids in found for i in ids], _id_kind(path)), np.array([len(ids) for ids in found], np.int64)
         start = np.cumsum(size) - size
-        codes = [to_varints(size[x]) for x in asked]
+        codes = [squeezed(to_varints(size[x])) for x in asked]
         data = [squeezed(_gathered(flat, start[x], size[x]).tobytes()) for x in asked]
         return pa.table([requests["chunk"], requests["part"], pa.array(codes, pa.binary()), pa.array(data, pa.binary())], ["chunk", "part", "codes", "data"])
 
@@ -254,7 +260,7 @@ def _written_out(path: str, each: Callable[[pa.Table], pa.Table] | None):
         size = start = flat = np.zeros(0, np.int64)
         if by_part:  # else no document of the chunk has a character
             order = np.argsort(from_varints(unsqueezed(by_part[0][1])), kind="stable")
-            answered = np.concatenate([from_varints(x[1]) for x in by_part[1:]])
+            answered = np.concatenate([from_varints(unsqueezed(x[1])) for x in by_part[1:]])
             flat = np.concatenate([np.frombuffer(unsqueezed(x[2]), kind) for x in by_part[1:]])
             size, start = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
             size[order], start[order] = answered, np.cumsum(answered) - answered
