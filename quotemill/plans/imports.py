@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quotemill.functions.text import safe_cell
+from quotemill.operators import paste
 from quotemill.session import table
 from quotemill.sources.files import export_csv, read_delimited
 from quotemill.sources.views import quote, rule
@@ -127,7 +128,26 @@ def wi10_forward_fill(spark: SparkSession, d: str) -> DataFrame:
     return r.select("rule_id", F.last("heading", ignorenulls=True).over(w).alias("heading"))
 
 
-QUERIES = {f.__name__: f for f in (sk1_safe_export, sc3_task_file, co14_validated_import, ag18_import_report, sk11_batch_gate, jo13_priority_fallback, sk7_fenced, st4_stale, jo21_supersession, co12_bundle_errors, sk15_snapshot_meta, wi10_forward_fill)}
+# --- pasted lists
+
+
+def _paste_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    return rule(spark, d).select(F.col("rule_id").alias("entry_id"), F.col("manufacturer").alias("brand"), F.concat_ws(" ", "title", F.col("size").cast("string")).alias("model"), F.lpad(F.col("rule_id").cast("string"), 6, "0").alias("article"))
+
+
+def fn13_pasted_lists(spark: SparkSession, d: str) -> DataFrame:
+    """A paste for each order: its lines' models, articles, brands with models, titles without a size, or titles with an order
+    number behind them, one after another with blanks, commas, line breaks and semicolons between, split and looked up."""
+    c = _paste_catalogue(spark, d)
+    named = F.element_at(F.array(F.col("model"), F.col("article"), F.concat_ws("  ", "brand", "model"), F.regexp_replace("model", " [0-9]+$", ""), F.concat_ws(" ", "model", F.col("run_id").cast("string"), F.lit("pcs"))), F.col("rate") % 5 + 1)
+    gap = F.element_at(F.array(F.lit(" "), F.lit(", "), F.lit("\n"), F.lit(" ;")), F.col("source_id").cast("int") % 4 + 1)
+    lines = quote(spark, d).join(c.withColumnRenamed("entry_id", "rule_id"), "rule_id").select("run_id", F.struct("line_no", "rule_id", "source_id", "price", F.concat(named, gap).alias("text")).alias("x"))
+    pastes = lines.groupBy(F.col("run_id").alias("paste_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["text"]), "").alias("text"))
+    out = paste.resolve_pastes(pastes, c, ["model", "article"], F.concat_ws(" · ", "brand", "model", F.concat(F.lit("арт. "), "article")))
+    return out.select("paste_id", "line", "part", "query", "status", "candidates", "entry_id")
+
+
+QUERIES = {f.__name__: f for f in (sk1_safe_export, sc3_task_file, co14_validated_import, ag18_import_report, sk11_batch_gate, jo13_priority_fallback, sk7_fenced, st4_stale, jo21_supersession, co12_bundle_errors, sk15_snapshot_meta, wi10_forward_fill, fn13_pasted_lists)}
 SQL = {
     "sk1_safe_export": r"select conv_id, turn, case when regexp_matches(ltrim(t), '^[=+\-@]') then '''' || t else t end cell from (select conv_id, turn, case when turn % 2 = 0 then ' =1+' || text else text end t from conversations)",
     "sc3_task_file": """select rule_id article, manufacturer, case when rule_id % 5 = 0 then title || '; 2" bore' else title end title from rule""",
@@ -141,4 +161,27 @@ SQL = {
     "co12_bundle_errors": "with i as (select o_orderkey % 9 = 0 short, o_orderkey % 5 = 0 monthly, o_orderkey % 11 = 0 bare from orders) select case when short = monthly and not bare then 'valid' else concat_ws('+', case when short <> monthly then 'precision' end, case when bare then 'source' end) end state, count(*) n from i group by 1",
     "sk15_snapshot_meta": "select count(*) as rows, max(rule_id) max_id, count(distinct manufacturer) brands from rule",
     "wi10_forward_fill": "select rule_id, last_value(case when rule_id % 7 = 0 then category end ignore nulls) over (partition by manufacturer order by rule_id rows unbounded preceding) heading from rule",
+    "fn13_pasted_lists": r"""with recursive c as (select rule_id entry_id, manufacturer brand, title || ' ' || size model, title, lpad(rule_id::varchar, 6, '0') article from rule),
+  q as (select run_id, line_no, rule_id, source_id, price, [model, article, brand || '  ' || model, title, model || ' ' || run_id || ' pcs'][rate % 5 + 1] || [' ', ', ', chr(10), ' ;'][source_id % 4 + 1] x from quote join c on entry_id = rule_id),
+  p as (select run_id paste_id, regexp_split_to_array(string_agg(x, '' order by line_no, rule_id, source_id, price, x), '[\r\n\t;|]+') parts from q group by 1),
+  names as (select entry_id, unnest([model, article, brand || ' ' || model, brand || ' ' || article]) a from c),
+  k as (select distinct lower(regexp_replace(a, '\s+', '', 'g')) as key, entry_id from names),
+  l as (select paste_id, line, trim(raw, ' ') t from (select paste_id, unnest(parts) raw, generate_subscripts(parts, 1) - 1 line from p) where trim(raw, ' ') <> ''),
+  u as (select *, lower(regexp_replace(t, '\s+', '', 'g')) in (select key from k) whole, regexp_extract_all(t, '[^\s,]+') tok, regexp_extract_all(t, '[^\s,]+([\s,]*)', 1) gap from l),
+  most as (select max(len(regexp_extract_all(a, '[^\s,]+'))) most from names),
+  s as (select paste_id, line, i, unnest(range(1, least(most, len(tok) - i) + 1)) n, tok, gap from (select *, unnest(range(len(tok))) i from u, most where not whole)),
+  sk as (select paste_id, line, i, n, array_to_string(list_transform(range(i + 1, i + n), lambda j: tok[j] || gap[j]), '') || tok[i + n] x from s),
+  m as (select paste_id, line, i, max(n) n, arg_max(x, n) x from sk where lower(regexp_replace(x, '\s+', '', 'g')) in (select key from k) group by 1, 2, 3),
+  walk as (select paste_id, line, 0::bigint a, 0::bigint b, null::varchar x, true known from u where not whole
+    union all select w.paste_id, w.line, w.b, w.b + coalesce(m.n, 1), coalesce(m.x, u.tok[w.b + 1]), m.n is not null from walk w join u using (paste_id, line) left join m on m.paste_id = w.paste_id and m.line = w.line and m.i = w.b where w.b < len(u.tok)),
+  st as (select w.*, w.known or coalesce(lag(w.known) over g, true) or (w.a > 0 and contains(u.gap[w.a], ',')) fresh from walk w join u using (paste_id, line) where w.b > 0 window g as (partition by w.paste_id, w.line order by w.a)),
+  pt as (select *, sum(fresh::int) over (partition by paste_id, line order by a) - 1 part from st),
+  parts as (select paste_id, line, part, string_agg(x, ' ' order by a) query from pt group by 1, 2, 3 union all select paste_id, line, 0, t from u where whole),
+  f as (select paste_id, unnest(arg_min({line: line, part: part, query: query}, (line, part))), key from (select *, lower(regexp_replace(query, '\s+', '', 'g')) as key from parts) group by paste_id, key),
+  e as (select entry_id, brand || ' · ' || model || ' · арт. ' || article label, lower(regexp_replace(model, '\s+', '', 'g')) mk, lower(regexp_replace(brand || ' · ' || model || ' · арт. ' || article, '\s+', '', 'g')) tx from c),
+  sure as (select key, count(*) n, arg_min(entry_id, (not starts_with(mk, key), label, entry_id)) entry_id from k join e using (entry_id) group by 1),
+  ask as (select distinct query, key from f where key not in (select key from k)),
+  part as (select query, count(*) n, arg_min(entry_id, (not starts_with(mk, key), label, entry_id)) entry_id from ask join e on len(list_filter(regexp_split_to_array(lower(query), '\s+'), lambda w: not contains(tx, w))) = 0 group by 1)
+  select paste_id, line::int line, part::int part, f.query, case when sure.n = 1 then 'exact' when sure.n > 1 then 'ambiguous' when part.n > 0 then 'partial' else 'missing' end status, coalesce(sure.n, part.n, 0) candidates, coalesce(sure.entry_id, part.entry_id) entry_id
+  from f left join sure using (key) left join part on part.query = f.query""",
 }
