@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quotemill.functions.text import safe_cell
 from quotemill.operators import paste
-from quotemill.session import table
-from quotemill.sources.files import export_csv, read_delimited
+from quotemill.session import shared_dir, table
+from quotemill.sources import archives, decoding
+from quotemill.sources.files import export_csv, read_delimited, read_records
 from quotemill.sources.views import quote, rule
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder under the shared one, or under the warehouse where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/quotemill-{uuid.uuid4().hex}"
+    """A new folder under the shared one."""
+    return f"{shared_dir(spark)}/quotemill-{uuid.uuid4().hex}"
 
 
 def sk1_safe_export(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +148,100 @@ def fn13_pasted_lists(spark: SparkSession, d: str) -> DataFrame:
     return out.select("paste_id", "line", "part", "query", "status", "candidates", "entry_id")
 
 
-QUERIES = {f.__name__: f for f in (sk1_safe_export, sc3_task_file, co14_validated_import, ag18_import_report, sk11_batch_gate, jo13_priority_fallback, sk7_fenced, st4_stale, jo21_supersession, co12_bundle_errors, sk15_snapshot_meta, wi10_forward_fill, fn13_pasted_lists)}
+# --- bytes in several encodings, archives of unlike files
+
+LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувшхыз"
+
+
+def sc15_decoded_files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in Cyrillic letters, as UTF-8, UTF-8 with a mark, Windows-1251 that the transport calls Latin-1, and KOI8-R
+    that the page declares, by language; read back in the encoding of least damage."""
+    docs = table(spark, d, "documents")
+    text = F.regexp_replace(F.translate(F.lower("text"), LATIN, CYRILLIC), r"[^\x00-\x7Fа-яё]", "")
+    name = F.when(F.col("lang") == "en", "utf-8").when(F.col("lang") == "de", "utf-8-sig").when(F.col("lang") == "fr", "cp1251").otherwise("koi8-r")
+    page = docs.select("doc_id", name.alias("name"), F.concat(F.when(name == "koi8-r", "<meta charset=koi8-r>").otherwise(""), text).alias("page"))
+    content = F.pandas_udf(_encoded, "binary")("page", "name")
+    out = decoding.decoded(page.select("doc_id", "name", content.alias("content")), declared=F.when(F.col("name") == "cp1251", "ISO-8859-1"))
+    return out.select("doc_id", "encoding", "damage", F.sha2("text", 256).alias("text_sha256"))
+
+
+def _encoded(text: pd.Series, name: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else t.encode(n, "replace") for t, n in zip(text, name, strict=True)])
+
+
+def fn12_damage_score(spark: SparkSession, d: str) -> DataFrame:
+    """Damage of each document's text, of its UTF-8 bytes read as Latin-1, and whether the score prefers the text."""
+    text, wrong = F.col("text"), F.decode(F.encode("text", "utf-8"), "iso-8859-1")
+    out = table(spark, d, "documents").select("doc_id", decoding.damage(text).alias("damage"), decoding.damage(wrong).alias("misread"))
+    return out.withColumn("prefers_text", F.col("damage") < F.col("misread"))
+
+
+#: Products of a file.
+FILE_ROWS = 5_000
+#: Archives whose files are of one brand.
+ARCHIVE_BRANDS = {"brand7_shop": "Brand#7"}
+ARCHIVE = r"/folder=([^/]*)/"
+
+
+def _archives(spark: SparkSession, d: str) -> str:
+    """The catalogue as a folder of archives: semicolons with a mark, commas with quoted cells and names over two lines,
+    Windows-1251, and rows that are wrapped in one cell, too short, or without a name."""
+    path = _folder(spark)
+    r = rule(spark, d).withColumn("chunk", F.floor(F.col("rule_id") / FILE_ROWS))
+    whole = F.concat_ws(" ", "manufacturer", "title")
+    size, price = F.col("size").cast("string"), F.col("list_price").cast("string")
+    line = F.concat_ws(";", F.when(F.col("size") % 9 == 0, "").otherwise(F.col("title")), F.lpad(F.col("rule_id").cast("string"), 7, "0"), size)
+    kinds = {
+        "brand7_shop": (F.col("manufacturer") == "Brand#7", "name;Артикул;Size, mm:", F.when(F.col("size") % 10 == 3, F.concat(F.lit('"'), line, F.lit('"'))).when(F.col("size") % 10 == 4, F.concat_ws(";", "title", size)).otherwise(line)),
+        "marked": (F.col("size") < 15, "\ufeffname;Size, mm:;Type;price", F.concat_ws(";", whole, size, "category", price)),
+        "quoted": (F.col("size") < 30, '"name",Type,link', F.concat_ws(",", F.concat(F.lit('"'), F.col("manufacturer"), F.lit(' ""'), F.replace("title", F.lit(" "), F.lit("\n")), F.lit('"""')), "category", F.concat(F.lit("https://example.org/"), F.col("rule_id").cast("string")))),
+        "cyrillic": (F.lit(True), "name;Размер", F.concat_ws(";", F.concat(F.lit("Датчик "), F.when(F.col("size") % 7 != 0, whole).otherwise(F.col("title"))), size)),
+    }
+    folder = F.lit(None).cast("string")
+    for name, (chosen, _, _) in kinds.items():
+        folder = F.coalesce(folder, F.when(chosen, name))
+    value = F.lit(None).cast("string")
+    for name, (_, _, row) in kinds.items():
+        value = F.coalesce(value, F.when(F.col("folder") == name, row))
+    rows = r.withColumn("folder", folder).select("folder", "chunk", F.col("rule_id").alias("k"), value.alias("value"))
+    heads = rows.select("folder", "chunk").distinct().withColumn("k", F.lit(-1).cast("long"))
+    heads = heads.withColumn("value", F.try_element_at(F.create_map(*[F.lit(x) for name, (_, head, _) in kinds.items() for x in (name, head)]), F.col("folder")))
+    lines = rows.unionByName(heads)
+    raw = F.pandas_udf(_encoded, "binary")
+    plain, other = lines.where("folder <> 'cyrillic'"), lines.where("folder = 'cyrillic'").withColumn("value", raw("value", F.lit("cp1251")).cast("string"))
+    plain.unionByName(other).repartition("folder", "chunk").sortWithinPartitions("folder", "chunk", "k").select("folder", "chunk", "value").write.partitionBy("folder", "chunk").text(path)
+    return path
+
+
+def _judged(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    records = read_records(spark, path, "*.txt")
+    return records, archives.judged_records(records, ARCHIVE_BRANDS, [f"Brand#{i}" for i in range(40, 0, -1)], F.regexp_extract("file", ARCHIVE, 1))
+
+
+def _chunk() -> F.Column:
+    return F.regexp_extract("file", "/chunk=([0-9]+)/", 1).cast("long").alias("chunk")
+
+
+def sc4_archives(spark: SparkSession, d: str) -> DataFrame:
+    """The archives' attributes as one long table."""
+    out = archives.attributes(_judged(spark, _archives(spark, d))[1])
+    return out.select("source", _chunk(), "line", "brand", F.replace("article", F.lit("\n"), F.lit("|")).alias("article"), F.replace("title", F.lit("\n"), F.lit("|")).alias("title"), "product_url", "name", "value")
+
+
+def ag23_inventory(spark: SparkSession, d: str) -> DataFrame:
+    """The archives' files with encoding, columns and records by state; a file's hash is 64 digits."""
+    path = _archives(spark, d)
+    records, judged = _judged(spark, path)
+    out = archives.inventory(spark, path, records, judged, "*.txt")
+    return out.select(F.regexp_extract("file", ARCHIVE, 1).alias("source"), _chunk(), F.length("sha256").alias("digits"), "encoding", "columns", "accepted", "unwrapped", "rejected_shape", "without_name", "outside_brand_scope")
+
+
+_ARCHIVE = """f as (select *, rule_id // 5000 as chunk, case when manufacturer = 'Brand#7' then 'brand7_shop' when size < 15 then 'marked' when size < 30 then 'quoted' else 'cyrillic' end folder from rule),
+  n as (select *, row_number() over (partition by folder, chunk order by rule_id) + 1 as line,
+    case folder when 'brand7_shop' then nullif(title, '') when 'marked' then manufacturer || ' ' || title when 'quoted' then manufacturer || ' "' || replace(title, ' ', '|') || '"' else 'Датчик ' || case when size % 7 <> 0 then manufacturer || ' ' else '' end || title end full_name from f),
+  j as (select *, case when folder = 'brand7_shop' and size % 10 = 4 then 'rejected_shape' when folder = 'brand7_shop' and size % 9 = 0 then 'without_name' when folder = 'cyrillic' and size % 7 = 0 then 'outside_brand_scope' else 'accepted' end state from n)"""
+
+QUERIES = {f.__name__: f for f in (sk1_safe_export, sc3_task_file, co14_validated_import, ag18_import_report, sk11_batch_gate, jo13_priority_fallback, sk7_fenced, st4_stale, jo21_supersession, co12_bundle_errors, sk15_snapshot_meta, wi10_forward_fill, fn13_pasted_lists, sc15_decoded_files, fn12_damage_score, sc4_archives, ag23_inventory)}
 SQL = {
     "sk1_safe_export": r"select conv_id, turn, case when regexp_matches(ltrim(t), '^[=+\-@]') then '''' || t else t end cell from (select conv_id, turn, case when turn % 2 = 0 then ' =1+' || text else text end t from conversations)",
     "sc3_task_file": """select rule_id article, manufacturer, case when rule_id % 5 = 0 then title || '; 2" bore' else title end title from rule""",
@@ -184,4 +278,12 @@ SQL = {
   part as (select query, count(*) n, arg_min(entry_id, (not starts_with(mk, key), label, entry_id)) entry_id from ask join e on len(list_filter(regexp_split_to_array(lower(query), '\s+'), lambda w: not contains(tx, w))) = 0 group by 1)
   select paste_id, line::int line, part::int part, f.query, case when sure.n = 1 then 'exact' when sure.n > 1 then 'ambiguous' when part.n > 0 then 'partial' else 'missing' end status, coalesce(sure.n, part.n, 0) candidates, coalesce(sure.entry_id, part.entry_id) entry_id
   from f left join sure using (key) left join part on part.query = f.query""",
+    "sc15_decoded_files": f"""with t as (select doc_id, lang, case when lang in ('en', 'de', 'fr') then '' else '<meta charset=koi8-r>' end || regexp_replace(translate(lower(text), '{LATIN}', '{CYRILLIC}'), '[^\\x00-\\x7Fа-яё]', '', 'g') t from documents)
+  select doc_id, case when t is null then null when lang in ('en', 'de') or not regexp_matches(t, '[^\\x00-\\x7F]') then 'utf-8' when lang = 'fr' then 'cp1251' else 'koi8-r' end as encoding, case when t is not null then 0 end as damage, sha256(t) text_sha256 from t""",
+    "fn12_damage_score": r"""with t as (select doc_id, len(regexp_extract_all(text, '[\x{FFFD}ÐÑÃÂ]')) m, len(regexp_extract_all(text, '[À-ÿ]')) l, regexp_replace(hex(encode(text)), '(..)', '\1 ', 'g') h from documents),
+  s as (select *, len(regexp_extract_all(h, '(C2|C3|D0|D1) ')) wm, len(regexp_extract_all(h, '[C-F][0-9A-F] ')) wl from t)
+  select doc_id, m + case when l >= 4 then l else 0 end damage, wm + case when wl >= 4 then wl else 0 end misread, m + case when l >= 4 then l else 0 end < wm + case when wl >= 4 then wl else 0 end prefers_text from s""",
+    "sc4_archives": f"""with {_ARCHIVE} select folder as source, chunk, line, case when folder = 'brand7_shop' then 'Brand#7' else manufacturer end brand, case folder when 'brand7_shop' then lpad(rule_id::varchar, 7, '0') when 'quoted' then '"' || replace(title, ' ', '|') || '"' else title end article, full_name title,
+    case when folder = 'quoted' then 'https://example.org/' || rule_id end product_url, a.x[1] as name, a.x[2] as value from j, lateral (select unnest(case folder when 'brand7_shop' then [['Артикул', lpad(rule_id::varchar, 7, '0')], ['Size, mm', size::varchar]] when 'marked' then [['Size, mm', size::varchar], ['Type', category]] when 'quoted' then [['Type', category]] else [['Размер', size::varchar]] end) x) a where state = 'accepted'""",
+    "ag23_inventory": f"""with {_ARCHIVE} select folder as source, chunk, 64 digits, case when folder = 'cyrillic' then 'cp1251' else 'utf-8' end as encoding, case folder when 'marked' then 4 when 'cyrillic' then 2 else 3 end as columns, count_if(state = 'accepted') accepted, count_if(folder = 'brand7_shop' and size % 10 = 3) unwrapped, count_if(state = 'rejected_shape') rejected_shape, count_if(state = 'without_name') without_name, count_if(state = 'outside_brand_scope') outside_brand_scope from j group by 1, 2""",
 }

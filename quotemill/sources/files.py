@@ -5,28 +5,28 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quotemill.functions.text import safe_cell
 
 
 def read_delimited(spark: SparkSession, path: str, columns: Sequence[str], aliases: Mapping[str, str] | None = None, separators: str = ";,\t") -> DataFrame:
-    """Bounded delimited files (see export_csv), one row for each line with its file, line number and error code.
+    """Delimited files, one row for each record with its file, record number (blank ones count) and error code.
 
-    Files are UTF-8, or else Windows-1251; a quoted cell may hold separators and doubled quotes. The separator is the one that the header holds most often. Headers are matched without case, aliases apply; an
-    unknown or a repeated header rejects the file. A line with more values than headers is rejected; blank lines go.
+    Files are UTF-8, or else Windows-1251; a quoted cell may hold separators, line breaks and doubled quotes. The separator
+    is the one that the header holds most often. Headers are matched without case, aliases apply; an unknown or a repeated
+    header rejects the file. A line with more values than headers is rejected; blank lines go.
     """
     names = {c.lower(): c for c in columns} | {k.lower(): v for k, v in (aliases or {}).items()}
-    lines = _decoded(spark, path).select("file", F.regexp_replace("value", "^\ufeff", "").alias("value"))
-    lines = lines.select("file", F.transform(F.split("value", "\r?\n"), lambda x: F.trim(x)).alias("lines"))
-    header = F.element_at("lines", 1)
+    lines = read_records(spark, path).withColumn("text", F.trim("text"))
+    header = F.col("text")
     chosen = F.array_max(F.array(*[F.struct((F.length(header) - F.length(F.replace(header, F.lit(s), F.lit("")))).alias("n"), F.lit(-i).alias("i"), F.lit(s).alias("s")) for i, s in enumerate(separators)]))["s"]
-    lines = lines.withColumn("sep", chosen)
     known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    lines = lines.withColumn("header", F.transform(F.split(F.element_at("lines", 1), F.concat(F.lit("\\Q"), F.col("sep"), F.lit("\\E")), -1), lambda h: F.try_element_at(known, F.lower(F.trim(h)))))
+    heads = lines.where("record = 1").withColumn("sep", chosen)
+    heads = heads.select("file", "sep", F.transform(cells(F.col("text"), F.col("sep")), lambda h: F.try_element_at(known, F.lower(F.trim(h)))).alias("header"))
     bad_header = F.when(F.exists("header", lambda h: h.isNull()), "unknown_header").when(F.size(F.array_distinct("header")) < F.size("header"), "duplicate_header")
-    rows = lines.select("file", "sep", "header", bad_header.alias("bad"), F.posexplode("lines").alias("line", "text")).where((F.col("line") > 0) & (F.col("text") != ""))
+    rows = lines.where("record > 1 and text <> ''").join(heads.withColumn("bad", bad_header), "file")
     rows = rows.withColumn("values", cells(F.col("text"), F.col("sep")))
     error = F.coalesce("bad", F.when(F.size("values") > F.size("header"), "value_without_header"))
 
@@ -34,19 +34,34 @@ def read_delimited(spark: SparkSession, path: str, columns: Sequence[str], alias
         at = F.array_position("header", F.lit(name)).cast("int")
         return F.when(F.col("bad").isNull() & (at > 0), F.nullif(F.trim(F.get("values", at - 1)), F.lit("")))
 
-    return rows.select("file", (F.col("line") + 1).alias("line"), error.alias("error"), *[value(c).alias(c) for c in columns])
+    return rows.select("file", F.col("record").cast("int").alias("line"), error.alias("error"), *[value(c).alias(c) for c in columns])
 
 
-def _decoded(spark: SparkSession, path: str) -> DataFrame:
-    """(file, value): whole files as text; only those that are no UTF-8 go through a decoder in Python."""
+def read_records(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(file, record, text, encoding) of all files below a folder, read by lines; record 1 is the header, blank lines are
+    records too. A quoted cell that spans lines is joined again by the parity of quotes.
 
-    @F.pandas_udf("string")
-    def cyrillic(content: pd.Series) -> pd.Series:
-        return content.map(lambda b: bytes(b).decode("cp1251", "replace"))
-
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
-    utf8 = F.is_valid_utf8(F.col("content").cast("string"))
-    return files.where(utf8).select("file", F.col("content").cast("string").alias("value")).union(files.where(~utf8).select("file", cyrillic("content")))
+    A file is UTF-8 if all its lines are, else Windows-1251. Lines are ordered by their block and their place in it. A quote
+    mark that is no cell's border must be doubled: alone it opens a quoted cell.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("raw"))
+    utf8 = lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8(F.col("raw").cast("string"))).alias("utf8"))
+    lines = lines.join(utf8, "file")
+    cyrillic = F.pandas_udf(_cyrillic, "string")
+    known = lines.where("utf8").withColumn("text", F.col("raw").cast("string"))
+    other = lines.where("not utf8").withColumn("text", cyrillic("raw"))
+    lines = known.unionByName(other).select("file", "block", "at", F.when(F.col("utf8"), "utf-8").otherwise("cp1251").alias("encoding"), F.regexp_replace("text", "^﻿", "").alias("text"))
+    of_file = Window.partitionBy("file").orderBy("block", "at")
+    quotes = F.coalesce(F.sum(F.regexp_count("text", F.lit('"'))).over(of_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = lines.withColumn("opens", (quotes % 2 == 0).cast("int")).withColumn("n", F.row_number().over(of_file))
+    lines = lines.withColumn("record", F.sum("opens").over(of_file.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "\n")
+    return lines.groupBy("file", "record", "encoding").agg(joined.alias("text"))
+
+
+def _cyrillic(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda b: bytes(b).decode("cp1251", "replace"))
 
 
 def cells(line: Column, sep: Column) -> Column:
@@ -55,10 +70,10 @@ def cells(line: Column, sep: Column) -> Column:
     pattern = F.concat(quoted, F.lit('(?:"(?:[^"]|"")*"|(?:(?!'), quoted, F.lit(").)*)"))
     found = F.regexp_extract_all(F.concat(sep, line), pattern, F.lit(0))
     bare = F.transform(found, lambda x: F.trim(F.substr(x, F.lit(2))))
-    return F.transform(bare, lambda x: F.when(x.rlike('^".*"$'), F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+    return F.transform(bare, lambda x: F.when(x.rlike('(?s)^".*"$'), F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
 
 
-#: Lines of a file that export_csv() writes, at most: a reader takes a file at once.
+#: Lines of a file that export_csv() writes, at most.
 FILE_LINES = 10_000
 
 
