@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quotemill.operators import checks
 from quotemill.session import table
 from quotemill.sources.views import chk, obs, quote, rule
-from quotemill.streaming import lifecycle
+from quotemill.streaming import catalogue, lifecycle
 
 
 def jo16_completeness_grid(spark: SparkSession, d: str) -> DataFrame:
@@ -135,7 +135,81 @@ def st2_lifecycle(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.fold(obs(spark, d).select("rule_id", "checked_at", "obs_id", "status")).select("rule_id", "state", "missing", "events")
 
 
-QUERIES = {f.__name__: f for f in (jo16_completeness_grid, ag25_coverage_matrix, ag12_coverage_shares, fi9_monitored, ag2_run_totals, ag4_run_state, ag3_progress, ag1_library_kpis, ag24_operations, jo9_pending, jo17_snapshot_diff, se3_selection, se6_absent_variants, se8_absent_brands, ag14_activity, li4_top_competitors, jo29_activity_join, st2_lifecycle)}
+# --- lifecycle by manifests: a run is a day's checks of a brand; every tenth check reads a listing, the others product pages
+
+
+def _checks(spark: SparkSession, d: str) -> DataFrame:
+    """Checks with source and effect: a price or a word for it is a read card, one without a price may say discontinued;
+    what is not found is an address or a variant."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    e = table(spark, d, "events").select(F.col("event_id").alias("obs_id"), k.alias("k"))
+    o = obs(spark, d).join(e, "obs_id").join(rule(spark, d).select("rule_id", F.col("manufacturer").alias("source")), "rule_id")
+    effect = F.when((F.col("status") == "no_price") & (F.col("k") >= 80), "discontinued").when(F.col("status").isin("priced", "on_request", "no_price"), "active").when(F.col("status") == "not_found", F.when(F.col("k") >= 50, "variant").otherwise("http"))
+    return o.select("rule_id", "source", F.date_trunc("day", "checked_at").alias("run_id"), F.col("checked_at").alias("at"), "obs_id", effect.alias("effect"), F.when(F.col("k") % 10 == 0, "listing").otherwise("product").alias("kind"), (F.col("status") != "network_error").alias("ok"))
+
+
+def _states(checks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs, and products' states after all checks."""
+    runs = catalogue.manifests(checks)
+    products = checks.select("rule_id", "source").distinct()
+    listed = checks.where("kind = 'product'")
+    return runs, catalogue.fold(catalogue.gated(checks, runs).union(catalogue.unlisted(products, listed, runs)))
+
+
+def st2_manifest_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """State of each product after its checks, where only complete runs of its brand tell of absence."""
+    return _states(_checks(spark, d))[1]
+
+
+def _moved(spark: SparkSession, d: str, checks: DataFrame) -> DataFrame:
+    """Products of an even number as known cards, of an odd one as newly found; an old address that last answered "on
+    request" leads to the card of the next number, one that was not found is gone."""
+    r = rule(spark, d).select("rule_id", F.col("manufacturer").alias("source"), F.col("title").alias("brand"), F.col("category").alias("article"))
+    address = lambda x: F.concat(F.lit("https://shop.example/"), x.cast("string"))
+    known = r.where("rule_id % 2 = 0").withColumn("url", address(F.col("rule_id")))
+    cards = r.where("rule_id % 2 = 1").withColumnRenamed("rule_id", "card_id").withColumn("url", address(F.col("card_id")))
+    last = obs(spark, d).groupBy("rule_id").agg(F.max_by(F.struct("status", "http_status"), F.struct("checked_at", "obs_id")).alias("x"))
+    fetches = last.select(address(F.col("rule_id")).alias("url"), F.col("x.http_status").alias("status"), address(F.col("rule_id") + F.when(F.col("x.status") == "on_request", 1).otherwise(0)).alias("target"))
+    aliases = quote(spark, d).where("line_no = 1").select(F.col("rule_id"), address(F.col("source_id")).alias("url")).distinct()
+    return catalogue.moved(cards, known, aliases, fetches)
+
+
+def jo24_moved_cards(spark: SparkSession, d: str) -> DataFrame:
+    """New cards of a brand, title and category that exactly one known product has, with what shows that it moved."""
+    return _moved(spark, d, _checks(spark, d)).select("card_id", "rule_id", "evidence")
+
+
+def co8_reconciled(spark: SparkSession, d: str) -> DataFrame:
+    """Each brand's catalogue after its runs: complete runs, products by state, events, and new cards that are moved ones."""
+    checks = _checks(spark, d)
+    runs, states = _states(checks)
+    done = runs.groupBy("source").agg(F.count("*").alias("runs"), F.count_if("complete").alias("complete_runs"))
+    by = states.join(checks.select("rule_id", "source").distinct(), "rule_id").groupBy("source").agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("active", "discontinued", "review", "archived", "new")], F.sum("events").alias("events"))
+    new = rule(spark, d).where("rule_id % 2 = 1").select(F.col("rule_id").alias("card_id"), F.col("manufacturer").alias("source"))
+    found = new.join(_moved(spark, d, checks), "card_id", "left").groupBy("source").agg(F.count("evidence").alias("moved"), F.count_if(F.col("evidence").isNull()).alias("own_cards"))
+    return done.join(by, "source").join(found, "source", "left").fillna(0)
+
+
+_LIFECYCLE = """b as (select o.rule_id, r.manufacturer as source, date_trunc('day', o.checked_at) run_id, o.checked_at as t, o.obs_id, o.status, json_extract_string(e.props, '$.k')::int k from obs o join events e on e.event_id = o.obs_id join rule r on r.rule_id = o.rule_id),
+  runs as (select source, run_id, count_if(k % 10 = 0) > 0 and count_if(k % 10 <> 0) > 0 and count_if(k % 10 = 0 and status = 'network_error') = 0 complete, max(t) closed from b group by 1, 2),
+  g as (select rule_id, t, obs_id, case when status = 'no_price' and k >= 80 then 'discontinued' when status in ('priced', 'on_request', 'no_price') then 'active' when status = 'not_found' and complete then case when k >= 50 then 'variant' else 'http' end end effect from b join runs using (source, run_id)
+    union all select p.rule_id, closed, 9223372036854775807, 'unlisted' from (select distinct rule_id, source from b) p join runs on runs.source = p.source and complete where not exists (select 1 from b where b.rule_id = p.rule_id and b.run_id = runs.run_id and k % 10 <> 0)),
+  o as (select rule_id, epoch_us(t) ts, effect, row_number() over (partition by rule_id order by t, obs_id) n from g where effect is not null),
+  f as (select distinct rule_id, 0::bigint n, 'new' state, 0 missing, '' kind, -4000000000000000000::bigint last, 0 events from o
+    union all select f.rule_id, o.n,
+      case when effect in ('active', 'discontinued') then effect when f.state = 'new' or ts - f.last < 86400000000 then f.state when effect = 'unlisted' then case when f.state = 'archived' then f.state else 'review' end when f.kind = effect and f.missing >= 1 then 'archived' else 'review' end,
+      case when effect in ('active', 'discontinued') then 0 when f.state = 'new' or ts - f.last < 86400000000 or effect = 'unlisted' then f.missing when f.kind = effect then f.missing + 1 else 1 end,
+      case when effect in ('active', 'discontinued') then '' when f.state = 'new' or ts - f.last < 86400000000 or effect = 'unlisted' then f.kind else effect end,
+      case when effect in ('active', 'discontinued') then -4000000000000000000 when f.state = 'new' or ts - f.last < 86400000000 or effect = 'unlisted' then f.last else ts end,
+      f.events + case when effect in ('active', 'discontinued') then (f.state in ('new', 'archived'))::int when f.state = 'new' or ts - f.last < 86400000000 or effect = 'unlisted' then 0 else 1 end
+    from f join o on o.rule_id = f.rule_id and o.n = f.n + 1),
+  states as (select rule_id, arg_max(state, n) state, arg_max(missing, n) missing, arg_max(kind, n) kind, arg_max(events, n) events from f group by 1)"""
+_MOVED = """kn as (select manufacturer, title, category, min(rule_id) rule_id from rule where rule_id % 2 = 0 group by 1, 2, 3 having count(*) = 1),
+  la as (select rule_id, arg_max(status, (checked_at, obs_id)) status from obs group by 1),
+  mv as (select c.rule_id card_id, kn.rule_id, case when exists (select 1 from quote q where q.line_no = 1 and q.rule_id = kn.rule_id and q.source_id = c.rule_id) then 'alias' when la.status = 'on_request' and c.rule_id = kn.rule_id + 1 then 'redirect' when la.status = 'not_found' then 'gone' end evidence
+    from rule c join kn using (manufacturer, title, category) left join la on la.rule_id = kn.rule_id where c.rule_id % 2 = 1)"""
+
+QUERIES = {f.__name__: f for f in (jo16_completeness_grid, ag25_coverage_matrix, ag12_coverage_shares, fi9_monitored, ag2_run_totals, ag4_run_state, ag3_progress, ag1_library_kpis, ag24_operations, jo9_pending, jo17_snapshot_diff, se3_selection, se6_absent_variants, se8_absent_brands, ag14_activity, li4_top_competitors, jo29_activity_join, st2_lifecycle, st2_manifest_lifecycle, jo24_moved_cards, co8_reconciled)}
 SQL = {
     "jo16_completeness_grid": "with l as (select competitor, kind, arg_max(status, check_id) s, arg_max(url, check_id) u from chk group by 1, 2), g as (select n_name competitor, k.kind from nation, (values ('news'), ('products'), ('telegram'), ('promotions')) k(kind)) select competitor, kind, coalesce(s, 'partial') status, coalesce(u, 'not yet checked') url from g left join l using (competitor, kind)",
     "ag25_coverage_matrix": "with l as (select competitor, kind, arg_max(status, check_id) s from chk group by 1, 2), w as (select competitor, max(s) filter (kind = 'news') news, max(s) filter (kind = 'products') products, max(s) filter (kind = 'telegram') telegram from l group by 1) select *, not (coalesce(news, '') = 'success' and coalesce(products, '') = 'success' and coalesce(telegram, '') = 'success') incomplete from w",
@@ -160,4 +234,10 @@ SQL = {
     case when k.status <> 'not_found' then 0 when k.ts - f.last < 86400 then f.missing else f.missing + 1 end, case when k.status <> 'not_found' then -1e18 when k.ts - f.last < 86400 then f.last else k.ts end,
     f.events + case when k.status <> 'not_found' then (f.state <> 'active')::int when k.ts - f.last < 86400 then 0 when f.missing >= 1 then (f.state <> 'archived')::int else (f.state <> 'review')::int end from f join k on k.rule_id = f.rule_id and k.n = f.n + 1)
   select rule_id, arg_max(state, n) state, arg_max(missing, n) missing, arg_max(events, n) events from f group by 1""",
+    "st2_manifest_lifecycle": f"with recursive {_LIFECYCLE} select * from states",
+    "jo24_moved_cards": f"with {_MOVED} select * from mv",
+    "co8_reconciled": f"""with recursive {_LIFECYCLE}, {_MOVED}, d as (select source, count(*) runs, count_if(complete) complete_runs from runs group by 1),
+  s as (select source, count_if(state = 'active') active, count_if(state = 'discontinued') discontinued, count_if(state = 'review') review, count_if(state = 'archived') archived, count_if(state = 'new') as new, sum(events)::bigint events from states join (select distinct rule_id, source from b) using (rule_id) group by 1),
+  m as (select manufacturer source, count(evidence) moved, count_if(evidence is null) own_cards from rule left join mv on card_id = rule.rule_id where rule.rule_id % 2 = 1 group by 1)
+  select d.*, s.* exclude (source), coalesce(moved, 0) moved, coalesce(own_cards, 0) own_cards from d join s using (source) left join m using (source)""",
 }
