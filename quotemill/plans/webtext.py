@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +13,35 @@ from quotemill.sources.views import doc, page, post, quote, rule
 
 ANCHOR = r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
 #: Words that announce a product, and words that only promote (fixed values).
-ANNOUNCES = r"(?iU)\b(new|launch(?:es|ed)?|introduc(?:es|ed|ing)|unveils|nouvelle|neue)\b|thtion"
-PROMOTES = r"(?iU)\b(sale|discount|promo|soldes|rabatt)\b|oneshon"
+ANNOUNCES = r"(?iU)\b(new|launch(?:es|ed)?|introduc(?:es|ed|ing)|unveils|nouvelle|neue)\b"
+PROMOTES = r"(?iU)\b(sale|discount|promo|soldes|rabatt)\b"
+
+
+#: What a product is called, and how one is announced before or after it (fixed values).
+PRODUCT = r"(?:датчик\w*|преобразовател\w*|кнопк\w*|серия|серии|sensor\w*|encoder\w*|controller\w*|series|flow meter\w*|code.read\w*)"
+NEWS = (
+    r"(?:\bnew\b|\bupgraded\b|\bнов(?:ый|ая|ые|ую|ых)\b)\s+(?:[\w-]+\s+){0,4}" + PRODUCT,
+    r"\b(?:launch(?:es|ed)?|introduc(?:es|ed|ing)|unveils)\s+(?:[\w-]+\s+){0,6}" + PRODUCT,
+    r"\b(?:portfolio|lineup|series|range)\b.{0,45}\b(?:expanded|additional|upgraded|added)\b",
+    r"(?:расшир\w*|обнов\w*|пополн\w*)\s+(?:[\w-]+\s+){0,2}(?:линейк\w*|ассортимент\w*|сери\w*)",
+)
+#: Titles of pages that ask whether a visitor is a person, and what their first characters hold (fixed values).
+CHALLENGE_TITLE = "just a moment|access denied|checking your browser|verify.*human|captcha|доступ ограничен|проверка браузера|подтвердите.*человек"
+CHALLENGE_BODY, CHALLENGE_COOKIE = "cf-chl-", r"""document\.cookie\s*=\s*[\x22\x27]RCPC="""
+
+
+def announces_product(title: Column, text: Column) -> Column:
+    """Whether a title with the first 200 characters of its text announces a product or a larger range of them."""
+    subject = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.left(F.coalesce(text, F.lit("")), F.lit(200))))
+    said = reduce(lambda x, y: x | y, [subject.rlike(f"(?U){p}") for p in NEWS])
+    return said | (subject.rlike(r"(?U)\bновинки\b") & subject.rlike(f"(?U){PRODUCT}"))
+
+
+def is_challenge(html: Column) -> Column:
+    """Whether a page is a visitor check, by its title or its first 20 000 characters."""
+    head = F.left(html, F.lit(20_000))
+    title = F.lower(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return F.coalesce(title.rlike(CHALLENGE_TITLE) | F.contains(head, F.lit(CHALLENGE_BODY)) | head.rlike(f"(?i){CHALLENGE_COOKIE}"), F.lit(False))
 
 
 def _without_tags(html: Column) -> Column:
@@ -84,10 +113,20 @@ def fn59_acceptance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fi17_challenge(spark: SparkSession, d: str) -> DataFrame:
-    """Pages that ask whether a visitor is a person, by title and the first 20 000 characters."""
-    served = F.when(F.col("page_id") % 9 == 0, F.regexp_replace("html", "(?is)<title>[^<]*</title>", "<title>Just a moment...</title>")).otherwise(F.col("html"))
-    hit = _title(served).rlike("(?i)just a moment|attention required|captcha") | F.left(served, F.lit(20_000)).rlike("(?i)cf-challenge|g-recaptcha")
-    return page(spark, d).where(hit).select("page_id")
+    """Pages that ask whether a visitor is a person; among the given ones some are served a check by title, by a mark in the
+    first characters, by a mark too far behind to count, or by a cookie, chosen by the length of the page."""
+    n = F.length("html") % 7
+    served = F.when(n == 0, F.regexp_replace("html", "(?is)<title>[^<]*</title>", "<title>Just a moment...</title>")).when(n == 1, F.concat(F.lit("<i class='cf-chl-x'>"), "html")).when(n == 2, F.concat("html", F.lpad(F.lit("cf-chl-"), 20_000, " "))).when(n == 3, F.concat(F.lit("<script>Document.cookie = 'RCPC=1'</script>"), "html")).otherwise(F.col("html"))
+    return page(spark, d).where(is_challenge(served)).select("page_id")
+
+
+def fn58_product_news(spark: SparkSession, d: str) -> DataFrame:
+    """Titles and texts about products of the catalogue, in the words of news, offers and reports, with whether they announce
+    a product."""
+    said = ["{} launches the new compact {} sensor", "{} introduces a large {} for the shop", "{}: our {} range has additional sizes", "{}: {} sensors at a discount", "{} обновила популярную линейку {}", "Новинки {}: датчики {}", "Новый завод {} и {}", "{} upgraded its small and light {} encoders"]
+    text = lambda i: F.format_string(said[i].replace("{}", "%s"), "manufacturer", "title")
+    r = rule(spark, d).withColumn("news", F.element_at(F.array(*[text(i) for i in range(len(said))]), F.col("size") % len(said) + 1))
+    return r.select("rule_id", announces_product(F.col("news"), F.col("category")).alias("announces"))
 
 
 def fn34_crawl_urls(spark: SparkSession, d: str) -> DataFrame:
@@ -151,7 +190,7 @@ def sc11_channel_pages(spark: SparkSession, d: str) -> DataFrame:
     return x.withColumn("coverage", F.when(F.col("invalid") > 0, "partial").otherwise("success"))
 
 
-QUERIES = {f.__name__: f for f in (fn51_main_text, fn53_listing_cards, sc7_product_cards, fn55_site_attributes, fn56_quote_proof, fn58_announcements, fn59_acceptance, fi17_challenge, fn34_crawl_urls, fn37_templates, fn44_semantic_versions, fn45_composite_keys, fn47_portable_events, sc9_sitemaps, sc10_feed, sc11_channel_pages)}
+QUERIES = {f.__name__: f for f in (fn51_main_text, fn53_listing_cards, sc7_product_cards, fn55_site_attributes, fn56_quote_proof, fn58_announcements, fn59_acceptance, fi17_challenge, fn58_product_news, fn34_crawl_urls, fn37_templates, fn44_semantic_versions, fn45_composite_keys, fn47_portable_events, sc9_sitemaps, sc10_feed, sc11_channel_pages)}
 
 
 def _sq(x: str) -> str:
@@ -169,9 +208,13 @@ SQL = {
     "sc7_product_cards": rf"select page_id, nullif(regexp_extract({_PATH}, '/(\d+)$', 1), '')::bigint article, regexp_extract({_PATH}, '^/([a-z]{{2}})/', 1) as language, regexp_extract({_HOST}, '([^.]+)\.example\.[a-z]+$', 1) maker, " + _sq("regexp_extract(html, '(?is)<h1[^>]*>([^<]*)</h1>', 1)") + " as name, len(regexp_extract_all(html, '(?is)<b>([^<]*)', 1)) variants from page",
     "fn55_site_attributes": rf"""select regexp_extract({_HOST}, '([^.]+\.example\.[a-z]+)$', 1) site, count(*) pages, count(distinct regexp_extract(html, '(?is)<html lang="([^"]*)"', 1)) languages, sum(len(regexp_extract_all(html, '(?i)(<p>)', 1)))::bigint paragraphs, count_if(contains(regexp_extract(html, '(?is)<footer>(.*?)</footer>', 1), {_HOST})) named from page group by 1""",
     "fn56_quote_proof": f"select page_id, contains(lower({_MAIN}), lower({_TITLE} || case when page_id % 5 = 0 then ' xq' else '' end)) proven from page",
-    "fn58_announcements": rf"select regexp_matches({_START}, '(?i)\b(new|launch(?:es|ed)?|introduc(?:es|ed|ing)|unveils|nouvelle|neue)\b|thtion') announces, regexp_matches({_START}, '(?i)\b(sale|discount|promo|soldes|rabatt)\b|oneshon') promotes, count(*) n from doc group by 1, 2",
+    "fn58_announcements": rf"select regexp_matches({_START}, '(?i)\b(new|launch(?:es|ed)?|introduc(?:es|ed|ing)|unveils|nouvelle|neue)\b') announces, regexp_matches({_START}, '(?i)\b(sale|discount|promo|soldes|rabatt)\b') promotes, count(*) n from doc group by 1, 2",
     "fn59_acceptance": rf"select case when length({_MAIN}) < 600 then 'content' when contains(regexp_extract(url, '\?([^#]*)', 1), 'page=') then 'listing' when starts_with({_HOST}, 'm.') then 'host' when page_id % 11 = 0 then 'future_date' when page_id % 7 = 0 then 'missing_date' else 'confirmed' end outcome, count(*) n from page group by 1",
-    "fi17_challenge": "select page_id from page where page_id % 9 = 0",
+    "fi17_challenge": r"""with s as (select page_id, case length(html) % 7 when 0 then regexp_replace(html, '(?is)<title>[^<]*</title>', '<title>Just a moment...</title>', 'g') when 1 then '<i class=''cf-chl-x''>' || html when 2 then html || lpad('cf-chl-', 20000, ' ') when 3 then '<script>Document.cookie = ''RCPC=1''</script>' || html else html end h from page)
+  select page_id from s where regexp_matches(lower(regexp_extract(h, '(?is)<title[^>]*>(.*?)</title>', 1)), 'just a moment|access denied|checking your browser|verify.*human|captcha') or contains(left(h, 20000), 'cf-chl-') or regexp_matches(left(h, 20000), '(?i)document\.cookie\s*=\s*[\x22\x27]RCPC=')""",
+    "fn58_product_news": r"""with t as (select rule_id, ' ' || lower([manufacturer || ' launches the new compact ' || title || ' sensor', manufacturer || ' introduces a large ' || title || ' for the shop', manufacturer || ': our ' || title || ' range has additional sizes', manufacturer || ': ' || title || ' sensors at a discount', manufacturer || ' обновила популярную линейку ' || title, 'Новинки ' || manufacturer || ': датчики ' || title, 'Новый завод ' || manufacturer || ' и ' || title, manufacturer || ' upgraded its small and light ' || title || ' encoders'][size % 8 + 1] || ' ' || category) || ' ' s from rule)
+  select rule_id, regexp_matches(s, '[^\p{L}\d_](new|upgraded|нов(ый|ая|ые|ую|ых))\s+([\p{L}\d_-]+\s+){0,4}(датчик|преобразовател|кнопк|серия|серии|sensor|encoder|controller|series|flow meter|code.read)') or regexp_matches(s, '[^\p{L}\d_](launch(es|ed)?|introduc(es|ed|ing)|unveils)\s+([\p{L}\d_-]+\s+){0,6}(датчик|преобразовател|кнопк|серия|серии|sensor|encoder|controller|series|flow meter|code.read)') or regexp_matches(s, '[^\p{L}\d_](portfolio|lineup|series|range)[^\p{L}\d_](.{0,44}[^\p{L}\d_])?(expanded|additional|upgraded|added)[^\p{L}\d_]')
+    or regexp_matches(s, '(расшир|обнов|пополн)[\p{L}\d_]*\s+([\p{L}\d_-]+\s+){0,2}(линейк|ассортимент|сери)') or (regexp_matches(s, '[^\p{L}\d_]новинки[^\p{L}\d_]') and regexp_matches(s, '(датчик|преобразовател|кнопк|серия|серии|sensor|encoder|controller|series|flow meter|code.read)')) announces from t""",
     "fn34_crawl_urls": rf"""with l as (select lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || {_HOST} root, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*href="([^"]*)"', 1)) href from page), u as (select case when regexp_matches(href, '^https?://') then href when starts_with(href, '/') then root || href end u from l) select regexp_replace(u, '/+$', '') as address, count(*) n from u where u is not null and not regexp_matches(lower(regexp_extract(u, '^([^?#]*)', 1)), '\.(?:css|js|png|jpe?g|gif|svg|ico|woff2?|mp4|zip|pdf)$') group by 1""",
     "fn37_templates": "select rule_id, 'https://site.example/search?q=' || replace(replace(manufacturer || ' ' || title, '#', '%23'), ' ', '%20') || '&p=1' as address from rule",
     "fn44_semantic_versions": "select rule_id, count(distinct (price, basis, rate, status)) versions, count(*) sightings from quote group by 1",
