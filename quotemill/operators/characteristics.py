@@ -59,24 +59,30 @@ def dictionary(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "name string, field string, prefix boolean")
 
 
+def _resolved(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """Different texts (name, ...) with ``key`` and the array ``fields`` of their names."""
+    names = names.select(t.attribute_key(F.col("name")).alias("listed"), "field", "prefix").distinct()
+    sizes = names.where("prefix").agg(F.coalesce(F.collect_set(F.length("listed")), F.array().cast("array<int>")).alias("sizes"))  # one row, few numbers
+    keys = texts.select("name").distinct().withColumn("key", t.attribute_key(F.col("name"))).join(F.broadcast(sizes))
+    beginnings = F.transform(F.filter("sizes", lambda n: n <= F.length("key")), lambda n: F.struct(F.left("key", n).alias("listed"), F.lit(True).alias("prefix")))
+    tried = keys.select("name", "key", F.explode(F.concat(F.array(F.struct(F.col("key").alias("listed"), F.lit(False).alias("prefix"))), beginnings)).alias("x")).select("name", "key", "x.*")
+    found = tried.join(names, ["listed", "prefix"], "left")
+    rank = F.when(F.col("prefix"), F.length("listed")).otherwise(2**30)
+    best = found.groupBy("name", "key").agg(F.collect_set(F.when(F.col("field").isNotNull(), F.struct(rank.alias("rank"), "field"))).alias("all"))  # fields at most
+    best = best.select("name", "key", F.transform(F.filter("all", lambda x: x["rank"] == F.array_max("all")["rank"]), lambda x: x["field"]).alias("fields"))
+    return texts.join(best, texts["name"].eqNullSafe(best["name"])).drop(best["name"])
+
+
 def named_fields(attributes: DataFrame, names: DataFrame) -> DataFrame:
     """attributes(name, ...) with ``key`` and ``field``; a row for each field of its name, null where no name fits.
 
-    names(name, field, prefix). Each different key is looked up once: listed names by equality; of the others, their
-    beginnings of the lengths that are listed, by equality as well, of which the longest counts (ties: all its fields).
+    names(name, field, prefix). Each different name is looked up once: as it stands, and its beginnings of the lengths
+    that are listed, all by equality. A whole name counts before beginnings, of these the longest (with all its fields).
     Null names have no field. Columns ``key`` and ``field`` of the input are replaced.
     """
-    attributes = attributes.withColumn("key", t.attribute_key(F.col("name"))).drop("field")
-    names = names.select(t.attribute_key(F.col("name")).alias("listed"), "field", "prefix").distinct()
-    keys = attributes.select("key").distinct()
-    exact = keys.join(names.where("not prefix"), keys.key == names.listed).select("key", "field")
-    starts = names.where("prefix").select("listed", "field")
-    sizes = starts.agg(F.coalesce(F.collect_set(F.length("listed")), F.array().cast("array<int>")).alias("sizes"))  # one row, few numbers
-    cut = keys.join(exact, "key", "left_anti").join(F.broadcast(sizes)).select("key", F.explode("sizes").alias("n")).where("n <= length(key)")
-    found = cut.withColumn("listed", F.left("key", F.col("n"))).join(starts, "listed")
-    longest = found.groupBy("key").agg(F.max("n").alias("n"))
-    known = exact.unionByName(found.join(longest, ["key", "n"]).select("key", "field"))
-    return attributes.join(known, "key", "left")
+    known = _resolved(attributes.select("name").distinct(), names)
+    x = attributes.drop("key", "field").join(known.withColumnRenamed("name", "known"), F.col("name").eqNullSafe(F.col("known"))).drop("known")
+    return x.withColumn("field", F.explode_outer("fields")).drop("fields")
 
 
 def _value(field: str, number: Column | None = None, text: Column | None = None, clash: Column | None = None) -> Column:
@@ -124,10 +130,13 @@ def typed_fields(attributes: DataFrame, names: DataFrame, by: str) -> DataFrame:
     """attributes(by, name, value) -> by, field, number, text, conflict, said: a row for each field that a product's
     attributes speak of. Values that differ make a conflict, whose number and text are null; ``said`` counts values.
 
-    Placeholders and null values say nothing. Values are aggregated as least and greatest, so no group is gathered.
+    Placeholders and null values say nothing. Each different pair of name and value is read once and joined back, since a
+    catalogue repeats its texts. Values are aggregated as least and greatest, so no group is gathered.
     """
-    x = named_fields(attributes.where(~c.is_placeholder(F.col("value"))).select(by, "name", "value"), names).where("field is not null")
-    x = x.select(by, F.explode(parsed(F.col("field"), F.col("key"), F.col("value"))).alias("x")).select(by, "x.*")
+    texts = _resolved(attributes.select("name", "value").distinct().where(~c.is_placeholder(F.col("value"))), names)
+    texts = texts.select(F.col("name").alias("known"), F.col("value").alias("written"), "key", F.explode("fields").alias("of"))
+    texts = texts.select("known", "written", F.explode(parsed(F.col("of"), F.col("key"), F.col("written"))).alias("x")).select("known", "written", "x.*")
+    x = attributes.select(by, "name", "value").join(texts, F.col("name").eqNullSafe(F.col("known")) & (F.col("value") == F.col("written")))
     g = x.groupBy(by, "field").agg(F.min("number").alias("n0"), F.max("number").alias("n1"), F.min("text").alias("t0"), F.max("text").alias("t1"), F.max("clash").alias("clash"), F.count_if(~F.col("clash")).alias("said"))
     conflict = F.col("clash") | F.coalesce(F.col("n0") != F.col("n1"), F.lit(False)) | F.coalesce(F.col("t0") != F.col("t1"), F.lit(False))
     return g.select(by, "field", F.when(~conflict, F.col("n0")).alias("number"), F.when(~conflict, F.col("t0")).alias("text"), conflict.alias("conflict"), "said")
