@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quotemill.plans import attributes, characteristics, collection, comparison, dates, extraction, facts, history, imports, pages, publications, webtext
+from quotemill.plans import attributes, characteristics, collection, comparison, dates, extraction, facts, history, imports, pages, publications, validation, webtext
 from quotemill.sources import views
 
 FLAGSHIP = "jo2_latest_check"
@@ -27,6 +27,6 @@ def _with_views(sql: str) -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for module in (history, collection, comparison, attributes, dates, facts, imports, pages, publications, webtext, extraction, characteristics):
+for module in (history, collection, comparison, attributes, dates, facts, imports, pages, publications, webtext, extraction, characteristics, validation):
     QUERIES |= module.QUERIES
     SQL |= {name: _with_views(sql) for name, sql in module.SQL.items()}

@@ -62,3 +62,39 @@ def keyword_class(text: Column, keywords: Mapping[str, Sequence[str]], fallback:
 def protected_tokens(text: Column) -> Column:
     """Numbers and upper-case codes that a translation must keep, sorted."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"([A-Z]{2,}[0-9-]*|[0-9]+(?:[.,][0-9]+)?)"), F.lit(1))))
+
+
+# What a translation must keep, and how its terms read in Russian.
+MODELS = r"(?U)\b[A-ZА-Я]+[A-ZА-Я0-9-]*\d[A-ZА-Я0-9-]*\b|\b[A-Z]{2,}[A-Z0-9-]*\b"
+AMOUNTS = r"\d+(?:[.,]\d+)?(?:\s*[%°])?"
+UNITS = r"\b(?:mm|cm|MHz|kHz|GHz|MPa|kPa|mA|mV|kW|VDC|VAC)\b"
+TERMS = (
+    ("capacitive", "ёмкостн|емкостн"),
+    ("inductive", "индуктивн"),
+    ("photoelectric", "фотоэлектр|оптическ"),
+    ("proximity", "приближен|бесконтакт"),
+    ("power controller", "регулятор.{0,20}мощност|контроллер.{0,20}мощност"),
+    ("encoder", "энкодер|преобразователь.{0,20}перемещен"),
+)
+
+
+def kept_tokens(text: Column) -> Column:
+    """Models, numbers (with a decimal point and no spaces) and units of a text, sorted, each as often as it is there."""
+    found = lambda pattern: F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
+    amounts = F.transform(found(AMOUNTS), lambda x: F.regexp_replace(F.translate(x, ",", "."), r"(?U)\s", ""))
+    return F.array_sort(F.concat(found(MODELS), amounts, found(UNITS)))
+
+
+def translation_faults(original: Column, translated: Column) -> Column:
+    """struct(lost, added, terms): tokens that the translation has too few or too many of (a token once for each that
+    lacks or exceeds, sorted), and English terms of which the Russian reading is missing. A null text is an empty one."""
+    one, two = kept_tokens(original), kept_tokens(translated)
+
+    def beyond(x: Column, y: Column) -> Column:
+        times = lambda words, w: F.size(F.filter(words, lambda v: v == w))
+        extra = F.transform(F.array_distinct(x), lambda w: F.array_repeat(w, F.greatest(times(x, w) - times(y, w), F.lit(0))))
+        return F.flatten(extra)
+
+    low = F.lower(F.coalesce(original, F.lit("")))
+    terms = F.array_compact(F.array(*[F.when(low.contains(term) & ~F.coalesce(translated, F.lit("")).rlike("(?Uiu)" + reading), term) for term, reading in TERMS]))
+    return F.struct(beyond(one, two).alias("lost"), beyond(two, one).alias("added"), terms.alias("terms"))
