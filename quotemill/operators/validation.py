@@ -106,8 +106,8 @@ def validated_items(items: DataFrame, runs: DataFrame, competitors: DataFrame) -
         "run": ~there,
         "competitor": there & F.col("_competitor").isNull(),
         "date": there & ~F.coalesce(dated, F.lit(False)),
-        "period": F.coalesce(dated, F.lit(False)) & (F.left("published", F.lit(7)) != F.col("period")),
-        "basis": F.coalesce(dated, F.lit(False)) & F.col("published").isNotNull() & (t.squeezed(F.col("basis")) == ""),
+        "period": there & F.coalesce(dated, F.lit(False)) & (F.left("published", F.lit(7)) != F.col("period")),
+        "basis": there & F.coalesce(dated, F.lit(False)) & F.col("published").isNotNull() & (t.squeezed(F.col("basis")) == ""),
         "url": there & address("url"),
         "proof": there & address("proof_url"),
         "instant": there & ~F.coalesce(F.col("discovered").between(F.col("started"), F.col("finished")), F.lit(False)),

@@ -47,13 +47,13 @@ def test_item_faults(spark):
     changes = [
         {}, {"run": "none"}, {"run": None}, {"competitor": "x"}, {"published": "2026-09-31"}, {"published": "2026-09"}, {"precision": "month", "published": "2026-13"}, {"published": None}, {"published": "2026-08-05"},
         {"basis": None}, {"url": "https://"}, {"proof_url": None}, {"discovered": None}, {"status": None}, {"quote": " "}, {"snapshot": None}, {"quote": "other"}, {"url": "https://e.org/b"},
-        {"url": "https://E.org/a"}, {"precision": "unknown", "published": None, "status": "candidate", "quote": None, "url": "https://e.org/c"}, {"run": "s"},
+        {"url": "https://E.org/a"}, {"precision": "unknown", "published": None, "status": "candidate", "quote": None, "url": "https://e.org/c"}, {"run": "s"}, {"run": "none", "basis": None},
     ]
     schema = "run string, line long, competitor string, published string, precision string, basis string, url string, proof_url string, quote string, snapshot string, status string, discovered timestamp, period string"
     rows = [tuple((base | change | {"line": i, "period": "clash"})[c.split()[0]] for c in schema.split(", ")) for i, change in enumerate(changes)]
     items = spark.createDataFrame(rows, schema).drop("period")
     got = {r.line: r for r in v.validated_items(items, runs, known).collect()}
-    assert [got[i].codes for i in range(len(changes))] == ["", "run", "run", "competitor", "date", "date", "date", "date", "period", "basis", "url,other_page", "proof,other_page", "instant", "status", "quote", "snapshot", "unproven", "other_page", "repeated", "", ""]
+    assert [got[i].codes for i in range(len(changes))] == ["", "run", "run", "competitor", "date", "date", "date", "date", "period", "basis", "url,other_page", "proof,other_page", "instant", "status", "quote", "snapshot", "unproven", "other_page", "repeated", "", "", "run"]
     assert got[20].released and not got[0].released
 
 
