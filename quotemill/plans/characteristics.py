@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quotemill.functions import characteristics as c
 from quotemill.operators import characteristics as ch
+from quotemill.operators import designations as de
 from quotemill.session import table
 
 #: (name, value) of each product as expressions over ``part`` that both engines take.
@@ -37,6 +38,11 @@ PARTS = (
 )
 #: The same of each price line: what a second site says of the product, which may disagree.
 LINES = (("'Номинальное расстояние срабатывания'", "concat(case when l_linenumber = 7 then l_suppkey % 50 else l_partkey % 50 end, ' мм')"),)
+#: Maker and designation of each product; the parts need not fit together.
+CODES = (
+    "case p_partkey % 3 when 0 then 'sis' when 1 then 'PR' else 'pr' end",
+    "case when p_partkey % 3 = 0 then concat('SIS-', case p_size % 3 when 0 then 12 when 1 then 18 else 30 end, case when p_type = 'PROMO' then 'V' else 'N' end, '55-', case p_size % 4 when 0 then 'NO' when 1 then 'NC' when 2 then 'NONC' else 'X' end, '-', case p_size % 5 when 0 then 'PNP' when 1 then 'NPN' when 2 then 'AC' else 'DC' end, '-', p_size, case when p_size % 2 = 0 then ',5' else '' end, '-', case when p_partkey % 2 = 0 then 'ST' else 'tf' end) else concat('PR', case p_size % 3 when 0 then 'CM' when 1 then ' W' else '' end, case p_partkey % 4 when 0 then '08' when 1 then '12' when 2 then '18' else '30' end, '–', case p_size % 8 when 0 then '1.5' when 1 then '2' when 2 then '4' when 3 then '5' when 4 then '8' when 5 then '10' when 6 then '15' else '3' end, 'd', case p_partkey % 5 when 0 then 'n2' when 1 then 'P2' when 2 then 'N' else 'P' end) end",
+)
 #: A purpose text of each product.
 PURPOSE = "case p_partkey % 8 when 0 then 'Датчик контроля минимальной скорости' when 1 then 'не является погружным' when 2 then 'Погружной, для высокого давления' when 3 then 'Взрывозащищённый NAMUR' when 4 then 'щелевой, аналоговый выход' when 5 then 'non-submersible; Ex ia' when 6 then 'fully submersible' else p_name end"
 
@@ -80,6 +86,21 @@ def co6_catalogue(spark: SparkSession, d: str) -> DataFrame:
     return ch.catalogue(_typed(spark, d), "rule_id")
 
 
+def _decoded(spark: SparkSession, d: str) -> DataFrame:
+    codes = table(spark, d, "part").select(F.col("p_partkey").alias("rule_id"), F.expr(CODES[0]).alias("maker"), F.expr(CODES[1]).alias("code"))
+    return de.decoded(codes, "rule_id", de.built_in(spark))
+
+
+def fn28_decoded_fields(spark: SparkSession, d: str) -> DataFrame:
+    """What designations say, by the tables of their makers' rules; codes whose parts do not fit say nothing."""
+    return _decoded(spark, d)
+
+
+def fn29_enriched_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Each product's fields from its card's attributes and its designation, and how the two agree."""
+    return de.enriched(_typed(spark, d), _decoded(spark, d), "rule_id")
+
+
 def co7_field_audit(spark: SparkSession, d: str) -> DataFrame:
     """By brand and field: products of the brand, those whose attributes speak of it, known values and conflicts."""
     part = table(spark, d, "part").select(F.col("p_partkey").alias("rule_id"), F.col("p_brand").alias("manufacturer"))
@@ -88,7 +109,7 @@ def co7_field_audit(spark: SparkSession, d: str) -> DataFrame:
     return by.join(brands, "manufacturer").withColumn("known_percent", F.round(F.col("known") * 100 / F.col("products"), 4))
 
 
-QUERIES = {q.__name__: q for q in (jo22_field_names, fn21_typed_values, fn16_threads, fn22_special, co6_catalogue, co7_field_audit)}
+QUERIES = {q.__name__: q for q in (jo22_field_names, fn21_typed_values, fn16_threads, fn22_special, co6_catalogue, co7_field_audit, fn28_decoded_fields, fn29_enriched_fields)}
 
 
 def _text(value: str) -> str:
@@ -138,6 +159,20 @@ said as (
 grouped as (select rule_id, field, min(number) n0, min(text) t0, bool_or(clash) or count(distinct number) > 1 or count(distinct text) > 1 conflict, count(*) filter (where not clash) said
   from said where number is not null or text is not null or clash group by all),
 typed as (select rule_id, field, case when not conflict then n0 end number, case when not conflict then t0 end text, conflict, said from grouped)"""
+_DECODED = rf"""codes as (select p_partkey rule_id, lower({CODES[0]}) maker, upper(replace(replace({CODES[1]}, ' ', ''), '–', '-')) code from part),
+pr as (select rule_id, regexp_extract(code, '^PR(CM|W)?', 1) conn, regexp_extract(code, '^PR(?:CM|W)?(\d\d)', 1) size, regexp_extract(code, '-([\d.]+)D', 1) sn, regexp_extract(code, 'D([NP]2?)$', 1) o from codes where maker = 'pr'),
+pm as (select *, case when (size, sn) in (('08', '1.5'), ('12', '2'), ('18', '5'), ('30', '10')) then 'flush' when (size, sn) in (('08', '2'), ('12', '4'), ('18', '8'), ('30', '15')) then 'non-flush' end mount from pr),
+sis as (select rule_id, string_split(code, '-') c from codes where maker = 'sis' and not contains(code, '-X-')),
+sg as (select rule_id, left(c[2], 2) size, substr(c[2], 3, 1) mount, c[3] fun, c[4] o, c[5] sn, c[6] mat from sis),
+dec as (
+  select rule_id, 'pr' rule, f.field, f.number, f.txt, f.standard, false review from pm, lateral (values
+    ('connection', null::double, case conn when 'CM' then 'connector' when 'W' then 'cable+connector' else 'cable' end, false), ('diameter', size::double, null, false), ('pitch', case when size = '30' then 1.5 else 1.0 end, null, false),
+    ('sn', sn::double, null, false), ('output', null, case when left(o, 1) = 'N' then 'NPN' else 'PNP' end, false), ('function', null, case when o like '%2' then 'NC' else 'NO' end, false), ('mount', null, mount, false),
+    ('body_type', null, 'threaded', true), ('voltage_type', null, 'DC', true), ('load', 200, null, true), ('ip', null, '67', true)) f(field, number, txt, standard) where mount is not null
+  union all select rule_id, 'sis', f.field, f.number, f.txt, f.standard, size = '30' from sg, lateral (values
+    ('diameter', size::double, null::varchar, false), ('pitch', case when size <> '30' then 1.0 end, null, false), ('mount', null, case mount when 'V' then 'flush' else 'non-flush' end, false), ('function', null, case fun when 'NONC' then 'NO/NC' else fun end, false),
+    ('output', null, case when o in ('AC', 'DC') then '2-wire' else o end, false), ('voltage_type', null, case when o = 'AC' then 'AC' else 'DC' end, false), ('sn', replace(sn, ',', '.')::double, null, false), ('material', null, case mat when 'ST' then 'stainless' else 'plastic' end, false), ('body_type', null, 'threaded', true)) f(field, number, txt, standard)
+    where f.field <> 'pitch' or size <> '30')"""
 _WIDE = ", ".join([f"max(number) filter (where field = '{f}') {f}" for f in ch.NUMBERS] + [f"max(text) filter (where field = '{f}') \"{f}\"" for f in ch.TEXTS + ch.FLAGS])
 
 SQL = {
@@ -152,6 +187,11 @@ select rule_id, concat_ws(',', case when t like '%аналогов%' then 'analo
   case when regexp_matches(t, 'погружн|submersible') and not regexp_matches(t, 'не является погружн|non-submersible') then 'immersible' end, case when t like '%namur%' then 'namur' end,
   case when t like '%высокого давления%' then 'pressure' end, case when t like '%щелев%' then 'slot' end, case when t like '%минимальной скорости%' then 'speed' end) special from w""",
     "co6_catalogue": f"with {_TYPED} select rule_id, {_WIDE}, coalesce(string_agg(field, ',' order by field) filter (where conflict), '') conflicts, count(*) filter (where conflict) n_conflicts from typed group by all",
+    "fn28_decoded_fields": f"with {_DECODED} select rule_id, rule, field, number, txt text, standard, review from dec",
+    "fn29_enriched_fields": f"""with {_TYPED}, {_DECODED},
+j as (select rule_id, field, t.number tn, t.text tt, t.conflict, d.number dn, d.txt dt, d.standard, d.review, t.number is not distinct from d.number and t.text is not distinct from d.txt agrees from typed t full join dec d using (rule_id, field)),
+o as (select *, case when conflict then 'conflict' when standard is null then 'card' when conflict is null then case when review then 'review' else 'filled' end when agrees then 'confirmed' when standard then 'card' else 'conflict' end outcome from j)
+select rule_id, field, case when outcome not in ('conflict', 'review') then coalesce(tn, dn) end number, case when outcome not in ('conflict', 'review') then coalesce(tt, dt) end text, outcome from o""",
     "co7_field_audit": f"""with {_TYPED}, b as (select p_brand manufacturer, count(*) products from part group by all)
 select manufacturer, field, spoken, known, conflicts, products, round(known * 100 / products, 4) known_percent
 from (select p_brand manufacturer, field, count(*) spoken, count(*) filter (where not conflict) known, count(*) filter (where conflict) conflicts from typed join part on p_partkey = rule_id group by all) join b using (manufacturer)""",
