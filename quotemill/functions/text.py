@@ -88,13 +88,14 @@ def kept_tokens(text: Column) -> Column:
 def translation_faults(original: Column, translated: Column) -> Column:
     """struct(lost, added, terms): tokens that the translation has too few or too many of (a token once for each that
     lacks or exceeds, sorted), and English terms of which the Russian reading is missing. A null text is an empty one."""
-    one, two = kept_tokens(original), kept_tokens(translated)
 
     def beyond(x: Column, y: Column) -> Column:
         times = lambda words, w: F.size(F.filter(words, lambda v: v == w))
         extra = F.transform(F.array_distinct(x), lambda w: F.array_repeat(w, F.greatest(times(x, w) - times(y, w), F.lit(0))))
         return F.flatten(extra)
 
+    both = F.array(F.struct(kept_tokens(original).alias("one"), kept_tokens(translated).alias("two")))  # bound, so read once
+    found = F.transform(both, lambda x: F.struct(beyond(x["one"], x["two"]).alias("lost"), beyond(x["two"], x["one"]).alias("added")))[0]
     low = F.lower(F.coalesce(original, F.lit("")))
     terms = F.array_compact(F.array(*[F.when(low.contains(term) & ~F.coalesce(translated, F.lit("")).rlike("(?Uiu)" + reading), term) for term, reading in TERMS]))
-    return F.struct(beyond(one, two).alias("lost"), beyond(two, one).alias("added"), terms.alias("terms"))
+    return F.struct(found["lost"].alias("lost"), found["added"].alias("added"), terms.alias("terms"))
