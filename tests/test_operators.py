@@ -159,3 +159,22 @@ def test_page_states(spark):
     }
     found = dict(page_states(spark.createDataFrame(list(pages.items()), "page_id long, html string")).collect())
     assert found == {1: "ok", 2: "not_loaded", 3: "not_found", 4: "not_found", 5: "not_found", 6: "blocked", 7: "load_error", 8: "ok", 9: "ok"}
+
+
+def test_blocks_with_keys_that_only_the_left_side_may_leave_open(spark):
+    rows = [(i, x, y, z) for i, (x, y, z) in enumerate((x, y, z) for x in (None, 1, 2) for y in (None, 1) for z in (None, "a", "b"))]
+    df = spark.createDataFrame(rows + rows[:2], "id int, x int, y int, z string")
+    got = sorted((p["l"]["id"], p["r"]["id"]) for p in matching.wildcard_blocks(df, df, ["x"], ["y", "z"]).collect())
+    agree = lambda a, b: (a[1] == b[1] or None in (a[1], b[1])) and all(a[k] is None or a[k] == b[k] for k in (2, 3))
+    assert got == sorted((a[0], b[0]) for a in rows + rows[:2] for b in rows + rows[:2] if agree(a, b))
+
+
+def test_few_keys_are_many_tasks(spark):
+    """Pairs of one key were one task's work, and one side was broadcast."""
+    df = spark.range(2000).selectExpr("id", "if(id >= 0, null, 1) as x", "if(id >= 0, 1, 2) as y")
+    blocks = matching.wildcard_blocks(df.where("id % 100 = 0"), df, ["x", "y"])
+    assert "Broadcast" not in blocks._jdf.queryExecution().executedPlan().toString()
+    parts = {r[0]: r[1] for r in blocks.groupBy(F.spark_partition_id()).count().collect()}
+    assert sum(parts.values()) == 40000
+    assert len(parts) > 20
+    assert max(parts.values()) < 8000
