@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quotemill.functions import characteristics as c
 from quotemill.operators import characteristics as ch
 from quotemill.operators import designations as de
-from quotemill.session import table
+from quotemill.session import dealt, table
 
 #: (name, value) of each product as expressions over ``part`` that both engines take.
 PARTS = (
@@ -48,11 +48,16 @@ PURPOSE = "case p_partkey % 8 when 0 then 'Датчик контроля мин
 
 
 def _written(spark: SparkSession, d: str) -> DataFrame:
-    def pairs(name: str, key: str, exprs):
+    def pairs(rows: DataFrame, key: str, exprs):
         held = F.array(*[F.struct(F.expr(n).alias("name"), F.expr(v).alias("value")) for n, v in exprs])
-        return table(spark, d, name).select(F.col(key).alias("rule_id"), F.explode(held).alias("x")).select("rule_id", "x.*")
+        return rows.select(F.col(key).alias("rule_id"), F.explode(held).alias("x")).select("rule_id", "x.*")
 
-    return pairs("part", "p_partkey", PARTS).unionAll(pairs("lineitem", "l_partkey", LINES))
+    return pairs(_parts(spark, d), "p_partkey", PARTS).unionAll(pairs(table(spark, d, "lineitem"), "l_partkey", LINES))
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    """Products dealt over tasks before their attributes are written: the file may be one split, and each row becomes many."""
+    return dealt(table(spark, d, "part"), "p_partkey")
 
 
 def _typed(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +92,7 @@ def co6_catalogue(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _decoded(spark: SparkSession, d: str) -> DataFrame:
-    codes = table(spark, d, "part").select(F.col("p_partkey").alias("rule_id"), F.expr(CODES[0]).alias("maker"), F.expr(CODES[1]).alias("code"))
+    codes = _parts(spark, d).select(F.col("p_partkey").alias("rule_id"), F.expr(CODES[0]).alias("maker"), F.expr(CODES[1]).alias("code"))
     return de.decoded(codes, "rule_id", de.built_in(spark))
 
 

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from quotemill.functions import characteristics as c
 from quotemill.operators import characteristics as ch
+from quotemill.plans import characteristics as plans
+from quotemill.session import table
 
 READ = [
     (c.output, {"PNP": "PNP", "pnp/npn": "NPN/PNP", "NAMUR, PNP": "NAMUR/PNP", "2-проводный": "2-wire", "AC 2 пров.": "2-wire", "релейный": "relay", "PNPX": None, "": None, None: None}),
@@ -71,3 +73,11 @@ def test_conflicts_placeholders_and_several_threads(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "id int, name string, value string")
     assert ch.typed_fields(empty, ch.dictionary(spark), "id").count() == 0
+
+
+def test_attributes_of_one_split_are_written_by_many_tasks(spark):
+    d = "/root/testdata/sf0.01"
+    parts, written = table(spark, d, "part"), plans._written(spark, d)
+    assert parts.rdd.getNumPartitions() == 1
+    own = written.where(F.col("name") == "Вес, г").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in own) == parts.count() and len(own) == 4 and max(r["count"] for r in own) < parts.count() / 2
