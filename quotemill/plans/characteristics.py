@@ -66,7 +66,8 @@ def _typed(spark: SparkSession, d: str) -> DataFrame:
 
 def jo22_field_names(spark: SparkSession, d: str) -> DataFrame:
     """Attribute names by the fields they stand for, exactly or by their beginning; null: no field."""
-    return ch.named_fields(_written(spark, d), ch.dictionary(spark)).groupBy("key", "field").agg(F.count("*").alias("n"))
+    names = _written(spark, d).groupBy("name").agg(F.count("*").alias("rows"))
+    return ch.named_fields(names, ch.dictionary(spark)).groupBy("key", "field").agg(F.sum("rows").alias("n"))
 
 
 def fn21_typed_values(spark: SparkSession, d: str) -> DataFrame:

@@ -81,3 +81,12 @@ def test_attributes_of_one_split_are_written_by_many_tasks(spark):
     assert parts.rdd.getNumPartitions() == 1
     own = written.where(F.col("name") == "Вес, г").groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in own) == parts.count() and len(own) == 4 and max(r["count"] for r in own) < parts.count() / 2
+
+
+def test_each_name_meets_the_dictionary_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ch, "named_fields", lambda rows, names, of=ch.named_fields: seen.append(rows) or of(rows, names))
+    d = "/root/testdata/sf0.001"
+    got = plans.jo22_field_names(spark, d)
+    assert seen[0].count() == plans._written(spark, d).select("name").distinct().count()
+    assert got.where("key = 'вес, г'").first()["n"] == table(spark, d, "part").count()
