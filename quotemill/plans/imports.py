@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -165,8 +166,10 @@ def sc15_decoded_files(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "encoding", "damage", F.sha2("text", 256).alias("text_sha256"))
 
 
-def _encoded(text: pd.Series, name: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else t.encode(n, "replace") for t, n in zip(text, name, strict=True)])
+def _encoded(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for columns in batches:
+        for rows in decoding.pieces(*columns):
+            yield pd.Series([None if t is None else t.encode(n, "replace") for t, n in rows])
 
 
 def fn12_damage_score(spark: SparkSession, d: str) -> DataFrame:

@@ -9,6 +9,7 @@ from byte statistics. Null bytes give a null text.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +28,25 @@ def damage(text: Column) -> Column:
     return F.regexp_count(text, F.lit(f"[{MARKERS}]")) + F.when(letters >= 4, letters).otherwise(0)
 
 
-def _readings(content: pd.Series, declared: pd.Series) -> pd.Series:
+#: Bytes (or characters) that are read into Python objects at a time; a single longer value is read alone.
+PIECE = 1 << 20
+
+
+def pieces(*columns: pd.Series) -> Iterator[list[tuple]]:
+    """Rows of equally long columns in lists of at most PIECE bytes of the first, so that few results live at a time."""
+    held, size = [], 0
+    for row in zip(*columns, strict=True):
+        n = 0 if row[0] is None else len(row[0])
+        if held and size + n > PIECE:
+            yield held
+            held, size = [], 0
+        held.append(row)
+        size += n
+    if held:
+        yield held
+
+
+def _readings(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     def of(raw: bytes, said: str | None) -> list[dict]:
         page = DECLARED.search(raw[:HEAD])
         late = said if said and said.lower() in LATIN else None
@@ -41,7 +60,9 @@ def _readings(content: pd.Series, declared: pd.Series) -> pd.Series:
                 continue
         return out
 
-    return pd.Series([of(bytes(raw), said) for raw, said in zip(content, declared, strict=True)])
+    for columns in batches:
+        for rows in pieces(*columns):
+            yield pd.Series([of(bytes(raw), said) for raw, said in rows])
 
 
 def decoded(df: DataFrame, content: str = "content", declared: Column | None = None) -> DataFrame:
