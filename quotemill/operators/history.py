@@ -38,16 +38,20 @@ def first_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     return out.withColumn("change", change)
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, order: Sequence[str], values: Sequence[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, order: Sequence[str], values: Sequence[str], once: bool = False) -> DataFrame:
     """Each left row with the last right row of its key at or before its time (ties by ``order``).
 
-    One shuffle of the union by key and a running last value: no range join, so a key's rows are read once.
+    One shuffle of the union by key and a running last value: no range join, so a key's rows are read once. With ``once``
+    equal left rows come back as one: the same sort puts them side by side, so no hash table holds them.
     """
     pad = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in order]
     old = left.select(*[F.col(k) for k in keys], F.col(left_time).alias("_t"), F.lit(1).alias("_side"), *[p.alias(f"_o{i}") for i, p in enumerate(pad)], F.struct(*left.columns).alias("_left"), F.lit(None).cast(right.select(F.struct(*values).alias("x")).schema["x"].dataType).alias("_right"))
     new = right.select(*[F.col(k) for k in keys], F.col(right_time).alias("_t"), F.lit(0).alias("_side"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.lit(None).cast(left.select(F.struct(*left.columns).alias("x")).schema["x"].dataType).alias("_left"), F.struct(*values).alias("_right"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_side", *[f"_o{i}" for i in range(len(order))]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = old.unionByName(new).withColumn("_found", F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
+    w = Window.partitionBy(*keys).orderBy("_t", "_side", *[f"_o{i}" for i in range(len(order))], *["_left"] * once)
+    both = old.unionByName(new).withColumn("_found", F.last("_right", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    if once:
+        both = both.withColumn("_again", F.lag("_left").over(w).eqNullSafe(F.col("_left"))).where("not _again")
+    both = both.where("_side = 1")
     return both.select("_left.*", *[F.col(f"_found.{c}").alias(c) for c in values])
 
 

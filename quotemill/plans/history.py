@@ -62,8 +62,8 @@ def wi3_first_last(spark: SparkSession, d: str) -> DataFrame:
 
 def jo4_as_of_price(spark: SparkSession, d: str) -> DataFrame:
     """The last quote of the product on or before the day of each order line."""
-    lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_partkey").alias("rule_id"), F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("line"), F.col("o_orderdate").alias("day")).distinct()
-    out = h.as_of(lines, quote(spark, d), ["rule_id"], "day", "checked_at", QUOTE_ORDER, ["checked_at", "run_id", "line_no"])
+    lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_partkey").alias("rule_id"), F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("line"), F.col("o_orderdate").alias("day"))
+    out = h.as_of(lines, quote(spark, d), ["rule_id"], "day", "checked_at", QUOTE_ORDER, ["checked_at", "run_id", "line_no"], once=True)
     return out.select("rule_id", "run", "line", F.col("run_id").alias("quote_run"), F.col("line_no").alias("quote_line"))
 
 

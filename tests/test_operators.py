@@ -27,6 +27,14 @@ def test_as_of_takes_the_last_at_or_before(spark):
     assert sorted(values(history.as_of(left, right, ["k"], "t", "at", ["v"], ["v"])), key=str) == [(1, 5, 50), (1, 9, 90), (2, 5, None)]
 
 
+def test_as_of_gives_equal_rows_once(spark):
+    left = spark.createDataFrame([(1, 5, "a"), (1, 5, "b"), (1, 5, "a"), (1, 5, None), (1, 5, None), (1, 1, "a"), (1, 1, "a"), (None, None, "a"), (None, None, "a"), (2, None, "a")], "k int, t int, x string")
+    right = spark.createDataFrame([(1, 5, 50), (1, 5, 50), (1, 6, 60), (3, 1, 1)], "k int, at int, v int")
+    out = history.as_of(left, right, ["k"], "t", "at", ["v"], ["v"], once=True)
+    assert sorted(values(out), key=str) == sorted([(1, 5, "a", 50), (1, 5, "b", 50), (1, 5, None, 50), (1, 1, "a", None), (None, None, "a", None), (2, None, "a", None)], key=str)
+    assert "HashAggregate" not in out._jdf.queryExecution().toString()
+
+
 def test_guarded_upsert_keeps_the_first_success(spark):
     df = spark.createDataFrame([(1, 1, "error"), (1, 2, "priced"), (1, 3, "error"), (2, 1, "error"), (2, 2, "late")], "k int, t int, status string")
     assert sorted(values(history.upsert_guarded(df, ["k"], ["t"], F.col("status") == "priced"))) == [(1, 2, "priced"), (2, 2, "late")]
