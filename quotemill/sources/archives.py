@@ -47,8 +47,10 @@ def judged_records(records: DataFrame, fixed: Mapping[str, str], brands: Sequenc
     brand = F.lit(None).cast("string")
     for prefix, name in fixed.items():
         brand = F.coalesce(brand, F.when(F.startswith("source", F.lit(prefix)), name))
-    listed = F.array(*[F.lit(b) for b in brands])
-    brand = F.coalesce(brand, F.try_element_at(F.filter(listed, lambda b: F.contains(compact(title), compact(b))), F.lit(1)))
+    listed = F.array(*[F.struct(F.lit(b).alias("brand"), compact(F.lit(b)).alias("key")) for b in brands])
+    # the title is bound before the brands are tried: a filter that Spark pushes down has it as an expression over the record
+    first = F.transform(F.array(compact(title)), lambda t: F.try_element_at(F.filter(listed, lambda b: F.contains(t, b["key"])), F.lit(1)))
+    brand = F.coalesce(brand, first[0]["brand"])
     rows = rows.withColumn("title", title).withColumn("brand", brand)
     at = F.expr("locate(lower(brand), lower(title))")
     after = F.when(at > 0, F.regexp_replace(F.substr("title", at + F.length("brand")), r"(?U)^\s+|\s+$", "")).otherwise(F.col("title"))
