@@ -171,6 +171,7 @@ BLOCKS = "part int, block int, start bigint, documents binary, sizes binary, n_i
 
 def _encode(f: Format, code, offsets: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.drop_encoders()
         lengths = code.value
         codes = canonical_codes(lengths)
         held: list[tuple[int, np.ndarray]] = []
@@ -223,12 +224,17 @@ def write_tokens(spark: SparkSession, docs: DataFrame, path: str, fmt: Format =
 
 
 READ = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
+#: Blocks that are decoded at once.
+BLOCKS_AT_ONCE = 8
 
 
-def _decode(lengths):
+def _decode(lengths, with_ids: bool):
+    names = [c.split()[0] for c in READ.split(", ")] + ["ids"] * with_ids
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.drop_encoders()
         table = decode_table(lengths.value)
-        for batch in rows(batches, 32):
+        for batch in rows(batches, BLOCKS_AT_ONCE):
             columns = [batch.column(c).to_pylist() for c in ("start", "documents", "sizes", "n_ids", "payload", "checkpoints")]
             ids = decode_ids([(p, np.frombuffer(c, np.int64), n) for n, p, c in zip(*columns[3:], strict=True)], table)
             out: list[tuple] = []
@@ -236,23 +242,25 @@ def _decode(lengths):
                 sizes = np.frombuffer(sizes, np.int64)
                 ends, data = np.cumsum(sizes), memoryview(x.astype("<u4").tobytes())
                 for doc_id, n, end in zip(np.frombuffer(documents, np.int64).tolist(), sizes.tolist(), ends.tolist(), strict=True):
-                    out.append((None if doc_id == NO_ID else doc_id, start + end - n, n, zlib.crc32(data[4 * (end - n) : 4 * end]), bytes(data[4 * (end - n) : 4 * end])))
-            kinds = [pa.int64()] * 4 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                    own = data[4 * (end - n) : 4 * end]
+                    out.append((None if doc_id == NO_ID else doc_id, start + end - n, n, zlib.crc32(own), *([bytes(own)] if with_ids else [])))
+            kinds = [pa.int64()] * 4 + [pa.binary()] * with_ids
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
 
     return run
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Files of write_tokens() -> doc_id, start, n_tokens, ids_crc32, ids (little-endian unsigned 32-bit integers)."""
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """Files of write_tokens() -> doc_id, start, n_tokens, ids_crc32, ids (little-endian unsigned 32-bit integers). Without
+    ids they are decoded all the same, and stay in the task."""
     codes = spark.read.parquet(f"{path}/codes").toArrow()
     lengths = np.zeros(int(max(codes.column("id").to_numpy(), default=0)) + 1, np.int64)
     lengths[codes.column("id").to_numpy()] = codes.column("length").to_numpy()
-    return spark.read.parquet(f"{path}/blocks").mapInArrow(_decode(spark.sparkContext.broadcast(lengths)), READ + ", ids binary")
+    return spark.read.parquet(f"{path}/blocks").mapInArrow(_decode(spark.sparkContext.broadcast(lengths), with_ids), READ + ", ids binary" * with_ids)
 
 
-def token_digests(spark: SparkSession, docs: DataFrame, fmt: Format = Format()) -> DataFrame:
+def token_digests(spark: SparkSession, docs: DataFrame, fmt: Format = Format(), with_ids: bool = True) -> DataFrame:
     """Writes docs to a new folder beside the checkpoints and reads them back."""
     path = f"{shared_dir(spark)}/quotemill-{uuid.uuid4().hex}/tokens"
     write_tokens(spark, docs, path, fmt)
-    return read_tokens(spark, path)
+    return read_tokens(spark, path, with_ids)
