@@ -6,7 +6,8 @@
    applies the merges in rank order; a merge changes the entries of its two neighbours only. It answers each chunk.
 3. Each chunk's documents are written out as ids from its answers.
 
-Shuffled are a chunk's distinct pieces, their ids and the documents as numbers, not the texts. The number of parts grows
+Shuffled are a chunk's distinct pieces and their ids, not the texts; the documents as numbers are written in buckets of
+their chunk, where the answers come to them. The number of parts grows
 with the corpus, and a frequent piece is in a request once a chunk.
 
 A token pair is known by the rank of its joined bytes, so pairs that join to the same token share an entry, as in the
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import keep, rows, shuffle_partitions
+from quotemill.llm.common import keep_bucketed, rows, shuffle_partitions
 
 #: Characters of text in a chunk; a longer document is a chunk of its own.
 CHUNK_CHARS = 8_000_000
@@ -284,7 +285,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, path: str | None = No
     path, pattern = path or default_path(), pattern or default_pattern()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = max(shuffle_partitions(spark), -(-(texts.agg(F.sum(F.length("text"))).first()[0] or 0) // part_chars))
-    split = keep(spark, texts.mapInArrow(_split(pattern, chunk_chars, parts), SPLIT), "pieces")
+    split = keep_bucketed(spark, texts.mapInArrow(_split(pattern, chunk_chars, parts), SPLIT), "pieces", "chunk")
     requests = split.where("part >= 0").select("chunk", "part", "codes", "data")
     answers = requests.groupBy("part").applyInArrow(_answered(path, block_bytes), ANSWER)
     answers = answers.unionByName(split.where("part = -1").select("chunk", "part", "codes", "data"))
