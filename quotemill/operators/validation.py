@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.functions import text as t
+from quotemill.session import written
 
 #: Articles longer than this, or addresses longer than that, are refused (fixed values).
 ARTICLE, ADDRESS = 150, 2048
@@ -18,27 +19,26 @@ def marked(rows: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
     return rows.withColumn("codes", F.array_compact(F.array(*[F.when(condition, code) for code, condition in checks.items()])))
 
 
-def first_places(rows: DataFrame, file: str, keys: list[str], line: str) -> DataFrame:
-    """rows with ``repeated``: whether a valid row (no codes) of the same file and keys stands on an earlier line.
+def judged(rows: DataFrame, file: str, keys: list[str], line: str) -> DataFrame:
+    """rows(file, line, ..., codes) with the code ``repeated`` where a valid row of the same file and keys stands on an earlier
+    line, and ``released``: whether no row of the file has a code then. Null keys are equal.
 
-    Null keys are equal. Only the least line of each key is found, so the rows of a key are not gathered.
+    The rows are read four times here, so they are written first: what they are made of is computed once. Of the keys only
+    those with valid rows on several lines are joined, which are few as a rule; their files are not released either.
     """
+    rows = written(rows, "rows")
     valid = F.size("codes") == 0
-    least = rows.where(valid).groupBy(file, *keys).agg(F.min(line).alias("first_line"))
+    lines = rows.where(valid).groupBy(file, *keys).agg(F.min(line).alias("first_line"), F.max(line).alias("last_line"))
+    again = written(lines.where("last_line > first_line").drop("last_line"), "again")
     names = [file, *keys]
-    right = least.select(*[F.col(n).alias(f"_{n}") for n in names], "first_line")
     same = F.lit(True)
     for n in names:
         same &= F.col(n).eqNullSafe(F.col(f"_{n}"))
-    j = rows.join(right, same, "left").drop(*[f"_{n}" for n in names])
-    return j.withColumn("repeated", valid & F.coalesce(F.col(line) > F.col("first_line"), F.lit(False))).drop("first_line")
-
-
-def gated(rows: DataFrame, file: str) -> DataFrame:
-    """rows with ``released``: whether no row of its file has a code. Counts of faults are joined to the rows, so the
-    rows of a file are neither sorted nor gathered."""
-    bad = rows.groupBy(file).agg(F.count_if(F.size("codes") > 0).alias("bad")).withColumnRenamed(file, "_file")
-    return rows.join(bad, F.col(file).eqNullSafe(F.col("_file"))).withColumn("released", F.col("bad") == 0).drop("_file", "bad")
+    x = rows.join(again.select(*[F.col(n).alias(f"_{n}") for n in names], "first_line"), same, "left").drop(*[f"_{n}" for n in names])
+    repeated = valid & F.coalesce(F.col(line) > F.col("first_line"), F.lit(False))
+    x = x.withColumn("codes", F.when(repeated, F.array(F.lit("repeated"))).otherwise(F.col("codes"))).drop("first_line")
+    held = rows.where(~valid).select(file).union(again.select(file)).distinct().select(F.col(file).alias("_file"), F.lit(True).alias("_held"))
+    return x.join(held, F.col(file).eqNullSafe(F.col("_file")), "left").withColumn("released", F.col("_held").isNull()).drop("_file", "_held")
 
 
 def validated_tasks(tasks: DataFrame, sources: DataFrame) -> DataFrame:
@@ -76,9 +76,7 @@ def validated_tasks(tasks: DataFrame, sources: DataFrame) -> DataFrame:
         "address": ~((host == F.lower("_s.host")) | host.endswith(F.concat(F.lit("."), F.lower("_s.host")))),
     }
     x = x.select("file", "line", F.coalesce("_id", "source").alias("source"), F.coalesce("_brand", "manufacturer").alias("manufacturer"), "article", "url", F.array_compact(F.array(*[F.when(c, code) for code, c in faults.items()])).alias("codes"))
-    x = first_places(x, "file", ["source", "manufacturer", "article", "url"], "line")
-    x = x.withColumn("codes", F.when(F.col("repeated"), F.array(F.lit("repeated"))).otherwise(F.col("codes")))
-    return gated(x, "file").select("file", "line", "source", "manufacturer", "article", "url", F.try_element_at("codes", F.lit(1)).alias("code"), "released")
+    return judged(x, "file", ["source", "manufacturer", "article", "url"], "line").select("file", "line", "source", "manufacturer", "article", "url", F.try_element_at("codes", F.lit(1)).alias("code"), "released")
 
 
 def validated_items(items: DataFrame, runs: DataFrame, competitors: DataFrame) -> DataFrame:
@@ -118,6 +116,4 @@ def validated_items(items: DataFrame, runs: DataFrame, competitors: DataFrame) -
         "unproven": there & verified & (F.col("snapshot") != "") & (t.squeezed(F.col("quote")) != "") & ~F.contains(t.squeezed(F.col("snapshot")), t.squeezed(F.col("quote"))),
     }
     x = marked(x.withColumn("item_id", F.sha2(F.concat_ws("\n", "competitor", page("url")), 256)), faults)
-    x = first_places(x.select("run", "line", "item_id", "codes"), "run", ["item_id"], "line")
-    x = x.withColumn("codes", F.when(F.col("repeated"), F.array(F.lit("repeated"))).otherwise(F.col("codes")))
-    return gated(x, "run").select("run", "line", "item_id", F.array_join("codes", ",").alias("codes"), "released")
+    return judged(x.select("run", "line", "item_id", "codes"), "run", ["item_id"], "line").select("run", "line", "item_id", F.array_join("codes", ",").alias("codes"), "released")

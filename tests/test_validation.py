@@ -71,3 +71,19 @@ def test_translation_faults(spark):
     ]
     df = spark.createDataFrame(rows, "o string, x string").select(t.translation_faults(F.col("o"), F.col("x")).alias("f")).select("f.*")
     assert [tuple(map(list, r)) for r in df.collect()] == [([], [], []), (["10%"], [], ["encoder"]), ([], [], []), ([], ["67", "IP67"], []), (["67", "IP67"], [], []), ([], [], []), ([], [], [])]
+
+
+def test_rows_are_made_once_for_repeats_and_gates(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(name):
+        made.add(1)
+        return name
+
+    rows = [("a", 1, "k", []), ("a", 2, "k", []), ("a", 2, None, []), ("b", 1, "k", []), ("b", 1, "k", []), ("c", 1, None, []), ("c", 2, None, []), ("d", 1, "k", ["x"]), ("d", 2, "k", []), (None, 1, "k", []), (None, None, "k", [])]
+    df = spark.createDataFrame(rows, "file string, line long, key string, codes array<string>").withColumn("key", counted("key"))
+    got = {(r.file, r.line, r.key, tuple(r.codes), r.released) for r in v.judged(df, "file", ["key"], "line").collect()}
+    again = ("repeated",)
+    assert got == {("a", 1, "k", (), False), ("a", 2, "k", again, False), ("a", 2, None, (), False), ("b", 1, "k", (), True), ("c", 1, None, (), False), ("c", 2, None, again, False), ("d", 1, "k", ("x",), False), ("d", 2, "k", (), False), (None, 1, "k", (), True), (None, None, "k", (), True)}
+    assert made.value == len(rows)
