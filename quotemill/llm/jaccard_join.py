@@ -430,20 +430,27 @@ def _stars(member: DataFrame, turn: int) -> DataFrame:
 
 #: Members of an index group that one task compares with as many others.
 BLOCK = 4000
+#: Names of its groups that a set carries into each of them, the least ones: a long text is in thousands of groups.
+CARRIED = 16
 
 
 def _across(j: Join, member: DataFrame, sized: DataFrame) -> DataFrame:
     """Pairs in different components of a large index group that sizes and bitmaps allow.
 
     A group of more than BLOCK members is dealt out by pairs of blocks; inside, bitmaps are compared in arrays. Only
-    the pairs that they allow become rows, each in the first of the groups that both are in.
+    the pairs that they allow become rows, in the first of the groups that both are in. Where the names that they carry do
+    not tell that a group is not the first, they become rows there too, and equal rows are put together.
     """
+    return _dealt(member, sized).groupBy("name", "x", "y").applyInArrow(_compare(j), "a bigint, b bigint").distinct()
+
+
+def _dealt(member: DataFrame, sized: DataFrame) -> DataFrame:
+    """A row for each member of a group and block that it meets, with its bitmap and the least names of its groups."""
     groups = member.groupBy("name").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    names = member.groupBy("set_id").agg(F.sort_array(F.collect_set("name")).alias("names"))  # a set has few segments
+    names = member.groupBy("set_id").agg(F.slice(F.sort_array(F.collect_set("name")), 1, CARRIED).alias("names"))
     dealt = member.join(groups, "name").join(sized, "set_id").join(names, "set_id").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("name", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "set_id", "label", "n", "bits", "names")
-    return dealt.groupBy("name", "x", "y").applyInArrow(_compare(j), "a bigint, b bigint")
+    return dealt.select("name", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "set_id", "label", "n", "bits", "names")
 
 
 def _compare(j: Join):
@@ -453,7 +460,7 @@ def _compare(j: Join):
         ends, flat, earlier = names.offsets.to_numpy(), names.values.to_numpy(), {}
 
         def before(i: int) -> list[int]:
-            """Names of a member's groups that come before this one."""
+            """Names of a member's groups that come before this one, of those that it carries."""
             if i not in earlier:
                 own = flat[ends[i] : ends[i + 1]]
                 earlier[i] = own[: np.searchsorted(own, group)].tolist()
