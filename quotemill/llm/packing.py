@@ -34,6 +34,10 @@ class Packing:
     #: The program ends when its bound shows that at most this part could still be gained, or after so many steps.
     gap: float = 0.0005
     most_steps: int = 4000
+    #: Words that a worker remembers, documents that it takes and characters that it encodes at once.
+    words: int = 300_000
+    documents: int = 256
+    characters: int = 1_000_000
 
 
 def best_pattern(sizes: np.ndarray, value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -146,8 +150,9 @@ def cuts(n: int, p: Packing) -> list[tuple[int, int]]:
 
 def _pieces(p: Packing):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen = tokens.encoder(p.tokenizer or tokens.default_path()), TaskContext.get().partitionId(), np.zeros(p.capacity + 1, np.int64)
-        for batch in rows(batches, 1024):
+        tokens.drop_encoders()  # one of an earlier stage may remember more
+        encoder, part, seen = tokens.Encoder(p.tokenizer or tokens.default_path(), p.words, p.characters), TaskContext.get().partitionId(), np.zeros(p.capacity + 1, np.int64)
+        for batch in rows(batches, p.documents):
             out = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
                 data, n = np.append(ids, np.int32(p.end_id)).astype("<u4").tobytes(), len(ids) + 1
